@@ -76,10 +76,13 @@ def blocked_scan(
     scanned = base.select("*", *[e.alias(n) for n, e in edges.items()],
                           *[e.alias(f"__i_{n}") for n, e in inner.items()])
     blocks = base.groupBy(*keys, "__b").agg(*summary)
-    carried = blocks.select(*keys, "__b", *[e.alias(n) for n, e in carry.items()])
-    on = [scanned[k].eqNullSafe(carried[k]) for k in keys] + [scanned["__b"] == carried["__b"]]
-    joined = scanned.join(carried, on, "left").drop(*[carried[k] for k in [*keys, "__b"]])
-    return joined.select(*[scanned[c] for c in df.columns], *[e.alias(n) for n, e in final.items()])
+    carried = blocks.select(
+        *[c.alias(f"__k_{k}") for k, c in ((k, F.col(k)) for k in keys)], F.col("__b").alias("__k_block"),
+        *[e.alias(n) for n, e in carry.items()],
+    )
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__b") == F.col("__k_block")]
+    joined = scanned.join(carried, on, "left")
+    return joined.select(*df.columns, *[e.alias(n) for n, e in final.items()])
 
 
 def islands(df: DataFrame, keys: list[str], order: str, starts: Column, name: str = "island", **kw) -> DataFrame:

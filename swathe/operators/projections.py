@@ -12,6 +12,7 @@ from ..functions.numeric import is_finite
 from ..functions.vector import Vec, const, cross, dot, named, norm, scale, sub, unit, vec
 
 XYZ = ("x", "y", "z")
+c = F.col
 
 
 def is_valid(x: Column, y: Column, z: Column) -> Column:
@@ -61,19 +62,21 @@ def transform_path(df: DataFrame, vectors: list[str], covariances: list[str], to
 def forward_basis(df: DataFrame, names=("dx", "dy", "dz")) -> DataFrame:
     """Orthonormal forward / lateral / up columns; null with a ``reason`` when the
     direction is shorter than 1 cm or nearly vertical."""
-    d = vec(*names)
-    n = norm(d)
-    f = scale(d, 1 / n)
-    up0 = sub(const(0, 0, 1), scale(f, f[2]))
-    un = norm(up0)
-    lat = unit(cross(scale(up0, 1 / un), f))
-    up = cross(f, lat)
-    bad_norm = ~is_finite(n) | (n < 0.01)
-    reason = F.when(bad_norm, "stationary_or_invalid_direction").when(un < 0.1, "near_vertical_direction").otherwise("")
-    df = df.withColumn("reason", reason)
-    ok = F.col("reason") == ""
-    out = [F.when(ok, c).alias(p + a) for p, v in (("f", f), ("l", lat), ("u", up)) for c, a in zip(v, XYZ)]
-    return df.select("*", *out)
+    # Staged: each step reads the columns of the one before, so no expression is repeated.
+    keep = df.columns
+    out = df.select("*", norm(vec(*names)).alias("__n"))
+    out = out.select("*", *named(unit(vec(*names), 1e-300), "__f"))
+    out = out.select("*", *named(sub(const(0, 0, 1), scale(vec("__f"), c("__fz"))), "__v"))
+    out = out.withColumn("__un", norm(vec("__v")))
+    out = out.select("*", *named(unit(cross(vec("__v"), vec("__f"))), "__l"))
+    out = out.select("*", *named(cross(vec("__f"), vec("__l")), "__u"))
+    reason = (
+        F.when(~is_finite(c("__n")) | (c("__n") < 0.01), "stationary_or_invalid_direction")
+        .when(c("__un") < 0.1, "near_vertical_direction").otherwise("")
+    )
+    out = out.withColumn("reason", reason)
+    ok = c("reason") == ""
+    return out.select(*keep, "reason", *[F.when(ok, c(f"__{p}{a}")).alias(p + a) for p in "flu" for a in XYZ])
 
 
 def slab_roi(df: DataFrame, lo: float = 0.0, hi: float = 8.0) -> DataFrame:
@@ -238,19 +241,19 @@ def rails_from_contact(C: Vec, e1: Vec, e2: Vec, state: dict[str, Column], q: Co
     return near, far
 
 
-def section_offsets(C: Vec, t: Vec, e1: Vec, e2: Vec, near: Vec, far: Vec, q: Column | float) -> dict[str, Column]:
-    """State of a station from its rail pair: the inverse of ``rails_from_contact``."""
-    b = unit(scale(sub(near, far), q))
-    b = unit(sub(b, scale(t, dot(b, t))))
-    n = cross(t, b)
-    v, vf = sub(C, near), sub(C, far)
-    return {
-        "alpha": F.atan2(dot(b, e2), dot(b, e1)),
-        "d": q * dot(v, b),
-        "h": dot(v, n),
-        "g": q * dot(sub(near, far), b),
-        "hf": dot(vf, n),
-    }
+def section_offsets(df: DataFrame, C: str, near: str, far: str, t: Vec, e1: Vec, e2: Vec, q: float) -> DataFrame:
+    """State of a station from its rail pair (prefixes of columns): the inverse of ``rails_from_contact``."""
+    keep = df.columns
+    out = df.select("*", *named(unit(scale(sub(vec(near), vec(far)), q)), "__a"))
+    out = out.select("*", *named(sub(vec("__a"), scale(t, dot(vec("__a"), t))), "__p"))
+    out = out.select("*", *named(unit(vec("__p")), "__b"))
+    out = out.select("*", *named(cross(t, vec("__b")), "__n"))
+    b, n = vec("__b"), vec("__n")
+    v, vf = sub(vec(C), vec(near)), sub(vec(C), vec(far))
+    return out.select(
+        *keep, F.atan2(dot(b, e2), dot(b, e1)).alias("alpha"), (q * dot(v, b)).alias("d"), dot(v, n).alias("h"),
+        (q * dot(sub(vec(near), vec(far)), b)).alias("g"), dot(vf, n).alias("hf"),
+    )
 
 
 def rail_covariance(e1: Vec, e2: Vec, state: dict[str, Column], q, sx: list[Column], sp: Column, st: Column, far: bool):

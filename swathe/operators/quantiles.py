@@ -48,10 +48,10 @@ def exact_quantiles(
     )
     holds = lambda k: (k >= F.col("__lo")) & (k < F.col("__lo") + F.col("__bn"))
     picked = picked.where(holds(F.col("__k0")) | holds(F.col("__k1")))
-    on = [counted[k].eqNullSafe(picked[k]) for k in keys] + [counted["__b"] == picked["__b"]]
-    rows = counted.join(picked, on).select(
-        *[counted[k] for k in keys], counted["__b"], "__v", "__n", "__lo", "__i", "__pos", "__k0", "__k1"
-    )
+    picked = picked.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__k_block"),
+                           "__lo", "__i", "__pos", "__k0", "__k1")
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__b") == F.col("__k_block")]
+    rows = counted.join(picked, on).select(*keys, "__b", "__v", "__n", "__lo", "__i", "__pos", "__k0", "__k1")
     wr = Window.partitionBy(*keys, "__b", "__i").orderBy("__v")
     rows = rows.withColumn("__end", F.col("__lo") + F.sum("__n").over(wr)).withColumn(
         "__start", F.col("__end") - F.col("__n")
