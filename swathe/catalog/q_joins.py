@@ -63,12 +63,12 @@ def _(t):
 
 
 @query("jon_08_interp_at", "path", """WITH seg AS (SELECT run, k, s, lx, lz, lead(s) OVER w AS s1, lead(lx) OVER w AS lx1, lead(lz) OVER w AS lz1, max(s) OVER (PARTITION BY run) AS hi FROM path WINDOW w AS (PARTITION BY run ORDER BY k)),
-q AS (SELECT run, k AS id, k*0.53::DOUBLE - 1 AS at, greatest(0, least(max(s) OVER (PARTITION BY run), k*0.53::DOUBLE - 1)) AS q FROM path)
-SELECT q.run, id, at, lx+(q-s)/(s1-s)*(lx1-lx) AS lx, lz+(q-s)/(s1-s)*(lz1-lz) AS lz FROM q JOIN seg ON q.run = seg.run AND s1 IS NOT NULL AND q >= s AND (q < s1 OR (q = s1 AND s1 = hi))""", rnd="at lx lz")
+q AS (SELECT run, k AS id, k*0.53::DOUBLE - 1 AS a, greatest(0, least(max(s) OVER (PARTITION BY run), k*0.53::DOUBLE - 1)) AS q FROM path)
+SELECT q.run, id, a AS at_m, lx+(q-s)/(s1-s)*(lx1-lx) AS lx, lz+(q-s)/(s1-s)*(lz1-lz) AS lz FROM q JOIN seg ON q.run = seg.run AND s1 IS NOT NULL AND q >= s AND (q < s1 OR (q = s1 AND s1 = hi))""", rnd="at_m lx lz")
 def _(t):
     p = t.path
-    q = p.select("run", c("k").alias("id"), (c("k") * 0.53 - 1).alias("at"))
-    return jn.interp_at(p, q, ["run"], "s", ["lx", "lz"], "at")
+    q = p.select("run", c("k").alias("id"), (c("k") * 0.53 - 1).alias("at_m"))
+    return jn.interp_at(p, q, ["run"], "s", ["lx", "lz"], "at_m")
 
 
 @query("jon_09_nearest_segment", "points path", """WITH seg AS (SELECT run, k AS seg, s, lx, ly, lz, lead(s) OVER w AS s1, lead(lx) OVER w AS x1, lead(ly) OVER w AS y1, lead(lz) OVER w AS z1 FROM path WINDOW w AS (PARTITION BY run ORDER BY k)),
@@ -214,9 +214,9 @@ def _(t):
 
     seg = path_segments(t.path).select("run", c("k").alias("id"), c("cx").alias("x"), c("cy").alias("y"), c("cz").alias("z"), "fx", "fy", "fz")
     p = t.points.select("run", "frame", "point_idx", "x", "y", "z")
-    near = jn.bounded_nearest(p.withColumn("id", c("point_idx") * 4096 + F.pmod(c("frame"), F.lit(4096))), seg, ["run"], "id", 1.0)
-    p = p.withColumn("id", c("point_idx") * 4096 + F.pmod(c("frame"), F.lit(4096)))
-    j = near.where(c("near_id").isNotNull()).join(p, ["run", "id"]).drop("id").withColumnRenamed("near_id", "k")
+    ids = ["frame", "point_idx"]
+    near = jn.bounded_nearest(p, seg, ["run"], "id", 1.0, left_ids=ids)
+    j = near.where(c("near_id").isNotNull()).join(p, ["run", *ids]).withColumnRenamed("near_id", "k")
     j = j.join(seg.select("run", c("id").alias("k"), *[c(a).alias("s" + a) for a in "xyz"], "fx", "fy", "fz"), ["run", "k"])
     ax = sum(((c(a) - c("s" + a)) * c("f" + a) for a in "yz"), (c("x") - c("sx")) * c("fx"))
     j = j.withColumn("ax", ax)

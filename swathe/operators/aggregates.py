@@ -119,3 +119,195 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q
         c("__v") + (c("__v1") - c("__v")) * (c("__t") - c("__p")) / (c("__p1") - c("__p"))
     )
     return rows.where(here | below).groupBy(*keys).agg(F.max(value_at).alias(name))
+
+
+def weighted_support(df: DataFrame, keys: list[str], weight: Column, source: str, far: Column, at_least: float = 3.0) -> DataFrame:
+    """Far-weighted evidence per component, kept at or above ``at_least``. Sources are frame numbers of one batch."""
+    out = df.groupBy(*keys).agg(
+        F.sum(weight).alias("weighted_points"), F.min(weight).alias("weight_min"), F.count_if(far).alias("far_count"),
+        F.array_sort(F.collect_set(source)).alias("sources"))
+    return out.where(c("weighted_points") >= at_least)
+
+
+def density_2d(df: DataFrame, keys: list[str], u: str, v: str, bin_m: float, sigma_bins: float, truncate: float = 4.0) -> DataFrame:
+    """2-D histogram smoothed by a truncated Gaussian (zero outside), one row per reached bin.
+
+    Counts are spread over a stencil whose size depends on the kernel only.
+    """
+    import math
+
+    r = int(truncate * sigma_bins + 0.5)
+    k = [math.exp(-0.5 * (i / sigma_bins) ** 2) for i in range(-r, r + 1)]
+    total = sum(k)
+    stencil = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(w / total).alias("g")) for i, w in zip(range(-r, r + 1), k)])
+    h = df.groupBy(*keys, F.floor(c(u) / bin_m).alias("bu"), F.floor(c(v) / bin_m).alias("bv")).agg(F.count(F.lit(1)).alias("n"))
+    h = h.withColumn("a", F.explode(stencil)).withColumn("b", F.explode(stencil))
+    return h.groupBy(*keys, (c("bu") + c("a.o")).alias("bu"), (c("bv") + c("b.o")).alias("bv")).agg(F.sum(c("n") * c("a.g") * c("b.g")).alias("density"))
+
+
+def local_maxima(density: DataFrame, keys: list[str]) -> DataFrame:
+    """Bins not below any of their eight neighbours, with density above 0."""
+    span = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    d = density.where(c("density") > 0)
+    n = d.withColumn("a", F.explode(span)).withColumn("b", F.explode(span))
+    n = n.groupBy(*keys, (c("bu") + c("a")).alias("bu"), (c("bv") + c("b")).alias("bv")).agg(F.max("density").alias("__m"))
+    return d.join(n, [*keys, "bu", "bv"]).where(c("density") == c("__m")).drop("__m")
+
+
+def section_heads(df: DataFrame, keys: list[str], min_points: int = 8, min_top: int = 3, q: float = 0.7, section_m: float = 1.0) -> DataFrame:
+    """Head of each section and side: median of the points at or above the height quantile.
+
+    Needs u, v, w, side. Sections with only one side are dropped. A section of
+    one frame is a small group, so its quantile buffer is small too.
+    """
+    k = [*keys, "section", "side"]
+    s = df.withColumn("section", F.floor(c("u") / section_m))
+    lim = s.groupBy(*k).agg(F.percentile("w", F.lit(q)).alias("__q"), F.count(F.lit(1)).alias("n"))
+    top = s.join(lim.where(c("n") >= min_points), k).where(c("w") >= c("__q"))
+    h = top.groupBy(*k).agg(F.median("u").alias("hu"), F.median("v").alias("hv"), F.median("w").alias("hw"), F.count(F.lit(1)).alias("top"), F.max("n").alias("n"))
+    h = h.where(c("top") >= min_top)
+    both = h.groupBy(*keys, "section").agg(F.count(F.lit(1)).alias("__s")).where(c("__s") == 2)
+    return h.join(both, [*keys, "section"], "left_semi")
+
+
+def robust_location(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Median and scaled median absolute deviation of bounded groups."""
+    m = df.groupBy(*keys).agg(F.median(value).alias("median"))
+    d = df.join(m, keys).groupBy(*keys).agg(F.first("median").alias("median"), (F.median(F.abs(c(value) - c("median"))) * 1.4826).alias("mad"))
+    return d
+
+
+def neighbour_covariance(neighbours: DataFrame, keys: list[str]) -> DataFrame:
+    """Six covariance sums of neighbour coordinates nx, ny, nz about their mean, and the count."""
+    n = F.count(F.lit(1))
+    out = {"n": n, "far": F.max("d")}
+    for i, a in enumerate("xyz"):
+        for b in "xyz"[i:]:
+            out["s" + a + b] = F.covar_pop("n" + a, "n" + b) * n
+    return neighbours.groupBy(*keys).agg(*[e.alias(k) for k, e in out.items()])
+
+
+SYM = ["sxx", "sxy", "sxz", "syy", "syz", "szz"]
+
+
+def symmetric_eigen(df: DataFrame, names: list[str] = SYM) -> DataFrame:
+    """Eigenvalues l0 <= l1 <= l2, the eigenvector n of l0 and p of l2, in Arrow batches of rows."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("l0 double, l1 double, l2 double, nx double, ny double, nz double, px double, py double, pz double")
+    def eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
+        m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).astype(float).reshape(-1, 3, 3)
+        w, v = np.linalg.eigh(np.nan_to_num(m))
+        return pd.DataFrame(np.concatenate([w, v[:, :, 0], v[:, :, 2]], axis=1), columns=["l0", "l1", "l2", "nx", "ny", "nz", "px", "py", "pz"])
+
+    return df.withColumn("__e", eigen(*[c(n) for n in names])).select(*df.columns, "__e.*")
+
+
+def robust_pca(df: DataFrame, keys: list[str], previous: tuple[float, float, float], rounds: int = 3, names=("x", "y", "z")) -> DataFrame:
+    """Principal direction per group; each round drops rows more than 2.5 scaled MADs off the line.
+
+    The sign follows ``previous``.
+    """
+    x, y, z = names
+    rows, fit = df.select(*keys, *names), None
+    for i in range(rounds):
+        s = rows.withColumns({"nx": c(x), "ny": c(y), "nz": c(z), "d": F.lit(0.0)})
+        cov = neighbour_covariance(s, keys).join(s.groupBy(*keys).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(z).alias("mz")), keys)
+        fit = symmetric_eigen(cov).select(*keys, "n", "px", "py", "pz", "mx", "my", "mz")
+        if i == rounds - 1:
+            break
+        j = rows.join(fit, keys)
+        dx, dy, dz = c(x) - c("mx"), c(y) - c("my"), c(z) - c("mz")
+        along = dx * c("px") + dy * c("py") + dz * c("pz")
+        j = j.withColumn("__d", F.sqrt(F.greatest(F.lit(0.0), dx * dx + dy * dy + dz * dz - along * along)))
+        med = j.groupBy(*keys).agg(F.median("__d").alias("__m"))
+        j = j.drop("n").join(med, keys)
+        mad = j.groupBy(*keys).agg((F.median(F.abs(c("__d") - c("__m"))) * 1.4826).alias("__s"))
+        rows = j.join(mad, keys).where(c("__d") <= c("__m") + 2.5 * F.greatest(c("__s"), F.lit(1e-6))).select(*keys, *names)
+    sign = F.when(c("px") * previous[0] + c("py") * previous[1] + c("pz") * previous[2] < 0, -1.0).otherwise(1.0)
+    return fit.select(*keys, "n", *[(c(p) * sign).alias(p) for p in ("px", "py", "pz")])
+
+
+def balanced_weight(df: DataFrame, keys: list[str], frame: str, distance: Column | None = None, tau: float | None = None) -> DataFrame:
+    """``weight`` = 1 / rows of the same frame, times exp(-distance/tau). Counts are aggregated and joined, not windowed."""
+    n = df.groupBy(*keys, frame).agg(F.count(F.lit(1)).alias("__n"))
+    w = 1 / c("__n")
+    if tau is not None:
+        w = w * F.exp(-distance / tau)
+    return df.join(n, [*keys, frame]).withColumn("weight", w).drop("__n")
+
+
+def weighted_mean_cov(df: DataFrame, keys: list[str], weight: str, names=("x", "y", "z")) -> DataFrame:
+    """Weighted mean and the six covariance terms, in two passes so large offsets do not cancel."""
+    m = df.groupBy(*keys).agg(F.sum(weight).alias("__w"), *[(F.sum(c(weight) * c(n)) / F.sum(weight)).alias("m" + a) for n, a in zip(names, "xyz")])
+    j = df.join(m, keys)
+    d = {a: c(n) - c("m" + a) for n, a in zip(names, "xyz")}
+    terms = [(F.sum(c(weight) * d[a] * d[b]) / F.first("__w")).alias("s" + a + b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    return j.groupBy(*keys, "mx", "my", "mz").agg(*terms)
+
+
+def range_bins(df: DataFrame, keys: list[str], edges: list[float], thresholds: list[float], r: str = "range_m", error: str = "error_m") -> DataFrame:
+    """Counts per range bin and the share of scored rows within each threshold."""
+    lo = F.lit(None).cast("double")
+    for a, b in zip(edges[:-1], edges[1:]):
+        lo = F.when((c(r) >= a) & (c(r) < b), F.lit(float(a))).otherwise(lo)
+    d = df.withColumn("lo", lo).where(c("lo").isNotNull())
+    shares = [F.avg(F.when(c("evaluable"), (c(error) <= t).cast("double"))).alias(f"within_{int(round(t * 100))}cm") for t in thresholds]
+    return d.groupBy(*keys, "lo").agg(F.count(F.lit(1)).alias("n"), F.count_if("evaluable").alias("scored"), *shares)
+
+
+def overlapping_bins(df: DataFrame, bins: list[tuple[float, float]], r: str = "range_m") -> DataFrame:
+    """One row per bin that holds the range; bins may overlap and their list is fixed."""
+    arr = F.array(*[F.struct(F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for a, b in bins])
+    d = df.withColumn("__b", F.explode(F.filter(arr, lambda b: (c(r) >= b["lo"]) & (c(r) < b["hi"]))))
+    return d.select(*df.columns, c("__b.lo").alias("lo"), c("__b.hi").alias("hi"))
+
+
+def rank_auc(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
+    """AUC from average ranks; equal scores are counted, so the ranked table has one row per score."""
+    flagged = df.select(*keys, c(score).alias("__v"), positive.alias("__y"))
+    per = flagged.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"), F.count_if("__y").alias("__pos"))
+    from .ordered import blocked_scan
+
+    ks = keys or ["__one"]
+    per = per if keys else per.withColumn("__one", F.lit(1))
+    per = blocked_scan(per, ks, "__v", {"__upto": ("sum", c("__n"))}, block=1000)
+    g = per.groupBy(*ks).agg(
+        F.sum(c("__pos") * (c("__upto") - (c("__n") - 1) / 2)).alias("r"), F.sum("__pos").alias("positives"), (F.sum("__n") - F.sum("__pos")).alias("negatives"))
+    p, n = c("positives"), c("negatives")
+    return g.select(*keys, "positives", "negatives", F.when((p > 0) & (n > 0), (c("r") - p * (p + 1) / 2) / (p * n)).alias("auc"))
+
+
+def fingerprint(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Order-free fingerprint: row count, exclusive-or and sum of row hashes."""
+    h = F.xxhash64(*[c(n) for n in df.columns])
+    parts = [F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("total")]
+    return df.groupBy(*keys).agg(*parts)
+
+
+def local_quadratic(df: DataFrame, keys: list[str], s: str, values: list[str], order: str = "k", depth: int = 6) -> DataFrame:
+    """Quadratic through the last ``depth`` anchors at each anchor, per value: end slope ``<v>_1`` and
+    second derivative ``<v>_2``, in closed form from nine sums about the newest anchor."""
+    from .windows import trailing
+
+    rows = df.select(*keys, order, s, *values)
+    here = df.select(*keys, order, c(s).alias("__s0"))
+    near = rows.select(*keys, c(order).alias("__o"), c(s).alias("__s"), *values)
+    a = here.withColumn("__o", F.explode(F.sequence(c(order) - (depth - 1), c(order))))
+    j = a.join(near, [*keys, "__o"]).withColumn("__x", c("__s") - c("__s0"))
+    x = c("__x")
+    sums = [F.count(F.lit(1)).alias("m"), *[F.sum(x ** p).alias(f"x{p}") for p in (1, 2, 3, 4)]]
+    for v in values:
+        sums += [F.sum(c(v) * x ** p if p else c(v)).alias(f"{v}__{p}") for p in (0, 1, 2)]
+    g = j.groupBy(*keys, order).agg(*sums).where(c("m") >= 3)
+    s0, s1, s2, s3, s4 = c("m"), c("x1"), c("x2"), c("x3"), c("x4")
+    det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+    g = g.withColumn("__det", det).where(F.abs("__det") > 1e-12)
+    out = []
+    for v in values:
+        b0, b1, b2 = (c(f"{v}__{p}") for p in (0, 1, 2))
+        c1 = s0 * (b1 * s4 - s3 * b2) - b0 * (s1 * s4 - s3 * s2) + s2 * (s1 * b2 - b1 * s2)
+        c2 = s0 * (s2 * b2 - b1 * s3) - s1 * (s1 * b2 - b1 * s2) + b0 * (s1 * s3 - s2 * s2)
+        out += [(c1 / c("__det")).alias(v + "_1"), (2 * c2 / c("__det")).alias(v + "_2")]
+    return g.select(*keys, order, "m", *out)

@@ -52,13 +52,19 @@ def radius_pairs(df: DataFrame, keys: list[str], ids: list[str], radius: float,
     return j.select(*keys, *[pick(i, "a", "b").alias("a_" + i) for i in ids], *[pick(i, "b", "a").alias("b_" + i) for i in ids], F.sqrt(d2).alias("d"))
 
 
-def bounded_nearest(left: DataFrame, right: DataFrame, keys: list[str], id_: str, max_d: float, names=("x", "y", "z")) -> DataFrame:
-    """Every left row with its nearest right row within ``max_d``, else null."""
-    a, b = _sides(left, right, keys, [id_], names, max_d, half=False)
-    near = a.join(b, [*keys, *CELL]).where(squared_distance("a", "b") <= max_d * max_d)
-    best = near.groupBy(*keys, "a_" + id_).agg(F.min(F.struct(squared_distance("a", "b").alias("d2"), c("b_" + id_).alias("i"))).alias("m"))
-    best = best.select(*keys, c("a_" + id_).alias(id_), c("m.i").alias("near_" + id_), F.sqrt("m.d2").alias("d"))
-    return left.select(*keys, id_).join(best, [*keys, id_], "left")
+def bounded_nearest(left: DataFrame, right: DataFrame, keys: list[str], id_: str, max_d: float, names=("x", "y", "z"), left_ids: list[str] | None = None) -> DataFrame:
+    """Every left row with its nearest right row within ``max_d``, else null.
+
+    ``left_ids`` identify a left row within ``keys`` (default: the same ``id_``).
+    """
+    ids = left_ids or [id_]
+    a, _ = _sides(left, left, keys, ids, names, max_d, half=False)
+    _, b = _sides(right, right, keys, [id_], names, max_d, half=False)
+    near = a.select(*keys, *["a_" + i for i in ids], "ax", "ay", "az", *CELL).join(b.withColumnRenamed("b_" + id_, "__near"), [*keys, *CELL])
+    near = near.where(squared_distance("a", "b") <= max_d * max_d)
+    best = near.groupBy(*keys, *["a_" + i for i in ids]).agg(F.min(F.struct(squared_distance("a", "b").alias("d2"), c("__near").alias("i"))).alias("m"))
+    best = best.select(*keys, *[c("a_" + i).alias(i) for i in ids], c("m.i").alias("near_" + id_), F.sqrt("m.d2").alias("d"))
+    return left.select(*keys, *ids).join(best, [*keys, *ids], "left")
 
 
 def knn(df: DataFrame, keys: list[str], id_: str, k: int, cell: float, names=("x", "y", "z"), max_radius: float | None = None) -> DataFrame:
@@ -122,15 +128,15 @@ def interp_at(curve: DataFrame, stations: DataFrame, keys: list[str], s: str, va
 
     Segments are spread over buckets of ``s``; a station looks into one bucket.
     """
-    ends = curve.groupBy(*keys).agg(F.min(s).alias("__lo"), F.max(s).alias("__hi"))
+    ends = curve.groupBy(*keys).agg(F.min(s).alias("__clo"), F.max(s).alias("__chi"))
     seg = polyline(curve, keys, [s, *values], order)
     seg = seg.select(*keys, c(s).alias("__s0"), c(s + "_1").alias("__s1"), *[c(v).alias("__0" + v) for v in values], *[c(v + "_1").alias("__1" + v) for v in values])
-    seg = seg.withColumn("__b", F.explode(F.sequence(F.floor(c("__s0") / bucket), F.floor(c("__s1") / bucket))))
+    seg = seg.withColumn("__cb", F.explode(F.sequence(F.floor(c("__s0") / bucket), F.floor(c("__s1") / bucket))))
     seg = seg.join(ends, keys)
-    q = stations.join(ends, keys).withColumn("__q", F.greatest(c("__lo"), F.least(c("__hi"), c(at))))
-    q = q.drop("__lo", "__hi").withColumn("__b", F.floor(c("__q") / bucket))
-    j = q.join(seg, [*keys, "__b"])
-    inside = (c("__q") >= c("__s0")) & ((c("__q") < c("__s1")) | ((c("__q") == c("__s1")) & (c("__s1") == c("__hi"))))
+    q = stations.join(ends, keys).withColumn("__q", F.greatest(c("__clo"), F.least(c("__chi"), c(at))))
+    q = q.drop("__clo", "__chi").withColumn("__cb", F.floor(c("__q") / bucket))
+    j = q.join(seg, [*keys, "__cb"])
+    inside = (c("__q") >= c("__s0")) & ((c("__q") < c("__s1")) | ((c("__q") == c("__s1")) & (c("__s1") == c("__chi"))))
     t = (c("__q") - c("__s0")) / (c("__s1") - c("__s0"))
     return j.where(inside).select(*stations.columns, *[(c("__0" + v) + t * (c("__1" + v) - c("__0" + v))).alias(v) for v in values])
 
@@ -191,7 +197,7 @@ def first_displaced(frames: DataFrame, keys: list[str], distance: float, step: i
     return base.select(*keys, "frame").join(found, [*keys, "frame"], "left").withColumn("reason", reason)
 
 
-def template_distance(points: DataFrame, template: DataFrame, keys: list[str], cap: float = 0.05) -> DataFrame:
+def template_distance(points: DataFrame, template: DataFrame, keys: list[str], cap: float = 0.05, digits: int | None = None) -> DataFrame:
     """Distance of (v, w) rows to the nearest template cell, capped at ``cap``. Rows keep all ``keys``.
 
     Both sides meet in cells of ``cap``; a template cell covers its 3 x 3 neighbours.
@@ -199,10 +205,12 @@ def template_distance(points: DataFrame, template: DataFrame, keys: list[str], c
     cell = [F.floor(c("v") / cap).alias("gi"), F.floor(c("w") / cap).alias("gj")]
     span = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     tpl = template.select("cell", c("v").alias("tv"), c("w").alias("tw"), *cell)
-    tpl = tpl.select("cell", "tv", "tw", (c("gi") + F.explode(span)).alias("gi"), "gj").select("cell", "tv", "tw", "gi", (c("gj") + F.explode(span)).alias("gj"))
+    tpl = tpl.withColumn("di", F.explode(span)).withColumn("dj", F.explode(span))
+    tpl = tpl.select("cell", "tv", "tw", (c("gi") + c("di")).alias("gi"), (c("gj") + c("dj")).alias("gj"))
     rows = points.select(*keys, "v", "w", *cell)
     d = F.sqrt((c("v") - c("tv")) * (c("v") - c("tv")) + (c("w") - c("tw")) * (c("w") - c("tw")))
-    near = rows.join(tpl, ["gi", "gj"], "left").withColumn("__d", d)
+    # ``digits`` rounds distances, so that equal ones tie and the lower cell wins.
+    near = rows.join(tpl, ["gi", "gj"], "left").withColumn("__d", F.round(d, digits) if digits else d)
     best = F.min(F.when(c("__d") <= cap, F.struct(c("__d").alias("d"), "cell"))).alias("m")
     out = near.groupBy(*keys, "v", "w").agg(best)
     return out.select(*keys, "v", "w", F.coalesce(c("m.d"), F.lit(cap)).alias("d"), c("m.cell").alias("cell"))

@@ -29,14 +29,14 @@ def blocked_scan(
     """
     position = [F.col(order), *[F.col(t) for t in ties]]
     rank = F.struct(*position)
-    base = df.withColumn("__b", F.floor(F.col(order) / block))
+    base = df.withColumn("__scan_b", F.floor(F.col(order) / block))
     for name, (_, expr) in specs.items():
         base = base.withColumn(f"__v_{name}", expr)
-    w = Window.partitionBy(*keys, "__b").orderBy(*position)
+    w = Window.partitionBy(*keys, "__scan_b").orderBy(*position)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     inner, summary, carry, final = {}, [], {}, {}
-    wb = Window.partitionBy(*keys).orderBy("__b")
+    wb = Window.partitionBy(*keys).orderBy("__scan_b")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     for name, (kind, _) in specs.items():
         v, s, c, n = F.col(f"__v_{name}"), f"__s_{name}", f"__c_{name}", F.col(f"__i_{name}")
@@ -44,12 +44,12 @@ def blocked_scan(
             inner[name] = F.lag(v).over(w)
             summary.append(F.max_by(v, rank).alias(s))
             carry[c] = F.lag(s).over(wb)
-            final[name] = F.when(F.col("__first"), F.col(c)).otherwise(n)
+            final[name] = F.when(F.col("__scan_first"), F.col(c)).otherwise(n)
         elif kind == "lead":
             inner[name] = F.lead(v).over(w)
             summary.append(F.min_by(v, rank).alias(s))
             carry[c] = F.lead(s).over(wb)
-            final[name] = F.when(F.col("__last"), F.col(c)).otherwise(n)
+            final[name] = F.when(F.col("__scan_last"), F.col(c)).otherwise(n)
         elif kind == "sum":
             inner[name] = F.sum(v).over(upto)
             summary.append(F.sum(v).alias(s))
@@ -70,17 +70,17 @@ def blocked_scan(
             raise ValueError(f"unknown scan kind {kind}")
 
     edges = {
-        "__first": F.lag(F.lit(True), 1, False).over(w) == F.lit(False),
-        "__last": F.lead(F.lit(True), 1, False).over(w) == F.lit(False),
+        "__scan_first": F.lag(F.lit(True), 1, False).over(w) == F.lit(False),
+        "__scan_last": F.lead(F.lit(True), 1, False).over(w) == F.lit(False),
     }
     scanned = base.select("*", *[e.alias(n) for n, e in edges.items()],
                           *[e.alias(f"__i_{n}") for n, e in inner.items()])
-    blocks = base.groupBy(*keys, "__b").agg(*summary)
+    blocks = base.groupBy(*keys, "__scan_b").agg(*summary)
     carried = blocks.select(
-        *[c.alias(f"__k_{k}") for k, c in ((k, F.col(k)) for k in keys)], F.col("__b").alias("__k_block"),
+        *[c.alias(f"__k_{k}") for k, c in ((k, F.col(k)) for k in keys)], F.col("__scan_b").alias("__k_block"),
         *[e.alias(n) for n, e in carry.items()],
     )
-    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__b") == F.col("__k_block")]
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__scan_b") == F.col("__k_block")]
     joined = scanned.join(carried, on, "left")
     return joined.select(*df.columns, *[e.alias(n) for n, e in final.items()])
 

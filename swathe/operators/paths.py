@@ -81,3 +81,224 @@ def assign_stations(points: DataFrame, curve: DataFrame, keys: list[str], source
     near = nearest_segment(points, curve, keys, ids, max_d, max_gap=1e9, max_len=5.0, max_excess=1e9, extra=[init])
     # One segment per row survives; a row whose nearest is out of the window keeps that nearest.
     return blocked_scan(near, [*keys, source], init, {"__m": ("max", c("station"))}, block=64, ties=[id_]).drop("station").withColumnRenamed("__m", "station")
+
+
+def extend_linear(curve: DataFrame, keys: list[str], length: float = 5.0, tail: float = 3.0, spacing: float = 0.1, order: str = "k") -> DataFrame:
+    """Append vertices along the least-squares direction of the last ``tail`` metres.
+
+    The original vertices stay as they are; new ones are marked ``added``.
+    """
+    import math
+
+    n = math.ceil(length / spacing)
+    a = arc_length(curve, keys)
+    a = blocked_scan(a, keys, order, {"__next": ("lead", c("arc_m"))})
+    end = a.groupBy(*keys).agg(F.max("arc_m").alias("__end"))
+    t = a.join(end, keys).where((c("arc_m") >= c("__end") - tail) | (c("__next") >= c("__end") - tail))
+    u = c("arc_m") - c("__end")
+    cov = lambda v: F.covar_pop(v, u)
+    fit = t.groupBy(*keys).agg(
+        F.max(order).alias("__k"), F.count(F.lit(1)).alias("__m"),
+        *[F.max_by(x, order).alias("__" + x) for x in "xyz"], *[cov(c(x)).alias("d" + x) for x in "xyz"],
+    ).where(c("__m") >= 3)
+    fit = fit.withColumn("__n", norm(vec("d"))).where(c("__n") > 1e-12)
+    step = length / n
+    new = fit.withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    new = new.select(*keys, (c("__k") + c("__i")).alias(order), *[(c("__" + x) + c("__i") * step * c("d" + x) / c("__n")).alias(x) for x in "xyz"], F.lit(True).alias("added"))
+    return curve.select(*keys, order, "x", "y", "z", F.lit(False).alias("added")).unionByName(new)
+
+
+def supported_prefix(points: DataFrame, path: DataFrame, keys: list[str], observed_k: int, section_m: float = 2.0, lateral: float = 0.055,
+                     vertical: float = 0.03, min_points: int = 3, min_span: float = 0.5, min_cells: int = 3, cell: float = 0.03) -> DataFrame:
+    """Evidence for each section past the observed end, and the prefix that may be accepted.
+
+    Both heads need returns close to the interpolated rail, spread over cells
+    and along the track. ``accepted`` ends at the first section that fails.
+    """
+    from .joins import interp_at
+
+    ext = path.where(c("k") >= observed_k).withColumn("u", -(c("ly") + c("ry")) / 2)
+    ends = ext.groupBy(*keys).agg(F.min("u").alias("__u0"), F.max("u").alias("__ue"))
+    last = F.ceil((c("__ue") - c("__u0")) / section_m - 1e-9)
+    sections = ends.where(c("__ue") > c("__u0")).withColumn("__n", last)
+    p = points.join(sections, keys).withColumn("pu", -c("y")).where((c("pu") >= c("__u0")) & (c("pu") <= c("__ue")))
+    # A return exactly on a border belongs to both sections.
+    rel = (c("pu") - c("__u0")) / section_m
+    lo, hi = F.greatest(F.ceil(rel - 1).cast("long"), F.lit(0)), F.least(F.floor(rel), c("__n") - 1)
+    p = p.select(*keys, "pu", "x", "y", "z", lo.alias("__lo"), hi.alias("__hi"))
+    p = interp_at(ext, p, keys, "u", ["lx", "lz", "rx", "rz"], "pu")
+    side = F.array(F.struct(F.lit("L").alias("s"), c("lx").alias("hx"), c("lz").alias("hz")), F.struct(F.lit("R").alias("s"), c("rx").alias("hx"), c("rz").alias("hz")))
+    p = p.withColumn("h", F.explode(side)).where((F.abs(c("x") - c("h.hx")) <= lateral) & (F.abs(c("z") - c("h.hz")) <= vertical))
+    p = p.withColumn("section", F.explode(F.sequence("__lo", "__hi")))
+    cells = F.struct(*[F.floor(c(a) / cell) for a in "xyz"])
+    head = p.groupBy(*keys, "section", "h.s").agg(
+        F.count(F.lit(1)).alias("n"), (F.max("y") - F.min("y")).alias("span"), F.countDistinct(cells).alias("cells"))
+    good = head.where((c("n") >= min_points) & (c("span") >= min_span) & (c("cells") >= min_cells)).groupBy(*keys, "section").agg(F.count(F.lit(1)).alias("sides"))
+    all_ = sections.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), c("__n") - 1)).alias("section"))
+    out = all_.join(good, [*keys, "section"], "left").withColumn("ok", F.coalesce(c("sides") == 2, F.lit(False))).drop("sides")
+    out = blocked_scan(out, keys, "section", {"__bad": ("sum", F.when(c("ok"), 0).otherwise(1).cast("long"))})
+    return out.withColumn("accepted", c("__bad") == 0).drop("__bad")
+
+
+def longest_run(cells: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """Longest stretch of adjacent occupied cells per key."""
+    g = blocked_scan(cells, keys, cell, {"__r": ("sum", F.lit(1).cast("long"))})
+    runs = g.groupBy(*keys, (c(cell) - c("__r")).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    return runs.groupBy(*keys).agg(F.max("__n").alias("longest"))
+
+
+def unwrap(df: DataFrame, keys: list[str], angle: str, order: str = "k") -> DataFrame:
+    """Remove jumps of whole turns along the order."""
+    tau = 2 * F.pi()
+    d = blocked_scan(df, keys, order, {"__p": ("lag", c(angle))})
+    d = d.withColumn("__t", F.coalesce(F.round((c(angle) - c("__p")) / tau), F.lit(0.0)))
+    d = blocked_scan(d, keys, order, {"__s": ("sum", c("__t"))})
+    return d.withColumn("unwrapped", c(angle) - tau * c("__s")).drop("__p", "__t", "__s")
+
+
+def gap_age(df: DataFrame, keys: list[str], s: str, order: str = "k") -> DataFrame:
+    """Distance since the last supported station as ``gap_m``; 0 where supported.
+
+    Equals the station minus the newest supported station, or minus the first station before any support.
+    """
+    first = df.groupBy(*keys).agg(F.min(s).alias("__first"))
+    d = blocked_scan(df, keys, order, {"__sup": ("last", F.when(c("supported"), c(s)))}).join(first, keys)
+    return d.withColumn("gap_m", c(s) - F.coalesce("__sup", "__first")).drop("__sup", "__first")
+
+
+def continuous_reach(df: DataFrame, keys: list[str], step: str, tolerance: float, min_points: int = 3, min_evaluated: float = 0.8, min_share: float = 0.95) -> DataFrame:
+    """Farthest range before the first step that has too few rows, too few scored or too few good ones."""
+    good = F.avg(F.when(c("evaluable"), (c("error_m") <= tolerance).cast("double")))
+    st = df.groupBy(*keys, step).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(c("evaluable").cast("double")).alias("ev"), good.alias("ok"), F.max("range_m").alias("far"))
+    fine = (c("n") >= min_points) & (c("ev") >= min_evaluated) & (F.coalesce("ok", F.lit(0.0)) >= min_share)
+    bad = st.where(~fine).groupBy(*keys).agg(F.min(step).alias("__stop"))
+    j = st.join(bad, keys, "left")
+    return j.groupBy(*keys).agg(F.coalesce(F.max(F.when(c("__stop").isNull() | (c(step) < c("__stop")), c("far"))), F.lit(0.0)).alias("reach_m"))
+
+
+def gap_cluster(df: DataFrame, keys: list[str], value: str, id_: str, window: float) -> DataFrame:
+    """Greedy windows along one axis: a group runs from its first value to ``window`` beyond it.
+
+    The fold over a sorted curve is sequential by nature; it runs inside the engine on each
+    curve's ordered values. A curve's stations are bounded by its length.
+    """
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(c(value).alias("x"), c(id_).alias("i")))).alias("v"))
+    fold = f"""aggregate(v, named_struct('start', CAST(NULL AS DOUBLE), 'grp', 0, 'out', CAST(array() AS array<struct<g:int,x:double>>)),
+      (a, e) -> named_struct(
+        'start', CASE WHEN a.start IS NULL OR e.x - a.start > {window} THEN e.x ELSE a.start END,
+        'grp', CASE WHEN a.start IS NULL OR e.x - a.start > {window} THEN a.grp + 1 ELSE a.grp END,
+        'out', concat(a.out, array(named_struct('g', CASE WHEN a.start IS NULL OR e.x - a.start > {window} THEN a.grp + 1 ELSE a.grp END, 'x', e.x)))),
+      a -> a.out)"""
+    out = rows.select(*keys, F.explode(F.expr(fold)).alias("r"))
+    return out.groupBy(*keys, c("r.g").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.avg("r.x").alias("mean_x"))
+
+
+def step_check(path: DataFrame, keys: list[str], names=("x", "y", "z"), order: str = "k") -> DataFrame:
+    """Longest step, whether all steps are in (1e-6, 5], and whether the path always advances."""
+    from .joins import polyline
+
+    seg = polyline(path, keys, list(names), order)
+    d = norm(tuple(c(n + "_1") - c(n) for n in names))
+    seg = seg.withColumn("__d", d)
+    return seg.groupBy(*keys).agg(
+        F.max("__d").alias("longest_m"), F.bool_and((c("__d") > 1e-6) & (c("__d") <= 5)).alias("continuous"),
+        F.bool_and(c(names[1] + "_1") - c(names[1]) < -1e-6).alias("forward"))
+
+
+def remaining_horizon(positions: DataFrame, curve: DataFrame, keys: list[str], ids: list[str], max_d: float) -> DataFrame:
+    """Path length left ahead of each position projected onto its path."""
+    from .joins import nearest_segment
+
+    near = nearest_segment(positions, curve, keys, ids, max_d, max_gap=1e9, max_len=5.0, max_excess=1e9)
+    end = curve.groupBy(*keys).agg(F.max("s").alias("__end"))
+    return near.join(end, keys).select(*keys, *ids, (c("__end") - c("station")).alias("horizon_m"))
+
+
+def curvature(path: DataFrame, keys: list[str], names=("x", "y", "z"), order: str = "k") -> DataFrame:
+    """Turn per metre between the steps before and after each inner vertex."""
+    from .joins import polyline
+
+    seg = polyline(path, keys, list(names), order)
+    step = seg.select(*keys, order, *[(c(n + "_1") - c(n)).alias("b" + a) for n, a in zip(names, "xyz")])
+    prev = step.select(*keys, (c(order) + 1).alias(order), *[c("b" + a).alias("a" + a) for a in "xyz"])
+    j = step.join(prev, [*keys, order]).withColumns({"__a": norm(vec("a")), "__b": norm(vec("b"))})
+    cosine = dot(vec("a"), vec("b")) / c("__a") / c("__b")
+    turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    return j.withColumn("curvature", 2 * turn / (c("__a") + c("__b")))
+
+
+def max_spacing(df: DataFrame, keys: list[str], value: str, bin_m: float, bins: int) -> DataFrame:
+    """Largest gap between sorted distinct values and the number of empty bins.
+
+    Gaps inside a bin need only that bin; gaps across bins need each bin's ends.
+    """
+    d = df.select(*keys, value).distinct().withColumn("__b", F.floor(c(value) / bin_m))
+    inner = blocked_scan(d, [*keys, "__b"], value, {"__p": ("lag", c(value))})
+    inside = inner.groupBy(*keys, "__b").agg(F.max(c(value) - c("__p")).alias("gap"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    cross_ = blocked_scan(inside, keys, "__b", {"__ph": ("lag", c("hi"))})
+    used = F.count_if((c("__b") >= 0) & (c("__b") < bins))
+    return cross_.groupBy(*keys).agg(F.max(F.greatest("gap", c("lo") - c("__ph"))).alias("max_gap_m"), (F.lit(bins) - used).alias("empty_bins"))
+
+
+def bishop_frames(path: DataFrame, keys: list[str], names, initial: tuple[float, float, float], order: str = "k") -> DataFrame:
+    """Tangent and first cross axis carried along each path with no twist.
+
+    Each step rotates the axis by the turn of the tangent, so the result at a
+    vertex depends on all before it: an ordered fold inside the engine. The
+    vertices of one path are bounded by its horizon.
+    """
+    from .joins import polyline
+
+    seg = polyline(path, keys, list(names), order)
+    step = seg.select(*keys, order, *[(c(n + "_1") - c(n)).alias("d" + a) for n, a in zip(names, "xyz")])
+    t = step.select(*keys, order, *named(unit(vec("d")), "t"))
+    rows = t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "tx", "ty", "tz"))).alias("v"))
+    x, y, z = initial
+    # Reflect-free transport: e' = e - (e.t')/(1 + t.t') (t + t'), exact for unit tangents and e normal to t.
+    fold = f"""aggregate(v, named_struct('tx', element_at(v,1).tx, 'ty', element_at(v,1).ty, 'tz', element_at(v,1).tz,
+      'ex', CAST({x} AS DOUBLE), 'ey', CAST({y} AS DOUBLE), 'ez', CAST({z} AS DOUBLE), 'out', CAST(array() AS array<struct<k:int,ex:double,ey:double,ez:double>>)),
+      (a, s) -> named_struct('tx', s.tx, 'ty', s.ty, 'tz', s.tz,
+        'ex', a.ex - (a.ex*s.tx+a.ey*s.ty+a.ez*s.tz)/(1+a.tx*s.tx+a.ty*s.ty+a.tz*s.tz)*(a.tx+s.tx),
+        'ey', a.ey - (a.ex*s.tx+a.ey*s.ty+a.ez*s.tz)/(1+a.tx*s.tx+a.ty*s.ty+a.tz*s.tz)*(a.ty+s.ty),
+        'ez', a.ez - (a.ex*s.tx+a.ey*s.ty+a.ez*s.tz)/(1+a.tx*s.tx+a.ty*s.ty+a.tz*s.tz)*(a.tz+s.tz),
+        'out', concat(a.out, array(named_struct('k', s.{order},
+          'ex', a.ex - (a.ex*s.tx+a.ey*s.ty+a.ez*s.tz)/(1+a.tx*s.tx+a.ty*s.ty+a.tz*s.tz)*(a.tx+s.tx),
+          'ey', a.ey - (a.ex*s.tx+a.ey*s.ty+a.ez*s.tz)/(1+a.tx*s.tx+a.ty*s.ty+a.tz*s.tz)*(a.ty+s.ty),
+          'ez', a.ez - (a.ex*s.tx+a.ey*s.ty+a.ez*s.tz)/(1+a.tx*s.tx+a.ty*s.ty+a.tz*s.tz)*(a.tz+s.tz))))),
+      a -> a.out)"""
+    e = rows.select(*keys, F.explode(F.expr(fold)).alias("r")).select(*keys, c("r.k").alias(order), c("r.ex").alias("px"), c("r.ey").alias("py"), c("r.ez").alias("pz"))
+    j = t.join(e, [*keys, order])
+    # The seed axis need not be normal to the first tangent: project and normalise at the end.
+    j = j.select("*", *named(unit(sub(vec("p"), scale(vec("t"), dot(vec("p"), vec("t"))))), "e1"))
+    return j.select("*", *named(cross(vec("t"), vec("e1")), "e2")).drop("px", "py", "pz")
+
+
+def curve_physics(path: DataFrame, keys: list[str], names=("x", "y", "z"), order: str = "k") -> DataFrame:
+    """Smallest radius, steepest grade, reversals and plan-view self-crossing of each path.
+
+    Crossings come from segments that share a plan-view cell, never from all pairs.
+    """
+    from .joins import polyline
+
+    seg = polyline(path, keys, list(names), order)
+    d = {a: c(n + "_1") - c(n) for n, a in zip(names, "xyz")}
+    flat = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"])
+    step = seg.select(*keys, order, *[e.alias("b" + a) for a, e in d.items()], flat.alias("flat"))
+    prev = step.select(*keys, (c(order) + 1).alias(order), *[c("b" + a).alias("a" + a) for a in "xy"])
+    inner = step.join(prev, [*keys, order]).join(curvature(path, keys, names, order).select(*keys, order, "curvature"), [*keys, order])
+    out = inner.groupBy(*keys).agg(
+        (1 / F.greatest(F.max("curvature"), F.lit(1e-9))).alias("min_radius_m"), F.max(F.abs(c("bz") / c("flat"))).alias("max_grade"),
+        F.count_if(c("ax") * c("bx") + c("ay") * c("by") < 0).alias("reversals"))
+    size = 2.0
+    x, y = names[0], names[1]
+    lo = lambda n: F.floor(F.least(c(n), c(n + "_1")) / size)
+    hi = lambda n: F.floor(F.greatest(c(n), c(n + "_1")) / size)
+    g = seg.withColumn("gi", F.explode(F.sequence(lo(x), hi(x)))).withColumn("gj", F.explode(F.sequence(lo(y), hi(y))))
+    a = g.select(*keys, "gi", "gj", c(order).alias("i"), c(x).alias("x0"), c(y).alias("y0"), c(x + "_1").alias("x1"), c(y + "_1").alias("y1"))
+    b = g.select(*keys, "gi", "gj", c(order).alias("j"), c(x).alias("x2"), c(y).alias("y2"), c(x + "_1").alias("x3"), c(y + "_1").alias("y3"))
+    side = lambda px, py, qx, qy, rx, ry: (c(qx) - c(px)) * (c(ry) - c(py)) - (c(qy) - c(py)) * (c(rx) - c(px))
+    cut_ = (side("x0", "y0", "x1", "y1", "x2", "y2") * side("x0", "y0", "x1", "y1", "x3", "y3") < 0) & (
+        side("x2", "y2", "x3", "y3", "x0", "y0") * side("x2", "y2", "x3", "y3", "x1", "y1") < 0)
+    crossed = a.join(b, [*keys, "gi", "gj"]).where((c("j") >= c("i") + 2) & cut_).select(*keys).distinct().withColumn("self_crossing", F.lit(True))
+    return out.join(crossed, keys, "left").withColumn("self_crossing", F.coalesce("self_crossing", F.lit(False)))

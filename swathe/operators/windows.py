@@ -63,3 +63,58 @@ def causal_history(frames: DataFrame, keys: list[str], n: int = 12) -> DataFrame
     f = frames.select(*keys, "chain", "frame")
     want = f.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("source", c("frame") - c("age"))
     return want.join(f.withColumnRenamed("frame", "source"), [*keys, "chain", "source"]).select(*keys, "chain", "frame", "source", "age")
+
+
+def trailing(df: DataFrame, keys: list[str], order: str, depth: int, skip: int, aggs: dict[str, Column]) -> DataFrame:
+    """Aggregates over the previous rows ``order - depth + 1 .. order - skip`` of a dense whole-number order.
+
+    Works by equi-join on the order number, so one long key spreads over all tasks. The rows
+    looked at carry the prefix ``b_``.
+    """
+    b = df.select(*keys, c(order).alias("__o"), *[c(n).alias("b_" + n) for n in df.columns if n not in (*keys, order)])
+    a = df.select(*keys, order, F.explode(F.sequence(c(order) - (depth - 1), c(order) - skip)).alias("__o"))
+    return a.join(b, [*keys, "__o"]).groupBy(*keys, order).agg(*[e.alias(n) for n, e in aggs.items()])
+
+
+def top_candidates(df: DataFrame, keys: list[str], score: str, id_: str, k: int, distinct: Column, fields: list[str], alone: float = 3.0) -> DataFrame:
+    """Best ``k`` rows per key with rank ``rk`` and the lead of the best over the best row that is
+    ``distinct`` from it (``__best.<field>``); ``alone`` if there is none."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(c(score).desc(), c(id_))
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(score, id_, *fields), F.struct(score, -c(id_))).alias("__best"))
+    other = df.join(best, keys).where((c(id_) != c(f"__best.{id_}")) & distinct)
+    other = other.groupBy(*keys).agg(F.max(score).alias("__other"))
+    top = df.withColumn("rk", F.row_number().over(w)).where(c("rk") <= k)
+    out = top.join(best, keys).join(other, keys, "left")
+    lead = c(f"__best.{score}") - F.coalesce(c("__other"), c(f"__best.{score}") - alone)
+    return out.withColumn("margin", lead).drop("__best", "__other")
+
+
+def first_confirm_last(obs: DataFrame, keys: list[str]) -> DataFrame:
+    """First, second-distinct and last frame per track; the first observation's place and the
+    densest observation (first on ties)."""
+    per = obs.groupBy(*keys, "source_frame").agg(
+        F.min_by("wx", "obs_id").alias("x"),
+        F.max_by("obs_id", F.struct("voxel_count", "point_count", -c("obs_id"))).alias("best"),
+        F.max(F.struct("voxel_count", "point_count")).alias("size"),
+    )
+    first = per.groupBy(*keys).agg(F.min("source_frame").alias("first_frame"))
+    second = per.join(first, keys).where(c("source_frame") > c("first_frame")).groupBy(*keys).agg(F.min("source_frame").alias("confirmed_frame"))
+    out = per.groupBy(*keys).agg(
+        F.min("source_frame").alias("first_frame"), F.max("source_frame").alias("last_frame"), F.count(F.lit(1)).alias("frames"),
+        F.min_by("x", "source_frame").alias("first_x"),
+        F.max_by("best", F.struct("size.voxel_count", "size.point_count", -c("source_frame"))).alias("size_obs"),
+    )
+    return out.join(second, keys, "left")
+
+
+def even_sample(df: DataFrame, keys: list[str], order: str, n: int, block: int = 65536) -> DataFrame:
+    """Rows at the ``n`` evenly spaced ranks ``floor(i (N-1) / (n-1))``; all rows of smaller groups."""
+    r = blocked_scan(df, keys, order, {"__r": ("sum", F.lit(1).cast("long"))}, block=block)
+    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    r = r.join(size, keys).withColumn("__r", c("__r") - 1)
+    # Rank r is taken when some i maps to it: the smallest i with i (N-1)/(n-1) >= r does.
+    i = F.ceil(c("__r") * (n - 1) / (c("__n") - 1))
+    take = F.floor(i * (c("__n") - 1) / float(n - 1)) == c("__r")
+    return r.where((c("__n") <= n) | F.coalesce(take, F.lit(False))).select(*df.columns)
