@@ -107,9 +107,9 @@ def _neighbours(t):
 
 @query("agg_15_local_pca", "points", f"""WITH {VOX}, d AS (SELECT a.frame, a.point_idx, b.x, b.y, b.z, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d, row_number() OVER (PARTITION BY a.frame, a.point_idx ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z), b.point_idx) AS nn
  FROM vox a JOIN vox b ON a.frame = b.frame AND a.point_idx <> b.point_idx)
-SELECT frame, point_idx, max(d) AS far, covar_pop(x, x)*count(*) AS sxx, covar_pop(x, y)*count(*) AS sxy, covar_pop(z, z)*count(*) AS szz FROM d WHERE nn <= 8 GROUP BY ALL""", rnd="far sxx sxy szz")
+SELECT frame, point_idx, max(d) AS far, 8*covar_pop(x, x)*count(*) AS sxx8, 8*covar_pop(x, y)*count(*) AS sxy8, 8*covar_pop(z, z)*count(*) AS szz8 FROM d WHERE nn <= 8 GROUP BY ALL""", rnd="far sxx8 sxy8 szz8")
 def _(t):
-    return agg.neighbour_covariance(_neighbours(t), ["frame", "point_idx"]).select("frame", "point_idx", "far", "sxx", "sxy", "szz")
+    return agg.neighbour_covariance(_neighbours(t), ["frame", "point_idx"]).select("frame", "point_idx", "far", *[(8 * c(n)).alias(n + "8") for n in ("sxx", "sxy", "szz")])
 
 
 @query("agg_15b_normals", "points")
@@ -278,8 +278,8 @@ def _(t):
     return agg.fingerprint(t.points.select("run", "frame", "point_idx", "x", "y", "z"), ["run"])
 
 
-@query("agg_32_template_visibility", "points template", """WITH pt AS (SELECT run, point_idx, frame, x AS v, z AS w, sqrt(x*x+y*y+z*z) AS r FROM points), m AS (SELECT p.run, p.frame, p.point_idx, any_value(r) AS r, arg_min(t.cell, (round(sqrt(power(p.v-t.v,2)+power(p.w-t.w,2)), 9), t.cell)) AS cell, min(sqrt(power(p.v-t.v,2)+power(p.w-t.w,2))) AS d
- FROM pt p JOIN template t ON abs(p.v-t.v) <= 0.05 AND abs(p.w-t.w) <= 0.05 GROUP BY ALL)
+@query("agg_32_template_visibility", "points template", """WITH pt AS (SELECT run, point_idx, frame, x AS v, z AS w, sqrt(x*x+y*y+z*z) AS r FROM points), m AS (SELECT p.run, p.frame, p.point_idx, any_value(r) AS r, arg_min(t.cell, (round(sqrt(power(p.v-t.v,2)+power(p.w-t.w,2)), 9), t.cell)) AS cell, min(round(sqrt(power(p.v-t.v,2)+power(p.w-t.w,2)), 9)) AS d
+ FROM pt p JOIN template t ON abs(p.v-t.v) <= 0.051 AND abs(p.w-t.w) <= 0.051 GROUP BY ALL)
 SELECT run, CAST(floor(r/20) AS BIGINT) AS bin, count(*) AS returns, count(DISTINCT cell) AS cells FROM m WHERE d <= 0.05 GROUP BY ALL""")
 def _(t):
     p = t.points.select("run", "frame", "point_idx", c("x").alias("v"), c("z").alias("w"), F.floor(R / 20).alias("bin"))

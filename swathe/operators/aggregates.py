@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,9 +194,6 @@ SYM = ["sxx", "sxy", "sxz", "syy", "syz", "szz"]
 
 def symmetric_eigen(df: DataFrame, names: list[str] = SYM) -> DataFrame:
     """Eigenvalues l0 <= l1 <= l2, the eigenvector n of l0 and p of l2, in Arrow batches of rows."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("l0 double, l1 double, l2 double, nx double, ny double, nz double, px double, py double, pz double")
     def eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
         m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).astype(float).reshape(-1, 3, 3)

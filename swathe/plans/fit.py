@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,6 @@ def normal_equations(df: DataFrame, keys: list[str], columns: list[Column], targ
 
 def solve(df: DataFrame, n: int, ridge: float = 0.0) -> DataFrame:
     """Solutions x_0.. and the condition number of systems held as a_i_j, b_i; one row per system, in Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     names = [f"a_{i}_{j}" for i in range(n) for j in range(i, n)] + [f"b_{i}" for i in range(n)]
     out = [f"x_{i}" for i in range(n)] + ["condition"]
 
