@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import CELL, cell_of, explode_neighbours
 from ..functions.vector import vec
 from ..session import cut
-from .joins import squared_distance
+from .joins import PAD, squared_distance
 
 c = F.col
 
@@ -87,9 +87,9 @@ def greedy_select(df: DataFrame, keys: list[str], order: list[str], radius: floa
 def nearest_earlier(df: DataFrame, anchors: DataFrame, keys: list[str], order: list[str], radius: float, anchor_id: str, names=("x", "y", "z")) -> DataFrame:
     """Each row with the nearest anchor within ``radius`` that is not later than the row; ties take the lower id."""
     a = df.withColumn("__o", F.struct(*order)).select("*", *[c(n).cast("double").alias("a" + s) for n, s in zip(names, "xyz")])
-    a = a.select("*", *cell_of(vec("a"), radius))
+    a = a.select("*", *cell_of(vec("a"), radius * PAD))
     b = anchors.select(*keys, anchor_id, F.struct(*order).alias("__p"), *[c(n).cast("double").alias("b" + s) for n, s in zip(names, "xyz")])
-    b = explode_neighbours(b.select("*", *cell_of(vec("b"), radius)), 1)
+    b = explode_neighbours(b.select("*", *cell_of(vec("b"), radius * PAD)), 1)
     j = a.join(b, [*keys, *CELL])
     d2 = squared_distance("a", "b")
     j = j.where((d2 <= radius * radius) & (c("__p") <= c("__o")))

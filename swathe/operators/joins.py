@@ -13,6 +13,8 @@ from ..session import cut
 from .ordered import blocked_scan
 
 c = F.col
+# Grid cells are a hair wider than the search radius, so rounding cannot put a pair two cells apart.
+PAD = 1 + 1e-6
 
 
 def with_pose(points: DataFrame, frames: DataFrame, keys: list[str] = ("run", "frame")) -> DataFrame:
@@ -40,8 +42,9 @@ def radius_pairs(df: DataFrame, keys: list[str], ids: list[str], radius: float,
     by the cell volume. Half of the neighbourhood suffices: in the home cell
     the ids decide, elsewhere the offset order does.
     """
-    a, b = _sides(df, df, keys, ids, names, radius, half=True)
-    home = [F.floor(c("b" + s) / radius) == c(k) for s, k in zip("xyz", CELL)]
+    size = radius * PAD
+    a, b = _sides(df, df, keys, ids, names, size, half=True)
+    home = [F.floor(c("b" + s) / size) == c(k) for s, k in zip("xyz", CELL)]
     same_cell = reduce(lambda p, q: p & q, home)
     ida, idb = F.struct(*["a_" + i for i in ids]), F.struct(*["b_" + i for i in ids])
     j = a.join(b, [*keys, *CELL])
@@ -58,8 +61,8 @@ def bounded_nearest(left: DataFrame, right: DataFrame, keys: list[str], id_: str
     ``left_ids`` identify a left row within ``keys`` (default: the same ``id_``).
     """
     ids = left_ids or [id_]
-    a, _ = _sides(left, left, keys, ids, names, max_d, half=False)
-    _, b = _sides(right, right, keys, [id_], names, max_d, half=False)
+    a, _ = _sides(left, left, keys, ids, names, max_d * PAD, half=False)
+    _, b = _sides(right, right, keys, [id_], names, max_d * PAD, half=False)
     near = a.select(*keys, *["a_" + i for i in ids], "ax", "ay", "az", *CELL).join(b.withColumnRenamed("b_" + id_, "__near"), [*keys, *CELL])
     near = near.where(squared_distance("a", "b") <= max_d * max_d)
     best = near.groupBy(*keys, *["a_" + i for i in ids]).agg(F.min(F.struct(squared_distance("a", "b").alias("d2"), c("__near").alias("i"))).alias("m"))
@@ -84,7 +87,7 @@ def knn(df: DataFrame, keys: list[str], id_: str, k: int, cell: float, names=("x
     todo, done, size = base, None, cell
     w = Window.partitionBy(*keys, "a_" + id_).orderBy("d2", "b_" + id_)
     while True:
-        a, b = _sides(todo, base, keys, [id_], names, size, half=False)
+        a, b = _sides(todo, base, keys, [id_], names, size * PAD, half=False)
         j = a.join(b, [*keys, *CELL]).where(c("a_" + id_) != c("b_" + id_))
         j = j.select(*keys, "a_" + id_, "b_" + id_, squared_distance("a", "b").alias("d2"))
         j = j.withColumn("nn", F.row_number().over(w)).where(c("nn") <= k)
@@ -202,7 +205,7 @@ def template_distance(points: DataFrame, template: DataFrame, keys: list[str], c
 
     Both sides meet in cells of ``cap``; a template cell covers its 3 x 3 neighbours.
     """
-    cell = [F.floor(c("v") / cap).alias("gi"), F.floor(c("w") / cap).alias("gj")]
+    cell = [F.floor(c("v") / (cap * PAD)).alias("gi"), F.floor(c("w") / (cap * PAD)).alias("gj")]
     span = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     tpl = template.select("cell", c("v").alias("tv"), c("w").alias("tw"), *cell)
     tpl = tpl.withColumn("di", F.explode(span)).withColumn("dj", F.explode(span))
@@ -271,7 +274,7 @@ def match_components(components: DataFrame, tracks: DataFrame, radius: float = 0
     mk = lambda d, p: d.select(*keys, c("t_s").alias(p + "_t"), c("id").alias(p + "_id"), *[c(a).alias(p + a) for a in "xyz"])
     a, b = mk(components, "a"), mk(tracks, "b")
     size = lambda d, p: d.groupBy(*keys, p + "_id").agg(F.count(F.lit(1)).alias(p + "_n"))
-    near = a.select("*", *cell_of(vec("a"), radius)).join(explode_neighbours(b.select("*", *cell_of(vec("b"), radius)), 1), [*keys, *CELL])
+    near = a.select("*", *cell_of(vec("a"), radius * PAD)).join(explode_neighbours(b.select("*", *cell_of(vec("b"), radius * PAD)), 1), [*keys, *CELL])
     near = near.where((c("a_t") - c("b_t") >= 0) & (c("a_t") - c("b_t") <= max_gap_s) & (squared_distance("a", "b") <= radius * radius))
 
     def side(p, q, own, other):
