@@ -87,7 +87,7 @@ def _(t):
 SELECT source, count(*) FILTER (ts > 0) AS accepted, count(*) FILTER (ts = 0) AS rejected FROM m GROUP BY source""")
 def _(t):
     m = t.messages.withColumn("ts_ns", F.when(c("message_id") % 50 == 0, 0).otherwise(c("ts_ns")))
-    out = sf.drain(sf.stream_sessions(sf.as_stream(m.select("source", "message_id", "ts_ns"), 2, ["message_id"])))
+    out = sf.drain(sf.stream_sessions(sf.as_stream(m.select("source", "message_id", "ts_ns"), "message_id")))
     return out.groupBy("source").agg(F.count_if(c("rejected").isNull()).alias("accepted"), F.count_if(c("rejected") == "MISSING_STAMP").alias("rejected"))
 
 
@@ -142,19 +142,19 @@ def _(t):
 SELECT source, message_id, sum(CASE WHEN p IS NOT NULL AND NOT (ts_ns-p > 0 AND ts_ns-p < 43200000000000) THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY message_id) AS generation FROM l""", ints="generation")
 def _(t):
     m = t.messages.select("source", "message_id", "ts_ns")
-    out = sf.drain(sf.stream_sessions(sf.as_stream(m, 2, ["message_id"]), 43_200_000_000_000))
+    out = sf.drain(sf.stream_sessions(sf.as_stream(m, "message_id"), 43_200_000_000_000))
     return out.select("source", "message_id", "generation")
 
 
 @query("str_03_stream_slots", "messages", "SELECT DISTINCT source, CAST(((ts_ns - 1704067200000000000)*3) // 1000000000 AS BIGINT) AS slot FROM messages")
 def _(t):
     m = t.messages.select("source", "ts_ns")
-    return sf.drain(sf.stream_slots(sf.as_stream(m, 2, ["ts_ns"]), 3, 1_704_067_200_000_000_000))
+    return sf.drain(sf.stream_slots(sf.as_stream(m, "ts_ns"), 3, 1_704_067_200_000_000_000))
 
 
 @query("str_04_stream_history", "frames", "SELECT run, frame, count(*) OVER w AS held, min(frame) OVER w AS oldest FROM frames WINDOW w AS (PARTITION BY run ORDER BY frame RANGE BETWEEN 11 PRECEDING AND CURRENT ROW)", ints="held oldest")
 def _(t):
-    return sf.drain(sf.stream_history(sf.as_stream(t.frames.select("run", "frame"), 2, ["frame"])))
+    return sf.drain(sf.stream_history(sf.as_stream(t.frames.select("run", "frame"), "frame")))
 
 
 def _voxels(t):
@@ -172,7 +172,7 @@ def _(t):
 @query("str_05b_stream_track", "points")
 def _(t):
     v = _voxels(t).select("run", "generation", "frame", "t_s", "component", "x", "y", "z")
-    return sf.drain(sf.stream_track(sf.as_stream(v, 1, ["frame"]), {"radius": 1.5, "voxel": 1.0}))
+    return sf.drain(sf.stream_track(sf.as_stream(v, "frame"), {"radius": 1.5, "voxel": 1.0}))
 
 
 @query("str_06_path_memory", "frames", """WITH m AS (SELECT run, generation, frame AS mf, header_time_ns AS mt FROM frames WHERE frame % 11 = 0), k AS (SELECT run, generation, frame AS kf, header_time_ns AS kt FROM frames WHERE frame % 6 = 0),

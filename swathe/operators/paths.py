@@ -302,3 +302,97 @@ def curve_physics(path: DataFrame, keys: list[str], names=("x", "y", "z"), order
         side("x2", "y2", "x3", "y3", "x0", "y0") * side("x2", "y2", "x3", "y3", "x1", "y1") < 0)
     crossed = a.join(b, [*keys, "gi", "gj"]).where((c("j") >= c("i") + 2) & cut_).select(*keys).distinct().withColumn("self_crossing", F.lit(True))
     return out.join(crossed, keys, "left").withColumn("self_crossing", F.coalesce("self_crossing", F.lit(False)))
+
+
+def _near_end(prior: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
+    """Per path: the near end and its slope, and the prior's position and direction around it."""
+    from .joins import interp_at
+
+    sides = [p + a for p in "lr" for a in "xyz"]
+    u = -(c("ly") + c("ry")) / 2
+    end = near.groupBy(*keys).agg(F.max("k").alias("kn"), F.max_by(u, "k").alias("end"), *[F.max_by(n, "k").alias("e_" + n) for n in sides])
+    back = near.join(end.select(*keys, (c("kn") - 2).alias("k")), [*keys, "k"]).select(*keys, u.alias("back"), *[c(n).alias("b_" + n) for n in sides])
+    end = end.join(back, keys)
+    pr = prior.select(*keys, "k", *sides, u.alias("u"))
+    span = pr.groupBy(*keys).agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.count(F.lit(1)).alias("kp"))
+    end = end.join(span, keys)
+    reach = F.least(F.lit(1.0), (c("u1") - c("end")) / 2)
+    q = end.withColumn("reach", reach)
+    asks = F.array(F.struct(F.lit("a").alias("t"), c("end").alias("at")), F.struct(F.lit("p").alias("t"), (c("end") + c("reach")).alias("at")),
+                   F.struct(F.lit("f").alias("t"), (c("end") + 1).alias("at")), F.struct(F.lit("g").alias("t"), (c("end") - 1).alias("at")))
+    ask = q.select(*keys, F.explode(asks).alias("x")).select(*keys, "x.t", c("x.at").alias("at"))
+    got = interp_at(pr, ask, keys, "u", sides, "at")
+    wide = got.groupBy(*keys).agg(*[F.max(F.when(c("t") == t, c(n))).alias(f"{t}_{n}") for t in "apfg" for n in sides])
+    return q.join(wide, keys)
+
+
+def attach_near(prior: DataFrame, near: DataFrame, keys: list[str], transition: float = 4.0) -> DataFrame:
+    """Near rails as prefix and the prior's tail bent onto them: value and slope meet at the near end
+    and the far shape is unchanged past ``transition`` metres. Paths that end too early keep no tail.
+
+    Rails of both inputs are ordered left, right.
+    """
+    sides = [p + a for p in "lr" for a in "xyz"]
+    e = _near_end(prior, near, keys).where((c("kp") >= 3) & (c("u1") > c("end") + 0.1))
+    u = -(c("ly") + c("ry")) / 2
+    t = prior.select(*keys, "k", *sides, u.alias("u")).join(e, keys).where(c("u") > c("end") + 1e-6)
+    length = F.least(F.lit(transition), c("u1") - c("end"))
+    t = t.withColumn("L", length).withColumn("q", F.least(F.lit(1.0), (c("u") - c("end")) / c("L")))
+    q = c("q")
+    value, slope = 1 - 3 * q * q + 2 * q * q * q, c("L") * (q - 2 * q * q + q * q * q)
+
+    def bent(n: str) -> Column:
+        shift = c("e_" + n) - c("a_" + n)
+        new = (c("e_" + n) - c("b_" + n)) / (c("end") - c("back"))
+        old = (c("p_" + n) - c("a_" + n)) / c("reach")
+        return (c(n) + value * shift + slope * (new - old)).alias(n)
+
+    tail = t.select(*keys, "k", *[bent(n) for n in sides], F.lit(False).alias("near"))
+    head = near.join(e.select(*keys), keys, "left_semi").select(*keys, "k", *sides, F.lit(True).alias("near"))
+    return head.unionByName(tail)
+
+
+def reanchor_tail(prior: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
+    """Near rails as prefix and the prior's tail moved rigidly onto their end; refused paths keep a status row.
+
+    The tail must reach 1 m to either side of the near end, and every joined
+    step must be in 1e-6 .. 5 m.
+    """
+    from .joins import polyline
+
+    sides = [p + a for p in "lr" for a in "xyz"]
+    e = _near_end(prior, near, keys)
+    ahead = (c("u0") <= c("end") - 1) & (c("u1") >= c("end") + 1) & (c("kp") >= 3)
+    e = e.withColumn("status", F.when(ahead, "REANCHORED").otherwise("INSUFFICIENT_PRIOR_AHEAD"))
+    mid = lambda p: tuple((c(f"{p}_l{a}") + c(f"{p}_r{a}")) / 2 for a in "xyz")
+    across = lambda p: sub(tuple(c(f"{p}_r{a}") for a in "xyz"), tuple(c(f"{p}_l{a}") for a in "xyz"))
+
+    def basis(d: DataFrame, tag: str, forward, side) -> DataFrame:
+        d = d.select("*", *named(forward, tag + "0"), *named(side, tag + "s"))
+        d = d.select("*", *named(unit(vec(tag + "0")), tag + "f"))
+        d = d.select("*", *named(sub(vec(tag + "s"), scale(vec(tag + "f"), dot(vec(tag + "s"), vec(tag + "f")))), tag + "1"))
+        d = d.select("*", *named(unit(vec(tag + "1")), tag + "r"))
+        return d.select("*", *named(cross(vec(tag + "f"), vec(tag + "r")), tag + "u"))
+
+    e = basis(e, "__o", sub(mid("f"), mid("g")), across("a"))
+    e = basis(e, "__n", sub(mid("e"), mid("b")), across("e"))
+    u = -(c("ly") + c("ry")) / 2
+    t = prior.select(*keys, "k", *sides, u.alias("u")).join(e.where("status = 'REANCHORED'"), keys).where(c("u") > c("end") + 1e-6)
+    moved = {}
+    for p in "lr":
+        d = tuple(c(p + a) - c(f"a_{p}{a}") for a in "xyz")
+        local = [dot(d, vec("__o" + b)) for b in "fru"]
+        for a in "xyz":
+            moved[p + a] = sum((v * c(f"__n{b}{a}") for v, b in zip(local, "fru")), c(f"e_{p}{a}"))
+    tail = t.select(*keys, "k", *[v.alias(n) for n, v in moved.items()], F.lit(False).alias("near"))
+    head = near.join(e.where("status = 'REANCHORED'").select(*keys), keys, "left_semi").select(*keys, "k", *sides, F.lit(True).alias("near"))
+    out = head.unionByName(tail)
+    ctr = out.select(*keys, "k", *[((c("l" + a) + c("r" + a)) / 2).alias(a) for a in "xyz"])
+    step = polyline(ctr, keys, ["x", "y", "z"])
+    d = norm(tuple(c(a + "_1") - c(a) for a in "xyz"))
+    broken = step.where((d < 1e-6) | (d > 5)).select(*keys).distinct().withColumn("__bad", F.lit(True))
+    good = out.join(broken, keys, "left_anti").withColumn("status", F.lit("REANCHORED"))
+    refused = e.join(broken, keys, "left").where((c("status") != "REANCHORED") | c("__bad"))
+    none = [F.lit(None).cast("double").alias(n) for n in sides]
+    rows = refused.select(*keys, F.lit(None).cast("int").alias("k"), *none, F.lit(False).alias("near"), F.when(c("__bad"), "DISCONTINUITY").otherwise(c("status")).alias("status"))
+    return good.unionByName(rows)

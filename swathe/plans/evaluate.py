@@ -211,3 +211,14 @@ def monte_carlo(spark, n: int = 100_000, seed: int = 5) -> DataFrame:
     d = d.select(near[0].alias("x"), near[2].alias("z")).agg(F.var_samp("x").alias("xx"), F.covar_samp("x", "z").alias("xz"), F.var_samp("z").alias("zz"))
     cov = rail_covariance(e1, e2, {k: F.lit(v) for k, v in mean.items()}, 1.0, [F.lit(s * s) for s in sig.values()], F.lit(0.0), F.lit(0.0), far=False)
     return d.select(*[c(k) for k in ("xx", "xz", "zz")], *[cov[k].alias("a" + k) for k in ("xx", "xz", "zz")])
+
+
+def distinct_configs(configs: dict[str, dict]) -> dict[str, dict]:
+    """Configurations without aliases: the first name of equal settings stays."""
+    seen, out = set(), {}
+    for name, cfg in configs.items():
+        key = tuple(sorted(cfg.items()))
+        if key not in seen:
+            seen.add(key)
+            out[name] = cfg
+    return out

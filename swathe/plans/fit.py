@@ -47,3 +47,237 @@ def solve(df: DataFrame, n: int, ridge: float = 0.0) -> DataFrame:
         return pd.DataFrame(np.concatenate([x, cond[:, None]], axis=1), columns=out)
 
     return df.withColumn("__s", run(F.struct(*names))).select(*df.columns, "__s.*")
+
+
+# --- alignment of frame pairs ---------------------------------------------------------------------
+
+IDENTITY = {f"r{i}{j}": float(i == j) for i in range(3) for j in range(3)} | {"tx": 0.0, "ty": 0.0, "tz": 0.0}
+
+
+def _targets(target: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    from ..functions.cells import cell_of, explode_neighbours
+
+    t = target.select(*keys, *[c(a).alias("q" + a) for a in "xyz"], *[c(a) for a in ("nx", "ny", "nz")])
+    return cut(explode_neighbours(t.select("*", *cell_of(vec("q"), cell)), 1), "targets")
+
+
+def _matched(source: DataFrame, grid: DataFrame, poses: DataFrame, keys: list[str], pair: list[str], cell: float, limit: float) -> DataFrame:
+    """Source points moved by their pair's pose, each with its nearest target within ``limit``."""
+    from ..functions import rotation as rot
+    from ..functions.cells import CELL, cell_of
+
+    m = source.join(poses, keys)
+    m = m.select(*pair, "sid", *named(rot.to_world(vec("x", "y", "z"), rot.matrix(), vec("t")), "p"))
+    m = m.select("*", *cell_of(vec("p"), cell)).join(grid, [*keys, *CELL])
+    m = m.withColumn("d2", (c("px") - c("qx")) ** 2 + (c("py") - c("qy")) ** 2 + (c("pz") - c("qz")) ** 2).where(c("d2") < limit * limit)
+    best = F.min(F.struct("d2", "px", "py", "pz", "qx", "qy", "qz", "nx", "ny", "nz")).alias("m")
+    return m.groupBy(*pair, "sid").agg(best).select(*pair, "sid", "m.*")
+
+
+def align_clouds(source: DataFrame, target: DataFrame, initial: DataFrame, keys: list[str], seeds: list[str] = (), rounds: int = 24,
+                 gate: tuple[float, float] = (1.8, 0.35)) -> DataFrame:
+    """Point-to-plane alignment of all pairs at once: pose columns and quality per pair.
+
+    ``source``: keys, sid, x, y, z (voxelised); ``target``: keys, x, y, z and
+    the normal nx, ny, nz; ``initial``: keys, ``seeds`` and the pose columns.
+    A round joins each moved point to its nearest target, sums 27 numbers per
+    pair, solves one 6x6 system per pair and updates the pose table. Pairs that
+    no longer move drop out of the later rounds.
+    """
+    from ..functions import rotation as rot
+
+    pair = [*keys, *seeds]
+    cell = gate[0] * (1 + 1e-6)
+    grid = _targets(target, keys, cell)
+    source = cut(source.select(*keys, "sid", "x", "y", "z"), "source")
+    poses, done = cut(initial.select(*pair, *rot.POSE), "pose"), None
+    for i in range(rounds):
+        limit = max(gate[1], gate[0] * (1 - i / rounds))
+        m = _matched(source, grid, poses, keys, pair, cell, limit)
+        p, n = vec("p"), vec("n")
+        m = m.withColumn("res", dot(sub(p, vec("q")), n))
+        w = F.least(F.lit(1.0), 0.10 / F.greatest(F.abs("res"), F.lit(1e-10)))
+        sums = normal_equations(m, pair, [*cross(p, n), *n], -c("res"), w)
+        step = solve(sums, 6, ridge=1e-6).select(*pair, *[f"x_{k}" for k in range(6)], "condition")
+        new = poses.drop("condition").join(step, pair)
+        d = rot.rodrigues(tuple(c(f"x_{k}") for k in range(3)))
+        new = new.select("*", *[d[a][b].alias(f"d{a}{b}") for a in range(3) for b in range(3)])
+        dm = rot.matrix("d")
+        r = rot.compose(dm, rot.matrix("r"))
+        t = rot.apply(dm, vec("t"))
+        turn = norm(tuple(c(f"x_{k}") for k in range(3)))
+        shift = norm(tuple(c(f"x_{k}") for k in range(3, 6)))
+        new = new.select(*pair, *[r[a][b].alias(f"r{a}{b}") for a in range(3) for b in range(3)],
+                         *[(t[k] + c(f"x_{k + 3}")).alias("t" + "xyz"[k]) for k in range(3)], "condition", ((turn < 2e-5) & (shift < 8e-4)).alias("still"))
+        new = cut(new, "pose")
+        ready = new.where("still").drop("still")
+        poses = new.where(~c("still")).drop("still")
+        done = ready if done is None else done.unionByName(ready)
+        if poses.isEmpty():
+            break
+    final = done.unionByName(poses) if "condition" in poses.columns else done
+    total = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    m = _matched(source, grid, final.drop("condition"), keys, pair, cell, 0.5)
+    res = dot(sub(vec("p"), vec("q")), vec("n"))
+    q = m.groupBy(*pair).agg(F.count(F.lit(1)).alias("__m"), F.sqrt(F.avg(res * res)).alias("rmse_plane_m"))
+    return final.join(q, pair, "left").join(total, keys).withColumn("overlap", F.coalesce(c("__m") / c("__n"), F.lit(0.0))).drop("__m", "__n")
+
+
+def accept_alignment(df: DataFrame) -> DataFrame:
+    """Status and reason of an alignment from its metrics.
+
+    Needs points, span_m, base_points, base_span_m, overlap, rmse_plane_m, condition, error_m, angle_rad, elapsed_s, history.
+    """
+    weak_support = (c("points") < F.greatest(F.lit(1000.0), 0.65 * c("base_points"))) | (c("span_m") < F.greatest(F.lit(15.0), 0.5 * c("base_span_m")))
+    weak = (c("overlap") < 0.45) | (c("rmse_plane_m") > 0.22) | (c("condition") > 3000)
+    moved = (c("history") >= 3) & ((c("error_m") > F.greatest(F.lit(0.5), c("elapsed_s") * 1.5)) | (c("angle_rad") > F.greatest(F.lit(0.025), c("elapsed_s") * 0.06)))
+    reason = F.when(weak_support, "insufficient_spatial_support").when(weak, "weak_registration").when(moved, "inconsistent_motion").otherwise("")
+    df = df.withColumn("reason", reason)
+    lost = (c("reason") != "") & (c("elapsed_s") > 2)
+    return df.withColumns({"pose_status": F.when(c("reason") == "", "ok").otherwise("unavailable"), "ends_session": lost})
+
+
+# Starting offsets (x, y in metres, yaw in radians) of a recovery.
+RECOVERY_SEEDS = [(0.0, 0.0, 0.0), (0.25, 0.0, 0.0), (-0.25, 0.0, 0.0), (0.0, 0.5, 0.005), (0.0, -0.5, -0.005)]
+
+
+def recover_alignment(source: DataFrame, target: DataFrame, initial: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
+    """Align from five starts; accept only if all agree within 10 cm and 0.01 rad, then take the best fit."""
+    from ..functions import rotation as rot
+
+    spark = initial.sparkSession
+    seeds = spark.createDataFrame([(i, *s) for i, s in enumerate(RECOVERY_SEEDS)], "seed int, dx double, dy double, yaw double")
+    start = initial.crossJoin(F.broadcast(seeds))  # five rows
+    z = rot.rodrigues((F.lit(0.0), F.lit(0.0), c("yaw")))
+    r = rot.compose(z, rot.matrix())
+    start = start.select(*keys, "seed", *[r[a][b].alias(f"r{a}{b}") for a in range(3) for b in range(3)],
+                         (c("tx") + c("dx")).alias("tx"), (c("ty") + c("dy")).alias("ty"), "tz")
+    fit = cut(align_clouds(source, target, start, keys, ["seed"], rounds), "recover")
+    zero = fit.where("seed = 0").select(*keys, *[c(n).alias("z" + n) for n in rot.POSE])
+    j = fit.join(zero, keys)
+    shift = norm(tuple(c("t" + a) - c("zt" + a) for a in "xyz"))
+    rel = rot.compose(rot.transpose(rot.matrix("zr")), rot.matrix("r"))
+    j = j.withColumns({"shift": shift, "angle": rot.angle(rel), "good": (c("overlap") >= 0.45) & (c("rmse_plane_m") <= 0.22)})
+    best = j.groupBy(*keys).agg(F.max("shift").alias("spread_m"), F.max("angle").alias("spread_rad"), F.bool_and("good").alias("__g"), F.count(F.lit(1)).alias("__n"),
+                                F.min_by(F.struct(*rot.POSE, "overlap", "rmse_plane_m"), c("rmse_plane_m")).alias("b"))
+    ok = c("__g") & (c("__n") == len(RECOVERY_SEEDS)) & (c("spread_m") <= 0.1) & (c("spread_rad") <= 0.01)
+    return best.select(*keys, "spread_m", "spread_rad", ok.alias("accepted"), "b.*")
+
+
+_MUL = """named_struct({rot}, {tra})"""
+
+
+def _product(a: str, b: str) -> str:
+    rot_ = ", ".join(f"'r{i}{j}', " + " + ".join(f"{a}.r{i}{k}*{b}.r{k}{j}" for k in range(3)) for i in range(3) for j in range(3))
+    tra = ", ".join(f"'t{x}', " + " + ".join(f"{a}.r{i}{k}*{b}.t{'xyz'[k]}" for k in range(3)) + f" + {a}.t{x}" for i, x in enumerate("xyz"))
+    return _MUL.format(rot=rot_, tra=tra)
+
+
+def compose_poses(df: DataFrame, keys: list[str], order: str, block: int = 256) -> DataFrame:
+    """Cumulative product of relative poses along ``order``.
+
+    Products are associative: each block of ``block`` frames folds on its own,
+    the block products fold per key, and every frame takes the product of the
+    earlier blocks. No task ever holds more than a block or one row per block.
+    """
+    from ..functions import rotation as rot
+
+    pose = F.struct(*[c(n).cast("double").alias(n) for n in rot.POSE])
+    eye = "named_struct(" + ", ".join(f"'{n}', CAST({IDENTITY[n]} AS DOUBLE)" for n in rot.POSE) + ")"
+
+    def fold(rows: DataFrame, by: list[str], o: str) -> DataFrame:
+        g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(c(o).alias("o"), c("__p").alias("p")))).alias("v"))
+        typ = "struct<" + ",".join(f"{n}:double" for n in rot.POSE) + ">"
+        step = f"named_struct('acc', {_product('a.acc', 'e.p')}, 'out', concat(a.out, array(named_struct('o', e.o, 'p', {_product('a.acc', 'e.p')}))))"
+        expr = f"aggregate(v, named_struct('acc', {eye}, 'out', CAST(array() AS array<struct<o:bigint,p:{typ}>>)), (a, e) -> {step}, a -> a.out)"
+        return g.select(*by, F.explode(F.expr(expr)).alias("r")).select(*by, c("r.o").alias(o), c("r.p").alias("__c"))
+
+    rows = df.select(*keys, c(order).cast("long").alias(order), pose.alias("__p")).withColumn("__b", F.floor(c(order) / block))
+    inner = fold(rows, [*keys, "__b"], order)
+    ends = inner.groupBy(*keys, "__b").agg(F.max_by("__c", order).alias("__p"))
+    upto = fold(ends, keys, "__b")
+    # The product over all earlier blocks sits at the newest block before this one.
+    from ..operators.ordered import blocked_scan
+
+    before = blocked_scan(upto, keys, "__b", {"__pre": ("lag", c("__c"))}).select(*keys, "__b", "__pre")
+    j = inner.join(before, [*keys, "__b"], "left")
+    total = F.when(c("__pre").isNull(), c("__c")).otherwise(F.expr(_product("__pre", "__c")))
+    return j.select(*keys, c(order).cast(df.schema[order].dataType).alias(order), total.alias("__t")).select(*keys, order, "__t.*")
+
+
+def anchor_chain(poses: DataFrame, correction: DataFrame, keys: list[str], order: str = "frame") -> DataFrame:
+    """Left-multiply the poses from ``since`` on by the key's one correction (columns c00.., cx, cy, cz)."""
+    from ..functions import rotation as rot
+
+    j = poses.join(correction, keys, "left")
+    m, t = rot.matrix("c"), (c("cx"), c("cy"), c("cz"))
+    r = rot.compose(m, rot.matrix("r"))
+    p = rot.to_world(vec("t"), m, t)
+    on = c("since").isNotNull() & (c(order) >= c("since"))
+    out = {f"r{a}{b}": F.when(on, r[a][b]).otherwise(c(f"r{a}{b}")) for a in range(3) for b in range(3)}
+    out |= {"t" + a: F.when(on, v).otherwise(c("t" + a)) for a, v in zip("xyz", p)}
+    return j.select(*[c(n) for n in poses.columns if n not in out], *[e.alias(n) for n, e in out.items()])
+
+
+# --- smooth curves --------------------------------------------------------------------------------
+
+
+def smooth_curves(obs: DataFrame, keys: list[str], s: str, values: list[str], sigma: str, spacing: float = 4.0, smooth: float = 1.0,
+                  prior: tuple[float, float] = (0.025, 0.004), loss: str = "huber", rounds: int = 6) -> DataFrame:
+    """Cubic spline through noisy stations, reweighted ``rounds`` times, with penalties on the second
+    and third derivative. Adds ``<value>_fit`` to every observation.
+
+    An observation touches four basis functions; Spark sums their products
+    per (curve, i, j). A curve's matrix has four entries per row and column,
+    so each solve is a small dense system of the curve's own knots.
+    """
+    from ..functions.numeric import robust_weight
+
+    u = c(s) / spacing
+    base = obs.withColumn("__j", F.floor(u)).withColumn("__t", u - c("__j"))
+    t = c("__t")
+    weights = [(1 - t) ** 3 / 6, (3 * t ** 3 - 6 * t ** 2 + 4) / 6, (-3 * t ** 3 + 3 * t ** 2 + 3 * t + 1) / 6, t ** 3 / 6]
+    base = base.select("*", *[w.alias(f"__b{k}") for k, w in enumerate(weights)])
+    kt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in obs.schema.fields if f.name in keys)
+    cols = [f"c_{v}" for v in values]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, n = int(pdf["i"].min()), int(pdf["j"].max() - pdf["i"].min()) + 1
+        m, b = np.zeros((n, n)), np.zeros((n, len(values)))
+        i, j = pdf["i"].to_numpy() - lo, pdf["j"].to_numpy() - lo
+        m[i, j] = pdf["m"]
+        m[j, i] = pdf["m"]
+        diag = i == j
+        for q, v in enumerate(values):
+            b[i[diag], q] = pdf[f"b_{v}"].to_numpy()[diag]
+        for power, scale_ in ((2, prior[0]), (3, prior[1])):
+            if n > power:
+                d = np.diff(np.eye(n), power, axis=0) / spacing ** power * np.sqrt(smooth * spacing) / scale_
+                m += d.T @ d
+        x = np.linalg.solve(m + 1e-9 * np.eye(n) * max(1.0, np.trace(m) / n), b)
+        out = pd.DataFrame(x, columns=cols)
+        out["i"] = np.arange(lo, lo + n)
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "i", *cols]]
+
+    rows = cut(base.withColumn("__w", F.lit(1.0)), "spline")
+    for step in range(rounds):
+        pick = F.array(*[F.struct(F.lit(k).alias("k"), c(f"__b{k}").alias("b")) for k in range(4)])
+        g = rows.withColumn("p", F.explode(pick)).withColumn("q", F.explode(pick)).where(c("q.k") >= c("p.k"))
+        w = c("__w") / (c(sigma) * c(sigma))
+        same = c("p.k") == c("q.k")
+        g = g.groupBy(*keys, (c("__j") + c("p.k")).alias("i"), (c("__j") + c("q.k")).alias("j")).agg(
+            F.sum(w * c("p.b") * c("q.b")).alias("m"), *[F.sum(F.when(same, w * c("p.b") * c(v)).otherwise(0.0)).alias(f"b_{v}") for v in values])
+        coef = g.groupBy(*keys).applyInPandas(fit, f"{kt}, i long, " + ", ".join(f"{n} double" for n in cols))
+        coef = cut(coef, "spline")
+        out = base
+        parts = [base.withColumn("i", c("__j") + k).withColumn("__bk", c(f"__b{k}")) for k in range(4)]
+        long = parts[0]
+        for p in parts[1:]:
+            long = long.unionByName(p)
+        ids = [n for n in base.columns]
+        f = long.join(coef, [*keys, "i"]).groupBy(*ids).agg(*[F.sum(c("__bk") * c(f"c_{v}")).alias(f"{v}_fit") for v in values])
+        r = F.sqrt(sum((((c(v) - c(f"{v}_fit")) / c(sigma)) ** 2 for v in values[1:]), ((c(values[0]) - c(f"{values[0]}_fit")) / c(sigma)) ** 2))
+        rows = cut(f.withColumn("__w", F.greatest(robust_weight(r, loss), F.lit(1e-5))), "spline")
+    return rows.drop("__w", "__j", "__t", *[f"__b{k}" for k in range(4)])

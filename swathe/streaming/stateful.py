@@ -19,14 +19,24 @@ from ..session import scratch_folder
 c = F.col
 
 
-def as_stream(df: DataFrame, files_per_trigger: int = 4, order: list[str] = ()) -> DataFrame:
-    """Write a table to the shared folder and open it as a file stream (for replays and checks)."""
+def as_stream(df: DataFrame, order: str, chunks: int = 4, files: int = 4) -> DataFrame:
+    """Replay a table as a file stream in the order of one numeric column.
+
+    The table is appended in ``chunks`` ascending ranges of ``files`` files
+    each, and one trigger takes one chunk, so arrival follows the order.
+    """
     spark = df.sparkSession
     path = os.path.join(scratch_folder(spark), f"stream-{uuid.uuid4().hex}")
-    if order:
-        df = df.repartitionByRange(8, *order).sortWithinPartitions(*order)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    edges = df.approxQuantile(order, [i / chunks for i in range(1, chunks)], 0.01)
+    bounds = [None, *sorted(set(edges)), None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        part = df
+        if lo is not None:
+            part = part.where(c(order) > lo)
+        if hi is not None:
+            part = part.where(c(order) <= hi)
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
