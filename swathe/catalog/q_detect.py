@@ -10,12 +10,15 @@ from ..operators import windows as win
 from ..plans import detect as de
 from ..plans import fit
 from ..plans import march as ma
+from ..session import cut
 from .q_aggregates import SEC, heads
 from .q_joins import CHAIN, vox
 from .registry import query
 
 c = F.col
 
+SPARSE = dict(gate=0.3, grid=0.1, support=0.15, cap=0.5, p90=0.5)
+
 # The sparse cloud is pooled per run, and lengths are ten times those of a dense rail cloud.
 WIDE = dict(bin=0.2, kernel=0.4, nms=0.65, reach=0.85, vmin=-3.0, vmax=3.0, wmin=-1.0, wmax=3.0, inner=0.3, outer=1.4, height=0.5, half_width=0.3, half_height=0.3, cell=0.1,
             center_max=0.6, gauge_lo=1.0, gauge_hi=2.4, cant_max=1.0, threshold=0.0)
@@ -159,11 +162,11 @@ def _(t):
 
 def _pairs_of_clouds(t):
     """Each frame's voxelised cloud against a copy moved by 5 cm and 0.3 degrees, with normals."""
-    v = vox(t)
+    v = cut(vox(t), "clouds")
     nn = jn.knn(v, ["frame"], "point_idx", 6, 4.0)
     q = v.select("frame", c("point_idx").alias("near_point_idx"), *[c(a).alias("n" + a) for a in "xyz"])
     e = agg.symmetric_eigen(agg.neighbour_covariance(nn.join(q, ["frame", "near_point_idx"]), ["frame", "point_idx"])).select("frame", "point_idx", "nx", "ny", "nz")
-    target = v.join(e, ["frame", "point_idx"])
+    target = cut(v.join(e, ["frame", "point_idx"]), "clouds")
     a = 0.005
     import math
 
@@ -186,7 +189,7 @@ def _(t):
 def _(t):
     p = t.points.select("run", "point_idx", "frame", (-c("y")).alias("u"), c("x").alias("v"), c("z").alias("w")).withColumn("id", F.concat_ws("-", "frame", "point_idx"))
     starts = p.select("run").distinct().select("run", F.lit(4.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
-    out = ma.march_corridor(p, starts, t.template, ["run"], dict(rounds=5, gate=0.04, p90=0.1))
+    out = ma.march_corridor(p, starts, t.template, ["run"], dict(SPARSE, rounds=5))
     return out.select("run", "step", "su", F.round("av", 6).alias("av"), F.round("aw", 6).alias("aw"), "n", "reason")
 
 
@@ -241,7 +244,7 @@ def _reach(t, configs):
     starts = p.select("run").distinct().select("run", F.lit(4.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
     out = None
     for name, cfg in configs.items():
-        r = ma.march_corridor(p, starts, t.template, ["run"], dict(dict(rounds=3, gate=0.04), **cfg))
+        r = ma.march_corridor(p, starts, t.template, ["run"], {**SPARSE, "rounds": 3, **cfg})
         r = r.groupBy("run").agg(F.max("su").alias("reach_m"), F.max("reason").alias("reason")).withColumn("config", F.lit(name))
         out = r if out is None else out.unionByName(r)
     return out
@@ -250,7 +253,7 @@ def _reach(t, configs):
 @query("evl_07_oracle_bound", "points template")
 def _(t):
     """Reach with the normal gate and with the gate an evaluator could have admitted."""
-    return _reach(t, {"gate": dict(p90=0.05), "admitted": dict(p90=0.1)})
+    return _reach(t, {"gate": dict(p90=0.3), "admitted": dict(p90=0.5)})
 
 
 @query("evl_18_parameter_sweep", "points template")
@@ -258,7 +261,7 @@ def _(t):
     """Distinct configurations of the march; equal ones run once."""
     from ..plans.evaluate import distinct_configs
 
-    return _reach(t, distinct_configs({"base": dict(p90=0.08, min_points=3), "same": dict(min_points=3, p90=0.08), "strict": dict(p90=0.05, min_points=4)}))
+    return _reach(t, distinct_configs({"base": dict(p90=0.4, min_points=3), "same": dict(min_points=3, p90=0.4), "strict": dict(p90=0.3, min_points=4)}))
 
 
 # --- joining near and far paths ------------------------------------------------------------------

@@ -90,6 +90,7 @@ def rail_pairs(cand: DataFrame, keys: list[str], cfg: dict | None = None) -> Dat
     a supported head just above one of its own still fits the other rail.
     """
     g = {**RAIL, **(cfg or {})}
+    cand = cut(cand, "pairs")
     f = ["rank", "v", "w", "support", "scatter", "surface_quality"]
     ok = cand.where("surface_ok")
     side = lambda s, p: ok.where(c("side") == s).select(*keys, *[c(n).alias(p + n) for n in f])
@@ -134,8 +135,9 @@ def near_rail_refit(pts: DataFrame, pairs: DataFrame, keys: list[str], cfg: dict
     enough to seed a sloping band that collects the points once more.
     """
     g = {**RAIL, **(cfg or {})}
+    pairs = cut(pairs, "refit")
     seed = pairs.where("status = 'ok'").select(*keys, "lv", "lw", "rv", "rw")
-    j = pts.where(c("u").between(0, 8)).join(seed, keys)
+    j = cut(pts.where(c("u").between(0, 8)).join(seed, keys), "refit")
 
     def collect(lv, lw, rv, rw):
         near = lambda hv, hw: (F.abs(c("v") - hv) <= g["half_width"]) & (F.abs(c("w") - hw) <= g["half_height"])

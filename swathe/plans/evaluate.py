@@ -197,8 +197,8 @@ def curvature_errors(df: DataFrame, keys: list[str], max_gap: float, edges: list
     return exact_quantiles(d, ["lo"], "slope", {"median": 0.5, "p95": 0.95}, 0.002).join(n, "lo")
 
 
-def monte_carlo(spark, n: int = 100_000, seed: int = 5) -> DataFrame:
-    """Covariance of the near rail drawn through the section geometry, beside the first-order one."""
+def monte_carlo(draws: DataFrame, seed: int = 5) -> DataFrame:
+    """One draw per row: covariance of the near rail drawn through the section geometry, beside the first-order one."""
     from ..functions.vector import const
     from ..operators.projections import rail_covariance, rails_from_contact
 
@@ -206,7 +206,7 @@ def monte_carlo(spark, n: int = 100_000, seed: int = 5) -> DataFrame:
     sig = {"alpha": 0.01, "d": 0.01, "h": 0.02, "g": 0.0, "hf": 0.0}
     mean = {"alpha": 0.1, "d": 0.7, "h": 0.15, "g": 1.584, "hf": 0.16}
     state = {k: F.lit(m) + (F.randn(seed + i) * sig[k] if sig[k] else F.lit(0.0)) for i, (k, m) in enumerate(mean.items())}
-    d = spark.range(n).select(*[v.alias(k) for k, v in state.items()])
+    d = draws.select(*[v.alias(k) for k, v in state.items()])
     near, _ = rails_from_contact(const(0, 0, 0), e1, e2, {k: c(k) for k in mean}, 1.0)
     d = d.select(near[0].alias("x"), near[2].alias("z")).agg(F.var_samp("x").alias("xx"), F.covar_samp("x", "z").alias("xz"), F.var_samp("z").alias("zz"))
     cov = rail_covariance(e1, e2, {k: F.lit(v) for k, v in mean.items()}, 1.0, [F.lit(s * s) for s in sig.values()], F.lit(0.0), F.lit(0.0), far=False)

@@ -15,7 +15,7 @@ MARCH = dict(step=4.0, window=8.0, gate=0.08, grid=0.02, support=0.02, min_point
 
 
 def march_corridor(points: DataFrame, starts: DataFrame, template: DataFrame, keys: list[str], cfg: dict | None = None) -> DataFrame:
-    """Blocks accepted along each start's corridor, with the branch and the reason it stopped.
+    """Blocks accepted along each start's corridor (step 0 is the start) and the reason it stopped.
 
     ``points``: keys, id, u (forward), v, w; ``starts``: keys, u, v, w of the
     last known anchor. One round moves every live branch one step: points of
@@ -60,7 +60,9 @@ def march_corridor(points: DataFrame, starts: DataFrame, template: DataFrame, ke
         live = new.drop("gap", "n", "p90")
         if live.isEmpty():
             break
-    out = done.where("branch = 0").drop("branch")
+    origin = starts.select(*keys, c("u").alias("su"), c("v").alias("av"), c("w").alias("aw"), F.lit(0.0).alias("score"), F.lit(0).alias("step"),
+                           F.lit(0).alias("gap"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("p90"))
+    out = origin.unionByName(done.where("branch = 0").drop("branch"))
     return out.join(stops.select(*keys, "reason"), keys, "left").withColumn("reason", F.coalesce("reason", F.lit("RANGE_LIMIT")))
 
 
