@@ -74,7 +74,7 @@ def evl_09(t):
     points, seg = t.points, env.path_segments(t.path)
     ids = ["run", "frame", "point_idx"]
     saved = env.envelope_hits(points, seg).select(*ids, F.lit(1).alias("saved"))
-    again = env.envelope_hits(points, seg, cell=2.0).select(*ids, F.lit(1).alias("again"))
+    again = env.envelope_hits(points, seg, cell=0.5).select(*ids, F.lit(1).alias("again"))
     j = saved.join(again, ids, "full_outer")
     return j.groupBy("run").agg(
         F.count("saved").alias("hits"),

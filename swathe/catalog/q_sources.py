@@ -35,8 +35,8 @@ def _(t):
 
 
 def _blobs(t, build):
-    """Every (frame, slot block) of the cloud encoded as one message; a message holds at most 64 slots."""
-    p = t.points.select("frame", F.floor(c("slot") / 64).cast("int").alias("block"), "point_idx", "x", "y", "z", "intensity")
+    """Every (frame, slot block) of the cloud encoded as one message; a block is 512 slots, so a message is bounded."""
+    p = t.points.select("frame", F.floor(c("slot") / 512).cast("int").alias("block"), "point_idx", "x", "y", "z", "intensity")
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf.sort_values("point_idx")
@@ -45,7 +45,7 @@ def _blobs(t, build):
     return p.groupBy("frame", "block").applyInPandas(one, "message_id long, data binary")
 
 
-@query("src_04_decode_points", "points", """WITH m AS (SELECT CAST(frame AS BIGINT)*16 + slot//64 AS message_id, frame, point_idx, x, y, z, intensity FROM points)
+@query("src_04_decode_points", "points", """WITH m AS (SELECT CAST(frame AS BIGINT)*16 + slot//512 AS message_id, frame, point_idx, x, y, z, intensity FROM points)
 SELECT message_id, CAST(frame AS BIGINT)*100000000 AS header_time_ns, 'lidar' AS frame_id, CAST(row_number() OVER (PARTITION BY message_id ORDER BY point_idx) - 1 AS INTEGER) AS point_row, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z, CAST(CAST(intensity AS FLOAT) AS DOUBLE) AS intensity FROM m""", rnd="x y z intensity")
 def _(t):
     """Clouds encoded, alternately little and big endian, and decoded again."""
@@ -54,7 +54,7 @@ def _(t):
     return d.select("message_id", "header_time_ns", "frame_id", "point_row", *[c(n).cast("double").alias(n) for n in ("x", "y", "z", "intensity")])
 
 
-@query("src_05_read_point_files", "points", """WITH m AS (SELECT CAST(frame AS BIGINT)*16 + slot//64 AS message_id, point_idx, x, y, z FROM points)
+@query("src_05_read_point_files", "points", """WITH m AS (SELECT CAST(frame AS BIGINT)*16 + slot//512 AS message_id, point_idx, x, y, z FROM points)
 SELECT CAST(message_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY message_id ORDER BY point_idx) - 1 AS point_row, x, y, z, -1 AS ring FROM m""", rnd="x y z", ints="ring")
 def _(t):
     files = _blobs(t, lambda q, f: rec.build_las(q[["x", "y", "z"]].to_numpy(), 0.001)).select(c("message_id").cast("string").alias("path"), c("data").alias("content"))

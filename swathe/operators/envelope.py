@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import CELL, cell_of, explode_box
-from ..functions.vector import Vec, add, cross, dot, named, norm, scale, sub, unit, vec
+from ..functions.vector import Vec, add, dot, norm, sub, vec
+from ..session import df_sql, sized
 from .projections import is_valid
 
 # Train envelope and margins in metres.
 WIDTH, HEIGHT = 2.1, 3.0
 MARGIN, BOTTOM = 0.030001, 0.100001
 MIN_STEP, MAX_STEP = 1e-8, 5.0
-CELL_M = 1.0
+CELL_M = 2.0
 
 
 def path_segments(path: DataFrame, keys: list[str] = ("run",), observed: int = 81) -> DataFrame:
@@ -30,19 +31,22 @@ def path_segments(path: DataFrame, keys: list[str] = ("run",), observed: int = 8
         *[((F.col("l" + a) + F.col("r" + a)) / 2).alias("n" + a) for a in "xyz"],
     )
     j = path.join(nxt, [*keys, "k"])
-    left, right = vec("l"), vec("r")
-    # Each stage is its own projection: vectors are computed once and read by name afterwards.
-    c = scale(add(left, right), 0.5)
-    out = j.select(*keys, "k", *named(c, "c"), *named(sub(vec("n"), c), "s"), *named(sub(right, left), "a"))
-    out = out.withColumn("len", norm(vec("s")))
-    out = out.select("*", *named(unit(vec("s")), "f"))
-    out = out.withColumn("along", dot(vec("a"), vec("f")))
-    out = out.select("*", *named(sub(vec("a"), scale(vec("f"), F.col("along"))), "b"))
-    out = out.select("*", *named(unit(vec("b")), "q"))
-    out = out.select("*", *named(cross(vec("f"), vec("q")), "g"))
-    out = out.select("*", *named(unit(vec("g")), "h"))
-    out = out.withColumn("flip", F.when(F.col("hz") < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
-    out = out.select("*", *named(scale(vec("h"), F.col("flip")), "u"))
+    # One statement, one stage per line of subquery: vectors are computed once and read by name afterwards.
+    ks = ", ".join(keys)
+    xyz = lambda text: ", ".join(text.replace("@", a) for a in "xyz")
+    dot3 = lambda p, q: " + ".join(f"{p}{a} * {q}{a}" for a in "xyz")
+    unit3 = lambda p, q: xyz(f"CASE WHEN sqrt({dot3(p, p)}) >= 1e-10 THEN {p}@ / sqrt({dot3(p, p)}) END AS {q}@")
+    out = df_sql(f"""
+        SELECT {ks}, k, len, {xyz("c@")}, {xyz("f@")}, {xyz("q@")}, {xyz("h@ * flip AS u@")} FROM (
+        SELECT *, CASE WHEN hz < 0 THEN -1D ELSE 1D END AS flip FROM (
+        SELECT *, {unit3("g", "h")} FROM (
+        SELECT *, fy * qz - fz * qy AS gx, fz * qx - fx * qz AS gy, fx * qy - fy * qx AS gz FROM (
+        SELECT *, {unit3("b", "q")} FROM (
+        SELECT *, {xyz("a@ - f@ * along AS b@")} FROM (
+        SELECT *, {dot3("a", "f")} AS along FROM (
+        SELECT *, sqrt({dot3("s", "s")}) AS len, {unit3("s", "f")} FROM (
+        SELECT *, {xyz("n@ - c@ AS s@")} FROM (
+        SELECT {ks}, k, {xyz("n@")}, {xyz("(l@ + r@) / 2 AS c@")}, {xyz("r@ - l@ AS a@")} FROM {{j}})))))))))""", j=j)
     # A degenerate step gives NaN, which fails every test below. Being non-null, the frame columns
     # also keep the optimizer from inferring IS NOT NULL filters and unfolding them down the stages.
     nan = F.lit(float("nan"))
@@ -70,7 +74,8 @@ def envelope_hits(
     """Points inside the swept envelope, each with the first segment that holds it.
 
     The segments are spread over grid cells, a point has one cell, the join is
-    an equi-join on (path, cell) and the exact test follows. Points behind the
+    an equi-join on (path, cell) and the exact test follows; the cell table is
+    broadcast only when counted to be small. Points behind the
     sensor (y > 0) never count. ``world`` names the coordinates to test, when
     they differ from the sensor coordinates x, y, z.
     """
@@ -81,7 +86,7 @@ def envelope_hits(
     )
     mid = tuple(F.col("c" + a) + F.col("f" + a) * F.col("len") / 2 + F.col("u" + a) * height / 2 for a in "xyz")
     lo, hi = sub(mid, half), add(mid, half)
-    grid = explode_box(segments.where(~F.col("invalid")), lo, hi, cell)
+    grid = sized(explode_box(segments.where(~F.col("invalid")), lo, hi, cell))
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     probe = points.where(is_valid(x, y, z) & (y <= 0)).select(
         *dict.fromkeys([*keys, *point_keys, "x", "y", "z", *world]), *cell_of(vec(*world), cell)

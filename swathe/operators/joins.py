@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import CELL, cell_of, explode_box, explode_neighbours
 from ..functions.vector import add, dot, named, norm, scale, sub, unit, vec
-from ..session import cut
+from ..session import cut, sized
 from .ordered import blocked_scan
 
 c = F.col
@@ -159,7 +159,7 @@ def nearest_segment(
     seg = seg.withColumn("__len", norm(step)).where((c(s + "_1") - c(s) <= max_gap) & (c("__len") <= max_len) & (c("__len") > 0))
     lo = tuple(F.least(c("v" + a), c(f"v{a}_1")) - max_d for a in "xyz")
     hi = tuple(F.greatest(c("v" + a), c(f"v{a}_1")) + max_d for a in "xyz")
-    grid = explode_box(seg.withColumnRenamed("k", "seg"), lo, hi, 2 * max_d)
+    grid = sized(explode_box(seg.withColumnRenamed("k", "seg"), lo, hi, 2 * max_d))
     p = points.select(*keys, *ids, *extra, *[c(n).cast("double").alias("p" + a) for n, a in zip(names, "xyz")])
     j = p.select("*", *cell_of(vec("p"), 2 * max_d)).join(grid, [*keys, *CELL])
     j = j.withColumn("__t", dot(sub(vec("p"), vec("v")), sub(tuple(c(f"v{a}_1") for a in "xyz"), vec("v"))) / (c("__len") * c("__len")))
@@ -207,7 +207,8 @@ def template_distance(points: DataFrame, template: DataFrame, keys: list[str], c
     """
     cell = [F.floor(c("v") / (cap * PAD)).alias("gi"), F.floor(c("w") / (cap * PAD)).alias("gj")]
     span = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    tpl = template.select("cell", c("v").alias("tv"), c("w").alias("tw"), *cell)
+    # Cells at the same place count once, under their least number.
+    tpl = template.groupBy("v", "w").agg(F.min("cell").alias("cell")).select("cell", c("v").alias("tv"), c("w").alias("tw"), *cell)
     tpl = tpl.withColumn("di", F.explode(span)).withColumn("dj", F.explode(span))
     tpl = tpl.select("cell", "tv", "tw", (c("gi") + c("di")).alias("gi"), (c("gj") + c("dj")).alias("gj"))
     rows = points.select(*keys, "v", "w", *cell)
