@@ -12,7 +12,11 @@ from .q_joins import TRES, VOX, vox
 from .registry import query
 
 c = F.col
-R = norm((c("x"), c("y"), c("z")))
+
+
+def distance():
+    """Range of a return; built on call, as columns need a running session."""
+    return norm((c("x"), c("y"), c("z")))
 
 
 @query("agg_01_voxel_first", "points", "SELECT frame, CAST(floor(x) AS BIGINT) AS ci, CAST(floor(y) AS BIGINT) AS cj, CAST(floor(z) AS BIGINT) AS ck, min(point_idx) AS point_idx, arg_min(intensity, point_idx) AS intensity FROM points GROUP BY ALL", rnd="intensity")
@@ -28,7 +32,7 @@ def _(t):
 @query("agg_06_weighted_support", "points", """SELECT frame, ring, sum(w) AS weighted_points, min(w) AS weight_min, count(*) FILTER (r > 70) AS far_count, array_to_string(list_sort(list_distinct(list(slot))), '+') AS sources
 FROM (SELECT *, least(1.0::DOUBLE, (70/r)*(70/r)) AS w FROM (SELECT *, sqrt(x*x+y*y+z*z) AS r FROM points) a) q GROUP BY frame, ring HAVING sum(w) >= 3""", rnd="weighted_points weight_min")
 def _(t):
-    p = t.points.withColumn("r", R)
+    p = t.points.withColumn("r", distance())
     out = agg.weighted_support(p, ["frame", "ring"], far_weight(c("r")), "slot", c("r") > 70)
     return out.withColumn("sources", F.concat_ws("+", "sources"))
 
@@ -187,7 +191,7 @@ def _(t):
     """Budgets around four distances for five history lengths of one start per run."""
     f = t.frames.where(c("frame") % 25 == 20).select("run", c("frame").alias("target"))
     want = f.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("run", "target", "age", (c("target") - c("age")).alias("frame"))
-    p = t.points.withColumn("r", R)
+    p = t.points.withColumn("r", distance())
     p = p.withColumn("center_m", F.explode(F.filter(F.array(*[F.lit(m) for m in (20, 40, 60, 80)]), lambda m: (c("r") >= m - 2) & (c("r") < m + 2))))
     j = p.join(want, ["run", "frame"])
     j = j.withColumn("history", F.explode(F.filter(F.array(*[F.lit(n) for n in (1, 2, 4, 8, 16)]), lambda n: c("age") < n)))
@@ -282,7 +286,7 @@ def _(t):
  FROM pt p JOIN template t ON abs(p.v-t.v) <= 0.051 AND abs(p.w-t.w) <= 0.051 GROUP BY ALL)
 SELECT run, CAST(floor(r/20) AS BIGINT) AS bin, count(*) AS returns, count(DISTINCT cell) AS cells FROM m WHERE d <= 0.05 GROUP BY ALL""")
 def _(t):
-    p = t.points.select("run", "frame", "point_idx", c("x").alias("v"), c("z").alias("w"), F.floor(R / 20).alias("bin"))
+    p = t.points.select("run", "frame", "point_idx", c("x").alias("v"), c("z").alias("w"), F.floor(distance() / 20).alias("bin"))
     m = jn.template_distance(p, t.template, ["run", "frame", "point_idx", "bin"], cap=0.05, digits=9).where(c("cell").isNotNull())
     return m.groupBy("run", "bin").agg(F.count(F.lit(1)).alias("returns"), F.countDistinct("cell").alias("cells"))
 

@@ -221,7 +221,12 @@ def _section(t):
     return p, {n: c(n) for n in ("alpha", "d", "h", "g", "hf")}
 
 
-T, E1, E2 = const(0, -1, 0), const(-1, 0, 0), const(0, 0, -1)
+
+def axes():
+    """Tangent and cross axes of the exact stations."""
+    return const(0, -1, 0), const(-1, 0, 0), const(0, 0, -1)
+
+
 RAILS = """st AS (SELECT *, k*CAST(0.001 AS DOUBLE) AS alpha, 0.7+k*CAST(0.0001 AS DOUBLE) AS d FROM path),
 ax AS (SELECT *, -cos(alpha) AS bx, -sin(alpha) AS bz, sin(alpha) AS nx, -cos(alpha) AS nz FROM st),
 rl AS (SELECT *, cx-d*bx-0.15*nx AS ax, cy AS ay, cz-d*bz-0.15*nz AS az, cx-(d+1.584)*bx-0.16*nx AS fx, cy AS fy, cz-(d+1.584)*bz-0.16*nz AS fz FROM ax)"""
@@ -230,7 +235,8 @@ rl AS (SELECT *, cx-d*bx-0.15*nx AS ax, cy AS ay, cz-d*bz-0.15*nz AS az, cx-(d+1
 @query("prj_20_rails_from_contact", "path", f"WITH {RAILS} SELECT run, k, ax AS nearx, az AS nearz, fx AS farx, fz AS farz FROM rl", rnd="nearx nearz farx farz")
 def _(t):
     p, state = _section(t)
-    near, far = prj.rails_from_contact(vec("c"), E1, E2, state, F.lit(1.0))
+    tan, e1, e2 = axes()
+    near, far = prj.rails_from_contact(vec("c"), e1, e2, state, F.lit(1.0))
     return p.select("run", "k", near[0].alias("nearx"), near[2].alias("nearz"), far[0].alias("farx"), far[2].alias("farz"))
 
 
@@ -238,9 +244,10 @@ def _(t):
 def _(t):
     """A state through rails and back again."""
     p, state = _section(t)
-    near, far = prj.rails_from_contact(vec("c"), E1, E2, dict(state, hf=c("h")), F.lit(1.0))
+    tan, e1, e2 = axes()
+    near, far = prj.rails_from_contact(vec("c"), e1, e2, dict(state, hf=c("h")), F.lit(1.0))
     p = p.select("run", "k", *[p2 + a for p2 in "c" for a in "xyz"], *named(near, "a"), *named(far, "b"))
-    out = prj.section_offsets(p, "c", "a", "b", T, E1, E2, 1.0)
+    out = prj.section_offsets(p, "c", "a", "b", tan, e1, e2, 1.0)
     return out.select("run", "k", "alpha", "d", "h", "g", "hf")
 
 
@@ -249,8 +256,9 @@ SELECT run, k, 0.0004 + jax*jax*va + bx*bx*0.002 + nx*nx*0.003 AS cxx, jax*jaz*v
  0.0004 + jaz*jaz*va + bz*bz*0.002 + nz*nz*0.003 AS czz, 0.0004 + ((bz*rx_-bx*rz_)*(bz*rx_-bx*rz_) + (nz*rx_-nx*rz_)*(nz*rx_-nx*rz_))*0.0001 AS cyy FROM j""", rnd="cxx cxz czz cyy")
 def _(t):
     p, state = _section(t)
+    tan, e1, e2 = axes()
     var = [0.001 + c("k") * 0.00001, F.lit(0.002), F.lit(0.003), F.lit(0.0), F.lit(0.0)]
-    cov = prj.rail_covariance(E1, E2, state, F.lit(1.0), var, F.lit(0.02), F.lit(0.01), far=False)
+    cov = prj.rail_covariance(e1, e2, state, F.lit(1.0), var, F.lit(0.02), F.lit(0.01), far=False)
     return p.select("run", "k", *[cov[n].alias("c" + n) for n in ("xx", "xz", "zz", "yy")])
 
 

@@ -247,3 +247,11 @@ def _(t):
     ok = f.where("pose_status = 'ok'").select("frame")
     span = f.agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
     return span.select(F.explode(F.sequence("a", "b")).alias("frame")).join(ok, "frame", "left_anti")
+
+
+@query("top_06_beam_top", "stations", """WITH d AS (SELECT run, frame, CAST(floor(range_m/20) AS BIGINT) AS lane, max(error_m) AS score, arg_min(row_id, (-error_m, row_id)) AS row_id FROM stations GROUP BY ALL),
+r AS (SELECT run, frame, score, row_id, row_number() OVER (PARTITION BY run, frame ORDER BY score DESC, row_id) AS rank FROM d) SELECT * FROM r WHERE rank <= 3""", rnd="score", ints="rank")
+def _(t):
+    """Branches in the same 20 m lane count as one."""
+    s = t.stations.withColumn("score", c("error_m"))
+    return win.beam_top(s, ["run", "frame"], "score", "row_id", [F.floor(c("range_m") / 20)])

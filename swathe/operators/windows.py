@@ -118,3 +118,18 @@ def even_sample(df: DataFrame, keys: list[str], order: str, n: int, block: int =
     i = F.ceil(c("__r") * (n - 1) / (c("__n") - 1))
     take = F.floor(i * (c("__n") - 1) / float(n - 1)) == c("__r")
     return r.where((c("__n") <= n) | F.coalesce(take, F.lit(False))).select(*df.columns)
+
+
+def beam_top(df: DataFrame, keys: list[str], score: str, id_: str, same: list[Column], k: int = 3) -> DataFrame:
+    """Best ``k`` branches per key after equal ones (same values of ``same``) collapse to the best of them.
+
+    Collapsing is a combinable maximum, and the rank limit runs on the map side too.
+    """
+    from pyspark.sql import Window
+
+    names = [f"__s{i}" for i in range(len(same))]
+    d = df.select(*keys, score, id_, *[e.alias(n) for e, n in zip(same, names)])
+    best = d.groupBy(*keys, *names).agg(F.max(F.struct(c(score), (-c(id_)).alias("n"))).alias("b"))
+    best = best.select(*keys, c(f"b.{score}").alias(score), (-c("b.n")).alias(id_))
+    w = Window.partitionBy(*keys).orderBy(c(score).desc(), id_)
+    return best.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
