@@ -107,8 +107,6 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q
 
     Groups here are cells or cross sections, bounded by geometry.
     """
-    w = Window.partitionBy(*keys).orderBy(value)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = df.select(*keys, c(value).alias("__v"), c(weight).alias("__w"))
     rows = rows.groupBy(*keys, "__v").agg(F.sum("__w").alias("__w"))
     w = Window.partitionBy(*keys).orderBy("__v")

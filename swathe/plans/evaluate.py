@@ -155,9 +155,8 @@ def method_score(df: DataFrame, edges: list[float]) -> DataFrame:
 def corridor_calibration(df: DataFrame, q: float = 0.95) -> DataFrame:
     """Scale that covers ``q`` of normalised errors when every start, and every run, weighs the same.
 
-    ``left_out`` names the run not used; null is the fit on all. At least 1.
-    The weighted quantile runs on a histogram of normalised errors (1/100),
-    with interpolation on exact bin means, so its size is bins, not rows.
+    At least 1. The weighted quantile runs on a histogram of normalised errors
+    (bins of 1/1000, each carrying its largest error), so its size is bins, not rows.
     """
     d = df.where("evaluable").withColumn("z", c("error_m") / c("sigma_m"))
     start = d.groupBy("run", "frame").agg(F.count(F.lit(1)).alias("__n"))
