@@ -66,7 +66,7 @@ def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     return spark.read.schema(schema).parquet(target)
 
 
-def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
+def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """The side of a join whose size Spark cannot estimate, because its rows were multiplied.
 
     Counts up to ``rows``: at most that many are broadcast, more are sent
