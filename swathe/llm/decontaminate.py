@@ -29,26 +29,30 @@ WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
 c = F.col
 
 
-def words(text):
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+WORDS = f"regexp_extract_all(lower(coalesce(text, '')), '{WORD}', 0)".replace("\\", "\\\\")
 
 
-def _runs(w: str, k: int, form: str) -> str:
-    return f"CASE WHEN size({w}) >= {k} THEN transform(sequence(1, size({w}) - {k - 1}), i -> {form.format(f'slice({w}, i, {k})')}) ELSE array() END"
+def _bound(made: str, name: str, used: str):
+    """``used`` with ``name`` standing for ``made``, evaluated once however often it is used; a projected column may be inlined into lambdas."""
+    return f"transform(array({made}), {name} -> {used})[0]"
 
 
-def hashes(w: str, k: int):
-    """Distinct hashes of the runs of k words, ascending."""
-    return F.expr(f"sort_array(array_distinct(cast({_runs(w, k, 'xxhash64({})')} AS array<bigint>)))")
+def _runs(k: int, form: str) -> str:
+    return f"CASE WHEN size(w) >= {k} THEN transform(sequence(1, size(w) - {k - 1}), i -> {form.format(f'slice(w, i, {k})')}) ELSE array() END"
 
 
-def shingles(w: str, k: int):
-    return F.expr(f"array_distinct(cast({_runs(w, k, "array_join({}, ' ')")} AS array<string>))")
+def hashes(k: int):
+    """Distinct hashes of the text's runs of k words, ascending."""
+    return F.expr(_bound(WORDS, "w", f"sort_array(array_distinct(cast({_runs(k, 'xxhash64({})')} AS array<bigint>)))"))
+
+
+def shingles(k: int):
+    return F.expr(_bound(WORDS, "w", f"array_distinct(cast({_runs(k, "array_join({}, ' ')")} AS array<string>))"))
 
 
 def _least_per_bin(sorted_hashes: str, bits: str) -> str:
     """Of ascending hashes those that open a bin; a bin is the hash's highest bits."""
-    return f"filter({sorted_hashes}, (x, i) -> i = 0 OR shiftright(x, 64 - {bits}) <> shiftright({sorted_hashes}[i - 1], 64 - {bits}))"
+    return _bound(sorted_hashes, "s", _bound(f"64 - {bits}", "b", "filter(s, (x, i) -> i = 0 OR shiftright(x, b) <> shiftright(s[i - 1], b))"))
 
 
 def _joined(left: DataFrame, items: DataFrame, on: list[str]) -> DataFrame:
@@ -67,9 +71,9 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     count once; of several texts under one id the best match counts.
     """
     texts = docs.select(c("doc_id").alias("doc"), "text").where("doc is not null and text is not null")
-    asked = items.select(c("item_id").alias("item"), words(c("text")).alias("w")).where(c("item").isNotNull())
-    asked = cut(asked.select("item", hashes("w", k).alias("hashes"), shingles("w", k).alias("shingles")).where("size(hashes) > 0").distinct(), "items")
-    full = texts.select("doc", words(c("text")).alias("w")).select("doc", hashes("w", k).alias("hashes")).where("size(hashes) > 0")
+    asked = items.select(c("item_id").alias("item"), hashes(k).alias("hashes"), shingles(k).alias("shingles")).where(c("item").isNotNull())
+    asked = cut(asked.distinct(), "items").where("size(hashes) > 0")
+    full = texts.select("doc", hashes(k).alias("hashes"))
 
     part = full.withColumn("p", F.ceil(F.log2(F.size("hashes"))).cast("int"))
     sketch = part.select("doc", "p", F.explode(F.expr(_least_per_bin("hashes", f"(p + {DENSITY_BITS})"))).alias("hash"))
@@ -83,7 +87,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
         pairs = pairs.unionByName(_joined(full.select("doc", F.explode("hashes").alias("hash")), few, ["hash"]).select("doc", "item"))
     pairs = cut(pairs.distinct(), "pairs")
 
-    held = texts.join(pairs.select("doc").distinct(), "doc").select("doc", words(c("text")).alias("w")).select("doc", shingles("w", k).alias("own"))
+    held = texts.join(pairs.select("doc").distinct(), "doc").select("doc", shingles(k).alias("own"))
     checked = held.join(pairs, "doc").join(asked.select("item", "shingles"), "item")
     shared = F.size(F.array_intersect("own", "shingles")).cast("long")
     counted = checked.select(c("doc").alias("doc_id"), c("item").alias("item_id"), shared.alias("shared"), F.size("shingles").cast("long").alias("item_shingles"))
