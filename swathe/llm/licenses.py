@@ -129,9 +129,10 @@ def _words_before(start):
 
 def detections(docs: DataFrame) -> DataFrame:
     """Detections that aren't suppressed: key, label, confidence, priority, start and end (characters from 0). ``docs``: key, text."""
-    held = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.lower("text"), k))
-    gated = docs.select("key", "text", held.alias("held")).where("size(held) > 0")
-    chosen = gated.select("key", "text", F.filter(_literal(RULES), lambda r: F.array_contains("held", r["keyword"])).alias("chosen"))
+    # One-element arrays bind what lambdas use again and again, which is then evaluated once per text.
+    held = lambda low: F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(low, k))
+    usable = lambda h: F.filter(_literal(RULES), lambda r: F.array_contains(h, r["keyword"]))
+    chosen = docs.select("key", "text", F.transform(F.transform(F.array(F.lower("text")), held), usable)[0].alias("chosen"))
     hit = chosen.select("key", "text", F.explode(F.filter("chosen", lambda r: F.regexp_like("text", r["pattern"]))).alias("r"))
     pieces = hit.select("key", "r", F.expr("regexp_extract_all(text, r.pattern, 0)").alias("found"), F.expr("split(text, r.pattern, -1)").alias("gaps"))
     each = pieces.select("key", "r", F.posexplode(F.arrays_zip(F.transform("found", F.char_length).alias("size"), F.transform("gaps", F.char_length).alias("gap"))).alias("n", "at")).where("at.size is not null")
