@@ -35,15 +35,14 @@ def parsed(messages: DataFrame) -> DataFrame:
     """``messages`` with ``lines`` (level, content) taken apart: ``body``, the text without quotes, and ``passages`` (level, lines)."""
     level = lambda x: F.char_length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", ""))
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\\r?\\n", -1), lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("content")))
-    rows = messages.withColumn("__lines", lines)
-    # A line that only announces a quote goes with it.
-    told = F.expr("filter(__lines, (x, i) -> x.level = 0 AND NOT (x.content RLIKE '(?i)^\\\\s*(on\\\\b.*\\\\bwrote|.{1,80} (wrote|writes)):\\\\s*$' AND coalesce(get(__lines, i + 1).level, 0) > 0))")
-    body = F.regexp_replace(F.array_join(F.transform(told, lambda x: x["content"]), "\n"), "^\\s+|\\s+$", "")
-    heads = "filter(transform(__lines, (x, i) -> CASE WHEN i = 0 OR get(__lines, i - 1).level <> x.level THEN i END), i -> i IS NOT NULL)"
-    cutting = "transform(__heads, (h, j) -> struct(__lines[h].level AS level, transform(slice(__lines, h + 1, coalesce(get(__heads, j + 1), size(__lines)) - h), x -> x.content) AS lines))"
-    rows = rows.withColumn("body", F.when(F.exists("__lines", lambda x: x["level"] > 0), body).otherwise(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("__heads", F.expr(heads)).withColumn("passages", F.expr(f"filter({cutting}, p -> p.level > 0)"))
-    return rows.drop("__lines", "__heads")
+    # A line that only announces a quote goes with it. One-element arrays bind what lambdas use again and again.
+    said = "(x, i) -> x.level = 0 AND NOT (x.content RLIKE '(?i)^\\\\s*(on\\\\b.*\\\\bwrote|.{1,80} (wrote|writes)):\\\\s*$' AND coalesce(get(l, i + 1).level, 0) > 0)"
+    heads = "filter(transform(l, (x, i) -> CASE WHEN i = 0 OR get(l, i - 1).level <> x.level THEN i END), i -> i IS NOT NULL)"
+    cutting = "filter(transform(h, (s, j) -> struct(l[s].level AS level, transform(slice(l, s + 1, coalesce(get(h, j + 1), size(l)) - s), x -> x.content) AS lines)), p -> p.level > 0)"
+    taken = f"transform(array(__lines), l -> struct(exists(l, x -> x.level > 0) AS quotes, array_join(transform(filter(l, {said}), x -> x.content), '\\n') AS body, transform(array({heads}), h -> {cutting})[0] AS passages))[0]"
+    rows = messages.withColumn("__lines", lines).withColumn("__taken", F.expr(taken))
+    body = F.when(c("__taken.quotes"), F.regexp_replace("__taken.body", "^\\s+|\\s+$", "")).otherwise(F.coalesce("text", F.lit("")))
+    return rows.withColumn("body", body).withColumn("passages", c("__taken.passages")).drop("__lines", "__taken")
 
 
 def _normal(x):
