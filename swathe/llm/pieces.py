@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +49,11 @@ class Pieces:
         self.known: dict[str, bytes] = {}
         self.joints = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
         self.older: dict[str, bytes] = {}
+        # Finds the pieces that end at each character, the longest first.
+        self.ends = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            self.ends.add_word(p, (i, len(p)))
+        self.ends.make_automaton()
         # Unless pieces join words, no piece crosses the end of a word.
         self.cuts = None if any(b[0] != SPACE == b[1] for b in self.joints) else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -143,23 +149,22 @@ class Pieces:
 
     def _within(self, text: str) -> list[int]:
         """As ``search``, for a text that fits the window and a BPE model."""
-        get, pairs, longest = self.ids.get, self.pairs, self.longest
-        n = len(text)
-        arrive, start = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for s in range(i - longest if i > longest else 0, i):
-                piece = get(text[s:i])
-                if piece is None:
-                    continue
-                last = arrive[s]
-                if last < 0:
-                    break
+        whole = self.ids.get(text)
+        if whole is not None:
+            return [whole]
+        pairs, n, done = self.pairs, len(text), 0
+        arrive, start = [-1] * (n + 1), list(range(-1, n))
+        for end, (piece, size) in self.ends.iter(text) if self.ids else ():
+            i = end + 1
+            if i == done:
+                continue
+            s = i - size
+            last = arrive[s]
+            if last >= 0:
                 ok = pairs.get(last << 32 | piece)
-                if ok if ok is not None else self.may_follow(text[start[s] : s], text[s:i]):
-                    break
-            else:
-                piece, s = -1, i - 1
-            arrive[i], start[i] = piece, s
+                if not (self.may_follow(text[start[s] : s], text[s:i]) if ok is None else ok):
+                    continue
+            arrive[i], start[i], done = piece, s, i
         path, i = [], n
         while i:
             path.append(text[start[i] : i])
