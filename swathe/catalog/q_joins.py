@@ -227,7 +227,7 @@ def _(t):
 g AS (SELECT *, power(x1-lx,2)+power(y1-ly,2)+power(z1-lz,2) AS l2 FROM seg WHERE s1 IS NOT NULL),
 t AS (SELECT p.run, p.frame, p.point_idx, -p.y AS init, seg, s, s1, p.x, p.y, p.z, lx, ly, lz, x1, y1, z1, greatest(0, least(1, ((p.x-lx)*(x1-lx)+(p.y-ly)*(y1-ly)+(p.z-lz)*(z1-lz))/l2)) AS tc FROM points p JOIN g ON p.run = g.run AND abs(p.y-g.ly) <= 2),
 d AS (SELECT *, s+tc*(s1-s) AS st, sqrt(power(x-lx-tc*(x1-lx),2)+power(y-ly-tc*(y1-ly),2)+power(z-lz-tc*(z1-lz),2)) AS d FROM t),
-b AS (SELECT run, frame, point_idx, any_value(init) AS init, arg_min(st, (d, seg)) AS st FROM d WHERE d <= 0.75 AND abs(st-init) <= 8 GROUP BY 1, 2, 3)
+b AS (SELECT run, frame, point_idx, any_value(init) AS init, arg_min(st, (CASE WHEN abs(st-init) > 8 THEN 1 ELSE 0 END, d, seg)) AS st FROM d WHERE d <= 0.75 GROUP BY 1, 2, 3)
 SELECT run, frame, point_idx, max(st) OVER (PARTITION BY frame ORDER BY init, point_idx ROWS UNBOUNDED PRECEDING) AS station FROM b""", rnd="station")
 def _(t):
     from ..operators.paths import assign_stations

@@ -199,7 +199,7 @@ def _(t):
     return st.replacement_accounting(t.messages.withColumn("event", event), ["source"])
 
 
-@query("str_11_run_status", "messages", "SELECT source, count(*) AS received, count(*) FILTER (topic = 'click') AS processed, arg_max(message_id, (ts_ns, message_id)) AS latest, max(ts_ns) AS latest_ns FROM messages GROUP BY source")
+@query("str_11_run_status", "messages", "SELECT source, count(*) AS received, count(*) FILTER (topic = 'click') AS processed, arg_max(message_id, (ts_ns, message_id)) FILTER (topic = 'click') AS latest, max(ts_ns) FILTER (topic = 'click') AS latest_ns FROM messages GROUP BY source")
 def _(t):
     m = t.messages.withColumn("event", F.when(c("topic") == "click", "GEOMETRY_COMPLETE").otherwise("INPUT"))
     return st.run_status(m, ["source"], ["ts_ns", "message_id"])

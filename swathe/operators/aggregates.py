@@ -308,3 +308,29 @@ def local_quadratic(df: DataFrame, keys: list[str], s: str, values: list[str], o
         c2 = s0 * (s2 * b2 - b1 * s3) - s1 * (s1 * b2 - b1 * s2) + b0 * (s1 * s3 - s2 * s2)
         out += [(c1 / c("__det")).alias(v + "_1"), (2 * c2 / c("__det")).alias(v + "_2")]
     return g.select(*keys, order, "m", *out)
+
+
+def scatter_objectives(df: DataFrame, keys: list[str], y: str, z: str, share: float = 0.9) -> DataFrame:
+    """Four measures of how widely a cross section scatters about its median: ``trace`` and ``logdet`` of the
+    second moments of the inner ``share``, ``ellipse`` (the area that holds ``share`` of all rows) and ``mad``
+    (mean square within 2.5 scaled deviations). A section's rows are bounded by geometry.
+    """
+    half = F.lit(0.5)
+    mid = df.groupBy(*keys).agg(F.percentile(y, half).alias("__my"), F.percentile(z, half).alias("__mz"))
+    d = df.join(mid, keys).select(*keys, (c(y) - c("__my")).alias("y"), (c(z) - c("__mz")).alias("z"))
+    d = d.withColumn("r2", c("y") * c("y") + c("z") * c("z"))
+    inner = d.groupBy(*keys).agg(F.percentile("r2", F.lit(share)).alias("edge"), F.percentile(F.sqrt("r2"), half).alias("med"))
+    d = d.join(inner, keys)
+    kept = lambda v: F.avg(F.when(c("r2") <= c("edge") + 1e-12, v))
+    m = d.groupBy(*keys).agg(
+        kept(c("y") * c("y")).alias("yy"), kept(c("z") * c("z")).alias("zz"), kept(c("y") * c("z")).alias("yz"),
+        (1.4826 * F.percentile(F.abs(F.sqrt("r2") - c("med")), half)).alias("dev"))
+    d = d.join(m, keys)
+    a, b, floor = c("yy") + 1e-6, c("zz") + 1e-6, F.lit(1e-10)
+    far = (b * c("y") * c("y") - 2 * c("yz") * c("y") * c("z") + a * c("z") * c("z")) / (a * b - c("yz") * c("yz"))
+    near = F.sqrt("r2") <= c("med") + F.greatest(F.lit(0.003), 2.5 * c("dev")) + 1e-12
+    out = d.groupBy(*keys, "yy", "zz", "yz").agg(F.percentile(far, F.lit(share)).alias("reach"), F.avg(F.when(near, c("r2"))).alias("mad"))
+    mean, spread = (c("yy") + c("zz")) / 2, F.sqrt((c("yy") - c("zz")) * (c("yy") - c("zz")) / 4 + c("yz") * c("yz"))
+    out = out.withColumns({"e1": F.greatest(mean + spread, floor), "e2": F.greatest(mean - spread, floor)})
+    p, q = c("e1") + 1e-6, c("e2") + 1e-6
+    return out.select(*keys, (c("e1") + c("e2")).alias("trace"), (F.log(p) + F.log(q)).alias("logdet"), (F.pi() * F.sqrt(p * q) * c("reach")).alias("ellipse"), "mad")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import CELL, cell_of, explode_box
 from ..functions.vector import Vec, add, dot, norm, sub, vec
-from ..session import df_sql, sized
+from ..session import cut, df_sql
 from .projections import is_valid
 
 # Train envelope and margins in metres.
@@ -75,7 +75,7 @@ def envelope_hits(
 
     The segments are spread over grid cells, a point has one cell, the join is
     an equi-join on (path, cell) and the exact test follows; the cell table is
-    broadcast only when counted to be small. Points behind the
+    written first, so Spark picks the join by its real size. Points behind the
     sensor (y > 0) never count. ``world`` names the coordinates to test, when
     they differ from the sensor coordinates x, y, z.
     """
@@ -86,7 +86,7 @@ def envelope_hits(
     )
     mid = tuple(F.col("c" + a) + F.col("f" + a) * F.col("len") / 2 + F.col("u" + a) * height / 2 for a in "xyz")
     lo, hi = sub(mid, half), add(mid, half)
-    grid = sized(explode_box(segments.where(~F.col("invalid")), lo, hi, cell))
+    grid = cut(explode_box(segments.where(~F.col("invalid")), lo, hi, cell), "grid")
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     probe = points.where(is_valid(x, y, z) & (y <= 0)).select(
         *dict.fromkeys([*keys, *point_keys, "x", "y", "z", *world]), *cell_of(vec(*world), cell)

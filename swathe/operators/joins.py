@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import CELL, cell_of, explode_box, explode_neighbours
 from ..functions.vector import add, dot, named, norm, scale, sub, unit, vec
-from ..session import cut, sized
+from ..session import cut
 from .ordered import blocked_scan
 
 c = F.col
@@ -147,19 +147,22 @@ def interp_at(curve: DataFrame, stations: DataFrame, keys: list[str], s: str, va
 def nearest_segment(
     points: DataFrame, curve: DataFrame, keys: list[str], ids: list[str], max_d: float,
     max_gap: float = 0.8, max_len: float = 1.0, max_excess: float = 0.3, names=("x", "y", "z"), s: str = "s", extra: list[str] = (),
+    window: tuple[str, float] | None = None,
 ) -> DataFrame:
     """Nearest point of a polyline within ``max_d``: distance, station and segment.
 
     Segments that bridge a gap are skipped; a projection that lies more than
     ``max_excess`` beyond the chosen segment's end is left unscored. ``curve``
-    has k, ``s`` and vx, vy, vz. ``extra`` point columns are kept.
+    has k, ``s`` and vx, vy, vz. ``extra`` point columns are kept. ``window``: an
+    expected station among ``extra`` and how far from it a station may lie; others
+    count only where none lies so near.
     """
     seg = polyline(curve, keys, ["vx", "vy", "vz", s])
     step = sub(tuple(c(f"v{a}_1") for a in "xyz"), vec("v"))
     seg = seg.withColumn("__len", norm(step)).where((c(s + "_1") - c(s) <= max_gap) & (c("__len") <= max_len) & (c("__len") > 0))
     lo = tuple(F.least(c("v" + a), c(f"v{a}_1")) - max_d for a in "xyz")
     hi = tuple(F.greatest(c("v" + a), c(f"v{a}_1")) + max_d for a in "xyz")
-    grid = sized(explode_box(seg.withColumnRenamed("k", "seg"), lo, hi, 2 * max_d))
+    grid = cut(explode_box(seg.withColumnRenamed("k", "seg"), lo, hi, 2 * max_d), "grid")
     p = points.select(*keys, *ids, *extra, *[c(n).cast("double").alias("p" + a) for n, a in zip(names, "xyz")])
     j = p.select("*", *cell_of(vec("p"), 2 * max_d)).join(grid, [*keys, *CELL])
     j = j.withColumn("__t", dot(sub(vec("p"), vec("v")), sub(tuple(c(f"v{a}_1") for a in "xyz"), vec("v"))) / (c("__len") * c("__len")))
@@ -167,7 +170,9 @@ def nearest_segment(
     q = tuple(c("v" + a) + c("__tc") * (c(f"v{a}_1") - c("v" + a)) for a in "xyz")
     j = j.withColumn("d", norm(sub(vec("p"), q))).where(c("d") <= max_d)
     excess = F.greatest(F.lit(0.0), -c("__t"), c("__t") - 1) * c("__len")
-    best = F.min(F.struct("d", "seg", (c(s) + c("__tc") * (c(s + "_1") - c(s))).alias("station"), excess.alias("excess"))).alias("m")
+    j = j.withColumn("station", c(s) + c("__tc") * (c(s + "_1") - c(s)))
+    off = F.coalesce(F.abs(c("station") - c(window[0])) > window[1], F.lit(False)) if window else F.lit(False)
+    best = F.min(F.struct(off.alias("off"), "d", "seg", "station", excess.alias("excess"))).alias("m")
     out = j.groupBy(*keys, *ids, *extra).agg(best)
     ok = c("m.excess") <= max_excess
     return out.select(*keys, *ids, *extra, c("m.seg").alias("seg"), F.when(ok, c("m.d")).alias("d"), F.when(ok, c("m.station")).alias("station"))

@@ -78,8 +78,7 @@ def assign_stations(points: DataFrame, curve: DataFrame, keys: list[str], source
     from .joins import nearest_segment
 
     ids = [source, id_]
-    near = nearest_segment(points, curve, keys, ids, max_d, max_gap=1e9, max_len=5.0, max_excess=1e9, extra=[init])
-    # One segment per row survives; a row whose nearest is out of the window keeps that nearest.
+    near = nearest_segment(points, curve, keys, ids, max_d, max_gap=1e9, max_len=5.0, max_excess=1e9, extra=[init], window=(init, window))
     return blocked_scan(near, [*keys, source], init, {"__m": ("max", c("station"))}, block=64, ties=[id_]).drop("station").withColumnRenamed("__m", "station")
 
 

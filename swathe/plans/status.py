@@ -44,7 +44,8 @@ def replacement_accounting(journal: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_status(journal: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Received and processed counts and the latest row per run."""
+    """Received and processed counts and the latest finished row per run; null while none is finished."""
+    done = c("event") == "GEOMETRY_COMPLETE"
     return journal.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("received"), F.count_if(c("event") == "GEOMETRY_COMPLETE").alias("processed"),
-        F.max_by("message_id", F.struct(*order)).alias("latest"), F.max("ts_ns").alias("latest_ns"))
+        F.count(F.lit(1)).alias("received"), F.count_if(done).alias("processed"),
+        F.max_by("message_id", F.when(done, F.struct(*order))).alias("latest"), F.max(F.when(done, c("ts_ns"))).alias("latest_ns"))

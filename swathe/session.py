@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -66,17 +65,6 @@ def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     return spark.read.schema(schema).parquet(target)
 
 
-def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """The side of a join whose size Spark cannot estimate, because its rows were multiplied.
-
-    Counts up to ``rows``: at most that many are broadcast, more are sent
-    through a sort-merge join, whatever the estimate says.
-    """
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df.hint("merge")
-
-
 def df_sql(text: str, **frames: DataFrame) -> DataFrame:
     """SQL over data frames named in braces."""
     return next(iter(frames.values())).sparkSession.sql(text, **frames)

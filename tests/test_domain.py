@@ -203,3 +203,16 @@ def test_vector_cross_product_on_random_rows(spark):
     got = np.array([tuple(row) for row in df.select(*[e.alias(f"c{i}") for i, e in enumerate(x)]).collect()])
     assert np.abs(got - np.cross(r[:, :3], r[:, 3:])).max() < 1e-12
     assert df.select(numeric.wrap_half_turn(c("ax")).alias("w")).where((c("w") < -np.pi / 2) | (c("w") >= np.pi / 2)).isEmpty()
+
+
+def test_stations_stay_on_their_leg_of_a_bend(spark):
+    """A curve that comes back 1 m beside itself: the expected station decides the leg, unless no segment lies near it."""
+    from swathe.operators.paths import assign_stations
+
+    out = [(0, k, 1.0 * k, 0.0, 1.0 * k, 0.0) for k in range(21)]
+    back = [(0, 21 + k, 21.0 + k, 1.0, 20.0 - k, 0.0) for k in range(21)]
+    curve = spark.createDataFrame(out + back, "run int, k int, s double, vx double, vy double, vz double")
+    rows = [(0, "a", 1, 5.0, 0.6, 5.0, 0.0), (0, "b", 1, 36.0, 0.4, 5.0, 0.0), (0, "c", 1, 90.0, 0.1, 5.0, 0.0)]
+    points = spark.createDataFrame(rows, "run int, source string, id int, init double, x double, y double, z double")
+    got = {r["source"]: r["station"] for r in assign_stations(points, curve, ["run"], "source", "id", "init", 2.0).collect()}
+    assert got == {"a": 5.0, "b": 36.0, "c": 5.0}
