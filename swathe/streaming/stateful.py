@@ -1,4 +1,4 @@
-"""Keyed streams: sessions, slots, histories, tracks and motion triggers.
+"""Keyed streams: sessions, slots, histories and motion triggers.
 
 Each stream has a batch twin that gives the same rows, so a stream can be checked against it.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..session import scratch_folder
+from .tracks import TrackBook, stream_track, track_batch  # noqa: F401
 
 c = F.col
 
@@ -110,114 +111,6 @@ def stream_history(stream: DataFrame, depth: int = 12) -> DataFrame:
         step, "run int, frame int, held int, oldest int", "ring array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
-# --- tracks ---------------------------------------------------------------------------------------
-
-# Association limits in metres, share and seconds, and the support cap.
-TRACK = {"voxel": 0.05, "radius": 0.35, "fraction": 0.20, "gap_s": 3.0, "confirm": 2, "cap": 12_000}
-TRACK_OUT = "run int, generation int, frame int, component string, track long, confirmed boolean"
-
-
-def _nearest(a: np.ndarray, b: np.ndarray, chunk: int = 2048) -> np.ndarray:
-    parts = [np.sqrt(((a[i:i + chunk, None] - b[None]) ** 2).sum(2).min(1)) for i in range(0, len(a), chunk)]
-    return np.concatenate(parts)
-
-
-def _merge_support(old: np.ndarray, new: np.ndarray, cfg: dict) -> np.ndarray:
-    p = np.concatenate([old, new])
-    _, inv = np.unique(np.floor(p / cfg["voxel"]).astype(np.int64), axis=0, return_inverse=True)
-    inv = inv.ravel()
-    n = np.bincount(inv)
-    m = np.stack([np.bincount(inv, p[:, i]) / n for i in range(3)], axis=1)
-    return m[np.linspace(0, len(m) - 1, cfg["cap"]).astype(int)] if len(m) > cfg["cap"] else m
-
-
-class TrackBook:
-    """Live tracks of one session: associates a frame's components, never merges two ids."""
-
-    def __init__(self, cfg: dict | None = None, tracks: dict | None = None):
-        self.cfg, self.tracks = {**TRACK, **(cfg or {})}, tracks or {}
-
-    def observe(self, frame: int, t_s: float, components: dict[str, np.ndarray]) -> list[tuple]:
-        g = self.cfg
-        live = {i: t for i, t in self.tracks.items() if 0 <= t_s - t["t"] <= g["gap_s"]}
-        options = []
-        for name, v in components.items():
-            for tid, t in live.items():
-                s = t["support"]
-                gap = np.maximum(np.maximum(s.min(0) - v.max(0), v.min(0) - s.max(0)), 0)
-                if np.linalg.norm(gap) > g["radius"]:
-                    continue
-                a, b = _nearest(v, s), _nearest(s, v)
-                share = max((a <= g["radius"]).mean(), (b <= g["radius"]).mean())
-                if share >= g["fraction"]:
-                    options.append((min(np.median(a), np.median(b)) + (1 - share) * 0.1, name, tid))
-        chosen: dict[str, int] = {}
-        for _, name, tid in sorted(options):
-            chosen.setdefault(name, tid)
-        out = []
-        for name, v in components.items():
-            tid = chosen.get(name)
-            if tid is None:
-                tid = max(self.tracks, default=0) + 1
-                self.tracks[tid] = {"t": t_s, "support": v[:0], "frames": [], "confirmed": False}
-            t = self.tracks[tid]
-            if frame not in t["frames"] and len(t["frames"]) < g["confirm"]:
-                t["frames"] = [*t["frames"], frame]
-            t.update(t=t_s, confirmed=len(t["frames"]) >= g["confirm"], support=_merge_support(t["support"], v, g))
-            out.append((frame, name, tid, t["confirmed"]))
-        return out
-
-    def forget(self, t_s: float) -> int:
-        """Drop tracks that can no longer match; returns the highest id ever given."""
-        top = max(self.tracks, default=0)
-        self.tracks = {i: t for i, t in self.tracks.items() if t_s - t["t"] <= self.cfg["gap_s"] or i == top}
-        return top
-
-
-def _frames(pdf: pd.DataFrame):
-    for frame, rows in pdf.sort_values(["frame", "component"]).groupby("frame", sort=True):
-        yield int(frame), float(rows["t_s"].iloc[0]), {k: r[["x", "y", "z"]].to_numpy() for k, r in rows.groupby("component", sort=True)}
-
-
-def track_batch(voxels: DataFrame, cfg: dict | None = None) -> DataFrame:
-    """Tracks of whole sessions. ``voxels``: run, generation, frame, t_s, component, x, y, z (world).
-
-    A session is the causal unit; its state is bounded by the support cap.
-    """
-
-    def run(key, pdf):
-        book, rows = TrackBook(cfg), []
-        for frame, t_s, comps in _frames(pdf):
-            rows += [(*key, *r) for r in book.observe(frame, t_s, comps)]
-            book.forget(t_s)
-        return pd.DataFrame(rows, columns=["run", "generation", "frame", "component", "track", "confirmed"])
-
-    cols = ["run", "generation", "frame", "t_s", "component", "x", "y", "z"]
-    return voxels.select(*cols).groupBy("run", "generation").applyInPandas(run, TRACK_OUT)
-
-
-def stream_track(stream: DataFrame, cfg: dict | None = None) -> DataFrame:
-    """The same association as frames arrive; a frame's components arrive together."""
-    state_schema = "tid array<long>, t array<double>, confirmed array<boolean>, frames array<array<int>>, support array<binary>"
-
-    def step(key, pdfs, state):
-        book = TrackBook(cfg)
-        if state.exists:
-            for tid, t, ok, frames, blob in zip(*state.get):
-                book.tracks[int(tid)] = {"t": t, "confirmed": ok, "frames": list(frames), "support": np.frombuffer(bytes(blob)).reshape(-1, 3)}
-        rows = []
-        for frame, t_s, comps in _frames(_keyed(pdfs)):
-            rows += [(*key, *r) for r in book.observe(frame, t_s, comps)]
-            book.forget(t_s)
-        b = book.tracks
-        state.update(([int(i) for i in b], [float(t["t"]) for t in b.values()], [bool(t["confirmed"]) for t in b.values()],
-                      [[int(f) for f in t["frames"]] for t in b.values()], [np.ascontiguousarray(t["support"]).tobytes() for t in b.values()]))
-        yield pd.DataFrame(rows, columns=["run", "generation", "frame", "component", "track", "confirmed"])
-
-    cols = ["run", "generation", "frame", "t_s", "component", "x", "y", "z"]
-    return stream.select(*cols).groupBy("run", "generation").applyInPandasWithState(step, TRACK_OUT, state_schema, "append", GroupStateTimeout.NoTimeout)
-
-
 TRIGGER_OUT = "run int, chain long, frame int, action string, source int"
 
 
