@@ -217,7 +217,8 @@ def _reading(folder: str, payloads: bool):
 
 def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """Records of the archives listed in ``archives`` (path), read sequentially, one archive at a time per task."""
-    dealt = archives.select("path").repartition(c("path"))
+    n, cores = archives.count(), archives.sparkSession.sparkContext.defaultParallelism
+    dealt = archives.select("path").repartition(max(1, min(n, cores), n // 8), c("path"))  # paths are too small for adaptive execution to tell the work behind them
     return dealt.mapInArrow(_reading(folder, payloads), RECORD)
 
 
