@@ -252,7 +252,7 @@ def _(t):
 def _(t):
     from ..plans.evaluate import block_bootstrap
 
-    return block_bootstrap(t.stations.where("evaluable"), ["method"], replicates=200)
+    return block_bootstrap(t.stations.where("evaluable"), ["method"])
 
 
 @query("agg_29_normal_equations", "points", f"""WITH {SEC} SELECT run, side, sum(1/(1+top)) AS a00, sum(hu/(1+top)) AS a01, sum(hu*hu/(1+top)) AS a11, sum(hv/(1+top)) AS b0, sum(hu*hv/(1+top)) AS b1 FROM hb GROUP BY ALL""", rnd="a00 a01 a11 b0 b1")

@@ -124,7 +124,7 @@ def _(t):
     chosen = de.history_select(d, ["run", "frame"], [0, 1, 2, 4], 3)
     cells = t.points.select("run", c("frame").alias("source"), F.floor(-c("y")).alias("cell"))
     start = h.where(c("frame") % 25 == 20).select("run", "frame", "source").join(cells, ["run", "source"])
-    cover = de.greedy_coverage(start, ["run", "frame"], rounds=4).select("run", "frame", "source", F.lit("COVERAGE").alias("rule"))
+    cover = de.greedy_coverage(start, ["run", "frame"]).select("run", "frame", "source", F.lit("COVERAGE").alias("rule"))
     return chosen.unionByName(cover)
 
 
@@ -153,7 +153,7 @@ def _(t):
 @query("det_13_split_heads", "points")
 def _(t):
     p = slab(t).withColumn("section", F.floor("u"))
-    out = de.split_heads(p, ["run", "section"], rounds=6, width=(0.8, 5.0))
+    out = de.split_heads(p, ["run", "section"], width=(0.8, 5.0))
     return out.select("run", "section", "n_left", "n_right", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
 
 
@@ -180,7 +180,7 @@ def _pairs_of_clouds(t):
 @query("itr_04_align_clouds", "points")
 def _(t):
     """Recovers the move of every frame; the true shift is (0.05, -0.03, 0.02)."""
-    out = fit.align_clouds(*_pairs_of_clouds(t), ["frame"], rounds=6)
+    out = fit.align_clouds(*_pairs_of_clouds(t), ["frame"])
     near = F.sqrt((c("tx") - 0.05) ** 2 + (c("ty") + 0.03) ** 2 + (c("tz") - 0.02) ** 2) < 0.02
     return out.select("frame", near.alias("recovered"), (c("overlap") > 0.9).alias("overlaps"), (c("rmse_plane_m") < 0.02).alias("tight"))
 
@@ -189,7 +189,7 @@ def _(t):
 def _(t):
     p = t.points.select("run", "point_idx", "frame", (-c("y")).alias("u"), c("x").alias("v"), c("z").alias("w")).withColumn("id", F.concat_ws("-", "frame", "point_idx"))
     starts = p.select("run").distinct().select("run", F.lit(4.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
-    out = ma.march_corridor(p, starts, t.template, ["run"], dict(SPARSE, rounds=5))
+    out = ma.march_corridor(p, starts, t.template, ["run"], SPARSE)
     return out.select("run", "step", "su", F.round("av", 6).alias("av"), F.round("aw", 6).alias("aw"), "n", "reason")
 
 
@@ -197,7 +197,7 @@ def _(t):
 def _(t):
     """Paths with a 2 cm zigzag, smoothed back to within 1 cm."""
     p = t.path.select("run", "k", "s", (c("lx") + F.when(c("k") % 2 == 0, 0.02).otherwise(-0.02)).alias("x"), c("lz").alias("z"), F.lit(0.02).alias("sigma"), c("lx").alias("truth"))
-    out = fit.smooth_curves(p, ["run"], "s", ["x", "z"], "sigma", rounds=3)
+    out = fit.smooth_curves(p, ["run"], "s", ["x", "z"], "sigma")
     return out.groupBy("run").agg(F.count(F.lit(1)).alias("n"), (F.percentile(F.abs(c("x_fit") - c("truth")), F.lit(0.95)) < 0.01).alias("smooth"))
 
 
@@ -213,7 +213,7 @@ def _(t):
 @query("itr_08_recover_alignment", "points")
 def _(t):
     source, target, start = _pairs_of_clouds(t)
-    out = fit.recover_alignment(source, target, start, ["frame"], rounds=2)
+    out = fit.recover_alignment(source, target, start, ["frame"])
     return out.select("frame", (c("spread_m") <= 0.1).alias("stable"), "accepted")
 
 
@@ -244,7 +244,7 @@ def _reach(t, configs):
     starts = p.select("run").distinct().select("run", F.lit(4.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
     out = None
     for name, cfg in configs.items():
-        r = ma.march_corridor(p, starts, t.template, ["run"], {**SPARSE, "rounds": 3, **cfg})
+        r = ma.march_corridor(p, starts, t.template, ["run"], {**SPARSE, **cfg})
         r = r.groupBy("run").agg(F.max("su").alias("reach_m"), F.max("reason").alias("reason")).withColumn("config", F.lit(name))
         out = r if out is None else out.unionByName(r)
     return out
