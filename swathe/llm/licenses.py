@@ -64,8 +64,11 @@ cc-by-nc; cc; cc[-\\s]by[-\\s]nc; 1.0 2.0 2.5 3.0 4.0; CC-BY-NC; creativecommons
 cc-by-nc-sa; cc; cc[-\\s]by[-\\s]nc[-\\s]sa; 1.0 2.0 2.5 3.0 4.0; CC-BY-NC-SA; creativecommons\\.org/licenses/by-nc-sa/
 cc-by-nc-nd; cc; cc[-\\s]by[-\\s]nc[-\\s]nd; 1.0 2.0 2.5 3.0 4.0; CC-BY-NC-ND; creativecommons\\.org/licenses/by-nc-nd/
 cc-by; attribution; creative\\s+commons\\s+attribution; 1.0 2.0 2.5 3.0 4.0; ;
-cc-by-sa; sharealike; creative\\s+commons\\s+attribution[-\\s]+share\\s?alike; 1.0 2.0 2.5 3.0 4.0; ;
-cc-by-nc; noncommercial; creative\\s+commons\\s+attribution[-\\s]+non\\s?commercial; 1.0 2.0 2.5 3.0 4.0; ;
+cc-by-sa; share; creative\\s+commons\\s+attribution[-\\s]+share[-\\s]*alike; 1.0 2.0 2.5 3.0 4.0; ;
+cc-by-nd; attribution; creative\\s+commons\\s+attribution[-\\s]+no[-\\s]*deriv(?:ative)?s(?:[-\\s]+works)?; 1.0 2.0 2.5 3.0 4.0; ;
+cc-by-nc; commercial; creative\\s+commons\\s+attribution[-\\s]+non[-\\s]*commercial; 1.0 2.0 2.5 3.0 4.0; ;
+cc-by-nc-sa; commercial; creative\\s+commons\\s+attribution[-\\s]+non[-\\s]*commercial[-\\s]+share[-\\s]*alike; 1.0 2.0 2.5 3.0 4.0; ;
+cc-by-nc-nd; commercial; creative\\s+commons\\s+attribution[-\\s]+non[-\\s]*commercial[-\\s]+no[-\\s]*deriv(?:ative)?s(?:[-\\s]+works)?; 1.0 2.0 2.5 3.0 4.0; ;
 public-domain; domain; (?:in|into|to)\\s+the\\s+public\\s+domain; ; ;
 proprietary; reserved; all\\s+rights\\s+reserved; ; ;
 proprietary; confidential; proprietary\\s+and\\s+confidential; ; ;
