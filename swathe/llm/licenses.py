@@ -73,14 +73,53 @@ public-domain; domain; (?:in|into|to)\\s+the\\s+public\\s+domain; ; ;
 proprietary; reserved; all\\s+rights\\s+reserved; ; ;
 proprietary; confidential; proprietary\\s+and\\s+confidential; ; ;
 """
+# Label; keyword; a sentence of the licence's own wording. Words may be parted by whatever isn't a letter or a digit. In a sentence, ? begins words
+# that may be missing (joined by _), | parts alternatives and ... stands for up to 15 words. Apache 1.1, OpenSSL and PHP repeat those of bsd.
+SIGNATURES = """
+mit; hereby; permission is hereby granted free of charge to any person obtaining a copy of this software and ?to_any associated documentation files
+mit; substantial; the above copyright notice and this permission notice ?including_the_next_paragraph shall be included in all copies or substantial portions of the software
+mit; noninfringement; the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+bsd; redistribution; redistribution and use in source and binary forms with or without modification are permitted
+bsd; redistributions; redistributions of source code must retain the ?above copyright notice this list of conditions and the following disclaimer
+bsd; redistributions; redistributions in binary form must reproduce the ?above copyright notice this list of conditions and the following disclaimer in the documentation
+bsd; merchantability; this software is provided by ... as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+bsd-3-clause; endorse; neither the name|names of ... nor the names of ?its|his|her|their contributors may be used to endorse or promote products derived from this software
+bsd-4-clause; advertising; all advertising materials mentioning features or use of this software must display the following acknowledgement|acknowledgment
+isc; hereby; permission to use copy modify and ?or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
+postgresql; hereby; permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+zlib; liable; this software is provided as is without any express or implied warranty in no event will|shall the author|authors be held liable for any damages arising from the use of this software
+zlib; redistribute; permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely
+zlib; misrepresented; the origin of this software must not be misrepresented you must not claim that you wrote the original software
+zlib; misrepresented; altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+boost-1.0; hereby; permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+boost-1.0; infringement; the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement
+apache-2.0; irrevocable; subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable
+apache-2.0; applicable; unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+gpl-2.0; gnu; under the terms of the gnu general public license as published by the free software foundation either version 2
+gpl-3.0; gnu; under the terms of the gnu general public license as published by the free software foundation either version 3
+lgpl-2.1; gnu; under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1
+lgpl-3.0; gnu; under the terms of the gnu lesser general public license as published by the free software foundation either version 3
+agpl-3.0; affero; under the terms of the gnu affero general public license as published by the free software foundation either version 3
+unlicense; unencumbered; this is free and unencumbered software released into the public domain
+unlicense; compile; anyone is free to copy modify publish use compile sell or distribute this software
+wtfpl; fuck; you just do what the fuck you want to
+ofl; hereby; permission is hereby granted free of charge to any person obtaining a copy of the font software
+cc0-1.0; affirmer; affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders
+"""
 # Every rule's match, and every base phrase, holds one of these, or the words "cc" and "by" in a row.
-GATE = "licen spdx gpl bsd cc0 commons domain reserved proprietary wtfpl mozilla.org/ eclipse.org/ joinup. python.org/psf sil.org/".split()
+GATE = (
+    "licen spdx gpl bsd cc0 commons domain reserved proprietary wtfpl mozilla.org/ eclipse.org/ joinup. python.org/psf sil.org/ "
+    "hereby substantial infringement redistribut merchantability endorse advertising liable misrepresented compile fuck affirmer"
+).split()
 GRANT = "(?:licen[cs]ed|released|distributed|available|published)\\s+under\\s+(?:the\\s+)?(?:terms\\s+of\\s+the\\s+)?"
+# What parts the words of a sentence, with typographic quotes and dashes, and a word between.
+MARKED = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F\\x{A0}\\x{2010}-\\x{201F}\\x{2022}"
+PARTED, OTHER = f"[{MARKED}]++", f"[^{MARKED}]++"
 c = F.col
 
 
 def rules() -> list[dict]:
-    """The ordered rules: for each family its SPDX tags, addresses, versions, grants and bare names."""
+    """The ordered rules: for each family its SPDX tags, addresses, versions, grants and bare names, then sentences of the licences themselves."""
     out = []
 
     def add(label: str, keyword: str, priority: int, confidence: float, pattern: str) -> None:
@@ -105,6 +144,20 @@ def rules() -> list[dict]:
             add(label, "http", 3, 0.8, f"https?://(?:www\\.)?{address}")
         add(label, keyword, 2, 0.75, f"{GRANT}{name}")
         add(label, keyword, 1, 0.6, name)
+    for line in SIGNATURES.strip().split("\n"):
+        label, keyword, sentence = (x.strip() for x in line.split(";"))
+        add(label, keyword, 4, 0.9, _sentence(sentence))
+    return out
+
+
+def _sentence(words: str) -> str:
+    """Pattern of a signature's sentence."""
+    out = ""
+    for word in words.split():
+        may = word.startswith("?")
+        inner = PARTED.join(word.removeprefix("?").split("_")) if "|" not in word else f"(?:{word.removeprefix('?')})"
+        after = PARTED if out else ""
+        out += f"(?:{PARTED}{OTHER}){{1,15}}?" if word == "..." else f"(?:{after}{inner})?" if may else f"{after}{inner}"
     return out
 
 

@@ -17,6 +17,9 @@ def variants(tree):
         if name == "LITERAL":
             parts.append([chr(arg)])
         elif name == "IN":
+            if str(arg[0][0]) == "NEGATE" or arg[0] == (_parser.RANGE, (0, 0x2F)):
+                parts.append(["x" if str(arg[0][0]) == "NEGATE" else " "])  # a word between, what parts words
+                continue
             parts.append([" " if str(k) == "CATEGORY" else chr(v[0] if str(k) == "RANGE" else v) for k, v in arg])
         elif name == "SUBPATTERN":
             parts.append(variants(arg[3]))
@@ -65,3 +68,27 @@ CC_NAMES = {
 def test_creative_commons_names_keep_their_label(spark):
     got = {r["doc_id"]: r["labels"] for r in license_scan(H.docs_frame(spark, list(enumerate(CC_NAMES)))).collect()}
     assert got == dict(enumerate(CC_NAMES.values()))
+
+
+MIT = """Copyright (c) 2020 A. Nonymous
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal in the Software without restriction.
+ * The above copyright notice and this permission notice shall be included in all
+ * copies or substantial portions of the Software."""
+BODIES = {
+    MIT: "mit",
+    "THE SOFTWARE IS PROVIDED “AS IS”, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\n# IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\n# FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.": "mit",
+    "Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that": "bsd",
+    "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the <organization> nor the\n names of its contributors may be used to endorse or promote products derived from this software": "bsd,bsd-3-clause,proprietary",
+    "Neither the name of X nor the names of contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.": "zlib",
+    "The origin of this software must not be misrepresented; you must not\nclaim that you wrote the original software.": "zlib",
+    "We hereby redistribute the advertising; he is liable.": "",
+}
+
+
+def test_bodies_without_a_name_get_their_label(spark):
+    got = {r["doc_id"]: r["labels"] for r in license_scan(H.docs_frame(spark, list(enumerate(BODIES)))).collect()}
+    assert got == dict(enumerate(BODIES.values()))
