@@ -123,7 +123,7 @@ def _(t):
     d = d.withColumn("age_m", F.sqrt((c("sx") - c("tx")) ** 2 + (c("sy") - c("ty")) ** 2)).select("run", "frame", "source", "age", "age_m")
     chosen = de.history_select(d, ["run", "frame"], [0, 1, 2, 4], 3)
     cells = t.points.select("run", c("frame").alias("source"), F.floor(-c("y")).alias("cell"))
-    start = h.where(c("frame") % 25 == 20).select("run", "frame", "source").join(cells, ["run", "source"])
+    start = h.select("run", "frame", "source").join(cells, ["run", "source"])
     cover = de.greedy_coverage(start, ["run", "frame"]).select("run", "frame", "source", F.lit("COVERAGE").alias("rule"))
     return chosen.unionByName(cover)
 
@@ -234,7 +234,7 @@ def _(t):
 
 @query("itr_11_visibility_likelihood", "points template")
 def _(t):
-    p = t.points.where(c("x").between(-0.1, 0.2) & c("z").between(-0.1, 0.15)).select("run", "frame", c("point_idx").alias("id"), c("x").alias("v"), c("z").alias("w"))
+    p = t.points.select("run", "frame", c("point_idx").alias("id"), c("x").alias("v"), c("z").alias("w"))
     out = ma.visibility_likelihood(p, t.template, ["run"], "frame")
     return out.select("run", *[F.round(n, 6).alias(n) for n in ("ov", "ow", "cost", "var_v", "var_w")])
 

@@ -70,11 +70,17 @@ def visibility_likelihood(points: DataFrame, template: DataFrame, keys: list[str
     """Modes of a placement: robust cost per offset, averaged per source first so no source outvotes another.
 
     ``points``: keys, source, id, v, w. Returns the modes that are ``apart``,
-    their weight, and the spread of the weights around the mean.
+    their weight, and the spread of the weights around the mean. Points that no
+    offset can bring within the cap of the template cost the same everywhere and are left out.
     """
     from ..operators.graph import greedy_select
 
-    d = template_distance(shifted(points.select(*keys, source, "id", "v", "w"), offset_grid(points.sparkSession, half, step)), template, [*keys, source, "id", "ov", "ow"], cap=0.1)
+    cap = 0.1
+    far = half + cap
+    box = template.agg(*[f(n).alias(f"__{f.__name__}_{n}") for n in ("v", "w") for f in (F.min, F.max)])  # one row
+    near = [c(n).between(c(f"__min_{n}") - far, c(f"__max_{n}") + far) for n in ("v", "w")]
+    points = points.select(*keys, source, "id", "v", "w").join(F.broadcast(box), near[0] & near[1]).select(*keys, source, "id", "v", "w")
+    d = template_distance(shifted(points, offset_grid(points.sparkSession, half, step)), template, [*keys, source, "id", "ov", "ow"], cap=cap)
     cost = F.log1p((c("d") / 0.015) * (c("d") / 0.015))
     per = d.groupBy(*keys, source, "ov", "ow").agg(F.avg(cost).alias("cost"))
     g = cut(per.groupBy(*keys, "ov", "ow").agg(F.round(F.avg("cost"), 9).alias("cost"), F.count(F.lit(1)).alias("sources")), "likelihood")
