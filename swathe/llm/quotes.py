@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from ..session import cut
 
 MARKS = "^(?:[ \\t]{0,3}>)+[ \\t]?"
-#: Shorter lines of a longer passage aren't looked up on their own.
+#: Shorter lines of a longer passage count only where neither it nor a longer line is found.
 SHORTEST = 8
 BLOCK = 256
 c = F.col
@@ -55,23 +55,26 @@ def _digests(texts):
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """Quoted passages (conv, turn, level, passage) with ``origin``, the turn of the earliest message that holds them; only those that have one.
+    """Quoted passages (conv, turn, level, passage, outermost: no passage of the message has a lower level) with ``origin``, the turn of the
+    earliest message that holds them; only those that have one.
 
-    A passage that isn't found whole takes the latest origin among its lines.
+    A passage that isn't found whole takes the latest origin among its lines, the longer ones first.
     """
     rows = parsed(messages.select("conv", "turn", "text"))
-    quoting = rows.where("size(passages) > 0").select("conv", "turn", F.posexplode("passages").alias("passage", "p"))
-    lines = F.filter(c("p.lines"), lambda x: F.char_length(_normal(x)) >= SHORTEST)
+    quoting = rows.where("size(passages) > 0").select("conv", "turn", F.array_min("passages.level").alias("least"), F.posexplode("passages").alias("passage", "p"))
+    long = F.filter(c("p.lines"), lambda x: F.char_length(_normal(x)) >= SHORTEST)
+    short = F.filter(c("p.lines"), lambda x: F.char_length(_normal(x)) < SHORTEST)
     keys = F.concat(
-        F.transform(_digests(F.array(F.array_join("p.lines", "\n"))), lambda x: F.struct(F.lit(1).alias("whole"), x.alias("digest"))),
-        F.transform(_digests(lines), lambda x: F.struct(F.lit(0).alias("whole"), x.alias("digest"))),
+        F.transform(_digests(F.array(F.array_join("p.lines", "\n"))), lambda x: F.struct(F.lit(2).alias("whole"), x.alias("digest"))),
+        F.transform(_digests(long), lambda x: F.struct(F.lit(1).alias("whole"), x.alias("digest"))),
+        F.transform(_digests(short), lambda x: F.struct(F.lit(0).alias("whole"), x.alias("digest"))),
     )
-    wanted = quoting.select("conv", "turn", "passage", "p.level", F.explode(keys).alias("k")).select("conv", "turn", "passage", "level", "k.*")
+    wanted = quoting.select("conv", "turn", "passage", "p.level", (c("p.level") == c("least")).alias("outermost"), F.explode(keys).alias("k")).select("conv", "turn", "passage", "level", "outermost", "k.*")
     units = F.concat(F.array("body"), F.split("body", "\\n\\s*\\n"), F.split("body", "\\n"))
     talks = rows.select("conv", "turn", "body").join(quoting.select("conv").distinct(), "conv", "left_semi")
     origins = talks.select("conv", "turn", F.explode(_digests(units)).alias("digest")).groupBy("conv", "digest").agg(F.min("turn").alias("origin"))
     met = wanted.join(origins, ["conv", "digest"]).where("origin < turn")
-    return met.groupBy("conv", "turn", "level", "passage").agg(F.max(F.struct("whole", "origin")).alias("m")).select("conv", "turn", "level", "passage", c("m.origin").alias("origin"))
+    return met.groupBy("conv", "turn", "level", "passage").agg(F.bool_or("outermost").alias("outermost"), F.max(F.struct("whole", "origin")).alias("m")).select("conv", "turn", "level", "passage", "outermost", c("m.origin").alias("origin"))
 
 
 def _carried(nodes: DataFrame, value, fold, name: str) -> DataFrame:
@@ -131,7 +134,7 @@ def threads(messages: DataFrame) -> DataFrame:
     ok = rows.where("conv is not null and turn is not null").select("conv", "turn", "text")
     found = cut(links(ok), "links")
     nodes = _previous(ok.select("conv", "turn").distinct())
-    explicit = found.where("level = 1").groupBy("conv", "turn").agg(F.max("origin").alias("origin"))
+    explicit = found.where("outermost").groupBy("conv", "turn").agg(F.max("origin").alias("origin"))
     linked = found.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("linked"))
     nodes = nodes.join(explicit, ["conv", "turn"], "left").join(linked, ["conv", "turn"], "left")
     nodes = nodes.withColumn("reply_to", F.coalesce("origin", "previous"))

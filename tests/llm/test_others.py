@@ -281,3 +281,14 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
     assert "pipeline" in entry.queries()
+
+
+def test_outermost_level_and_short_lines_link(spark):
+    talk = [
+        ("a", 0, "u", "The first question of all, at length"), ("a", 1, "v", "A second remark, of another kind"), ("a", 2, "u", ">> The first question of all, at length\nTo that"),
+        ("a", 3, "v", ">> The first question of all, at length\n> A second remark, of another kind\nTo the outer one"),
+        ("b", 0, "u", "Tea?"), ("b", 1, "v", "Nothing to do with it"), ("b", 2, "u", "> Tea?\n> never said by anyone\nYes"),
+        ("c", 0, "u", "Yes"), ("c", 1, "v", "A longer line of text"), ("c", 2, "u", "Something else"), ("c", 3, "v", "> A longer line of text\n> never said by anyone\n> Yes\nSo"),
+    ]
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["linked"]) for r in quotes.threads(spark.createDataFrame(talk, "conv_id string, turn long, role string, text string")).collect()}
+    assert [got["a", 2], got["a", 3], got["b", 2], got["c", 3]] == [(0, 1), (1, 2), (0, 1), (1, 1)]
