@@ -62,7 +62,21 @@ def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     target = os.path.join(scratch_folder(spark), f"{tag}-{uuid.uuid4().hex}")
     schema = df.schema
     df.write.mode("error").parquet(target)
-    return spark.read.schema(schema).parquet(target)
+    out = spark.read.schema(schema).parquet(target)
+    out._written_to = target
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes what ``cut`` wrote.
+
+    Only for tables whose every result is itself written: a lost executor may
+    otherwise need them again.
+    """
+    for df in written:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def df_sql(text: str, **frames: DataFrame) -> DataFrame:
