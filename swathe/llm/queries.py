@@ -104,3 +104,44 @@ def op5_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     from .nearest import nearest
 
     return nearest(_table(spark, folder, "embeddings"))
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    from .centroids import centroid_clusters
+
+    found = centroid_clusters(_table(spark, folder, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join(c("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Every round of op12 as its own pair of steps: nearest centroid, then floored means."""
+    near = "SELECT row, vec_id, q, arg_min(cl, (d, cl)) AS cl, min(d) AS d FROM (SELECT v.row, v.vec_id, v.q, g.cl, list_sum(list_transform(list_zip(v.q, g.q), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS BIGINT))) AS d FROM v, c{i} g) GROUP BY row, vec_id, q"
+    mean = "SELECT cl, list(m ORDER BY j) AS q FROM (SELECT cl, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (SELECT cl, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT cl, unnest(q) AS x, generate_subscripts(q, 1) AS j FROM a{i}) GROUP BY cl, j)) GROUP BY cl"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({near.format(i=i)})")
+        steps.append(f"m{i} AS ({mean.format(i=i)})")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT o.cl, coalesce(n.q, o.q) AS q FROM c{i} o LEFT JOIN m{i} n USING (cl))")
+    steps.append(f"a{rounds} AS MATERIALIZED ({near.format(i=rounds)})")
+    return ",\n".join(steps)
+
+
+ORACLE["op12_centroid_clusters"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS INTEGER) AS cl, q FROM v QUALIFY cl < 16),
+{_rounds_sql(3)}
+SELECT vec_id, cl AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY cl)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (cl)
+"""
+
+
+@query
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    found = simhash_components(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
