@@ -145,3 +145,31 @@ def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
     found = simhash_components(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, folder, "documents"))
+
+
+ORACLE["op11_collocations"] = r"""
+WITH texts AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, row_number() OVER () AS p, piece FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts)),
+words AS MATERIALIZED (SELECT lang, p, row_number() OVER (PARTITION BY p ORDER BY i) AS i, w FROM (SELECT lang, p, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces))),
+one AS MATERIALIZED (SELECT lang, w AS phrase, count(*) AS f FROM words GROUP BY ALL),
+two AS MATERIALIZED (SELECT x.lang, x.w AS w1, y.w AS w2, count(*) AS f FROM words x JOIN words y ON x.p = y.p AND y.i = x.i + 1 GROUP BY ALL),
+three AS MATERIALIZED (SELECT x.lang, x.w AS w1, y.w AS w2, z.w AS w3, count(*) AS f FROM words x JOIN words y ON x.p = y.p AND y.i = x.i + 1 JOIN words z ON x.p = z.p AND z.i = x.i + 2 GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(f) AS n FROM one GROUP BY lang),
+around AS (SELECT lang, w1, w2, max(f) AS most FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT two.lang, two.w1 || ' ' || two.w2 AS phrase, 1 AS k, two.f AS a, x.f AS l, y.f AS r FROM two JOIN one x ON x.lang = two.lang AND x.phrase = two.w1 JOIN one y ON y.lang = two.lang AND y.phrase = two.w2 LEFT JOIN around o ON o.lang = two.lang AND o.w1 = two.w1 AND o.w2 = two.w2
+  WHERE two.f >= 10 AND (most IS NULL OR 100 * most < 50 * two.f)
+  UNION ALL SELECT t.lang, concat_ws(' ', t.w1, t.w2, t.w3), 1, t.f, x.f, y.f FROM three t JOIN one x ON x.lang = t.lang AND x.phrase = t.w1 JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL SELECT t.lang, concat_ws(' ', t.w1, t.w2, t.w3), 2, t.f, x.f, y.f FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one y ON y.lang = t.lang AND y.phrase = t.w3),
+scored AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
+FROM least JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
