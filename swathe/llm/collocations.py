@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut, discard
-from .batches import by_group
+from .batches import bounds, by_group
 from .words import column_bytes, text_slices
 
 CHUNK = 8 << 20
@@ -50,32 +50,35 @@ def _one(values: np.ndarray) -> pa.ListArray:
     return _lists(values, np.array([0, len(values)]))
 
 
-def _words(batches):
-    """The relation of single words: one row per chunk and language."""
+def _words(size: int):
+    """The relation of single words: one row per chunk of about ``size`` bytes and language."""
     from pyspark import TaskContext
 
-    chunk = TaskContext.get().partitionId() << TASK
-    top = chunk + (1 << TASK)
-    for batch in batches:
-        for part in text_slices(batch, "text", CHUNK):
-            b, offsets = column_bytes(part.column("text"))
-            data, lang = b.tobytes(), part.column("lang").to_pylist()
-            for one in dict.fromkeys(lang):
-                texts = [data[offsets[i] : offsets[i + 1]] for i, x in enumerate(lang) if x == one]
-                tokens = b" . ".join(texts).translate(CODES).replace(b".", b" . ").split()
-                numbers = _Numbers({b".": 0})
-                items = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)) - 1
-                if len(numbers) == 1:
-                    continue
-                if chunk == top or len(numbers) >> PLACE:
-                    raise OverflowError("more chunks in a task, or phrases in a chunk, than names are made for")
-                n = np.bincount(items[items >= 0], minlength=len(numbers) - 1)
-                words = pa.array(list(numbers)[1:], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk]), pa.array([one]), _one(items), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), _one(n.astype(np.int64))],
-                    ["chunk", "lang", "items", "words", "n"],
-                )
-                chunk += 1
+    def run(batches):
+        chunk = TaskContext.get().partitionId() << TASK
+        top = chunk + (1 << TASK)
+        for batch in batches:
+            for part in text_slices(batch, "text", size):
+                b, offsets = column_bytes(part.column("text"))
+                data, lang = b.tobytes(), part.column("lang").to_pylist()
+                for one in dict.fromkeys(lang):
+                    texts = [data[offsets[i] : offsets[i + 1]] for i, x in enumerate(lang) if x == one]
+                    tokens = b" . ".join(texts).translate(CODES).replace(b".", b" . ").split()
+                    numbers = _Numbers({b".": 0})
+                    items = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)) - 1
+                    if len(numbers) == 1:
+                        continue
+                    if chunk == top or len(numbers) >> PLACE:
+                        raise OverflowError("more chunks in a task, or phrases in a chunk, than names are made for")
+                    n = np.bincount(items[items >= 0], minlength=len(numbers) - 1)
+                    words = pa.array(list(numbers)[1:], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([chunk]), pa.array([one]), _one(items), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), _one(n.astype(np.int64))],
+                        ["chunk", "lang", "items", "words", "n"],
+                    )
+                    chunk += 1
+
+    return run
 
 
 def _named(local: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
@@ -124,8 +127,9 @@ def _extended(buckets: int, last: bool):
 
 
 def _counted(least: int):
-    def work(table: pa.Table) -> pa.RecordBatch:
-        """Of every chunk the phrases that occur ``least`` times or more in all chunks; each phrase's counts once, beside its first place."""
+    """Of every chunk the phrases that occur ``least`` times or more in all chunks; each phrase's counts once, beside its first place."""
+
+    def bucket(table: pa.Table) -> pa.RecordBatch:
         chunk, base = table.column("chunk").to_numpy(), table.column("base").to_numpy()
         a, b, n = (table.column(x).combine_chunks() for x in ("a", "b", "n"))
         size = np.diff(np.asarray(a.offsets))
@@ -152,6 +156,11 @@ def _counted(least: int):
             COUNTED.split(" ")[::2],
         )
 
+    def work(table: pa.Table) -> pa.RecordBatch:
+        ends = bounds(table.column("bucket").to_numpy())
+        parts = [bucket(table.slice(lo, hi - lo)) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0] if any(map(len, parts)) else parts[0]
+
     return work
 
 
@@ -172,7 +181,7 @@ def phrase_counts(docs: DataFrame, longest: int, least: int) -> tuple[list[DataF
     counts of its first 1, 2, ... and last 1, 2, ... words).
     """
     rows = docs.select(F.coalesce(c("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    level = cut(rows.mapInArrow(_words, "chunk long, lang string, items array<int>, words array<string>, n array<long>"), "words")
+    level = cut(rows.mapInArrow(_words(CHUNK), "chunk long, lang string, items array<int>, words array<string>, n array<long>"), "words")
     each = level.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("local", "w")).select("chunk", "lang", "local", c("w.words").alias("word"), c("w.n").alias("n"))
     same = Window.partitionBy("lang", "word")
     known = each.withColumn("f", F.sum("n").over(same)).withColumn("id", F.min(F.shiftleft("chunk", PLACE) + c("local")).over(same))

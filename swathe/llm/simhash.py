@@ -208,7 +208,7 @@ def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
 
 
-def _paged(radius: int, head: np.uint64):
+def _paged(radius: int, head: np.uint64, size: int):
     """Links inside each page of consecutive rows; the rows of a page's first and last leading block follow, for other pages."""
     from pyspark import TaskContext
 
@@ -230,8 +230,8 @@ def _paged(radius: int, head: np.uint64):
             t, v, rep = table.column("t").to_numpy(), table.column("v").to_numpy().view(U), table.column("rep").to_numpy()
             lo = 0
             while lo < len(t):
-                hi = min(lo + PAGE, int(np.searchsorted(t, t[lo], "right")))
-                if hi == len(t) and hi - lo < PAGE and not last:
+                hi = min(lo + size, int(np.searchsorted(t, t[lo], "right")))
+                if hi == len(t) and hi - lo < size and not last:
                     break
                 yield from page(t[lo:hi], v[lo:hi], rep[lo:hi], number)
                 number, lo = number + 1, hi
@@ -240,7 +240,7 @@ def _paged(radius: int, head: np.uint64):
         for batch in batches:
             held.append(batch)
             rows += len(batch)
-            if rows >= PAGE:
+            if rows >= size:
                 yield from full(pa.Table.from_batches(held), False)
                 rows = sum(map(len, held))
         if rows:
@@ -301,7 +301,7 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFram
     entries = cut(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "entries")
     tables = entries.mapInArrow(_rotated(radius), "t int, rank long, v long, rep long")
     ordered = tables.repartitionByRange("t", "rank").sortWithinPartitions("t", "rank").select("t", "v", "rep")
-    paged = cut(ordered.mapInArrow(_paged(radius, head), "page long, t int, block long, v long, a long, b long"), "pages")
+    paged = cut(ordered.mapInArrow(_paged(radius, head, PAGE), "page long, t int, block long, v long, a long, b long"), "pages")
     links = paged.where("page < 0").select("a", "b").unionByName(_between(paged.where("page >= 0"), radius, head))
     found = linked_components(links).withColumnRenamed("id", "rep")
     told = entries.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
