@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from swathe.llm.decontaminate import without_items
 from swathe.llm.near import keep_one_per_class
 from swathe.llm.pieces import encoded
-from swathe.llm.repeats import kept_text, without_repeats
+from swathe.llm.repeats import kept_text
 from swathe.llm.toxicity import without_toxic
 from swathe.session import cut
 
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand earlier in the corpus; ``text`` and ``n_chars`` change."""
-    return kept_text(without_repeats(docs)).select(docs.columns)
+    return kept_text(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,12 +52,16 @@ def gram_hashes(b: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(b: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, first start, number of starts, offset of the gram, gram hash, hash of the run's bytes) of every run.
+    """(document, first start, number of starts, offset of the gram, gram hash, hash of the run's bytes, left, right) of every run.
 
-    Starts count from the document's first byte; strings stay inside a document.
+    Starts count from the document's first byte; strings stay inside a
+    document. Left and right are short hashes of the gram with half of the
+    other bytes of a string before or behind it: a string shared by two runs covers
+    one of these in both. A run that doesn't reach so far has a value of its own there.
     """
     out = []
     width = length - GRAM + 1
+    half = -(-(length - GRAM) // 2)
     for lo in range(0, max(len(b) - length + 1, 0), SLICE):
         part = b[lo : lo + SLICE + length - 1]
         h = gram_hashes(part, GRAM)
@@ -81,13 +85,18 @@ def runs(b: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, .
         up = np.cumprod(up, dtype=U)
         total = np.zeros(len(part) + 1, U)
         np.cumsum(TABLE[part] * up, out=total[1:])
-        down = np.full(len(at), UNROLL, U)
+        down = np.full(len(part), UNROLL, U)
         down[0] = 1
         down = np.cumprod(down, dtype=U)
         n = last - first + 1
         x = mix((total[last + length] - total[first]) * down[first] + n.astype(U))
-        out.append((doc, first + lo - offsets[doc], n, at[first] - first, h[at[first]].view(np.int64), x.view(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 6
+        gram = at[first]
+        sides = []
+        for reached, i, j in ((first <= gram - half, gram - half, gram + GRAM), (last + length >= gram + GRAM + half, gram, gram + GRAM + half)):
+            i, j = np.where(reached, i, first), np.where(reached, j, first)
+            sides.append(np.where(reached, mix((total[j] - total[i]) * down[i]), x).astype(np.uint32).view(np.int32))
+        out.append((doc, first + lo - offsets[doc], n, gram - first, h[gram].view(np.int64), x.view(np.int64), *sides))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 6 + (np.zeros(0, np.int32),) * 2
 
 
 def _run_rows(length: int):
@@ -96,16 +105,16 @@ def _run_rows(length: int):
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                row, first, n, gram, h, x = runs(*column_bytes(part.column("text")), length)
+                row, first, n, gram, h, x, left, right = runs(*column_bytes(part.column("text")), length)
                 doc, at = part.column("doc").to_numpy()[row], first << 16 | n << 8 | gram
                 order = np.lexsort((at, doc, x, h))
-                h, x, doc, at = h[order], x[order], doc[order], at[order]
+                h, x, doc, at, left, right = (v[order] for v in (h, x, doc, at, left, right))
                 head = np.ones(len(h), bool)
                 head[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
                 first_of = np.flatnonzero(head)[np.cumsum(head) - 1] if len(h) else np.zeros(0, np.int64)
                 known = (doc != doc[first_of]) | (at != at[first_of])
                 h = np.where(known, mix(doc.astype(U) ^ (at.astype(U) << U(20))).view(np.int64), h)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(doc), pa.array(at), pa.array(known)], ["h", "x", "doc", "at", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(doc), pa.array(at), pa.array(left), pa.array(right), pa.array(known)], ["h", "x", "doc", "at", "l", "r", "known"])
 
     return run
 
@@ -256,7 +265,7 @@ def _fetched(length: int, single: bool):
 def repeat_starts(docs: DataFrame, length: int = 100) -> DataFrame:
     """Spans (doc, start, n): n consecutive starts, from byte ``start`` of the document, of strings that start earlier too."""
     texts = docs.select(c("doc_id").cast("long").alias("doc"), "text").where("doc is not null and octet_length(text) >= {n}".replace("{n}", str(length)))
-    rows = texts.mapInArrow(_run_rows(length), "h long, x long, doc long, at long, known boolean")
+    rows = texts.mapInArrow(_run_rows(length), "h long, x long, doc long, at long, l int, r int, known boolean")
     found = rows.selectExpr(
         "*",
         "first_value(struct(doc, at)) over (partition by h, x order by doc, at) as head",
@@ -264,9 +273,12 @@ def repeat_starts(docs: DataFrame, length: int = 100) -> DataFrame:
         "max(x) over (partition by h) as high",
     )
     first = c("head.doc").eqNullSafe(c("doc")) & c("head.at").eqNullSafe(c("at")) & ~c("known")
-    found = cut(found.select("h", "doc", "at", first.alias("first"), (c("low") != c("high")).alias("several")).where("not first or several"), "runs")
+    found = found.select("h", "x", "doc", "at", "l", "r", first.alias("first"), (c("low") != c("high")).alias("several")).where("not first or several")
+    apart = [f"{f}(x) over (partition by h, {side})" for side in ("l", "r") for f in ("min", "max")]
+    found = found.selectExpr("h", "doc", "at", "first", f"several and ({apart[0]} <> {apart[1]} or {apart[2]} <> {apart[3]}) as several")
+    found = cut(found.where("not first or several"), "runs")
     spans = found.where("not first").select("doc", F.expr("shiftright(at, 16)").alias("start"), F.expr("shiftright(at, 8) & 255").alias("n"))
-    wanted = found.where("first").select("h", "doc", "at")
+    wanted = found.where("first and several").select("h", "doc", "at")
     crowded = wanted.groupBy("h").agg(F.count(F.lit(1)).alias("runs")).where(c("runs") > GROUP).select("h")
 
     def fetch(w: DataFrame, single: bool) -> DataFrame:
@@ -283,7 +295,7 @@ def repeat_starts(docs: DataFrame, length: int = 100) -> DataFrame:
     return spans.unionByName(by_group(rest, "h", _indexed(length), "doc long, start long, n long", INDEX_ROWS)).unionByName(later)
 
 
-def _cut_out(length: int, names: list[str]):
+def _cut_out(length: int, names: list[str], whole_characters: bool):
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, names[0]):
@@ -303,8 +315,18 @@ def _cut_out(length: int, names: list[str]):
                 inner = offsets[:-1][offsets[:-1] < len(b)]
                 begins[inner] = gone[inner]
                 totals = [np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone, begins)]
-                kept = b[~gone].tobytes()
                 at = offsets - totals[0]
+                if whole_characters:
+                    begin = (b & 0xC0) != 0x80
+                    begin[inner] = True
+                    character = np.cumsum(begin) - 1
+                    split = np.zeros(len(b) + 1, bool)
+                    split[character[gone]] = True
+                    out = gone | split[character]
+                    at = offsets - np.concatenate([[0], np.cumsum(out)])[offsets]
+                    kept = b[~out].tobytes()
+                else:
+                    kept = b[~gone].tobytes()
                 pieces = [kept[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 arrays = [part.column(x) for x in part.schema.names if x != "__spans"]
                 yield pa.RecordBatch.from_arrays(
@@ -315,7 +337,7 @@ def _cut_out(length: int, names: list[str]):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 100, whole_characters: bool = False) -> DataFrame:
     """Removes every byte covered by a string of ``length`` bytes that also starts earlier in the corpus.
 
     Earlier is a smaller doc_id, or a smaller start in the same document.
@@ -323,7 +345,8 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     ``doc_id`` (long) and ``text``; other columns pass through. Returns the
     columns of ``docs`` and, replacing any of the same name, ``n_bytes``,
     ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (the
-    remaining bytes). Null texts are empty; rows without a doc_id are not
+    remaining bytes; with ``whole_characters`` without what a cut leaves of a
+    split character). Null texts are empty; rows without a doc_id are not
     compared and stay whole; repeated rows with one doc_id are one document and come out alike.
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept"]
@@ -332,11 +355,13 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     none = F.array().cast("array<struct<start:bigint,n:bigint>>")
     joined = docs.select(names).join(per_doc, c("doc_id").cast("long") == c("__doc"), "left").select(*names, F.coalesce("__spans", none).alias("__spans"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema), "n_bytes long", "n_removed long", "n_spans long", "kept binary"])
-    return joined.mapInArrow(_cut_out(length, ["text"]), schema)
+    return joined.mapInArrow(_cut_out(length, ["text"], whole_characters), schema)
 
 
-def kept_text(removed: DataFrame) -> DataFrame:
-    """``text`` and ``n_chars`` from ``kept``; what a cut leaves of a split character goes as well."""
-    clean = F.expr("validate_utf8(make_valid_utf8(cast(kept as string)))")
-    return removed.withColumn("text", F.when(c("n_removed") == 0, c("text")).otherwise(F.regexp_replace(clean, "\ufffd", ""))).withColumn("n_chars", F.char_length("text").cast("long"))
-
+def kept_text(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``docs`` with what ``without_repeats`` keeps of each ``text``, and its ``n_chars``; characters that a cut splits go whole."""
+    own = {x: f"__own_{x}" for x in docs.columns if x in ("n_bytes", "n_removed", "n_spans", "kept")}
+    removed = without_repeats(docs.withColumnsRenamed(own), length, whole_characters=True)
+    text = F.when(c("n_removed") == 0, c("text")).otherwise(c("kept").cast("string"))
+    changed = removed.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
+    return changed.select([c(own.get(x, x)).alias(x) for x in docs.columns])

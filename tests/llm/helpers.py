@@ -52,9 +52,9 @@ def classes(rows, threshold=0.8):
     return {i: (find(i), links[i]) for i in sets}
 
 
-def without_repeats(rows, length=100):
-    """doc_id -> (bytes kept, removed, spans), by a dictionary of all strings."""
-    seen, out = set(), {}
+def repeated_bytes(rows, length=100):
+    """(doc_id, bytes, mark per byte that goes), by a dictionary of all strings."""
+    seen = set()
     for i, t in sorted(rows):
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -64,7 +64,27 @@ def without_repeats(rows, length=100):
                 gone[s : s + length] = b"\1" * length
             else:
                 seen.add(key)
+        yield i, b, gone
+
+
+def without_repeats(rows, length=100):
+    """doc_id -> (bytes kept, removed, spans)."""
+    out = {}
+    for i, b, gone in repeated_bytes(rows, length):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
         out[i] = (kept, sum(gone), spans)
     return out
+
+
+def whole_characters(rows, length=100):
+    """doc_id -> the characters of which no byte goes."""
+    out = {}
+    for i, b, gone in repeated_bytes(rows, length):
+        at, kept = 0, []
+        for ch in b.decode():
+            size = len(ch.encode())
+            kept += [ch] * (not any(gone[at : at + size]))
+            at += size
+        out[i] = "".join(kept)
+    return out

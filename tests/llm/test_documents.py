@@ -110,10 +110,30 @@ def test_repeats_of_odd_rows(spark, corpus):
     assert all(r["n_removed"] == 0 for r in whole)
     want = H.without_repeats(corpus)
     assert all((bytes(r["kept"]), r["n_removed"], r["n_spans"]) == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
-    texts = repeats.kept_text(repeats.without_repeats(H.docs_frame(spark, rows))).collect()
+    texts = repeats.kept_text(H.docs_frame(spark, rows)).collect()
     assert all("�" not in (r["text"] or "") and (r["text"] is None or len(r["text"]) == r["n_chars"]) for r in texts)
 
 
+def test_text_keeps_its_own_replacement_characters(spark, corpus):
+    rng = random.Random(5)
+    passage = prose(rng, 40)
+    rows = [(1, "a\ufffdb " + passage), (2, "keep\ufffdme \ufffd\ufffd" + passage + "\ufffd end"), (3, "éé" * 80), (4, "xé" + "éé" * 60 + "\ufffd"), (5, "no repeat \ufffd"), *((100 + i, t) for i, t in corpus)]
+    got = repeats.kept_text(H.docs_frame(spark, rows))
+    assert got.columns == H.DOCS.names
+    want = H.whole_characters(rows)
+    assert all((r["text"] or "") == want[r["doc_id"]] and r["n_bytes"] == "x" for r in got.collect())
+    assert want[2].startswith("keep\ufffdme \ufffd\ufffd") and want[5] == "no repeat \ufffd"
+
+
+def test_repeats_across_slices_of_a_very_long_text(spark):
+    rng = random.Random(6)
+    passage = prose(rng, 60)
+    filler = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    cut = repeats.SLICE
+    rows = [(1, filler(cut - 150) + passage + filler(cut) + passage + filler(300)), (2, filler(70) + passage), (3, filler(2 * cut - 77) + passage[:150] + filler(9) + passage[20:])]
+    assert removed(repeats.without_repeats(H.docs_frame(spark, rows))) == H.without_repeats(rows)
+
+
 def test_zero_bytes_and_all_byte_values(spark):
     rng = random.Random(2)
     every = "".join(map(chr, range(128))) + "".join(chr(rng.randrange(128, 0x700)) for _ in range(900))
