@@ -17,8 +17,6 @@ from .registry import query
 
 c = F.col
 
-SPARSE = dict(gate=0.3, grid=0.1, support=0.15, cap=0.5, p90=0.5)
-
 # The sparse cloud is pooled per run, and lengths are ten times those of a dense rail cloud.
 WIDE = dict(bin=0.2, kernel=0.4, nms=0.65, reach=0.85, vmin=-3.0, vmax=3.0, wmin=-1.0, wmax=3.0, inner=0.3, outer=1.4, height=0.5, half_width=0.3, half_height=0.3, cell=0.1,
             center_max=0.6, gauge_lo=1.0, gauge_hi=2.4, cant_max=1.0, threshold=0.0)
@@ -185,12 +183,29 @@ def _(t):
     return out.select("frame", near.alias("recovered"), (c("overlap") > 0.9).alias("overlaps"), (c("rmse_plane_m") < 0.02).alias("tight"))
 
 
+def _corridor(t):
+    """Every return as one of a rail with the template's profile that bends with its run, and a start for each run.
+
+    Each fifth return is clutter, between 40 and 46 m an even run has no returns of it, and
+    behind 72 m the rail is 5 cm off. The scans are dealt into three ages.
+    """
+    u, j = -c("y"), F.pmod("point_idx", F.lit(10))
+    bend = 0.00005 * (1 + F.pmod("run", F.lit(3))) * u * u
+    noise = lambda x: (F.pmod(F.floor(c(x) * 100), F.lit(13)) - 6) / 1000
+    off = F.when(u > 72, 0.05).otherwise(0.0)
+    stray, hidden = F.pmod("slot", F.lit(5)) == 0, (F.pmod("run", F.lit(2)) == 0) & u.between(40, 46)
+    v = F.when(hidden, c("x") + 10).when(stray, c("x")).otherwise(j * 0.012 + bend + noise("x") + off)
+    w = F.when(stray, c("z")).otherwise(F.pmod(j, F.lit(7)) * 0.008 + noise("z"))
+    p = t.points.select("run", F.concat_ws("-", "frame", "point_idx").alias("id"), F.pmod("frame", F.lit(3)).alias("age"), u.alias("u"), v.alias("v"), w.alias("w"))
+    starts = p.select("run").distinct().select("run", F.lit(4.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
+    return p, starts
+
+
 @query("itr_05_march_corridor", "points template")
 def _(t):
-    p = t.points.select("run", "point_idx", "frame", (-c("y")).alias("u"), c("x").alias("v"), c("z").alias("w")).withColumn("id", F.concat_ws("-", "frame", "point_idx"))
-    starts = p.select("run").distinct().select("run", F.lit(4.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
-    out = ma.march_corridor(p, starts, t.template, ["run"], SPARSE)
-    return out.select("run", "step", "su", F.round("av", 6).alias("av"), F.round("aw", 6).alias("aw"), "n", "reason")
+    p, starts = _corridor(t)
+    out = ma.march_corridor(p, starts, t.template, ["run"], dict(lead=0.0))
+    return out.select("run", "step", "block", "parent", "state", "gap", "n", *[F.round(x, 6).alias(x) for x in ("residual", "overlap_p90", "su", "u", "v", "w", "score")], "reason")
 
 
 @query("itr_06_smooth_curves", "path")
@@ -240,20 +255,21 @@ def _(t):
 
 
 def _reach(t, configs):
-    p = t.points.select("run", "point_idx", "frame", (-c("y")).alias("u"), c("x").alias("v"), c("z").alias("w")).withColumn("id", F.concat_ws("-", "frame", "point_idx"))
-    starts = p.select("run").distinct().select("run", F.lit(4.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
-    out = None
-    for name, cfg in configs.items():
-        r = ma.march_corridor(p, starts, t.template, ["run"], {**SPARSE, **cfg})
-        r = r.groupBy("run").agg(F.max("su").alias("reach_m"), F.max("reason").alias("reason")).withColumn("config", F.lit(name))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """How far each configuration gets: one march, the configurations are columns of its starts."""
+    p, starts = _corridor(t)
+    each = [starts.withColumns({"config": F.lit(name), **{x: F.lit(float(v)) for x, v in gates.items()}}) for name, gates in configs.items()]
+    starts = each[0]
+    for more in each[1:]:
+        starts = starts.unionByName(more, allowMissingColumns=True)
+    known = {x: F.coalesce(c(x), F.lit(float(ma.GATES[x]))) for gates in configs.values() for x in gates}
+    out = ma.march_corridor(p, starts.withColumns(known), t.template, ["run"], dict(lead=0.0), by=["config"])
+    return out.groupBy("run", "config").agg(F.round(F.max("u"), 6).alias("reach_m"), F.max("reason").alias("reason"), F.count_if(c("step") > 0).alias("blocks"))
 
 
 @query("evl_07_oracle_bound", "points template")
 def _(t):
     """Reach with the normal gate and with the gate an evaluator could have admitted."""
-    return _reach(t, {"gate": dict(p90=0.3), "admitted": dict(p90=0.5)})
+    return _reach(t, {"gate": {}, "admitted": dict(overlap_weak=0.1, overlap_rms=0.06, overlap_most=0.1, lead=0.0)})
 
 
 @query("evl_18_parameter_sweep", "points template")
@@ -261,7 +277,7 @@ def _(t):
     """Distinct configurations of the march; equal ones run once."""
     from ..plans.evaluate import distinct_configs
 
-    return _reach(t, distinct_configs({"base": dict(p90=0.4, min_points=3), "same": dict(min_points=3, p90=0.4), "strict": dict(p90=0.3, min_points=4)}))
+    return _reach(t, distinct_configs({"base": dict(shape=0.04, min_points=3), "same": dict(min_points=3, shape=0.04), "strict": dict(shape=0.004, min_points=12)}))
 
 
 # --- joining near and far paths ------------------------------------------------------------------

@@ -1,69 +1,252 @@
-"""Step-by-step continuation of a profile along the track, all starts in step."""
+"""Step-by-step continuation of a profile along the track, all starts and configurations in step."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import offset_grid, shifted, template_distance
-from ..session import cut
+from ..session import cut, discard
 
 c = F.col
 
-# Step, window, gates and beam of the march.
-MARCH = dict(step=4.0, window=8.0, gate=0.08, grid=0.02, support=0.02, min_points=3, p90=0.05, beam=3, rounds=40, retries=2, lo=(-0.2, -0.2), hi=(0.3, 0.3), margin=0.14, cap=0.1)
+# Step, window, offsets, beam and the gates of the march.
+MARCH = dict(step=4.0, window=8.0, gate=0.08, grid=0.02, beam=3, rounds=40, retries=2, margin=0.14, cap=0.1, apart=0.04, same=0.008, reach=128.0, pending=2, turn=5.0)
+#: Gates that a start may carry as columns of its own, one configuration each.
+GATES = dict(support=0.02, min_points=3, shape=0.04, lead=0.01, overlap=0.03, overlap_weak=0.05, overlap_rms=0.04, overlap_most=0.08, fit=0.05)
+ANCHOR = "struct<u:double,v:double,w:double,state:int>"
+FINISHED = ["block", "reason", "score", "far"]
+
+
+def _slope(anchors: Column, axis: str) -> Column:
+    """Least-squares slope of one axis over the last three anchors."""
+    last = F.slice(anchors, F.greatest(F.size(anchors) - 2, F.lit(1)), 3)
+    mean = lambda a: F.aggregate(last, F.lit(0.0), lambda s, x: s + x[a]) / F.size(last)
+    mu, mx = mean("u"), mean(axis)
+    up = F.aggregate(last, F.lit(0.0), lambda s, x: s + (x["u"] - mu) * (x[axis] - mx))
+    down = F.aggregate(last, F.lit(0.0), lambda s, x: s + (x["u"] - mu) * (x["u"] - mu))
+    return F.when(down > 0, up / down).otherwise(0.0)
 
 
-def march_corridor(points: DataFrame, starts: DataFrame, template: DataFrame, keys: list[str], cfg: dict | None = None) -> DataFrame:
-    """Blocks accepted along each start's corridor (step 0 is the start) and the reason it stopped.
+def _with_misfit(df: DataFrame, anchors: str) -> DataFrame:
+    """``misfit``: the largest distance of the few anchors from the quadratics v(u) and w(u) that fit them best.
 
-    ``points``: keys, id, u (forward), v, w; ``starts``: keys, u, v, w of the
-    last known anchor. One round moves every live branch one step: points of
-    the window, template residual on an offset grid, gates, then the best
-    branches per start. An empty strip is retried one and two steps ahead;
-    nothing is ever invented inside it.
+    Step by step, so that no sum is worked out twice.
+    """
+    x = c(anchors)
+    scaled = df.withColumn("__first", x[0]["u"]).withColumn("__width", F.greatest(F.lit(1.0), F.array_max(F.transform(x, lambda y: F.abs(y["u"] - c("__first"))))))
+    scaled = scaled.withColumn("__x", F.transform(x, lambda y: F.struct(((y["u"] - c("__first")) / c("__width")).alias("u"), y["v"].alias("v"), y["w"].alias("w"))))
+    total = lambda f: F.aggregate("__x", F.lit(0.0), lambda s, y: s + f(y))
+    power = lambda y, k: reduce(lambda p, _: p * y["u"], range(k), F.lit(1.0))
+    sums = {f"__s{k}": total(lambda y, k=k: power(y, k)) for k in range(5)}
+    sums |= {f"__{a}{k}": total(lambda y, k=k, a=a: power(y, k) * y[a]) for a in "vw" for k in range(3)}
+    summed = scaled.withColumns(sums)
+    det = lambda m: m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
+    left = [[c(f"__s{i + j}") for j in range(3)] for i in range(3)]
+    solved = {"__d": det(sum(left, []))}
+    for a in "vw":
+        for j in range(3):
+            solved[f"__{a}_{j}"] = det([c(f"__{a}{i}") if q == j else left[i][q] for i in range(3) for q in range(3)])
+    solved = summed.withColumns(solved)
+    missed = lambda y, a: y[a] - (c(f"__{a}_0") + c(f"__{a}_1") * y["u"] + c(f"__{a}_2") * y["u"] * y["u"]) / c("__d")
+    far = F.array_max(F.transform("__x", lambda y: F.hypot(missed(y, "v"), missed(y, "w"))))
+    out = solved.withColumn("misfit", F.when(F.abs(c("__d")) > 1e-13, far).otherwise(F.lit(float("inf"))))
+    return out.select(*df.columns, "misfit")
+
+
+def _turn(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Angle in degrees between the directions (1, a) and (1, b)."""
+    dot = 1 + a[0] * b[0] + a[1] * b[1]
+    size = F.sqrt((1 + a[0] * a[0] + a[1] * a[1]) * (1 + b[0] * b[0] + b[1] * b[1]))
+    return F.degrees(F.acos(F.least(F.lit(1.0), dot / size)))
+
+
+def _relative(points: DataFrame, names: list[str]) -> DataFrame:
+    """v and w of points less the branch's course at their u."""
+    course = lambda a, s: c(a) - (c("a" + a) + c(s) * (c("u") - c("au")))
+    return points.select(*names, "id", "age", "u", course("v", "sv").alias("v"), course("w", "sw").alias("w"))
+
+
+def _strips(points: DataFrame, live: DataFrame, keys: list[str], own: list[str], g: dict, box) -> DataFrame:
+    """New points of each branch's next strip; if too few are there, of the first of the strips behind it that has enough."""
+    tries = live.withColumn("gap", F.explode(F.sequence(F.lit(0), F.lit(g["retries"])))).withColumn("u0", c("su") + g["step"] * (c("gap") + 1))
+    look = tries.withColumn("gu", F.explode(F.sequence(F.floor(F.greatest("u0", c("su") + g["window"]) / g["window"]), F.floor((c("u0") + g["window"]) / g["window"]))))
+    near = look.join(points, [*keys, "gu"]).where((c("u") >= c("u0")) & (c("u") > c("su") + g["window"] + 1e-8) & (c("u") <= c("u0") + g["window"]))
+    near = _relative(near, [*own, "block", "gap", "min_points"])
+    m = g["margin"]
+    near = near.where(c("v").between(box["v0"] - m, box["v1"] + m) & c("w").between(box["w0"] - m, box["w1"] + m))
+    counted = near.withColumn("seen", F.count(F.lit(1)).over(Window.partitionBy(*own, "block", "gap")))
+    first = counted.withColumn("first", F.min(F.when(c("seen") >= c("min_points"), c("gap"))).over(Window.partitionBy(*own, "block")))
+    return first.where(c("gap") == c("first")).select(*own, "block", "gap", "id", "age", "u", "v", "w")
+
+
+def _scored(strips: DataFrame, old: DataFrame, live: DataFrame, template: DataFrame, own: list[str], g: dict, box) -> DataFrame:
+    """Per branch its up to three best offsets that lie apart, and how the branch's confirmed support fits under each."""
+    at = [*own, "block", "gap"]
+    rows = strips.withColumn("old", F.lit(False)).unionByName(old.withColumn("old", F.lit(True)))
+    d = template_distance(shifted(rows, offset_grid(rows.sparkSession, g["gate"], g["grid"])), template, [*at, "ov", "ow", "id", "age", "u", "old"], cap=g["cap"])
+    d = d.join(live.select(*own, "block", *GATES), [*own, "block"])
+    new = ~c("old")
+    inside = new & c("v").between(box["v0"], box["v1"]) & c("w").between(box["w0"], box["w1"])
+    held = inside & (c("d") <= c("support"))
+    sums = d.groupBy(*at, "ov", "ow", *GATES).agg(
+        F.count_if(held).alias("n"),
+        F.sort_array(F.collect_list(F.when(inside, c("d")))).alias("ds"),
+        F.count_if("old").alias("n_old"),
+        F.percentile(F.when(c("old"), c("d")), F.lit(0.9)).alias("p90"),
+        F.sqrt(F.avg(F.when(c("old"), F.pow(F.least("d", F.lit(0.06)), F.lit(2))))).alias("rms"),
+        F.size(F.collect_set(F.when(held, c("age")))).alias("ages"),
+        F.size(F.collect_set(F.when(held, F.floor(c("cell") / 4)))).alias("bins"),
+        F.percentile(F.when(held, c("u")), F.lit(0.5)).alias("u"),
+        F.max(F.when(held, c("u"))).alias("far"),
+    )
+    part = F.greatest(F.lit(1), (F.size("ds") * 0.7).cast("int"))
+    sums = sums.withColumn("shape", F.when(F.size("ds") > 0, F.aggregate(F.slice("ds", F.lit(1), part), F.lit(0.0), lambda s, x: s + x) / part).otherwise(0.5))
+    fits = (c("n_old") == 0) | (c("p90") <= c("overlap")) | ((c("p90") <= c("overlap_weak")) & (c("rms") <= c("overlap_rms")))
+    sums = sums.withColumns({"fits": fits, "templ": F.round(F.exp(-c("shape") / 0.02) + 0.1 * (1 - F.exp(-c("n") / 8.0)), 9), "off": F.round(F.hypot("ov", "ow"), 9)})
+    cell = F.struct((-c("templ")).alias("o"), c("off"), c("ov"), c("ow"), c("n"), c("shape"), c("p90"), c("fits"), c("ages"), c("bins"), c("u"), c("far"), c("templ"))
+    found = sums.groupBy(*at).agg(F.sort_array(F.collect_list(F.when(c("n") >= c("min_points"), cell))).alias("cells"), F.max("fits").alias("overlaps"))
+    none = F.slice("cells", 1, 0)
+    apart = lambda x, y: F.hypot(x["ov"] - y["ov"], x["ow"] - y["ow"]) <= g["apart"]
+    best = F.aggregate("cells", none, lambda kept, x: F.when((F.size(kept) < g["beam"]) & ~F.exists(kept, lambda y: apart(x, y)), F.array_append(kept, x)).otherwise(kept))
+    return found.select(*at, "overlaps", best.alias("best"))
+
+
+def _children(live: DataFrame, scored: DataFrame, own: list[str], g: dict, k: int) -> DataFrame:
+    """Blocks that pass the gates, with the course, state and score of the branch that they end."""
+    one = live.join(scored, [*own, "block"]).select("*", F.posexplode("best").alias("rank", "x"))
+    others = F.filter("best", lambda y: y["o"] != c("x.o"))
+    lead = F.coalesce(c("x.templ") - F.array_max(F.transform(others, lambda y: y["templ"])), F.lit(1.0))
+    one = one.withColumn("lead_by", lead)
+    good = (c("x.shape") <= c("shape")) & (c("x.off") <= g["gate"] * 1.42) & (c("lead_by") >= c("lead")) & c("x.fits") & (F.coalesce(c("x.p90"), F.lit(0.0)) <= c("overlap_most"))
+    one = one.where(c("overlaps") & good)
+    v, w = (c(f"a{a}") + c(f"s{a}") * (c("x.u") - c("au")) + c(f"x.o{a}") for a in "vw")
+    one = one.withColumn("a", F.struct(c("x.u").alias("u"), v.alias("v"), w.alias("w"), F.lit(1).alias("state")))
+    confirmed = F.filter("anchors", lambda x: x["state"] == 2)
+    trail = F.concat(F.slice(confirmed, F.greatest(F.size(confirmed) - 2, F.lit(1)), 3), F.filter("anchors", lambda x: x["state"] == 1), F.array("a"))
+    one = one.withColumn("trail", trail.cast(f"array<{ANCHOR}>")).withColumn("waiting", c("pending") + 1)
+    span = F.array_max(F.transform("trail", lambda x: x["u"])) - F.array_min(F.transform("trail", lambda x: x["u"]))
+    one = _with_misfit(one, "trail")
+    one = one.withColumn("sure", (c("waiting") >= 2) & (F.size("trail") >= 3) & (span >= 2) & (c("misfit") <= c("fit")))
+    anchors = F.when(c("sure"), F.transform("trail", lambda x: x.withField("state", F.lit(2)))).otherwise(c("trail"))
+    prior, quality = F.exp(-c("x.off") / g["gate"]), F.exp(-c("x.shape") / 0.02)
+    score = (quality + prior + F.exp(-c("turn") / 3) + 1 + F.least(F.lit(1.0), c("x.ages") / 3.0) + F.least(F.lit(1.0), c("x.bins") / 4.0)) / 6 - 0.3 * F.greatest(F.lit(0.0), 0.05 - c("lead_by")) / 0.05
+    out = one.select(
+        *own, *GATES, c("block").alias("parent"), "rank", "gap", c("x.n").alias("n"), c("x.shape").alias("residual"), c("x.p90").alias("overlap_p90"), c("x.ov").alias("ov"), c("x.ow").alias("ow"),
+        (c("su") + g["step"] * (c("gap") + 1)).alias("su"), c("a.u").alias("au"), c("a.v").alias("av"), c("a.w").alias("aw"), c("sv").alias("sv0"), c("sw").alias("sw0"),
+        anchors.alias("anchors"), F.when(c("sure"), 0).otherwise(c("waiting")).alias("pending"), F.greatest("far", "x.far").alias("far"),
+        F.round(c("score") + score - F.when(c("sure"), 0.0).otherwise(0.4), 9).alias("score"),
+    )
+    out = out.withColumns({"sv": _slope(c("anchors"), "v"), "sw": _slope(c("anchors"), "w")})
+    out = out.withColumn("turn", _turn((c("sv0"), c("sw0")), (c("sv"), c("sw")))).drop("sv0", "sw0")
+    ends = F.when(c("pending") > g["pending"], "TENTATIVE_UNCONFIRMED").when(c("turn") > g["turn"], "ORIENTATION_JUMP").when(c("far") >= g["reach"], "RANGE_LIMIT")
+    number = F.row_number().over(Window.partitionBy(*own).orderBy(c("score").desc(), "parent", "rank")) - 1
+    return out.withColumn("reason", ends).withColumn("block", (number + 16 * k).cast("long")).withColumn("step", F.lit(k))
+
+
+def _beam(children: DataFrame, own: list[str], g: dict) -> DataFrame:
+    """The best open branches of each start, one for each place; at most nine branches a start are compared."""
+    item = F.struct((-c("score")).alias("o"), "block", "au", "av", "aw")
+    near = lambda x, y: F.sqrt(sum(((x[a] - y[a]) * (x[a] - y[a]) for a in ("au", "av", "aw")), F.lit(0.0))) < g["same"]
+    list_ = children.where("reason is null").groupBy(*own).agg(F.sort_array(F.collect_list(item)).alias("x"))
+    kept = F.aggregate("x", F.slice("x", 1, 0), lambda acc, x: F.when((F.size(acc) < g["beam"]) & ~F.exists(acc, lambda y: near(x, y)), F.array_append(acc, x)).otherwise(acc))
+    return children.join(list_.select(*own, F.explode(kept).alias("y")).select(*own, "y.block"), [*own, "block"])
+
+
+def march_corridor(points: DataFrame, starts: DataFrame, template: DataFrame, keys: list[str], cfg: dict | None = None, by: list[str] | None = None) -> DataFrame:
+    """The best chain of blocks along each start's corridor, step 0 being the start, and why it ended.
+
+    ``points``: keys, id, u (forward), v, w, and ``age`` if they come from
+    several scans. ``starts``: keys and ``by``, which names several starts or
+    configurations of one key; u, v, w of the last known anchor; any of
+    ``GATES`` as a column holds for that start alone. ``points`` are voxelised,
+    so a strip holds a bounded number of them.
+
+    A round moves every live branch on by one strip of points beyond its
+    window; of a strip with too few points the next two are tried, and nothing is invented
+    between. Offsets of the template are scored on a grid; up to three that lie
+    apart and pass the gates (support, shape, lead over the others, and
+    the confirmed support of the branch under the same offset) become
+    tentative children, each with a pointer to its parent. Two tentative blocks
+    in a row are confirmed if a quadratic through their and the last confirmed
+    anchors misses none by more than ``fit``. The course is the least-squares line through the last three
+    anchors. The three best branches that end at different places go on.
+    The result is read back from the best end by pointer jumping.
+
+    Returns keys, by, step, block, parent, state (2 confirmed, 1 tentative),
+    gap, n, residual, overlap_p90, su (start of the window), u, v, w, score
+    and reason: NO_POINTS, TOO_FEW_SUPPORT, OVERLAP_FIRST, CANDIDATES_REJECTED,
+    TENTATIVE_UNCONFIRMED, ORIENTATION_JUMP or RANGE_LIMIT.
     """
     g = {**MARCH, **(cfg or {})}
-    grid = offset_grid(points.sparkSession, g["gate"], g["grid"])
-    points = cut(points.select(*keys, "id", "u", "v", "w", F.floor(c("u") / g["window"]).alias("gu")), "march")
-    live = cut(starts.select(*keys, F.lit(0).alias("branch"), c("u").alias("su"), c("v").alias("av"), c("w").alias("aw"), F.lit(0.0).alias("score"), F.lit(0).alias("step")), "march")
-    done, stops = None, None
+    gates = {n: g.get(n, v) for n, v in GATES.items()}
+    own = [*keys, *(by or [])]
+    box = template.agg(*[f(a).alias(f"{a}{i}") for a in "vw" for i, f in enumerate((F.min, F.max))]).first()
+    if "age" not in points.columns:
+        points = points.withColumn("age", F.lit(0))
+    points = cut(points.select(*keys, "id", "age", "u", "v", "w", F.floor(c("u") / g["window"]).alias("gu")), "march")
+    had = [c(n).cast("double").alias(n) if n in starts.columns else F.lit(float(v)).alias(n) for n, v in gates.items()]
+    seed = F.array(F.struct(c("u").cast("double").alias("u"), c("v").cast("double").alias("v"), c("w").cast("double").alias("w"), F.lit(2).alias("state"))).cast(f"array<{ANCHOR}>")
+    live = starts.select(
+        *own, *had, F.lit(0).cast("long").alias("block"), c("u").cast("double").alias("su"), *[c(a).cast("double").alias("a" + a) for a in "uvw"], F.lit(0.0).alias("sv"), F.lit(0.0).alias("sw"), F.lit(0.0).alias("turn"),
+        F.lit(0.0).alias("score"), F.lit(0).alias("pending"), seed.alias("anchors"), c("u").cast("double").alias("far"),
+    )
+    live = cut(live, "march")
+    names = live.columns
+    tree = ["block", "parent", "step", "gap", "n", "residual", "overlap_p90", "su", "au", "av", "aw", "pending"]
+    blocks = [live.select(*own, "block", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("step"), F.lit(0).alias("gap"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("residual"), F.lit(None).cast("double").alias("overlap_p90"), "su", "au", "av", "aw", "pending")]
+    ends, support = [], None
     for k in range(1, g["rounds"] + 1):
-        # Each live branch looks at its next strip and, should that be empty, at the two behind it.
-        tries = live.withColumn("gap", F.explode(F.sequence(F.lit(0), F.lit(g["retries"]))))
-        tries = tries.withColumn("u0", c("su") + g["step"] * (c("gap") + 1))
-        look = tries.withColumn("gu", F.explode(F.sequence(F.floor(c("u0") / g["window"]), F.floor((c("u0") + g["window"]) / g["window"]))))
-        j = look.join(points, [*keys, "gu"]).where((c("u") >= c("u0")) & (c("u") < c("u0") + g["window"]))
-        dv, dw = c("v") - c("av"), c("w") - c("aw")
-        box = (dv >= g["lo"][0] - g["margin"]) & (dv <= g["hi"][0] + g["margin"]) & (dw >= g["lo"][1] - g["margin"]) & (dw <= g["hi"][1] + g["margin"])
-        j = j.where(box)
-        key = [*keys, "branch", "gap"]
-        seen = j.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(c("__n") >= g["min_points"])
-        first = seen.groupBy(*keys, "branch").agg(F.min("gap").alias("gap"))
-        rel = j.join(first, key).select(*key, "id", (c("v") - c("av")).alias("v"), (c("w") - c("aw")).alias("w"))
-        d = template_distance(shifted(rel, grid), template, [*key, "ov", "ow", "id"], cap=g["cap"])
-        # A strip holds a few hundred points at most, so its quantile buffer is small.
-        s = d.groupBy(*key, "ov", "ow").agg(F.count_if(c("d") <= g["support"]).alias("n"), F.avg("d").alias("residual"), F.percentile(F.when(c("d") < g["cap"], c("d")), F.lit(0.9)).alias("p90"))
-        s = s.where((c("n") >= g["min_points"]) & (c("p90") <= g["p90"]))
-        s = s.withColumn("gain", F.round(F.exp(-c("residual") / 0.02) + 0.1 * (1 - F.exp(-c("n") / 8.0)), 9))
-        nxt = s.join(tries.select(*key, "u0", "av", "aw", "score"), key)
-        nxt = nxt.withColumn("total", c("score") + c("gain"))
-        w = Window.partitionBy(*keys).orderBy(c("total").desc(), "branch", "ov", "ow")
-        nxt = nxt.withColumn("rank", F.row_number().over(w)).where(c("rank") <= g["beam"])
-        new = cut(nxt.select(*keys, (c("rank") - 1).alias("branch"), c("u0").alias("su"), (c("av") + c("ov")).alias("av"), (c("aw") + c("ow")).alias("aw"), c("total").alias("score"),
-                             F.lit(k).alias("step"), "gap", "n", "p90"), "march")
-        ended = live.join(new.select(*keys).distinct(), keys, "left_anti")
-        strip = first.select(*keys).distinct().withColumn("__seen", F.lit(True))
-        ended = ended.join(strip, keys, "left").select(*keys, "step", F.when(c("__seen"), "CANDIDATES_REJECTED").otherwise("NO_POINTS").alias("reason")).distinct()
-        stops = cut(ended if stops is None else stops.unionByName(ended), "march")
-        done = new if done is None else done.unionByName(new)
-        live = new.drop("gap", "n", "p90")
+        strips = cut(_strips(points, live, keys, own, g, box), "strips")
+        old = strips.limit(0)
+        if support is not None:  # what a confirmed last block rests on, where the new window still covers it
+            gaps = strips.select(*own, "block", "gap").distinct()
+            near = support.join(live.where("pending = 0"), [*own, "block"]).join(gaps, [*own, "block"])
+            old = _relative(near.where(c("u") >= c("su") + g["step"] * (c("gap") + 1)), [*own, "block", "gap"])
+        scored = cut(_scored(strips, old, live, template, own, g, box), "scored")
+        children = cut(_children(live, scored, own, g, k), "children")
+        told = live.join(scored, [*own, "block"], "left").join(children.select(*own, c("parent").alias("block")).distinct(), [*own, "block"], "left_anti")
+        why = F.when(c("best").isNull(), "NO_POINTS").when(F.size("best") == 0, "TOO_FEW_SUPPORT").when(~c("overlaps"), "OVERLAP_FIRST").otherwise("CANDIDATES_REJECTED")
+        ends += [told.select(*own, "block", why.alias("reason"), "score", "far"), children.where("reason is not null").select(*own, *FINISHED)]
+        blocks.append(children.select(*own, *tree))
+        # The new blocks' own support: points of the parent's strip under the block's offset.
+        under = strips.withColumnRenamed("block", "parent").join(children.select(*own, "block", "parent", "gap", "ov", "ow", "support"), [*own, "parent", "gap"])
+        under = under.join(live.select(*own, c("block").alias("parent"), "au", "av", "aw", "sv", "sw"), [*own, "parent"])
+        real = [(c(a) + c(f"a{a}") + c(f"s{a}") * (c("u") - c("au"))).alias(f"p{a}") for a in "vw"]
+        under = under.select(*own, "block", "id", "age", "u", "support", *real, (c("v") - c("ov")).alias("v"), (c("w") - c("ow")).alias("w"))
+        fit = template_distance(under, template, [*own, "block", "id", "age", "u", "support", "pv", "pw"], cap=g["cap"]).where((c("d") <= c("support")) & c("v").between(box["v0"], box["v1"]) & c("w").between(box["w0"], box["w1"]))
+        stale = [strips] if support is None else [strips, support]
+        support = cut(fit.select(*own, "block", "id", "age", "u", c("pv").alias("v"), c("pw").alias("w")), "support")
+        nxt = cut(_beam(children, own, g).select(names), "march")
+        discard(*stale)
+        live = nxt
         if live.isEmpty():
             break
-    origin = starts.select(*keys, c("u").alias("su"), c("v").alias("av"), c("w").alias("aw"), F.lit(0.0).alias("score"), F.lit(0).alias("step"),
-                           F.lit(0).alias("gap"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("p90"))
-    out = origin.unionByName(done.where("branch = 0").drop("branch"))
-    return out.join(stops.select(*keys, "reason"), keys, "left").withColumn("reason", F.coalesce("reason", F.lit("RANGE_LIMIT")))
+    ends.append(live.select(*own, "block", F.lit("RANGE_LIMIT").alias("reason"), "score", "far"))
+    finished = reduce(DataFrame.unionByName, ends)
+    best = finished.groupBy(*own).agg(F.max(F.struct("score", "far", (-c("block")).alias("first"), "reason")).alias("m")).select(*own, (-c("m.first")).alias("end"), c("m.score").alias("score"), c("m.reason").alias("reason"))
+    return _read_back(reduce(DataFrame.unionByName, blocks), cut(best, "ends"), own)
+
+
+def _read_back(blocks: DataFrame, best: DataFrame, own: list[str]) -> DataFrame:
+    """The chain from each best end to its start: a block on it points to 1, 2, 4, ... blocks before it in turn."""
+    blocks = cut(blocks, "blocks")
+    jump = blocks.where("parent is not null").select(*own, "block", "parent")
+    path = best.select(*own, c("end").alias("block"))
+    deepest = blocks.agg(F.max("step")).first()[0] or 0
+    while deepest:
+        before = path.join(jump, [*own, "block"]).select(*own, c("parent").alias("block"))
+        path = cut(path.unionByName(before).distinct(), "path")
+        jump = cut(jump.alias("x").join(jump.select(*own, c("block").alias("parent"), c("parent").alias("next")), [*own, "parent"]).select(*own, "block", c("next").alias("parent")), "jump")
+        deepest //= 2
+    out = blocks.join(path, [*own, "block"]).join(best, own)
+    # Blocks behind the last confirmed one are tentative: as many as the best end still waits for.
+    waits = F.max(F.when(c("block") == c("end"), c("pending"))).over(Window.partitionBy(*own))
+    length = F.max("step").over(Window.partitionBy(*own))
+    state = F.when(c("step") > length - waits, 1).otherwise(2)
+    return out.select(*own, "step", "block", "parent", state.alias("state"), "gap", "n", "residual", "overlap_p90", "su", c("au").alias("u"), c("av").alias("v"), c("aw").alias("w"), "score", "reason")
 
 
 def visibility_likelihood(points: DataFrame, template: DataFrame, keys: list[str], source: str, half: float = 0.08, step: float = 0.02, apart: float = 0.03, temperature: float = 0.05) -> DataFrame:
