@@ -11,6 +11,7 @@ from ..plans import batches
 from ..plans import status as st
 from ..sources import recordings as rec
 from ..sources import sinks
+from ..streaming import admission
 from ..streaming import stateful as sf
 from .q_objects import components
 from .q_windows import SLOTS
@@ -119,10 +120,12 @@ def _(t):
 LATE = "lt AS (SELECT *, (message_id*37 % 900)::DOUBLE AS age_ms, CASE topic WHEN 'click' THEN 100 WHEN 'view' THEN 400 ELSE 800 END AS limit_ms FROM messages)"
 
 
+# Admission ages in ms of input, geometry and result.
+ADMISSION = F.expr("CASE topic WHEN 'click' THEN 100 WHEN 'view' THEN 400 ELSE 800 END")
+
+
 def _late(t):
-    # Admission ages in ms of input, geometry and result.
-    limit = F.when(c("topic") == "click", 100).when(c("topic") == "view", 400).otherwise(800)
-    return st.late_drop(t.messages, (c("message_id") * 37 % 900).cast("double"), limit)
+    return st.late_drop(t.messages, (c("message_id") * 37 % 900).cast("double"), ADMISSION)
 
 
 @query("snk_07_journal_sink", "messages", f"WITH {LATE} SELECT topic, 'ADMISSION_EXPIRED' AS event, count(*) AS n, max(age_ms) AS oldest_ms FROM lt WHERE age_ms > limit_ms GROUP BY topic", rnd="oldest_ms")
@@ -138,6 +141,14 @@ def _(t):
     return a.groupBy("source").agg(F.sum("a").alias("admitted"), F.sum("d").alias("dropped"))
 
 
+@query("str_01b_stream_late_drop", "messages", f"WITH {LATE} SELECT message_id, age_ms, age_ms <= limit_ms AS admitted, CASE WHEN age_ms > limit_ms THEN 'ADMISSION_EXPIRED' END AS event FROM lt", rnd="age_ms")
+def _(t):
+    """The same decision in a stream with two sinks: every message stands in one of them."""
+    m = t.messages.select("message_id", "topic", (c("message_id") * 37 % 900).cast("double").alias("age"))
+    ok, late = admission.admitted_and_journal(sf.as_stream(m, "message_id"), c("age"), ADMISSION)
+    return ok.select("message_id", "age_ms", F.lit(True).alias("admitted"), F.lit(None).cast("string").alias("event")).unionByName(late.select("message_id", "age_ms", F.lit(False).alias("admitted"), "event"))
+
+
 @query("str_02_stream_sessions", "messages", """WITH l AS (SELECT *, lag(ts_ns) OVER w AS p FROM messages WINDOW w AS (PARTITION BY source ORDER BY message_id))
 SELECT source, message_id, sum(CASE WHEN p IS NOT NULL AND NOT (ts_ns-p > 0 AND ts_ns-p < 43200000000000) THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY message_id) AS generation FROM l""", ints="generation")
 def _(t):
@@ -175,10 +186,13 @@ def _(t):
     return sf.drain(sf.stream_track(sf.as_stream(v, "frame"), {"radius": 1.5, "voxel": 1.0}))
 
 
-@query("str_06_path_memory", "frames", """WITH m AS (SELECT run, generation, frame AS mf, header_time_ns AS mt FROM frames WHERE frame % 11 = 0), k AS (SELECT run, generation, frame AS kf, header_time_ns AS kt FROM frames WHERE frame % 6 = 0),
+MEMORY = """WITH m AS (SELECT run, generation, frame AS mf, header_time_ns AS mt FROM frames WHERE frame % 11 = 0), k AS (SELECT run, generation, frame AS kf, header_time_ns AS kt FROM frames WHERE frame % 6 = 0),
 j AS (SELECT f.run, f.frame, max(mf) AS mf, arg_max(mt, mf) AS mt, any_value(header_time_ns) AS t FROM frames f LEFT JOIN m ON f.run = m.run AND f.generation = m.generation AND mf <= f.frame GROUP BY ALL),
 j2 AS (SELECT f.run, f.frame, max(kf) AS kf, arg_max(kt, kf) AS kt FROM frames f LEFT JOIN k ON f.run = k.run AND f.generation = k.generation AND kf <= f.frame GROUP BY ALL)
-SELECT j.run, j.frame, CASE WHEN t-mt <= 900000000 AND t-kt <= 300000000 THEN mf END AS base, coalesce(t-mt <= 900000000 AND t-kt <= 300000000, false) AS usable FROM j JOIN j2 ON j.run = j2.run AND j.frame = j2.frame""")
+SELECT j.run, j.frame, CASE WHEN t-mt <= 900000000 AND t-kt <= 300000000 THEN mf END AS base, coalesce(t-mt <= 900000000 AND t-kt <= 300000000, false) AS usable FROM j JOIN j2 ON j.run = j2.run AND j.frame = j2.frame"""
+
+
+@query("str_06_path_memory", "frames", MEMORY)
 def _(t):
     """A base path lives 0.9 s, its correction 0.3 s; a correction never refreshes the base."""
     f, k = t.frames, ["run", "generation"]
@@ -188,9 +202,45 @@ def _(t):
     return base.join(fix, [*k, "frame"]).select("run", "frame", F.when(ok, c("base")).alias("base"), ok.alias("usable"))
 
 
-@query("str_09_motion_trigger", "frames")
+@query("str_06b_stream_path_memory", "frames", MEMORY)
+def _(t):
+    """The same as a stream with a timer for each of the two ages."""
+    f = t.frames.select("run", "generation", "frame", c("header_time_ns").alias("time_ns"), (c("frame") % 11 == 0).alias("is_base"), (c("frame") % 6 == 0).alias("is_correction"))
+    out = sf.drain(sf.stream_path_memory(sf.as_stream(f, "frame"), 900, 300))
+    return out.select("run", "frame", "base", "usable")
+
+
+TRIGGERS = """WITH RECURSIVE f AS (SELECT run, frame, header_time_ns AS time_ns, pose_status IN ('ok', 'origin') AS ok, frame % 7 <> 3 AS solved, tx, ty, tz,
+  sum(CASE WHEN frame % 25 = 10 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY frame) AS chain FROM frames),
+n AS (SELECT *, row_number() OVER (PARTITION BY run, chain ORDER BY frame) AS i FROM f),
+s AS (
+  SELECT run, chain, i, frame, CASE WHEN NOT ok THEN 'UNAVAILABLE' WHEN solved THEN 'RECOMPUTE' ELSE 'NO_GEOMETRY' END AS action, CASE WHEN ok AND solved THEN frame END AS source,
+    CASE WHEN ok AND solved THEN tx END AS lx, CASE WHEN ok AND solved THEN ty END AS ly, CASE WHEN ok AND solved THEN tz END AS lz FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.run, n.chain, n.i, n.frame,
+    CASE WHEN NOT n.ok THEN 'UNAVAILABLE' WHEN sqrt((tx-lx)*(tx-lx)+(ty-ly)*(ty-ly)+(tz-lz)*(tz-lz)) < 1.2 THEN 'REUSE' WHEN n.solved THEN 'RECOMPUTE' WHEN s.source IS NOT NULL THEN 'STALE' ELSE 'NO_GEOMETRY' END,
+    CASE WHEN n.ok AND n.solved AND NOT coalesce(sqrt((tx-lx)*(tx-lx)+(ty-ly)*(ty-ly)+(tz-lz)*(tz-lz)) < 1.2, false) THEN n.frame ELSE s.source END,
+    CASE WHEN n.ok AND n.solved AND NOT coalesce(sqrt((tx-lx)*(tx-lx)+(ty-ly)*(ty-ly)+(tz-lz)*(tz-lz)) < 1.2, false) THEN tx ELSE lx END,
+    CASE WHEN n.ok AND n.solved AND NOT coalesce(sqrt((tx-lx)*(tx-lx)+(ty-ly)*(ty-ly)+(tz-lz)*(tz-lz)) < 1.2, false) THEN ty ELSE ly END,
+    CASE WHEN n.ok AND n.solved AND NOT coalesce(sqrt((tx-lx)*(tx-lx)+(ty-ly)*(ty-ly)+(tz-lz)*(tz-lz)) < 1.2, false) THEN tz ELSE lz END
+  FROM s JOIN n ON n.run = s.run AND n.chain = s.chain AND n.i = s.i + 1)
+SELECT run, frame, action, source FROM s"""
+
+
+def _chained(t):
+    """Chains that begin anew at each tenth frame of a run; each seventh attempt fails."""
+    return islands(t.frames, ["run"], "frame", c("frame") % 25 == 10, "chain").withColumns({"solved": c("frame") % 7 != 3, "time_ns": c("header_time_ns")})
+
+
+@query("str_09_motion_trigger", "frames", TRIGGERS)
+def _(t):
+    return sf.motion_trigger(_chained(t), 1.2).select("run", "frame", "action", "source")
+
+
+@query("str_09b_stream_motion_trigger", "frames", TRIGGERS)
 def _(t):
-    return sf.motion_trigger(islands(t.frames, ["run"], "frame", c("frame") % 25 == 10, "chain"), 1.2)
+    f = _chained(t).select("run", "chain", "frame", "pose_status", "tx", "ty", "tz", "solved", "time_ns")
+    return sf.drain(sf.stream_motion_trigger(sf.as_stream(f, "frame"), 1.2)).select("run", "frame", "action", "source")
 
 
 @query("str_10_replacement_accounting", "messages", "SELECT source, count(*) AS received, count(*) FILTER (topic = 'click') AS sent, count(*) FILTER (topic = 'view') AS replaced, count(*) FILTER (topic NOT IN ('click', 'view')) AS expired FROM messages GROUP BY source")

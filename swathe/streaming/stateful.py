@@ -111,43 +111,132 @@ def stream_history(stream: DataFrame, depth: int = 12) -> DataFrame:
         step, "run int, frame int, held int, oldest int", "ring array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
+def _timed(stream: DataFrame, ns: str, late: str) -> DataFrame:
+    """The stream with an event time made from nanoseconds; rows that come more than ``late`` after younger ones are dropped.
+
+    One millisecond later than the stamp, since the first watermark, zero, would refuse a row of time zero.
+    """
+    return stream.withColumn("__ts", F.timestamp_micros(F.floor(c(ns) / 1000) + 1000)).withWatermark("__ts", late)
+
+
+def _wake(state, at_ns: int) -> None:
+    """Ask to be called when the watermark passes that time."""
+    state.setTimeoutTimestamp(max(at_ns // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
+MEMORY_OUT = "run int, generation int, frame int, base int, usable boolean"
+
+
+def stream_path_memory(stream: DataFrame, base_ms: int = 5000, correction_ms: int = 1000, late: str = "10 seconds") -> DataFrame:
+    """Per frame the remembered far path, if its source and its last correction are both young enough.
+
+    ``stream``: run, generation, frame, time_ns, is_base, is_correction (what the frame brings).
+    A base and a correction expire each on a clock of their own, that of
+    event time; a correction never makes its base younger, and a new generation starts with nothing.
+    A timer drops what has expired, so the state of a generation that has ended goes.
+    """
+    ages = (base_ms * 1_000_000, correction_ms * 1_000_000)
+
+    def kept(parts, now):
+        return [p if p[0] >= 0 and now - p[1] <= age else (-1, -1) for p, age in zip(parts, ages)]
+
+    def store(state, parts):
+        due = [p[1] + age for p, age in zip(parts, ages) if p[0] >= 0]
+        if due:
+            state.update(tuple(int(x) for p in parts for x in p))
+            _wake(state, min(due))
+        elif state.exists:
+            state.remove()
+
+    def step(key, pdfs, state):
+        held = state.get if state.exists else (-1, -1, -1, -1)
+        parts = [tuple(held[:2]), tuple(held[2:])]
+        rows = []
+        if state.hasTimedOut:
+            store(state, kept(parts, state.getCurrentWatermarkMs() * 1_000_000))
+        else:
+            now = 0
+            for frame, now, *brings in _keyed(pdfs).sort_values("frame")[["frame", "time_ns", "is_base", "is_correction"]].itertuples(index=False):
+                parts = kept([(frame, now) if new else old for new, old in zip(brings, parts)], now)
+                usable = parts[0][0] >= 0 and parts[1][0] >= 0
+                rows.append((*key, frame, parts[0][0] if usable else None, usable))
+            store(state, parts)
+        out = pd.DataFrame(rows, columns=["run", "generation", "frame", "base", "usable"])
+        out["base"] = out["base"].astype("Int32")
+        yield out
+
+    timed = _timed(stream.select("run", "generation", "frame", "time_ns", "is_base", "is_correction"), "time_ns", late)
+    return timed.groupBy("run", "generation").applyInPandasWithState(
+        step, MEMORY_OUT, "base long, base_ns long, fix long, fix_ns long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 TRIGGER_OUT = "run int, chain long, frame int, action string, source int"
 
 
 def _decide(rows: pd.DataFrame, last, distance: float):
-    """Recompute on the first accepted pose and after every ``distance`` metres since the last success."""
+    """Recompute on the first accepted pose and after every ``distance`` metres since the last success.
+
+    Where a recomputation fails, the last success goes on as stale and the next frame tries again.
+    """
     out = []
     for r in rows.sort_values("frame").itertuples():
+        source = last[0] if last else None
         if r.pose_status not in ("ok", "origin"):
-            out.append((r.frame, "UNAVAILABLE", last[0] if last else None))
-        elif last is None or np.sqrt((r.tx - last[1]) ** 2 + (r.ty - last[2]) ** 2 + (r.tz - last[3]) ** 2) >= distance:
+            out.append((r.frame, "UNAVAILABLE", source))
+        elif last is not None and np.sqrt((r.tx - last[1]) ** 2 + (r.ty - last[2]) ** 2 + (r.tz - last[3]) ** 2) < distance:
+            out.append((r.frame, "REUSE", source))
+        elif r.solved:
             last = (int(r.frame), float(r.tx), float(r.ty), float(r.tz))
             out.append((r.frame, "RECOMPUTE", last[0]))
         else:
-            out.append((r.frame, "REUSE", last[0]))
+            out.append((r.frame, "STALE" if last else "NO_GEOMETRY", source))
     return out, last
 
 
+def _trigger_columns(frames: DataFrame, *more: str) -> DataFrame:
+    solved = F.coalesce("solved", F.lit(False)) if "solved" in frames.columns else F.lit(True)
+    return frames.select("run", "chain", "frame", "pose_status", "tx", "ty", "tz", solved.alias("solved"), *more)
+
+
+def _triggers(key, rows) -> pd.DataFrame:
+    out = pd.DataFrame([(*key, *r) for r in rows], columns=["run", "chain", "frame", "action", "source"])
+    out["source"] = out["source"].astype("Int32")
+    return out
+
+
 def motion_trigger(frames: DataFrame, distance: float = 0.5) -> DataFrame:
-    """Per frame of a chain: recompute, reuse the last result, or unavailable. Frames only, never points."""
+    """Per frame of a chain: RECOMPUTE, REUSE of the last success, STALE (a failed attempt, the last success goes on), NO_GEOMETRY (none yet) or UNAVAILABLE.
+
+    ``frames``: run, chain, frame, pose_status, tx, ty, tz, and ``solved`` where attempts can fail.
+    Frames only, never points.
+    """
 
     def run(key, pdf):
-        rows, _ = _decide(pdf, None, distance)
-        out = pd.DataFrame([(*key, *r) for r in rows], columns=["run", "chain", "frame", "action", "source"])
-        out["source"] = out["source"].astype("Int32")
-        return out
+        return _triggers(key, _decide(pdf, None, distance)[0])
 
-    return frames.select("run", "chain", "frame", "pose_status", "tx", "ty", "tz").groupBy("run", "chain").applyInPandas(run, TRIGGER_OUT)
+    return _trigger_columns(frames).groupBy("run", "chain").applyInPandas(run, TRIGGER_OUT)
 
 
-def stream_motion_trigger(stream: DataFrame, distance: float = 0.5) -> DataFrame:
+def stream_motion_trigger(stream: DataFrame, distance: float = 0.5, keep_ms: int = 600_000, late: str = "10 seconds") -> DataFrame:
+    """``motion_trigger`` frame by frame; ``time_ns`` is the event time, and a chain without frames for ``keep_ms`` leaves the state.
+
+    Without a ``time_ns`` there is no clock, and chains stay.
+    """
+    timed = "time_ns" in stream.columns
+
     def step(key, pdfs, state):
-        rows, last = _decide(_keyed(pdfs), tuple(state.get) if state.exists else None, distance)
+        if state.hasTimedOut:
+            state.remove()
+            yield _triggers(key, [])
+            return
+        rows = _keyed(pdfs)
+        found, last = _decide(rows, tuple(state.get) if state.exists else None, distance)
         if last is not None:
             state.update(last)
-        out = pd.DataFrame([(*key, *r) for r in rows], columns=["run", "chain", "frame", "action", "source"])
-        out["source"] = out["source"].astype("Int32")
-        yield out
+            if timed:
+                _wake(state, int(rows["time_ns"].max()) + keep_ms * 1_000_000)
+        yield _triggers(key, found)
 
-    cols = stream.select("run", "chain", "frame", "pose_status", "tx", "ty", "tz")
-    return cols.groupBy("run", "chain").applyInPandasWithState(step, TRIGGER_OUT, "frame int, tx double, ty double, tz double", "append", GroupStateTimeout.NoTimeout)
+    cols = _timed(_trigger_columns(stream, "time_ns"), "time_ns", late) if timed else _trigger_columns(stream)
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return cols.groupBy("run", "chain").applyInPandasWithState(step, TRIGGER_OUT, "frame int, tx double, ty double, tz double", "append", timeout)
