@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import windows as win
@@ -37,7 +38,7 @@ def _(t):
 
 def _blobs(t, build):
     """Every (frame, slot block) of the cloud encoded as one message; a block is 512 slots, so a message is bounded."""
-    p = t.points.select("frame", F.floor(c("slot") / 512).cast("int").alias("block"), "point_idx", "x", "y", "z", "intensity")
+    p = t.points.select("frame", F.floor(c("slot") / 512).cast("int").alias("block"), "point_idx", "slot", "ring", "x", "y", "z", "intensity")
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf.sort_values("point_idx")
@@ -62,6 +63,38 @@ def _(t):
     return rec.read_point_files(files).select("path", "point_row", "x", "y", "z", "ring")
 
 
+@query("src_05b_point_file_ranges", "points", """WITH m AS (SELECT CAST(frame AS BIGINT)*16 + slot//512 AS message_id, point_idx, slot, ring, x, y, z, intensity FROM points)
+SELECT CAST(message_id AS VARCHAR) AS file, row_number() OVER (PARTITION BY message_id ORDER BY point_idx) - 1 AS point_row, x, y, z, ring, slot AS point_index, intensity, CAST(message_id AS BIGINT) AS frame_index FROM m""", rnd="x y z intensity", ints="ring point_index")
+def _(t):
+    """Files with dimensions of their own, written to the shared folder and read back 100 records a task."""
+    import os
+    import uuid
+
+    from pyarrow import fs
+
+    from ..session import scratch_folder
+
+    folder = os.path.join(scratch_folder(t.spark), f"las-{uuid.uuid4().hex}")
+    at = folder if "://" in folder or folder.startswith("/") else folder.replace("file:/", "file:///", 1)
+
+    def build(q, frame):
+        extra = {"ring": q["ring"].to_numpy().astype("<i2"), "point_index": q["slot"].to_numpy().astype("<u4"), "intensity_raw": q["intensity"].to_numpy().astype("<f8"), "frame_index": (frame * 16 + q["slot"].to_numpy() // 512).astype("<i8")}
+        return rec.build_las(q[["x", "y", "z"]].to_numpy(), 0.001, extra)
+
+    def write(batches):
+        system, path = fs.FileSystem.from_uri(at)
+        system.create_dir(path)
+        for batch in batches:
+            for name, data in zip(batch.column("message_id").to_pylist(), batch.column("data")):
+                with system.open_output_stream(f"{path}/{name}.las") as out:
+                    out.write(data.as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array([name])], ["message_id"])
+
+    _blobs(t, build).mapInArrow(write, "message_id long").write.format("noop").mode("overwrite").save()
+    p = rec.read_point_ranges(t.spark, folder, 100)
+    return p.select(F.regexp_extract("path", "([0-9]+)[.]las$", 1).alias("file"), "point_row", "x", "y", "z", "ring", "point_index", "intensity", "frame_index")
+
+
 @query("src_06_read_journal", "messages", "SELECT topic, source, count(*) AS n, max(message_id) AS newest FROM messages GROUP BY topic, source")
 def _(t):
     """Messages written as a JSON-lines journal and read back."""
