@@ -184,12 +184,12 @@ def _(t):
     return out.join(exact_quantiles(d, k, "error_m", {"median": 0.5, "p95": 0.95}, 0.01), k)
 
 
-@query("agg_22_point_budget", "points frames", """WITH h AS (SELECT f.run, f.frame AS target, n, g.frame FROM frames f, (VALUES (1), (2), (4), (8), (16)) v(n) JOIN frames g ON true WHERE g.run = f.run AND g.frame BETWEEN f.frame-n+1 AND f.frame AND f.frame % 25 = 20)
+@query("agg_22_point_budget", "points frames", """WITH h AS (SELECT f.run, f.frame AS target, n, g.frame FROM frames f, (VALUES (1), (2), (4), (8), (16)) v(n) JOIN frames g ON true WHERE g.run = f.run AND g.frame BETWEEN f.frame-n+1 AND f.frame)
 SELECT target, CAST(n AS INTEGER) AS history, CAST(m AS INTEGER) AS center_m, count(*) AS returns, count(DISTINCT (x, y, z)) AS unique_xyz, count(DISTINCT p.frame) AS sources, count(DISTINCT ring) AS rings FROM h JOIN points p ON p.frame = h.frame, (VALUES (20), (40), (60), (80)) c(m)
 WHERE sqrt(x*x+y*y+z*z) >= m-2 AND sqrt(x*x+y*y+z*z) < m+2 GROUP BY ALL""")
 def _(t):
-    """Budgets around four distances for five history lengths of one start per run."""
-    f = t.frames.where(c("frame") % 25 == 20).select("run", c("frame").alias("target"))
+    """Budgets around four distances for five history lengths of every start."""
+    f = t.frames.select("run", c("frame").alias("target"))
     want = f.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("run", "target", "age", (c("target") - c("age")).alias("frame"))
     p = t.points.withColumn("r", distance())
     p = p.withColumn("center_m", F.explode(F.filter(F.array(*[F.lit(m) for m in (20, 40, 60, 80)]), lambda m: (c("r") >= m - 2) & (c("r") < m + 2))))
@@ -319,15 +319,15 @@ def _(t):
 
 
 @query("agg_36_age_registration", "points template", f"""WITH {TRES}, b AS (SELECT p.frame % 25 AS age, ov, ow, d FROM rs JOIN points p USING (run, point_idx)), s AS (SELECT age, ov, ow, median(d) AS med, quantile_cont(d, 0.9) AS p90, avg(d) AS mean_d FROM b GROUP BY ALL)
-SELECT CAST(age AS INTEGER) AS age, max(med) FILTER (abs(ov) < 1e-9 AND abs(ow) < 1e-9) AS median_residual, max(p90) FILTER (abs(ov) < 1e-9 AND abs(ow) < 1e-9) AS p90_residual, min(round(mean_d, 9)) AS best_mean FROM s GROUP BY age""", rnd="median_residual p90_residual best_mean")
+SELECT CAST(age AS INTEGER) AS age, max(med) FILTER (abs(ov) < 1e-9 AND abs(ow) < 1e-9) AS median_residual, max(p90) FILTER (abs(ov) < 1e-9 AND abs(ow) < 1e-9) AS p90_residual, min(round(mean_d, 9)) AS best_mean, arg_min(ov, (round(mean_d, 9), ov, ow)) AS best_v, arg_min(ow, (round(mean_d, 9), ov, ow)) AS best_w FROM s GROUP BY age""", rnd="median_residual p90_residual best_mean best_v best_w")
 def _(t):
-    p = t.points.where(c("x").between(-0.1, 0.2) & c("z").between(-0.1, 0.15)).select("run", "point_idx", (c("frame") % 25).alias("age"), c("x").alias("v"), c("z").alias("w"))
+    p = t.points.select("run", "point_idx", (c("frame") % 25).alias("age"), c("x").alias("v"), c("z").alias("w"))
     d = jn.template_distance(jn.shifted(p, jn.offset_grid(t.spark, 0.04, 0.02)), t.template, ["run", "age", "point_idx", "ov", "ow"])
     k = ["age", "ov", "ow"]
     here = (F.abs("ov") < 1e-9) & (F.abs("ow") < 1e-9)
     q = exact_quantiles(d.where(here), ["age"], "d", {"median_residual": 0.5, "p90_residual": 0.9}, 0.001)
-    best = d.groupBy(*k).agg(F.avg("d").alias("m")).groupBy("age").agg(F.min(F.round("m", 9)).alias("best_mean"))
-    return q.join(best, "age")
+    best = d.groupBy(*k).agg(F.round(F.avg("d"), 9).alias("m")).groupBy("age").agg(F.min(F.struct("m", "ov", "ow")).alias("b"))
+    return q.join(best, "age").select("age", "median_residual", "p90_residual", c("b.m").alias("best_mean"), c("b.ov").alias("best_v"), c("b.ow").alias("best_w"))
 
 
 @query("agg_37_curve_physics", "path", """WITH v AS (SELECT run, k, lx-lag(lx) OVER w AS ax, ly-lag(ly) OVER w AS ay, lz-lag(lz) OVER w AS az, lead(lx) OVER w - lx AS bx, lead(ly) OVER w - ly AS by_, lead(lz) OVER w - lz AS bz FROM path WINDOW w AS (PARTITION BY run ORDER BY k)),

@@ -101,13 +101,13 @@ def _(t):
     return de.path_policy(s).select("row_id", "scope", "retry", "fallback")
 
 
-@query("det_09_fuse_history", "points frames", f"""WITH {CHAIN}, h AS (SELECT a.run, a.frame AS target, b.frame AS source FROM ch a JOIN ch b ON a.run = b.run AND a.chain = b.chain AND b.frame BETWEEN a.frame-11 AND a.frame WHERE a.frame % 25 IN (8, 20))
+@query("det_09_fuse_history", "points frames", f"""WITH {CHAIN}, h AS (SELECT a.run, a.frame AS target, b.frame AS source FROM ch a JOIN ch b ON a.run = b.run AND a.chain = b.chain AND b.frame BETWEEN a.frame-11 AND a.frame)
 SELECT h.target, h.source, p.point_idx, g.r00*(f.r00*x+f.r01*y+f.tx-g.tx)+g.r10*(f.r10*x+f.r11*y+f.ty-g.ty) AS sx, g.r01*(f.r00*x+f.r01*y+f.tx-g.tx)+g.r11*(f.r10*x+f.r11*y+f.ty-g.ty) AS sy, CAST(g.header_time_ns-f.header_time_ns AS DOUBLE)/1e9 AS age_s, sqrt(power(f.tx-g.tx,2)+power(f.ty-g.ty,2)) AS age_m
 FROM h JOIN frames f ON f.frame = h.source JOIN frames g ON g.frame = h.target JOIN points p ON p.frame = h.source""", rnd="sx sy age_s age_m")
 def _(t):
-    """Two starts per run, each with up to twelve causal clouds."""
+    """Every start with up to twelve causal clouds."""
     f = t.frames
-    h = win.causal_history(win.chains(f, ["run"]), ["run"]).where((c("frame") % 25).isin(8, 20))
+    h = win.causal_history(win.chains(f, ["run"]), ["run"])
     out = de.fuse_history(t.points, h, f)
     return out.select(c("frame").alias("target"), "source", "point_idx", "sx", "sy", "age_s", "age_m")
 

@@ -83,7 +83,7 @@ def _(t):
     return jn.nearest_segment(t.points, curve, ["run"], ["frame", "point_idx"], 0.75)
 
 
-@query("jon_10_section_intersections", "path", """WITH st AS (SELECT a.run, a.k, (a.lx+a.rx)/2 AS x, (a.ly+a.ry)/2 - 0.2 AS y, (a.lz+a.rz)/2 AS z FROM path a WHERE a.k % 5 = 2),
+@query("jon_10_section_intersections", "path", """WITH st AS (SELECT a.run, a.k, (a.lx+a.rx)/2 AS x, (a.ly+a.ry)/2 - 0.2 AS y, (a.lz+a.rz)/2 AS z FROM path a),
 rl AS (SELECT run, k, s, 'L' AS side, lx AS x, ly AS y, lz AS z FROM path UNION ALL SELECT run, k, s, 'R', rx, ry, rz FROM path),
 sg AS (SELECT *, lead(s) OVER w AS s1, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1 FROM rl WINDOW w AS (PARTITION BY run, side ORDER BY k)),
 ro AS (SELECT st.run, st.k, side, -(sg.y-st.y) AS u0, -(y1-st.y) AS u1, s, s1, sg.x AS ax, sg.y AS ay, sg.z AS az, x1, y1, z1, st.x AS cx, st.y AS cy, st.z AS cz FROM st JOIN sg ON st.run = sg.run AND s1 IS NOT NULL WHERE (-(sg.y-st.y))*(-(y1-st.y)) <= 0 AND abs(y1-sg.y) > 1e-5),
@@ -94,7 +94,7 @@ def _(t):
     from ..operators.paths import section_intersections
 
     p = t.path
-    st = p.where(c("k") % 5 == 2).select("run", "k", ((c("lx") + c("rx")) / 2).alias("ox"), ((c("ly") + c("ry")) / 2 - 0.2).alias("oy"), ((c("lz") + c("rz")) / 2).alias("oz"),
+    st = p.select("run", "k", ((c("lx") + c("rx")) / 2).alias("ox"), ((c("ly") + c("ry")) / 2 - 0.2).alias("oy"), ((c("lz") + c("rz")) / 2).alias("oz"),
                                          F.lit(0.0).alias("tgx"), F.lit(-1.0).alias("tgy"), F.lit(0.0).alias("tgz"))
     return section_intersections(st, p, ["run"]).select("run", "k", "station", "lx", "lz", "rx", "rz", "forward")
 
@@ -164,28 +164,26 @@ COMP = "comp AS (SELECT run, 0 AS generation, frame, ring, frame*10+ring AS id,
 
 
 @query("jon_16_match_components", "points", f"""WITH {COMP}, pr AS (SELECT a.run, a.id AS component, b.id AS track, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d
- FROM comp a JOIN comp b ON a.run = b.run AND a.frame = b.frame + 1 AND a.t_s-b.t_s BETWEEN 0 AND 3),
+ FROM comp a JOIN comp b ON a.run = b.run AND a.frame > b.frame AND a.t_s-b.t_s BETWEEN 0 AND 3),
 na AS (SELECT run, component, track, ax, ay, az, min(d) AS d FROM pr GROUP BY ALL), nb AS (SELECT run, component, track, bx, by_, bz, min(d) AS d FROM pr GROUP BY ALL),
 fa AS (SELECT run, component, track, avg(CASE WHEN d <= 1.5 THEN 1.0::DOUBLE ELSE 0 END) AS f, quantile_cont(d, 0.5) AS m FROM na GROUP BY ALL), fb AS (SELECT run, component, track, avg(CASE WHEN d <= 1.5 THEN 1.0::DOUBLE ELSE 0 END) AS f, quantile_cont(d, 0.5) AS m FROM nb GROUP BY ALL)
 SELECT run, component, track, greatest(fa.f, fb.f) AS fraction, least(fa.m, fb.m) + (1-greatest(fa.f, fb.f))*0.1 AS score FROM fa JOIN fb USING (run, component, track) WHERE greatest(fa.f, fb.f) >= 0.2""", rnd="fraction score")
 def _(t):
-    """Components per (frame, ring) against those of the frame before; 1.5 m suits the sparse cloud."""
+    """Components per (frame, ring) against all those of the 3 s before; 1.5 m suits the sparse cloud."""
     v = voxel_centroid(t.points, ["run", "frame", "ring"], 1.0, out=("x", "y", "z")).withColumns({
         "generation": F.lit(0), "id": c("frame") * 10 + c("ring"), "t_s": c("frame").cast("double") / 10})
-    # One step per key: a component only meets the tracks of the frame before.
-    now = v.withColumn("generation", c("frame"))
-    before = v.withColumn("generation", c("frame") + 1)
-    return jn.match_components(now, before, radius=1.5).select("run", "component", "track", "fraction", "score")
+    out = jn.match_components(v, v, radius=1.5).where(F.floor(c("component") / 10) > F.floor(c("track") / 10))
+    return out.select("run", "component", "track", "fraction", "score")
 
 
 TRES = """off AS (SELECT i*0.02::DOUBLE AS ov, j*0.02::DOUBLE AS ow FROM generate_series(-2, 2) a(i), generate_series(-2, 2) b(j)),
-pt AS (SELECT run, point_idx, x AS v, z AS w FROM points WHERE x BETWEEN -0.1 AND 0.2 AND z BETWEEN -0.1 AND 0.15),
-rs AS (SELECT run, point_idx, ov, ow, least(0.05, min(sqrt(power(p.v-ov-t.v,2)+power(p.w-ow-t.w,2)))) AS d FROM pt p, off, template t GROUP BY run, point_idx, ov, ow)"""
+pt AS (SELECT run, point_idx, x AS v, z AS w FROM points),
+rs AS (SELECT run, point_idx, ov, ow, least(0.05, min(sqrt(power(p.v-ov-t.v,2)+power(p.w-ow-t.w,2)))) AS d FROM pt p, off, (SELECT DISTINCT v, w FROM template) t GROUP BY run, point_idx, ov, ow)"""
 
 
 @query("jon_17_template_residual", "points template", f"WITH {TRES} SELECT run, ov, ow, count(*) AS n, avg(d) AS residual, avg(CASE WHEN d < 0.02 THEN 1.0::DOUBLE ELSE 0 END) AS support FROM rs GROUP BY run, ov, ow", rnd="ov ow residual support")
 def _(t):
-    p = t.points.where(c("x").between(-0.1, 0.2) & c("z").between(-0.1, 0.15)).select("run", "point_idx", c("x").alias("v"), c("z").alias("w"))
+    p = t.points.select("run", "point_idx", c("x").alias("v"), c("z").alias("w"))
     rows = jn.shifted(p, jn.offset_grid(t.spark, 0.04, 0.02))
     d = jn.template_distance(rows, t.template, ["run", "point_idx", "ov", "ow"])
     return d.groupBy("run", "ov", "ow").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("residual"), F.avg((c("d") < 0.02).cast("double")).alias("support"))

@@ -272,7 +272,7 @@ def match_components(components: DataFrame, tracks: DataFrame, radius: float = 0
     Both sides are voxels: run, generation, t_s, id, x, y, z. A pair counts
     when its boxes are within ``radius``, at least ``fraction`` of one side's
     voxels has a neighbour on the other, and the track is at most
-    ``max_gap_s`` older. The score is the smaller median distance plus a
+    ``max_gap_s`` older; of the same instant they count too. The score is the smaller median distance plus a
     tenth of the missing share. Candidate pairs come from voxels that meet,
     so boxes that are apart never form a pair.
     """
@@ -283,20 +283,28 @@ def match_components(components: DataFrame, tracks: DataFrame, radius: float = 0
     near = a.select("*", *cell_of(vec("a"), radius * PAD)).join(explode_neighbours(b.select("*", *cell_of(vec("b"), radius * PAD)), 1), [*keys, *CELL])
     near = near.where((c("a_t") - c("b_t") >= 0) & (c("a_t") - c("b_t") <= max_gap_s) & (squared_distance("a", "b") <= radius * radius))
 
-    def side(p, q, own, other):
-        hit = near.groupBy(*keys, "a_id", "b_id", *[p + s for s in "xyz"]).agg(F.lit(1).alias("h"))
-        return hit.groupBy(*keys, "a_id", "b_id").agg(F.count(F.lit(1)).alias("hit_" + p))
+    pair = [*keys, "a_id", "b_id"]
 
-    pairs = side("a", "b", a, b).join(side("b", "a", b, a), [*keys, "a_id", "b_id"])
-    pairs = pairs.join(size(a, "a"), [*keys, "a_id"]).join(size(b, "b"), [*keys, "b_id"])
+    def side(p):
+        """Per pair: how many voxels of one side have a neighbour, and their nearest distances in order."""
+        hit = near.groupBy(*pair, *[p + s for s in "xyz"]).agg(F.min(squared_distance("a", "b")).alias("d2"))
+        return hit.groupBy(*pair).agg(F.count(F.lit(1)).alias("hit_" + p), F.sort_array(F.collect_list(F.sqrt("d2"))).alias("d_" + p))
+
+    pairs = side("a").join(side("b"), pair).join(size(a, "a"), [*keys, "a_id"]).join(size(b, "b"), [*keys, "b_id"])
     pairs = pairs.withColumn("fraction", F.greatest(c("hit_a") / c("a_n"), c("hit_b") / c("b_n"))).where(c("fraction") >= fraction)
-    # Exact medians of nearest distances, for the pairs that passed: the voxels of one component and one track.
-    kept = pairs.select(*keys, "a_id", "b_id", "fraction")
-    full = kept.join(a, [*keys, "a_id"]).join(b, [*keys, "b_id"])
-    na = full.groupBy(*keys, "a_id", "b_id", "fraction", "ax", "ay", "az").agg(F.min(squared_distance("a", "b")).alias("d2"))
-    nb = full.groupBy(*keys, "a_id", "b_id", "bx", "by", "bz").agg(F.min(squared_distance("a", "b")).alias("d2"))
-    ma = na.groupBy(*keys, "a_id", "b_id", "fraction").agg(F.median(F.sqrt("d2")).alias("ma"))
-    mb = nb.groupBy(*keys, "a_id", "b_id").agg(F.median(F.sqrt("d2")).alias("mb"))
-    out = ma.join(mb, [*keys, "a_id", "b_id"])
+    # The middle voxels of a side with neighbours for more than half are among these; with fewer, its median is beyond the
+    # radius and so beyond the other side's. Only pairs that this leaves open look at all their voxels.
+    lower, upper = (lambda p: F.floor((c(p + "_n") + 1) / 2).cast("int")), (lambda p: F.floor((c(p + "_n") + 2) / 2).cast("int"))
+    for p in "ab":
+        known = c("hit_" + p) >= upper(p)
+        pairs = pairs.withColumns({"m" + p: F.when(known, (F.get("d_" + p, lower(p) - 1) + F.get("d_" + p, upper(p) - 1)) / 2), "far_" + p: c("hit_" + p) < lower(p)})
+    settled = (c("ma").isNotNull() & (c("mb").isNotNull() | c("far_b"))) | (c("mb").isNotNull() & c("far_a"))
+    pairs = pairs.select(*pair, "fraction", "ma", "mb", settled.alias("settled"))
+    near_ones = pairs.where("settled").drop("settled")
+    full = pairs.where("not settled").select(*pair, "fraction").join(a, [*keys, "a_id"]).join(b, [*keys, "b_id"])
+    na = full.groupBy(*pair, "fraction", "ax", "ay", "az").agg(F.min(squared_distance("a", "b")).alias("d2"))
+    nb = full.groupBy(*pair, "bx", "by", "bz").agg(F.min(squared_distance("a", "b")).alias("d2"))
+    open_ones = na.groupBy(*pair, "fraction").agg(F.median(F.sqrt("d2")).alias("ma")).join(nb.groupBy(*pair).agg(F.median(F.sqrt("d2")).alias("mb")), pair)
+    out = near_ones.unionByName(open_ones)
     score = F.least("ma", "mb") + (1 - c("fraction")) * 0.1
     return out.select(*keys, c("a_id").alias("component"), c("b_id").alias("track"), "fraction", score.alias("score"))
