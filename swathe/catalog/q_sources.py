@@ -154,11 +154,12 @@ LATE = "lt AS (SELECT *, (message_id*37 % 900)::DOUBLE AS age_ms, CASE topic WHE
 
 
 # Admission ages in ms of input, geometry and result.
-ADMISSION = F.expr("CASE topic WHEN 'click' THEN 100 WHEN 'view' THEN 400 ELSE 800 END")
+def _admission():
+    return F.expr("CASE topic WHEN 'click' THEN 100 WHEN 'view' THEN 400 ELSE 800 END")
 
 
 def _late(t):
-    return st.late_drop(t.messages, (c("message_id") * 37 % 900).cast("double"), ADMISSION)
+    return st.late_drop(t.messages, (c("message_id") * 37 % 900).cast("double"), _admission())
 
 
 @query("snk_07_journal_sink", "messages", f"WITH {LATE} SELECT topic, 'ADMISSION_EXPIRED' AS event, count(*) AS n, max(age_ms) AS oldest_ms FROM lt WHERE age_ms > limit_ms GROUP BY topic", rnd="oldest_ms")
@@ -178,7 +179,7 @@ def _(t):
 def _(t):
     """The same decision in a stream with two sinks: every message stands in one of them."""
     m = t.messages.select("message_id", "topic", (c("message_id") * 37 % 900).cast("double").alias("age"))
-    ok, late = admission.admitted_and_journal(sf.as_stream(m, "message_id"), c("age"), ADMISSION)
+    ok, late = admission.admitted_and_journal(sf.as_stream(m, "message_id"), c("age"), _admission())
     return ok.select("message_id", "age_ms", F.lit(True).alias("admitted"), F.lit(None).cast("string").alias("event")).unionByName(late.select("message_id", "age_ms", F.lit(False).alias("admitted"), "event"))
 
 
