@@ -254,9 +254,9 @@ def _(t):
     return out.select("run", *[F.round(n, 6).alias(n) for n in ("ov", "ow", "cost", "var_v", "var_w")])
 
 
-def _reach(t, configs):
+def _reach(t, configs, scene=None):
     """How far each configuration gets: one march, the configurations are columns of its starts."""
-    p, starts = _corridor(t)
+    p, starts = scene or _corridor(t)
     each = [starts.withColumns({"config": F.lit(name), **{x: F.lit(float(v)) for x, v in gates.items()}}) for name, gates in configs.items()]
     starts = each[0]
     for more in each[1:]:

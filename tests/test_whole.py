@@ -20,8 +20,9 @@ def test_no_registered_query_cuts_rounds_or_replicates():
 
 def test_march_queries_reach_the_end_of_a_corridor(spark):
     template = spark.createDataFrame([(i, 0.01 * i, 0.0) for i in range(10)], "cell int, v double, w double")
-    points = spark.createDataFrame([(0, i, i, 0.03 * (i % 3), -4.0 - 0.5 * i, 0.0) for i in range(48)], "run int, point_idx long, frame int, x double, y double, z double")
-    r = q_detect._reach(SimpleNamespace(points=points, template=template), {"base": {}, "strict": {"min_points": 4}}).where("config = 'base'").first()
+    points = spark.createDataFrame([(0, i, 4.0 + 0.5 * i, 0.03 * (i % 3), 0.0) for i in range(48)], "run int, id long, u double, v double, w double")
+    starts = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "run int, u double, v double, w double")
+    r = q_detect._reach(SimpleNamespace(template=template), {"base": {}, "strict": {"min_points": 4}}, (points, starts)).where("config = 'base'").first()
     assert r["reach_m"] > 16 and r["reason"] != "RANGE_LIMIT"  # three rounds end at 16 m
 
 
