@@ -248,7 +248,11 @@ def _(t):
     return r.groupBy("run").agg(F.corr("range_m", "error_m").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
 
 
-@query("agg_28_block_bootstrap", "stations")
+@query("agg_28_block_bootstrap", "stations", """WITH s AS (SELECT method, run, floor(frame/20) AS blk, error_m FROM stations WHERE evaluable),
+b AS (SELECT method, run, blk, row_number() OVER (PARTITION BY method, run ORDER BY blk)-1 AS slot, count(*) OVER (PARTITION BY method, run) AS blocks FROM (SELECT DISTINCT method, run, blk FROM s)),
+d AS (SELECT method, run, rep, CAST('0x' || substr(md5(concat_ws(':', method, run, slot, rep, 17)), 1, 8) AS BIGINT) % blocks AS slot FROM b, range(1, 1001) r(rep)),
+m AS (SELECT d.method, rep, median(error_m) AS med FROM d JOIN b ON b.method = d.method AND b.run = d.run AND b.slot = d.slot JOIN s ON s.method = d.method AND s.run = d.run AND s.blk = b.blk GROUP BY ALL)
+SELECT method, count(*) AS replicates, quantile_cont(med, 0.025) AS lo, quantile_cont(med, 0.5) AS mid, quantile_cont(med, 0.975) AS hi FROM m GROUP BY method""", rnd="lo mid hi")
 def _(t):
     from ..plans.evaluate import block_bootstrap
 

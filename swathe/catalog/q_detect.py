@@ -283,17 +283,17 @@ def _(t):
 # --- joining near and far paths ------------------------------------------------------------------
 
 
-@query("prj_24_attach_near", "path", """WITH p AS (SELECT run, k, 0.5*k AS u, lx, rx FROM path WHERE run + 1 IN (SELECT run FROM path WHERE k >= 20)), n AS (SELECT run-1 AS run, k, lx, rx FROM path WHERE k <= 16 AND run >= 1),
+@query("prj_24_attach_near", "path", """WITH p AS (SELECT run, k, 0.5*k AS u, lx, rx FROM path WHERE run % 4 <> 3 OR k <= 16), n AS (SELECT run-1 AS run, k, lx, rx FROM path WHERE k <= 16 AND run >= 1),
 e AS (SELECT run, max(lx) FILTER (k = 16) AS l8, max(rx) FILTER (k = 16) AS r8, (max(lx) FILTER (k = 16)-max(lx) FILTER (k = 14)) AS ls, (max(rx) FILTER (k = 16)-max(rx) FILTER (k = 14)) AS rs FROM n GROUP BY run),
-a AS (SELECT run, max(lx) FILTER (k = 16) AS al, max(rx) FILTER (k = 16) AS ar, max(lx) FILTER (k = 18)-max(lx) FILTER (k = 16) AS sl, max(rx) FILTER (k = 18)-max(rx) FILTER (k = 16) AS sr FROM p GROUP BY run HAVING max(k) >= 40),
-t AS (SELECT p.*, al, ar, sl, sr, l8, r8, ls, rs, least(1, (u-8)/4) AS t FROM p JOIN a USING (run) JOIN e USING (run) WHERE k > 16)
-SELECT run, k, lx + (1-3*t*t+2*t*t*t)*(l8-al) + 4*(t-2*t*t+t*t*t)*(ls-sl) AS lx, rx + (1-3*t*t+2*t*t*t)*(r8-ar) + 4*(t-2*t*t+t*t*t)*(rs-sr) AS rx, false AS near FROM t
-UNION ALL SELECT run, k, lx, rx, true FROM n WHERE run IN (SELECT run FROM a)""", rnd="lx rx")
+a AS (SELECT run, max(u) AS u1, max(lx) FILTER (k = 16) AS al, max(rx) FILTER (k = 16) AS ar, max(lx) FILTER (k = 18)-max(lx) FILTER (k = 16) AS sl, max(rx) FILTER (k = 18)-max(rx) FILTER (k = 16) AS sr FROM p GROUP BY run HAVING max(u) > 8.1),
+t AS (SELECT p.*, al, ar, sl, sr, l8, r8, ls, rs, least(4, u1-8) AS len, least(1, (u-8)/least(4, u1-8)) AS t FROM p JOIN a USING (run) JOIN e USING (run) WHERE k > 16)
+SELECT run, k, lx + (1-3*t*t+2*t*t*t)*(l8-al) + len*(t-2*t*t+t*t*t)*(ls-sl) AS lx, rx + (1-3*t*t+2*t*t*t)*(r8-ar) + len*(t-2*t*t+t*t*t)*(rs-sr) AS rx, false AS near, 'CURRENT_NEAR_WITH_BLENDED_TAIL' AS status FROM t
+UNION ALL SELECT run, k, lx, rx, true, CASE WHEN run IN (SELECT run FROM a) THEN 'CURRENT_NEAR_WITH_BLENDED_TAIL' ELSE 'NEAR_ONLY_SHORT_OR_NONMONOTONIC_PRIOR' END FROM n""", rnd="lx rx")
 def _(t):
-    """The first 8 m of the next run's path joined to this run's far path."""
+    """The first 8 m of the next run's path joined to this run's path; every fourth run has only 8 m of it."""
     p = t.path
     near = p.where((c("k") <= 16) & (c("run") >= 1)).withColumn("run", c("run") - 1)
-    return pth.attach_near(p, near, ["run"]).select("run", "k", "lx", "rx", "near")
+    return pth.attach_near(p.where((c("run") % 4 != 3) | (c("k") <= 16)), near, ["run"]).select("run", "k", "lx", "rx", "near", "status")
 
 
 @query("prj_25_reanchor_tail", "path")

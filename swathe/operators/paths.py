@@ -326,14 +326,21 @@ def _near_end(prior: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def attach_near(prior: DataFrame, near: DataFrame, keys: list[str], transition: float = 4.0) -> DataFrame:
-    """Near rails as prefix and the prior's tail bent onto them: value and slope meet at the near end
-    and the far shape is unchanged past ``transition`` metres. Paths that end too early keep no tail.
+    """Near rails as prefix and the prior's tail bent onto them: value and slope meet at the near end and the far shape
+    is unchanged past ``transition`` metres. The near rails always stay, with a status.
 
-    Rails of both inputs are ordered left, right.
+    A prior that is missing, has under three vertices, doesn't run forward or ends within .1 m of the near end adds no
+    tail, nor does one whose join has a step outside 1e-6 .. 5 m or a coordinate that isn't finite. Near rails have three
+    vertices at least; rails of both inputs are ordered left, right.
     """
+    from .joins import polyline
+
     sides = [p + a for p in "lr" for a in "xyz"]
-    e = _near_end(prior, near, keys).where((c("kp") >= 3) & (c("u1") > c("end") + 0.1))
     u = -(c("ly") + c("ry")) / 2
+    ends = _near_end(prior, near, keys)
+    w = Window.partitionBy(*keys).orderBy("k")  # one path
+    back = prior.select(*keys, (u - F.lag(u).over(w)).alias("__du")).where("__du <= 1e-6").select(*keys).distinct()
+    e = ends.where((c("kp") >= 3) & (c("u1") > c("end") + 0.1)).join(back, keys, "left_anti")
     t = prior.select(*keys, "k", *sides, u.alias("u")).join(e, keys).where(c("u") > c("end") + 1e-6)
     length = F.least(F.lit(transition), c("u1") - c("end"))
     t = t.withColumn("L", length).withColumn("q", F.least(F.lit(1.0), (c("u") - c("end")) / c("L")))
@@ -347,8 +354,15 @@ def attach_near(prior: DataFrame, near: DataFrame, keys: list[str], transition:
         return (c(n) + value * shift + slope * (new - old)).alias(n)
 
     tail = t.select(*keys, "k", *[bent(n) for n in sides], F.lit(False).alias("near"))
-    head = near.join(e.select(*keys), keys, "left_semi").select(*keys, "k", *sides, F.lit(True).alias("near"))
-    return head.unionByName(tail)
+    head = near.select(*keys, "k", *sides, F.lit(True).alias("near"))
+    joined = head.join(e.select(*keys), keys, "left_semi").unionByName(tail)
+    step = polyline(joined.select(*keys, "k", *[((c("l" + a) + c("r" + a)) / 2).alias(a) for a in "xyz"]), keys, ["x", "y", "z"])
+    d = norm(tuple(c(a + "_1") - c(a) for a in "xyz"))
+    broken = step.where((d <= 1e-6) | (d > 5) | F.isnan(d)).select(*keys).distinct()
+    good = e.select(*keys).join(broken, keys, "left_anti").withColumn("status", F.lit("CURRENT_NEAR_WITH_BLENDED_TAIL"))
+    state = good.unionByName(broken.withColumn("status", F.lit("NEAR_ONLY_INVALID_JOIN")))
+    short = F.lit("NEAR_ONLY_SHORT_OR_NONMONOTONIC_PRIOR")
+    return head.join(state, keys, "left").withColumn("status", F.coalesce("status", short)).unionByName(tail.join(good, keys))
 
 
 def reanchor_tail(prior: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:

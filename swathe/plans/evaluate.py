@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,28 +37,72 @@ def acceptance_gate(stations: DataFrame, edges: list[float], over: float, extra_
     return out.withColumn("passed", passed)
 
 
-def block_bootstrap(df: DataFrame, keys: list[str], replicates: int = 1000, block: int = 20, value: str = "error_m", width: float = 0.01, seed: int = 17) -> DataFrame:
-    """Interval of the median when blocks of frames are drawn with replacement.
+def block_draws(df: DataFrame, keys: list[str], replicates: int = 1000, block: int = 20, seed: int = 17) -> DataFrame:
+    """How often each replicate draws each block of frames: as many draws per run as the run has blocks, with replacement.
+
+    A draw is read from the MD5 of keys, run, number of the draw, replicate and seed, so it repeats exactly.
+    """
+    from pyspark.sql import Window
+
+    have = df.select(*keys, "run", F.floor(c("frame") / block).alias("blk")).distinct()
+    w = Window.partitionBy(*keys, "run")
+    have = cut(have.select("*", (F.row_number().over(w.orderBy("blk")) - 1).alias("slot"), F.count(F.lit(1)).over(w).alias("blocks")), "blocks")
+    one = have.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    text = F.concat_ws(":", *[c(k) for k in keys], "run", "slot", "rep", F.lit(seed))
+    pick = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), c("blocks"))
+    drawn = one.groupBy(*keys, "run", pick.alias("slot"), "rep").agg(F.count(F.lit(1)).alias("m"))
+    return drawn.join(have.drop("blocks"), [*keys, "run", "slot"]).select(*keys, "run", "blk", "rep", "m")
+
 
-    Drawing blocks means giving each block a count. Each block collapses to a
-    histogram of ``width`` first; a replicate then weighs the histograms, so
-    the cost is blocks x bins, not rows x replicates. Counts come from a
-    Poisson(1) draw on a hash and repeat exactly.
+def replicate_medians(df: DataFrame, draws: DataFrame, keys: list[str], value: str, block: int = 20) -> DataFrame:
+    """The median of ``value`` in each replicate of ``block_draws``, exactly.
+
+    Values get a code of three base-16 digits from their rank in the whole sample. Each round counts one digit per block,
+    weighs blocks by their draws and keeps, per replicate, the digit that holds its median; only values of the codes found
+    meet the draws themselves. A round costs blocks times replicates, not rows times replicates.
+    """
+    rows = df.where(c(value).isNotNull() & ~F.isnan(value)).select(*keys, "run", F.floor(c("frame") / block).alias("blk"), c(value).cast("double").alias("v"))
+    rows = rows.groupBy(*keys, "run", "blk", "v").agg(F.count(F.lit(1)).alias("n"))
+    rank = blocked_scan(rows.groupBy(*keys, "v").agg(F.sum("n").alias("n")), keys, "v", {"upto": ("sum", c("n"))}, block=0.01)
+    total = rank.groupBy(*keys).agg(F.max("upto").alias("t"))
+    code = rank.join(total, keys).select(*keys, "v", F.floor((c("upto") - c("n")) * 4096 / c("t")).alias("code"))
+    rows = cut(rows.join(code, [*keys, "v"]), "values")
+    state = None
+    for place in (256, 16, 1):
+        at = rows.withColumns({"prefix": F.floor(c("code") / (16 * place)), "digit": F.floor(c("code") / place) % 16})
+        if state is not None:
+            at = at.join(state.select(*keys, "prefix").distinct(), [*keys, "prefix"], "left_semi")
+        per = at.groupBy(*keys, "run", "blk", "prefix").agg(*[F.sum(F.when(c("digit") == i, c("n")).otherwise(0)).alias(f"c{i}") for i in range(16)])
+        hist = per.join(draws, [*keys, "run", "blk"]).groupBy(*keys, "rep", "prefix").agg(*[F.sum(c("m") * c(f"c{i}")).alias(f"c{i}") for i in range(16)])
+        if state is None:
+            all_ = sum((c(f"c{i}") for i in range(1, 16)), c("c0"))
+            both = F.array_distinct(F.array(F.floor((all_ - 1) / 2), F.ceil((all_ - 1) / 2)))
+            found = hist.withColumn("t", all_).where("t > 0").select("*", F.explode(both).alias("k"), F.lit(0).cast("long").alias("before"))
+        else:
+            found = hist.join(state, [*keys, "rep", "prefix"])
+        upto, digit, below = c("before"), F.lit(0), c("before")
+        for i in range(16):
+            upto = upto + c(f"c{i}")
+            digit = digit + (upto <= c("k")).cast("int")
+            below = below + F.when(upto <= c("k"), c(f"c{i}")).otherwise(0)
+        state = cut(found.select(*keys, "rep", "k", (c("prefix") * 16 + digit).alias("prefix"), below.alias("before")), "medians")
+    left = rows.withColumnRenamed("code", "prefix").join(state.select(*keys, "prefix").distinct(), [*keys, "prefix"], "left_semi")
+    seen = left.join(draws, [*keys, "run", "blk"]).join(state.select(*keys, "rep", "prefix").distinct(), [*keys, "rep", "prefix"])
+    seen = seen.groupBy(*keys, "rep", "prefix", "v").agg(F.sum(c("m") * c("n")).alias("w"))
+    run = blocked_scan(seen, [*keys, "rep", "prefix"], "v", {"upto": ("sum", c("w"))}, block=0.01)
+    hit = run.join(state, [*keys, "rep", "prefix"]).where(c("before") + c("upto") > c("k")).groupBy(*keys, "rep", "k").agg(F.min("v").alias("v"))
+    return hit.groupBy(*keys, "rep").agg(F.avg("v").alias("median"))
+
+
+def block_bootstrap(df: DataFrame, keys: list[str], replicates: int = 1000, block: int = 20, value: str = "error_m", seed: int = 17) -> DataFrame:
+    """95 % interval of the median of ``value`` when whole blocks of frames are drawn anew within each run.
+
+    Blocks are ``floor(frame / block)``; blocks without a value are drawn too and add nothing.
     """
-    h = df.groupBy(*keys, "run", F.floor(c("frame") / block).alias("blk"), F.floor(c(value) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    rep = h.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.pmod(F.xxhash64("run", "blk", "rep", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    times, acc = F.lit(0), 0.0
-    for k in range(8):
-        acc += math.exp(-1) / math.factorial(k)
-        times = times + (u >= acc).cast("int")
-    w = rep.withColumn("w", c("n") * times).where(c("w") > 0).groupBy(*keys, "rep", "bin").agg(F.sum("w").alias("w"))
-    total = w.groupBy(*keys, "rep").agg(F.sum("w").alias("t"))
-    run = blocked_scan(w, [*keys, "rep"], "bin", {"upto": ("sum", c("w"))}).join(total, [*keys, "rep"])
-    med = run.where(c("upto") * 2 >= c("t")).groupBy(*keys, "rep").agg((F.min("bin") * width + width / 2).alias("m"))
-    return med.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("replicates"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("lo"),
-        F.round(F.percentile("m", F.lit(0.5)), 6).alias("mid"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("hi"))
+    draws = cut(block_draws(df, keys, replicates, block, seed), "draws")
+    med = replicate_medians(df, draws, keys, value, block)  # one row per replicate
+    return med.groupBy(*keys).agg(F.count(F.lit(1)).alias("replicates"), F.percentile("median", F.lit(0.025)).alias("lo"),
+                                  F.percentile("median", F.lit(0.5)).alias("mid"), F.percentile("median", F.lit(0.975)).alias("hi"))
 
 
 def residual_gate(df: DataFrame, keys: list[str], d: str, id_: str, limit: float = 0.03, weak_limit: float = 0.05, weak_robust: float = 0.04, cap: float = 0.06) -> DataFrame:
