@@ -58,16 +58,21 @@ def _(t):
     return out.select("rows", "one_sided", "unequal", F.round(c("max_err_error_m") * 1e8, 1).alias("err_e8"), "same")
 
 
-@query("evl_05_causality_audit", "frames", """WITH u AS (SELECT f.run, f.frame, g.frame AS source FROM frames f JOIN frames g ON g.run = f.run AND g.frame BETWEEN f.frame-3 AND f.frame)
-SELECT u.run, bool_and(source <= u.frame) AS causal, count(*) AS used, count(DISTINCT u.frame) AS frames, count(DISTINCT d.frame) AS with_direction FROM u LEFT JOIN frames d ON d.run = u.run AND d.frame = u.frame+1 GROUP BY u.run""")
+@query("evl_05_causality_audit", "frames", """WITH u AS (SELECT f.run, f.frame, g.frame AS source, false AS dir FROM frames f JOIN frames g ON g.run = f.run AND g.frame BETWEEN f.frame-3 AND f.frame
+UNION ALL SELECT f.run, f.frame, g.frame, true FROM frames f JOIN frames g ON g.run = f.run AND g.frame = f.frame+1
+UNION ALL SELECT run, frame, frame+2, frame % 2 = 0 FROM frames WHERE run % 3 = 1 AND frame % 25 IN (5, 24)),
+j AS (SELECT u.*, CASE WHEN dir THEN source <> u.frame+1 ELSE source > u.frame END AS late, k.frame IS NULL AS unknown FROM u LEFT JOIN frames k ON k.run = u.run AND k.frame = u.source)
+SELECT run, count(*) AS used, count(DISTINCT frame) AS starts, count(*) FILTER (late) AS not_causal, min(frame) FILTER (late) AS first_start, count(*) FILTER (unknown) AS unknown, count(*) FILTER (late OR unknown) = 0 AS causal FROM j GROUP BY run""")
 def _(t):
+    """Clouds and directions as starts use them; every third run has starts that look two frames ahead, once beyond its end."""
     f = t.frames.select("run", "frame")
-    sources = f.withColumn("source", F.explode(F.sequence(c("frame") - 3, c("frame"))))
-    used = sources.join(f.select("run", c("frame").alias("source")), ["run", "source"])
-    nxt = f.select("run", (c("frame") - 1).alias("frame"), (c("frame")).alias("direction"))
-    j = used.join(nxt, ["run", "frame"], "left")
-    return j.groupBy("run").agg(F.bool_and(c("source") <= c("frame")).alias("causal"), F.count(F.lit(1)).alias("used"), F.countDistinct("frame").alias("frames"),
-                                F.countDistinct(F.when(c("direction") == c("frame") + 1, c("frame"))).alias("with_direction"))
+    at = lambda source: f.withColumn("source", source)
+    recorded = f.select("run", c("frame").alias("source"))
+    clouds = at(F.explode(F.sequence(c("frame") - 3, c("frame")))).join(recorded, ["run", "source"]).withColumn("role", F.lit("cloud"))
+    directions = at(c("frame") + 1).join(recorded, ["run", "source"]).withColumn("role", F.lit("direction"))
+    ahead = at(c("frame") + 2).where((c("run") % 3 == 1) & (c("frame") % 25).isin(5, 24))
+    ahead = ahead.withColumn("role", F.when(c("frame") % 2 == 0, "direction").otherwise("cloud"))
+    return ev.causality_audit(clouds.unionByName(directions).unionByName(ahead), f, ["run"])
 
 
 @query("evl_06_overlap_failures", "stations", """WITH q AS (SELECT run, frame, quantile_cont(error_m, 0.9) FILTER (method = 'A') AS first_p90, quantile_cont(error_m, 0.9) FILTER (method = 'B') AS new_p90 FROM stations GROUP BY ALL)
@@ -219,10 +224,12 @@ def _(t):
     return ev.curvature_summary(ev.curvature_errors(d, ["method", "run", "frame"], "s", "station"), ["method"])
 
 
-@query("evl_17_monte_carlo_covariance", "part")
+@query("evl_17_monte_carlo_covariance", "path")
 def _(t):
-    """Fifty draws per part, so the sample grows with the table."""
-    draws = t.part.select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("i"))
-    m = ev.monte_carlo(draws)
-    rel = lambda k: F.abs(c(k) - c("a" + k)) / F.greatest(F.abs(c("a" + k)), F.lit(1e-6))
-    return m.select((F.greatest(rel("xx"), rel("zz")) < 0.03).alias("within_3pct"))
+    """Two hundred draws around every section of the paths."""
+    from .q_projections import _section, axes
+
+    p, state = _section(t)
+    _, e1, e2 = axes()
+    m = ev.monte_carlo(p, ["run"], ["run", "k"], e1, e2, state)
+    return m.withColumn("within_3pct", c("relative_error") < 0.03)

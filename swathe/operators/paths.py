@@ -331,10 +331,8 @@ def attach_near(prior: DataFrame, near: DataFrame, keys: list[str], transition:
 
     A prior that is missing, has under three vertices, doesn't run forward or ends within .1 m of the near end adds no
     tail, nor does one whose join has a step outside 1e-6 .. 5 m or a coordinate that isn't finite. Near rails have three
-    vertices at least; rails of both inputs are ordered left, right.
+    vertices at least; ``k`` numbers vertices without gaps; rails of both inputs are ordered left, right.
     """
-    from .joins import polyline
-
     sides = [p + a for p in "lr" for a in "xyz"]
     u = -(c("ly") + c("ry")) / 2
     ends = _near_end(prior, near, keys)
@@ -356,9 +354,11 @@ def attach_near(prior: DataFrame, near: DataFrame, keys: list[str], transition:
     tail = t.select(*keys, "k", *[bent(n) for n in sides], F.lit(False).alias("near"))
     head = near.select(*keys, "k", *sides, F.lit(True).alias("near"))
     joined = head.join(e.select(*keys), keys, "left_semi").unionByName(tail)
-    step = polyline(joined.select(*keys, "k", *[((c("l" + a) + c("r" + a)) / 2).alias(a) for a in "xyz"]), keys, ["x", "y", "z"])
-    d = norm(tuple(c(a + "_1") - c(a) for a in "xyz"))
-    broken = step.where((d <= 1e-6) | (d > 5) | F.isnan(d)).select(*keys).distinct()
+    along = Window.partitionBy(*keys).orderBy(c("near").desc(), "k")  # one path
+    centre = tuple((c("l" + a) + c("r" + a)) / 2 for a in "xyz")
+    step = F.when(sum(centre).isNull(), float("nan")).otherwise(norm(tuple(m - F.lag(m).over(along) for m in centre)))
+    step = joined.select(*keys, step.alias("d"))
+    broken = step.where("d <= 1e-6 or d > 5 or isnan(d)").select(*keys).distinct()
     good = e.select(*keys).join(broken, keys, "left_anti").withColumn("status", F.lit("CURRENT_NEAR_WITH_BLENDED_TAIL"))
     state = good.unionByName(broken.withColumn("status", F.lit("NEAR_ONLY_INVALID_JOIN")))
     short = F.lit("NEAR_ONLY_SHORT_OR_NONMONOTONIC_PRIOR")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -437,20 +439,76 @@ def curvature_summary(errors: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def monte_carlo(draws: DataFrame, seed: int = 5) -> DataFrame:
-    """One draw per row: covariance of the near rail drawn through the section geometry, beside the first-order one."""
-    from ..functions.vector import const
+def causality_audit(used: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: which of the sources that starts have used lie in their future or were never recorded.
+
+    ``used``: keys, frame, source, role. A ``cloud`` may be no newer than its start; a ``direction`` must be the next frame.
+    """
+    known = frames.select(*keys, c("frame").alias("source")).distinct().withColumn("__k", F.lit(True))
+    u = used.join(known, [*keys, "source"], "left")
+    late = F.when(c("role") == "direction", c("source") != c("frame") + 1).otherwise(c("source") > c("frame"))
+    return u.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("used"), F.countDistinct("frame").alias("starts"), F.count_if(late).alias("not_causal"),
+        F.min(F.when(late, c("frame"))).alias("first_start"), F.count_if(c("__k").isNull()).alias("unknown"),
+        (F.count_if(late | c("__k").isNull()) == 0).alias("causal"))
+
+
+def saved_rows_check(saved: DataFrame, again: DataFrame, ids: list[str], keys: list[str]) -> DataFrame:
+    """Saved rows against recomputed ones: how many of each, how many of one side only."""
+    j = saved.select(*ids, F.lit(1).alias("__s")).join(again.select(*ids, F.lit(1).alias("__a")), ids, "full_outer")
+    return j.groupBy(*keys).agg(F.count("__s").alias("saved"), F.count("__a").alias("recomputed"),
+                                F.count_if(c("__s").isNull()).alias("missing"), F.count_if(c("__a").isNull()).alias("unexpected"))
+
+
+SIGMAS = {"alpha": math.radians(0.5), "d": 0.008, "h": 0.008, "g": 0.012, "hf": 0.008}  # fixed values
+POSITION_SIGMA, TANGENT_SIGMA = 0.01, math.radians(0.2)  # fixed values
+
+
+def _normals(ids: list[str], seed: int) -> list[Column]:
+    """Ten standard normal numbers from the MD5 of the row's ids, so that a repeated task draws the same."""
+    text = [F.md5(F.concat_ws(":", *[c(i) for i in ids], F.lit(seed + k))) for k in range(2)]
+    u = [(F.conv(F.substring(t, 6 * i + 1, 6), 16, 10).cast("double") + 0.5) / float(1 << 24) for t in text for i in range(5)]
+    out = []
+    for a, b in zip(u[:5], u[5:]):
+        size, turn = F.sqrt(-2 * F.ln(a)), 2 * math.pi * b
+        out += [size * F.cos(turn), size * F.sin(turn)]
+    return out
+
+
+def monte_carlo(sections: DataFrame, keys: list[str], ids: list[str], e1, e2, state: dict[str, Column], q: float = 1.0, draws: int = 200, seed: int = 6001) -> DataFrame:
+    """Sampled covariance of both rails around every section, beside the first-order one.
+
+    Sections have the contact point ``cx cy cz`` and unique ``ids``. Each is drawn ``draws`` times: section state, contact
+    position and the two tilts of the tangent. One row per key and rail: the mean over its sections of sampled and of
+    analytic covariances, and the relative Frobenius error between these means.
+    """
+    from ..functions.vector import add, cross, dot, norm, scale, sub, vec
     from ..operators.projections import rail_covariance, rails_from_contact
 
-    e1, e2 = const(-1, 0, 0), const(0, 0, -1)
-    sig = {"alpha": 0.01, "d": 0.01, "h": 0.02, "g": 0.0, "hf": 0.0}
-    mean = {"alpha": 0.1, "d": 0.7, "h": 0.15, "g": 1.584, "hf": 0.16}
-    state = {k: F.lit(m) + (F.randn(seed + i) * sig[k] if sig[k] else F.lit(0.0)) for i, (k, m) in enumerate(mean.items())}
-    d = draws.select(*[v.alias(k) for k, v in state.items()])
-    near, _ = rails_from_contact(const(0, 0, 0), e1, e2, {k: c(k) for k in mean}, 1.0)
-    d = d.select(near[0].alias("x"), near[2].alias("z")).agg(F.var_samp("x").alias("xx"), F.covar_samp("x", "z").alias("xz"), F.var_samp("z").alias("zz"))
-    cov = rail_covariance(e1, e2, {k: F.lit(v) for k, v in mean.items()}, 1.0, [F.lit(s * s) for s in sig.values()], F.lit(0.0), F.lit(0.0), far=False)
-    return d.select(*[c(k) for k in ("xx", "xz", "zz")], *[cov[k].alias("a" + k) for k in ("xx", "xz", "zz")])
+    pairs = [a + b for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    base = sections.select(*dict.fromkeys(keys + ids), "cx", "cy", "cz", *[v.alias(k) for k, v in state.items()])
+    d = base.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    d = d.withColumns({f"z{i}": z for i, z in enumerate(_normals([*ids, "i"], seed))})
+    moved = {k: c(k) + c(f"z{i}") * SIGMAS[k] for i, k in enumerate(state)}
+    at = tuple(c("c" + a) + c(f"z{5 + i}") * POSITION_SIGMA for i, a in enumerate("xyz"))
+    tilt = add(scale(e1, c("z8") * TANGENT_SIGMA), scale(e2, c("z9") * TANGENT_SIGMA))
+    angle = F.greatest(norm(tilt), F.lit(1e-12))
+    axis = scale(tilt, 1 / angle)
+    analytic, sampled = [], []
+    for rail, name in enumerate(("near", "far")):
+        r = sub(rails_from_contact(at, e1, e2, moved, q)[rail], at)
+        turned = add(add(scale(r, F.cos(angle)), scale(cross(axis, r), F.sin(angle))), scale(axis, dot(axis, r) * (1 - F.cos(angle))))
+        d = d.withColumns({f"{name}_{a}": v for a, v in zip("xyz", add(turned, at))})
+        cov = rail_covariance(e1, e2, {k: c(k) for k in state}, F.lit(q), [F.lit(SIGMAS[k] ** 2) for k in state], F.lit(POSITION_SIGMA), F.lit(TANGENT_SIGMA), far=bool(rail))
+        analytic += [F.struct(F.lit(name).alias("rail"), *[cov[p].alias("a" + p) for p in pairs])]
+        sampled += [F.covar_samp(f"{name}_{p[0]}", f"{name}_{p[1]}").alias(f"{name}_{p}") for p in pairs]
+    got = d.groupBy(*dict.fromkeys(keys + ids)).agg(*sampled)
+    one = F.array(*[F.struct(F.lit(n).alias("rail"), *[c(f"{n}_{p}").alias(p) for p in pairs]) for n in ("near", "far")])
+    got = got.select(*keys, F.explode(one).alias("o")).select(*keys, "o.*").groupBy(*keys, "rail").agg(*[F.avg(p).alias(p) for p in pairs], F.count(F.lit(1)).alias("sections"))
+    want = base.select(*keys, F.explode(F.array(*analytic)).alias("o")).select(*keys, "o.*").groupBy(*keys, "rail").agg(*[F.avg("a" + p).alias("a" + p) for p in pairs])
+    twice = lambda p: 1 if p[0] == p[1] else 2
+    size = lambda f: F.sqrt(sum((twice(p) * f(p) * f(p) for p in pairs), F.lit(0.0)))
+    return got.join(want, [*keys, "rail"]).withColumn("relative_error", size(lambda p: c(p) - c("a" + p)) / size(lambda p: c("a" + p)))
 
 
 def distinct_configs(configs: dict[str, dict]) -> dict[str, dict]:
