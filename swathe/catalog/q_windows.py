@@ -49,6 +49,24 @@ def _(t):
     return win.causal_history(win.chains(t.frames, ["run"]), ["run"]).select("run", "frame", "source", "age")
 
 
+SPANS = "ff AS (SELECT run, chain, min(frame) AS first FROM ch GROUP BY 1, 2), rf AS (SELECT run, min(frame) AS run_first FROM ch GROUP BY 1)"
+
+
+@query("win_05b_history_span", "frames", f"""WITH {CHAIN}, {SPANS},
+o AS (SELECT a.run, a.frame, max(b.frame) AS beyond FROM ch a JOIN ch b ON a.run = b.run AND a.chain = b.chain AND b.frame < a.frame AND sqrt((a.tx-b.tx)*(a.tx-b.tx)+(a.ty-b.ty)*(a.ty-b.ty)) > 3+1e-10 GROUP BY 1, 2)
+SELECT run, frame, coalesce(beyond+1, first) AS from_frame, frame-coalesce(beyond+1, first)+1 AS frames, CASE WHEN beyond IS NOT NULL THEN 'DISTANCE_LIMIT' WHEN first > run_first THEN 'TIME_OR_POSE_GAP' ELSE 'RUN_START' END AS reason
+FROM ch JOIN ff USING (run, chain) JOIN rf USING (run) LEFT JOIN o USING (run, frame)""", ints="from_frame frames")
+def _(t):
+    return win.history_span(win.chains(t.frames, ["run"]), ["run"], distance=3.0).select("run", "frame", "from_frame", "frames", "reason")
+
+
+@query("win_05c_history_frames", "frames", f"""WITH {CHAIN}, {SPANS}
+SELECT run, frame, greatest(first, frame-5) AS from_frame, frame-greatest(first, frame-5)+1 AS frames, CASE WHEN frame-5 >= first AND frame-5 > run_first THEN 'FRAME_LIMIT' WHEN first > run_first THEN 'TIME_OR_POSE_GAP' ELSE 'RUN_START' END AS reason
+FROM ch JOIN ff USING (run, chain) JOIN rf USING (run)""", ints="from_frame frames")
+def _(t):
+    return win.history_span(win.chains(t.frames, ["run"]), ["run"], n=6).select("run", "frame", "from_frame", "frames", "reason")
+
+
 @query("win_06_arc_length", "path", """WITH d AS (SELECT run, k, coalesce(sqrt(power(lx-lag(lx) OVER w,2)+power(ly-lag(ly) OVER w,2)+power(lz-lag(lz) OVER w,2)), 0) AS d FROM path WINDOW w AS (PARTITION BY run ORDER BY k))
 SELECT run, k, sum(d) OVER (PARTITION BY run ORDER BY k) AS arc_m FROM d""", rnd="arc_m")
 def _(t):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import norm
+from ..session import cut
 from .ordered import blocked_scan, islands
 
 c = F.col
@@ -65,6 +66,57 @@ def causal_history(frames: DataFrame, keys: list[str], n: int = 12) -> DataFrame
     return want.join(f.withColumnRenamed("frame", "source"), [*keys, "chain", "source"]).select(*keys, "chain", "frame", "source", "age")
 
 
+def history_span(frames: DataFrame, keys: list[str], n: int | None = None, distance: float | None = None) -> DataFrame:
+    """The history of every frame as a span: from_frame, the number of frames and the reason it ended.
+
+    A history goes back from the frame along its chain (``chains``), over at most ``n`` frames or, with ``distance``, until a frame
+    lies farther than that from the frame itself. ``reason`` is FRAME_LIMIT, DISTANCE_LIMIT, TIME_OR_POSE_GAP or RUN_START.
+    Frames are numbered without holes in a run; rows with a null key are left out. A span is one row however long a train stands.
+
+    With ``distance``: two frames are never farther apart than the way travelled between them. So all frames within the
+    wanted distance on the way belong to the span unseen, and the first one beyond is found by a scan in order of the way; if it lies inside,
+    what is left of the distance is the next stretch that can be skipped. A straight run takes two rounds.
+    """
+    if (n is None) == (distance is None):
+        raise ValueError("give either n or distance")
+    runs = frames.groupBy(*keys).agg(F.min("frame").alias("__run_first"))
+    spans = frames.groupBy(*keys, "chain").agg(F.min("frame").alias("__first"))
+    ended = F.when(c("__first") > c("__run_first"), "TIME_OR_POSE_GAP").otherwise("RUN_START")
+    if n is not None:
+        f = frames.select(*keys, "chain", "frame").join(spans, [*keys, "chain"]).join(runs, keys)
+        begin = F.greatest(c("__first"), c("frame") - (n - 1))
+        full = (c("frame") - (n - 1) >= c("__first")) & (c("frame") - (n - 1) > c("__run_first"))
+        reason = F.when(full, "FRAME_LIMIT").otherwise(ended)
+        return f.select(*keys, "chain", "frame", begin.alias("from_frame"), (c("frame") - begin + 1).alias("frames"), reason.alias("reason"))
+
+    way = [*keys, "chain"]
+    f = blocked_scan(frames.select(*way, "frame", "tx", "ty", "tz"), way, "frame", {f"__l{a}": ("lag", c("t" + a)) for a in "xyz"})
+    f = f.withColumn("__step", F.coalesce(norm(tuple(c("t" + a) - c("__l" + a) for a in "xyz")), F.lit(0.0)))
+    f = cut(blocked_scan(f, way, "frame", {"__way": ("sum", c("__step"))}).select(*way, "frame", "__way", "tx", "ty", "tz"), "history")
+    # Frames of a standing train share a place on the way and so their history's start.
+    place = F.min_by(F.struct("tx", "ty", "tz"), "frame").alias("p")
+    places = cut(f.groupBy(*way, "__way").agg(place, F.max("frame").alias("__last")), "history")
+    here = F.struct(c("__way").alias("way"), c("p"), c("__last").alias("last"))
+    marks = places.select(*way, c("__way").alias("__o"), F.lit(1).alias("__kind"), here.alias("__mark"), F.lit(None).cast("double").alias("__way"), F.lit(None).cast(places.schema["p"].dataType).alias("p"))
+    todo = places.select(*way, F.least(c("__way"), c("__way") - distance + 1e-6).alias("__o"), "__way", "p")
+    found = None
+    while True:
+        asked = todo.withColumns({"__kind": F.lit(0), "__mark": F.lit(None).cast(marks.schema["__mark"].dataType)})
+        seen = blocked_scan(marks.unionByName(asked), way, "__o", {"__hit": ("last", c("__mark"))}, block=256 * distance, ties=["__kind"]).where(c("__kind") == 0)
+        apart = norm(tuple(c(f"p.t{a}") - c(f"__hit.p.t{a}") for a in "xyz"))
+        seen = cut(seen.select(*way, "__way", "p", "__hit", apart.alias("__d")), "history")
+        over = c("__hit").isNull() | (c("__d") > distance + 1e-10)
+        done = seen.where(over).select(*way, "__way", c("__hit.last").alias("__beyond"))
+        found = done if found is None else found.unionByName(done)
+        todo = seen.where(~over).select(*way, (c("__hit.way") - F.greatest(F.lit(0.0), distance - c("__d") - 1e-6)).alias("__o"), "__way", "p")
+        if todo.isEmpty():
+            break
+    out = f.join(found, [*way, "__way"]).join(spans, way).join(runs, keys)
+    begin = F.coalesce(c("__beyond") + 1, c("__first"))
+    reason = F.when(c("__beyond").isNotNull(), "DISTANCE_LIMIT").otherwise(ended)
+    return out.select(*way, "frame", begin.alias("from_frame"), (c("frame") - begin + 1).alias("frames"), reason.alias("reason"))
+
+
 def trailing(df: DataFrame, keys: list[str], order: str, depth: int, skip: int, aggs: dict[str, Column]) -> DataFrame:
     """Aggregates over the previous rows ``order - depth + 1 .. order - skip`` of a dense whole-number order.
 

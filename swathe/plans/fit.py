@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import cross, dot, named, norm, sub, vec
 from ..operators.joins import bounded_nearest
-from ..session import cut
+from ..session import cut, discard
 
 c = F.col
 
@@ -222,62 +222,148 @@ def anchor_chain(poses: DataFrame, correction: DataFrame, keys: list[str], order
 # --- smooth curves --------------------------------------------------------------------------------
 
 
-def smooth_curves(obs: DataFrame, keys: list[str], s: str, values: list[str], sigma: str, spacing: float = 4.0, smooth: float = 1.0,
-                  prior: tuple[float, float] = (0.025, 0.004), loss: str = "huber", rounds: int = 6) -> DataFrame:
-    """Cubic spline through noisy stations, reweighted ``rounds`` times, with penalties on the second
-    and third derivative. Adds ``<value>_fit`` to every observation.
+def _band_solve(bands: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of symmetric systems of half-width 3, and the same bands of their inverses.
 
-    An observation touches four basis functions; Spark sums their products
-    per (curve, i, j). A curve's matrix has four entries per row and column,
-    so each solve is a small dense system of the curve's own knots.
+    ``bands[a, i, d]`` is entry (i, i + d) of system ``a``. The systems are taken as block
+    tridiagonal in blocks of three, so time and memory grow with the number of rows.
     """
-    from ..functions.numeric import robust_weight
+    systems, n = b.shape
+    size = -(-n // 3) * 3
+    m, y = np.zeros((systems, size + 3, 4)), np.zeros((systems, size))
+    m[:, n:, 0] = 1.0
+    m[:, :n], y[:, :n] = bands, b
+    blocks = size // 3
+    diag, low = np.zeros((systems, blocks, 3, 3)), np.zeros((systems, blocks, 3, 3))
+    for r in range(3):
+        for q in range(3):
+            diag[:, :, r, q] = m[:, min(r, q):size:3, abs(r - q)]
+            if r <= q:  # entry (3 (k + 1) + r, 3 k + q)
+                low[:, :, r, q] = m[:, q:size:3, 3 + r - q]
+    y = y.reshape(systems, blocks, 3, 1)
+    gain, inv = np.zeros_like(low), np.zeros_like(diag)
+    for k in range(blocks):
+        d = diag[:, k]
+        if k:
+            gain[:, k] = low[:, k - 1] @ inv[:, k - 1]
+            d = d - gain[:, k] @ low[:, k - 1].transpose(0, 2, 1)
+            y[:, k] -= gain[:, k] @ y[:, k - 1]
+        inv[:, k] = np.linalg.inv(d)
+    x, z = np.zeros_like(y), np.zeros((systems, size + 3, 4))
+    here = None
+    for k in range(blocks - 1, -1, -1):
+        x[:, k] = inv[:, k] @ y[:, k]
+        beside = np.zeros((systems, 3, 3))
+        if k + 1 < blocks:
+            g = gain[:, k + 1]
+            x[:, k] -= g.transpose(0, 2, 1) @ x[:, k + 1]
+            beside = -g.transpose(0, 2, 1) @ here
+            here = inv[:, k] - beside @ g
+        else:
+            here = inv[:, k]
+        both = np.concatenate([here, beside], axis=2)
+        for r in range(3):
+            z[:, 3 * k + r] = both[:, r, r:r + 4]
+    return x.reshape(systems, size)[:, :n], z[:, :n]
+
+
+def _bends(length: float, intervals: int, spacing: float, step: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Per interval the products (10 pairs) of second and of third derivatives of its four basis functions, summed over points every ``step``."""
+    at = np.arange(0.0, length, step)
+    at = np.append(at[at < length - 1e-7], length)
+    j = np.minimum((at / spacing).astype(int), intervals - 1)
+    t = at / spacing - j
+    second = np.stack([1 - t, 3 * t - 2, 1 - 3 * t, t]) / spacing ** 2
+    third = np.repeat(np.array([-1.0, 3.0, -3.0, 1.0])[:, None], len(t), axis=1) / spacing ** 3
+    sums = [np.stack([np.bincount(j, d[p] * d[q], intervals) for p, q in PAIRS], axis=1) for d in (second, third)]
+    return sums[0], sums[1]
+
+
+PAIRS = [(p, q) for p in range(4) for q in range(p, 4)]
+RIDGE = 1e-8
+
+
+def smooth_curves(obs: DataFrame, keys: list[str], s: str, values: list[str], sigma: str | list[str], spacing: float = 4.0, smooth: float = 1.0,
+                  prior: tuple[float, float] | list[tuple[float, float]] = (0.025, 0.004), loss: str = "huber", rounds: int = 6,
+                  query: DataFrame | None = None) -> DataFrame:
+    """Cubic spline through noisy stations with covariance: ``<value>_fit`` and ``<value>_var`` for every row of ``query`` (default: ``obs``).
+
+    Knots lie every ``spacing`` from the curve's first station. A plain fit gives the first residuals, then ``rounds`` times the rows are
+    weighted by ``loss`` of their residual over all values and solved again with priors on the second and third derivative
+    (one pair for all values or one each). The variance is that of the last system, at least 3 mm squared. ``sigma`` is one column or one per value,
+    taken as at least 1 mm. Observations with a null or non-finite station, value or sigma are left out of the fit;
+    rows without a station, or of a curve without observations, get nulls.
+
+    Spark sums ten products per (curve, interval) and value. What a task solves is one curve's knots, whose number is its length over
+    ``spacing`` whatever the number of rows, by a banded factorisation.
+    """
+    from ..functions.numeric import is_finite, robust_weight
+
+    sigmas = [sigma] * len(values) if isinstance(sigma, str) else sigma
+    priors = [prior] * len(values) if isinstance(prior, tuple) else prior
+    asked = obs if query is None else query
+    ends = obs.select(*keys, s).unionByName(asked.select(*keys, s)).where(is_finite(c(s))).groupBy(*keys).agg(F.min(s).alias("__s0"), F.max(s).alias("__s1"))
+    ends = ends.withColumn("__n", F.greatest(F.lit(1), F.ceil((c("__s1") - c("__s0") - 1e-8) / spacing)).cast("long"))
+
+    def placed(df: DataFrame, how: str) -> DataFrame:
+        u = (c(s) - c("__s0")) / spacing
+        return df.join(ends, keys, how).withColumn("__j", F.least(F.floor(u), c("__n") - 1)).withColumn("__t", u - c("__j"))
 
-    u = c(s) / spacing
-    base = obs.withColumn("__j", F.floor(u)).withColumn("__t", u - c("__j"))
     t = c("__t")
-    weights = [(1 - t) ** 3 / 6, (3 * t ** 3 - 6 * t ** 2 + 4) / 6, (-3 * t ** 3 + 3 * t ** 2 + 3 * t + 1) / 6, t ** 3 / 6]
-    base = base.select("*", *[w.alias(f"__b{k}") for k, w in enumerate(weights)])
-    kt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in obs.schema.fields if f.name in keys)
-    cols = [f"c_{v}" for v in values]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, n = int(pdf["i"].min()), int(pdf["j"].max() - pdf["i"].min()) + 1
-        m, b = np.zeros((n, n)), np.zeros((n, len(values)))
-        i, j = pdf["i"].to_numpy() - lo, pdf["j"].to_numpy() - lo
-        m[i, j] = pdf["m"]
-        m[j, i] = pdf["m"]
-        diag = i == j
-        for q, v in enumerate(values):
-            b[i[diag], q] = pdf[f"b_{v}"].to_numpy()[diag]
-        for power, scale_ in ((2, prior[0]), (3, prior[1])):
-            if n > power:
-                d = np.diff(np.eye(n), power, axis=0) / spacing ** power * np.sqrt(smooth * spacing) / scale_
-                m += d.T @ d
-        x = np.linalg.solve(m + 1e-9 * np.eye(n) * max(1.0, np.trace(m) / n), b)
-        out = pd.DataFrame(x, columns=cols)
-        out["i"] = np.arange(lo, lo + n)
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "i", *cols]]
-
-    rows = cut(base.withColumn("__w", F.lit(1.0)), "spline")
+    basis = [(1 - t) ** 3 / 6, (3 * t ** 3 - 6 * t ** 2 + 4) / 6, (-3 * t ** 3 + 3 * t ** 2 + 3 * t + 1) / 6, t ** 3 / 6]
+    good = is_finite(c(s))
+    for n in {*values, *sigmas}:
+        good = good & is_finite(c(n))
+    used = obs.where(good).select(*keys, c(s), *[c(v).cast("double").alias(f"__y{a}") for a, v in enumerate(values)],
+                                  *[F.greatest(c(n).cast("double"), F.lit(1e-3)).alias(f"__e{a}") for a, n in enumerate(sigmas)])
+    used = cut(placed(used, "inner").select(*keys, "__j", "__n", (c("__s1") - c("__s0")).alias("__len"), *[b.alias(f"__b{k}") for k, b in enumerate(basis)],
+                                            *[f"__y{a}" for a in range(len(values))], *[f"__e{a}" for a in range(len(values))]), "spline-rows")
+    kt = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in obs.select(*keys).schema.fields)
+
+    def solved(weighted: DataFrame, first: bool, last: bool) -> DataFrame:
+        w = [c("__w") if first else c("__w") / (c(f"__e{a}") * c(f"__e{a}")) for a in range(len(values))]
+        sums = []
+        for a in range(len(values)):
+            sums += [F.sum(w[a] * c(f"__b{p}") * c(f"__b{q}")).alias(f"m{a}_{i}") for i, (p, q) in enumerate(PAIRS)]
+            sums += [F.sum(w[a] * c(f"__b{p}") * c(f"__y{a}")).alias(f"r{a}_{p}") for p in range(4)]
+        per = weighted.groupBy(*keys, "__j").agg(F.first("__n").alias("__n"), F.first("__len").alias("__len"), *sums)
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            count = int(pdf["__n"].iloc[0])
+            j = pdf["__j"].to_numpy()
+            bands, right = np.zeros((len(values), count + 3, 4)), np.zeros((len(values), count + 3))
+            bands[:, :, 0] = RIDGE
+            bends = None if first else _bends(float(pdf["__len"].iloc[0]), count, spacing)
+            for a in range(len(values)):
+                for i, (p, q) in enumerate(PAIRS):
+                    bands[a, j + p, q - p] += pdf[f"m{a}_{i}"].to_numpy()
+                    if bends:
+                        bands[a, p:p + count, q - p] += sum(d[:, i] * smooth / x ** 2 for d, x in zip(bends, priors[a]))
+                for p in range(4):
+                    right[a, j + p] += pdf[f"r{a}_{p}"].to_numpy()
+            x, z = _band_solve(bands, right)
+            out = {k: [pdf[k].iloc[0]] * count for k in keys} | {"__j": np.arange(count)}
+            for a in range(len(values)):
+                out[f"__c{a}"] = list(np.stack([x[a, p:p + count] for p in range(4)], axis=1))
+                if last:
+                    out[f"__z{a}"] = list(np.stack([z[a, p:p + count, q - p] for p, q in PAIRS], axis=1))
+            return pd.DataFrame(out)
+
+        shape = kt + "__j long" + "".join(f", __c{a} array<double>" + (f", __z{a} array<double>" if last else "") for a in range(len(values)))
+        return cut(per.groupBy(*keys).applyInPandas(fit, shape), "spline")
+
+    coef = solved(used.withColumn("__w", F.lit(1.0)), True, rounds == 0)
     for step in range(rounds):
-        pick = F.array(*[F.struct(F.lit(k).alias("k"), c(f"__b{k}").alias("b")) for k in range(4)])
-        g = rows.withColumn("p", F.explode(pick)).withColumn("q", F.explode(pick)).where(c("q.k") >= c("p.k"))
-        w = c("__w") / (c(sigma) * c(sigma))
-        same = c("p.k") == c("q.k")
-        g = g.groupBy(*keys, (c("__j") + c("p.k")).alias("i"), (c("__j") + c("q.k")).alias("j")).agg(
-            F.sum(w * c("p.b") * c("q.b")).alias("m"), *[F.sum(F.when(same, w * c("p.b") * c(v)).otherwise(0.0)).alias(f"b_{v}") for v in values])
-        coef = g.groupBy(*keys).applyInPandas(fit, f"{kt}, i long, " + ", ".join(f"{n} double" for n in cols))
-        coef = cut(coef, "spline")
-        out = base
-        parts = [base.withColumn("i", c("__j") + k).withColumn("__bk", c(f"__b{k}")) for k in range(4)]
-        long = parts[0]
-        for p in parts[1:]:
-            long = long.unionByName(p)
-        ids = [n for n in base.columns]
-        f = long.join(coef, [*keys, "i"]).groupBy(*ids).agg(*[F.sum(c("__bk") * c(f"c_{v}")).alias(f"{v}_fit") for v in values])
-        r = F.sqrt(sum((((c(v) - c(f"{v}_fit")) / c(sigma)) ** 2 for v in values[1:]), ((c(values[0]) - c(f"{values[0]}_fit")) / c(sigma)) ** 2))
-        rows = cut(f.withColumn("__w", F.greatest(robust_weight(r, loss), F.lit(1e-5))), "spline")
-    return rows.drop("__w", "__j", "__t", *[f"__b{k}" for k in range(4)])
+        at = [sum(c(f"__b{p}") * c(f"__c{a}")[p] for p in range(4)) for a in range(len(values))]
+        far = F.sqrt(sum(((y - c(f"__y{a}")) / c(f"__e{a}")) ** 2 for a, y in enumerate(at)))
+        rows = used.join(coef, [*keys, "__j"]).withColumn("__w", F.greatest(robust_weight(far, loss), F.lit(1e-5)))
+        before, coef = coef, solved(rows, False, step == rounds - 1)
+        discard(before)
+
+    out = placed(asked, "left").select(*asked.columns, "__j", *[b.alias(f"__b{k}") for k, b in enumerate(basis)]).join(coef, [*keys, "__j"], "left")
+    made = {}
+    for a, v in enumerate(values):
+        made[f"{v}_fit"] = sum(c(f"__b{p}") * c(f"__c{a}")[p] for p in range(4))
+        spread = sum((1 if p == q else 2) * c(f"__b{p}") * c(f"__b{q}") * c(f"__z{a}")[i] for i, (p, q) in enumerate(PAIRS))
+        made[f"{v}_var"] = F.when(spread.isNotNull(), F.greatest(spread, F.lit(0.003 ** 2)))
+    return out.select(*asked.columns, *[e.alias(n) for n, e in made.items()])
