@@ -228,9 +228,15 @@ def _(t):
 
 @query("itr_08_recover_alignment", "points")
 def _(t):
-    source, target, start = _pairs_of_clouds(t)
-    out = fit.recover_alignment(source, target, start, ["frame"])
-    return out.select("frame", (c("spread_m") <= 0.1).alias("stable"), "accepted")
+    """Every frame after a gap: two references, of which the newer one of every other frame is 100 m away."""
+    source, target, still = _pairs_of_clouds(t)
+    odd = c("frame") % 2 == 1
+    older = target.select((c("frame") * 2).alias("ref"), "x", "y", "z", "nx", "ny", "nz")
+    newer = target.select((c("frame") * 2 + 1).alias("ref"), (c("x") + F.when(odd, 100.0).otherwise(0.0)).alias("x"), "y", "z", "nx", "ny", "nz")
+    pose = still.select("frame", *[(c(n) + (c("frame") % 25 if n == "tx" else F.lit(0.0))).alias(n) for n in rot.POSE])
+    refs = pose.withColumn("ref", F.explode(F.array(c("frame") * 2, c("frame") * 2 + 1)))
+    out = fit.recover_alignment(source, older.unionByName(newer), pose, refs, ["frame"])
+    return out.select("frame", "accepted", (c("ref") - 2 * c("frame")).alias("newest"), *[F.round(n, 4).alias(n) for n in ("tx", "ty", "tz", "r10", "overlap", "rmse_plane_m")])
 
 
 @query("itr_09_compose_poses", "frames", """WITH a AS (SELECT run, frame, sum(CASE WHEN frame % 2 = 1 THEN asin(0.28) ELSE 0 END) OVER (PARTITION BY run ORDER BY frame) AS th, tx, ty FROM frames), p AS (SELECT *, coalesce(lag(th) OVER (PARTITION BY run ORDER BY frame), 0) AS q FROM a)

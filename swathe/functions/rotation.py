@@ -60,6 +60,14 @@ def rodrigues(v: Vec) -> Mat:
     ]
 
 
+def rotation_vector(m: Mat) -> Vec:
+    """Axis times angle of a matrix, the inverse of ``rodrigues`` for angles below a half turn."""
+    v = tuple((m[(k + 2) % 3][(k + 1) % 3] - m[(k + 1) % 3][(k + 2) % 3]) / 2 for k in range(3))
+    sine = F.sqrt(dot(v, v))
+    scale = F.when(sine < 1e-12, F.lit(1.0)).otherwise(F.atan2(sine, (m[0][0] + m[1][1] + m[2][2] - 1) / 2) / sine)
+    return tuple(scale * x for x in v)
+
+
 def quaternion(m: Mat) -> list[Column]:
     """(w, x, y, z) of a rotation matrix; the largest component is taken first."""
     t = m[0][0] + m[1][1] + m[2][2]

@@ -14,13 +14,14 @@ from ..session import cut, discard
 c = F.col
 
 
-def normal_equations(df: DataFrame, keys: list[str], columns: list[Column], target: Column, weight: Column) -> DataFrame:
-    """Sums a_i_j (upper triangle) of ``A^T W A`` and b_i of ``A^T W y`` per group."""
+def normal_equations(df: DataFrame, keys: list[str], columns: list[Column], target: Column, weight: Column, total: str | None = None) -> DataFrame:
+    """Sums a_i_j (upper triangle) of ``A^T W A`` and b_i of ``A^T W y`` per group; ``total`` names a sum of the weights."""
     n = len(columns)
     rows = df.select(*keys, *[e.cast("double").alias(f"__x{i}") for i, e in enumerate(columns)], target.alias("__y"), weight.alias("__w"))
     x = [c(f"__x{i}") for i in range(n)]
     sums = [F.sum(c("__w") * x[i] * x[j]).alias(f"a_{i}_{j}") for i in range(n) for j in range(i, n)]
     sums += [F.sum(c("__w") * x[i] * c("__y")).alias(f"b_{i}") for i in range(n)]
+    sums += [F.sum("__w").alias(total)] if total else []
     return rows.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n"), F.sum(c("__w") * c("__y") * c("__y")).alias("yy"))
 
 
@@ -61,14 +62,15 @@ def _targets(target: DataFrame, keys: list[str], cell: float) -> DataFrame:
     return cut(explode_neighbours(t.select("*", *cell_of(vec("q"), cell)), 1), "targets")
 
 
-def _matched(source: DataFrame, grid: DataFrame, poses: DataFrame, keys: list[str], pair: list[str], cell: float, limit: float) -> DataFrame:
-    """Source points moved by their pair's pose, each with its nearest target within ``limit``."""
+def _matched(source: DataFrame, grid: DataFrame, poses: DataFrame, keys: list[str], pair: list[str], cell: float, limit: float, on: list[str] | None = None) -> DataFrame:
+    """Source points moved by their pair's pose, each with its nearest target within ``limit``; the grid is keyed by ``on`` (default: ``keys``)."""
     from ..functions import rotation as rot
     from ..functions.cells import CELL, cell_of
 
+    on = on or keys
     m = source.join(poses, keys)
     m = m.select(*pair, "sid", *named(rot.to_world(vec("x", "y", "z"), rot.matrix(), vec("t")), "p"))
-    m = m.select("*", *cell_of(vec("p"), cell)).join(grid, [*keys, *CELL])
+    m = m.select("*", *cell_of(vec("p"), cell)).join(grid, [*on, *CELL])
     m = m.withColumn("d2", (c("px") - c("qx")) ** 2 + (c("py") - c("qy")) ** 2 + (c("pz") - c("qz")) ** 2).where(c("d2") < limit * limit)
     best = F.min(F.struct("d2", "px", "py", "pz", "qx", "qy", "qz", "nx", "ny", "nz")).alias("m")
     return m.groupBy(*pair, "sid").agg(best).select(*pair, "sid", "m.*")
@@ -137,31 +139,107 @@ def accept_alignment(df: DataFrame) -> DataFrame:
     return df.withColumns({"pose_status": F.when(c("reason") == "", "ok").otherwise("unavailable"), "ends_session": lost})
 
 
-# Starting offsets (x, y in metres, yaw in radians) of a recovery.
+# Starting offsets (x, y in metres, yaw in radians) of a recovery, and the scales of its motion prior (rad, m).
 RECOVERY_SEEDS = [(0.0, 0.0, 0.0), (0.25, 0.0, 0.0), (-0.25, 0.0, 0.0), (0.0, 0.5, 0.005), (0.0, -0.5, -0.005)]
+PRIOR_SCALE = (0.1, 0.1, 0.1, 10.0, 10.0, 10.0)
 
 
-def recover_alignment(source: DataFrame, target: DataFrame, initial: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
-    """Align from five starts; accept only if all agree within 10 cm and 0.01 rad, then take the best fit."""
+def _held_to_prior(source: DataFrame, grid: DataFrame, starts: DataFrame, keys: list[str], pair: list[str], rounds: int, gate: tuple[float, float], least: int) -> DataFrame:
+    """Point-to-plane alignment in which a motion prior (columns o + pose) adds to every pair's system, for what the points leave open.
+
+    The points' part is a mean, so that the prior weighs the same in thin and dense clouds. Pairs with fewer than ``least``
+    matched points in a round are given up.
+    """
     from ..functions import rotation as rot
 
-    spark = initial.sparkSession
-    seeds = spark.createDataFrame([(i, *s) for i, s in enumerate(RECOVERY_SEEDS)], "seed int, dx double, dy double, yaw double")
-    start = initial.crossJoin(F.broadcast(seeds))  # five rows
-    z = rot.rodrigues((F.lit(0.0), F.lit(0.0), c("yaw")))
-    r = rot.compose(z, rot.matrix())
-    start = start.select(*keys, "seed", *[r[a][b].alias(f"r{a}{b}") for a in range(3) for b in range(3)],
-                         (c("tx") + c("dx")).alias("tx"), (c("ty") + c("dy")).alias("ty"), "tz")
-    fit = cut(align_clouds(source, target, start, keys, ["seed"], rounds), "recover")
-    zero = fit.where("seed = 0").select(*keys, *[c(n).alias("z" + n) for n in rot.POSE])
-    j = fit.join(zero, keys)
-    shift = norm(tuple(c("t" + a) - c("zt" + a) for a in "xyz"))
-    rel = rot.compose(rot.transpose(rot.matrix("zr")), rot.matrix("r"))
-    j = j.withColumns({"shift": shift, "angle": rot.angle(rel), "good": (c("overlap") >= 0.45) & (c("rmse_plane_m") <= 0.22)})
-    best = j.groupBy(*keys).agg(F.max("shift").alias("spread_m"), F.max("angle").alias("spread_rad"), F.bool_and("good").alias("__g"), F.count(F.lit(1)).alias("__n"),
-                                F.min_by(F.struct(*rot.POSE, "overlap", "rmse_plane_m"), c("rmse_plane_m")).alias("b"))
-    ok = c("__g") & (c("__n") == len(RECOVERY_SEEDS)) & (c("spread_m") <= 0.1) & (c("spread_rad") <= 0.01)
-    return best.select(*keys, "spread_m", "spread_rad", ok.alias("accepted"), "b.*")
+    cell = gate[0] * (1 + 1e-6)
+    stiff = [1 / x ** 2 for x in PRIOR_SCALE]
+    poses, done = cut(starts, "pose"), None
+    fixed = [n for n in poses.columns if n not in rot.POSE]
+    for i in range(rounds):
+        m = _matched(source, grid, poses.select(*pair, *rot.POSE), keys, pair, cell, max(gate[1], gate[0] * (1 - i / rounds)), ["ref"])
+        m = m.join(poses.select(*pair, "tx", "ty", "tz"), pair)
+        p, n, t = vec("p"), vec("n"), vec("t")
+        m = m.withColumn("res", dot(sub(p, vec("q")), n))
+        w = F.least(F.lit(1.0), 0.1 / F.greatest(F.abs("res"), F.lit(1e-10)))
+        away = [*rot.rotation_vector(rot.compose(rot.matrix(), rot.transpose(rot.matrix("or")))), *sub(t, vec("ot"))]
+        off = [c(f"__o{x}") for x in range(6)]
+        sums = poses.select("*", *[e.alias(f"__o{x}") for x, e in enumerate(away)])
+        sums = sums.join(normal_equations(m, pair, [*cross(sub(p, t), n), *n], -c("res"), w, "ws").where(c("n") >= least), pair)
+        held = {f"a_{x}_{y}": c(f"a_{x}_{y}") / c("ws") + (stiff[x] if x == y else 0.0) for x in range(6) for y in range(x, 6)}
+        held |= {f"b_{x}": c(f"b_{x}") / c("ws") - stiff[x] * off[x] for x in range(6)}
+        new = solve(sums.withColumns(held), 6)
+        r = rot.compose(rot.rodrigues(vec("x_0", "x_1", "x_2")), rot.matrix())
+        size = F.sqrt(sum((c(f"x_{x}") ** 2 for x in range(1, 6)), c("x_0") ** 2))
+        new = cut(new.select(*fixed, *[r[a][b].alias(f"r{a}{b}") for a in range(3) for b in range(3)],
+                             *[(c("t" + x) + c(f"x_{k + 3}")).alias("t" + x) for k, x in enumerate("xyz")], (size < 1e-5).alias("still")), "pose")
+        ready = new.where("still").drop("still")
+        poses = new.where(~c("still")).drop("still")
+        done = ready if done is None else done.unionByName(ready)
+        if poses.isEmpty():
+            break
+    final = done.unionByName(poses) if done is not None else poses
+    total = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    m = _matched(source, grid, final.select(*pair, *rot.POSE), keys, pair, cell, 0.5, ["ref"])
+    res = dot(sub(vec("p"), vec("q")), vec("n"))
+    q = m.groupBy(*pair).agg(F.count(F.lit(1)).alias("__m"), F.sqrt(F.avg(res * res)).alias("rmse_plane_m"))
+    return final.join(q, pair).join(total, keys).withColumn("overlap", c("__m") / c("__n")).select(*pair, *rot.POSE, "overlap", "rmse_plane_m")
+
+
+def recover_alignment(source: DataFrame, target: DataFrame, predicted: DataFrame, references: DataFrame, keys: list[str], rounds: int = 60,
+                      gate: tuple[float, float] = (1.8, 0.35), least: int = 100) -> DataFrame:
+    """The pose of each frame after a gap, against the newest of several references that gives a stable one.
+
+    ``source``: keys, sid, x, y, z (voxelised); ``predicted``: keys and the pose that the motion before the gap foretells; ``references``:
+    keys, ref (larger is newer) and the reference's pose, one row per frame and reference; ``target``: ref, x, y, z and the normal nx, ny, nz.
+    A reference is stable if five starts all end with enough overlap and a small rest, within 10 cm and 0.01 rad of the first; the
+    best fit of them counts. Only frames without a stable reference go on to the next older one.
+
+    Returns per row of ``predicted``: keys, accepted, ref, the pose in the world, spread_m, spread_rad, overlap and rmse_plane_m (null if none is stable).
+    """
+    from pyspark.sql import Window
+
+    from ..functions import rotation as rot
+
+    grid = _targets(target, ["ref"], gate[0] * (1 + 1e-6))
+    source = cut(source.select(*keys, "sid", "x", "y", "z"), "source")
+    newest = Window.partitionBy(*keys).orderBy(c("ref").desc())  # a frame's references: a few rows
+    world = references.select(*keys, "ref", *[c(n).alias("w" + n) for n in rot.POSE])
+    first = predicted.select(*keys, *rot.POSE).join(world, keys).withColumn("__rank", F.row_number().over(newest))
+    back = rot.transpose(rot.matrix("wr"))
+    r, t = rot.compose(back, rot.matrix()), rot.to_sensor(vec("t"), rot.matrix("wr"), vec("wt"))
+    begin = cut(first.select(*keys, "ref", "__rank", *[r[a][b].alias(f"or{a}{b}") for a in range(3) for b in range(3)], *named(t, "ot")), "recover")
+    seeds = F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), *[F.lit(v).alias(n) for n, v in zip(("dx", "dy", "yaw"), s)]) for i, s in enumerate(RECOVERY_SEEDS)]))
+    yaw = rot.rodrigues((F.lit(0.0), F.lit(0.0), c("s.yaw")))
+    turned = rot.compose(yaw, rot.matrix("or"))
+    pair = [*keys, "ref", "seed"]
+
+    found, rank = None, 0
+    while True:
+        rank += 1
+        now = begin.where(c("__rank") == rank)
+        if found is not None:
+            now = now.join(found, keys, "left_anti")
+        if now.isEmpty():
+            break
+        starts = now.withColumn("s", seeds).select(*keys, "ref", "s.seed", *[f"o{n}" for n in rot.POSE], *[turned[a][b].alias(f"r{a}{b}") for a in range(3) for b in range(3)],
+                                                   (c("otx") + c("s.dx")).alias("tx"), (c("oty") + c("s.dy")).alias("ty"), c("otz").alias("tz"))
+        fits = cut(_held_to_prior(source, grid, starts, keys, pair, rounds, gate, least), "recover")
+        centre = fits.where("seed = 0").select(*keys, *[c(n).alias("z" + n) for n in rot.POSE])
+        j = fits.join(centre, keys)
+        turn = rot.angle(rot.compose(rot.transpose(rot.matrix("zr")), rot.matrix("r")))
+        j = j.withColumns({"shift": norm(sub(vec("t"), vec("zt"))), "angle": turn, "good": (c("overlap") >= 0.45) & (c("rmse_plane_m") <= 0.22)})
+        best = j.groupBy(*keys, "ref").agg(F.max("shift").alias("spread_m"), F.max("angle").alias("spread_rad"), F.bool_and("good").alias("__g"), F.count(F.lit(1)).alias("__n"),
+                                           F.min_by(F.struct(*rot.POSE, "overlap", "rmse_plane_m"), F.struct("rmse_plane_m", "seed")).alias("b"))
+        stable = c("__g") & (c("__n") == len(RECOVERY_SEEDS)) & (c("spread_m") <= 0.1) & (c("spread_rad") <= 0.01)
+        good = cut(best.where(stable).select(*keys, "ref", "spread_m", "spread_rad", "b.*"), "recover")
+        found = good if found is None else found.unionByName(good)
+    if found is None:
+        found = begin.limit(0).select(*keys, "ref", *[F.lit(0.0).alias(n) for n in ("spread_m", "spread_rad", *rot.POSE, "overlap", "rmse_plane_m")])
+    out = predicted.select(*keys).join(found, keys, "left").join(world, [*keys, "ref"], "left")
+    r, t = rot.compose(rot.matrix("wr"), rot.matrix()), rot.to_world(vec("t"), rot.matrix("wr"), vec("wt"))
+    return out.select(*keys, c("ref").isNotNull().alias("accepted"), "ref", *[r[a][b].alias(f"r{a}{b}") for a in range(3) for b in range(3)], *named(t, "t"),
+                      "spread_m", "spread_rad", "overlap", "rmse_plane_m")
 
 
 _MUL = """named_struct({rot}, {tra})"""
