@@ -1,8 +1,9 @@
 """Tracks: components of successive frames that keep one id while they share support.
 
 In batch a session is dealt into islands, sets of components that can never
-meet a track of another island, so that islands are followed in parallel.
-Within an island frames arrive in order; only one frame and the live tracks are held.
+meet a track of another island, and an island into eras, between which nothing of it is seen
+for so long that all its tracks have ended. Eras are followed in parallel.
+Within an era frames arrive in order; only one frame and the live tracks are held.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from ..functions.cells import CELL, cell_of, explode_neighbours
 from ..functions.vector import vec
 from ..operators.graph import connected_components
 from ..operators.joins import PAD
-from ..operators.ordered import blocked_scan
+from ..operators.ordered import blocked_scan, islands
 from ..session import cut
 
 c = F.col
@@ -159,7 +160,7 @@ def _followed(cfg: dict | None):
 
     def run(pdfs):
         place, book, out = None, None, []
-        for (*here, frame), rows in _frames_in_order(pdfs, [*SESSION, "island", "frame"]):
+        for (*here, frame), rows in _frames_in_order(pdfs, [*SESSION, "island", "era", "frame"]):
             if here != place:
                 place, book = here, TrackBook(cfg)
             t_s = float(rows["t_s"].iloc[0])
@@ -187,6 +188,16 @@ def islands_of(voxels: DataFrame, reach: float) -> DataFrame:
     return home.join(found.distinct(), "home").select(*part, "island")
 
 
+def with_eras(placed: DataFrame, gap_s: float) -> DataFrame:
+    """Adds ``era``, which counts up where an island's next frame comes more than ``gap_s`` after all its earlier ones."""
+    island = [*SESSION, "island"]
+    seen = placed.groupBy(*island, "frame").agg(F.min("t_s").alias("t_s"))
+    seen = blocked_scan(seen, island, "frame", {"__top": ("max", c("t_s"))})
+    seen = blocked_scan(seen, island, "frame", {"__before": ("lag", c("__top"))})
+    seen = islands(seen, island, "frame", F.coalesce(c("t_s") - c("__before") > gap_s, F.lit(False)), "era")
+    return placed.join(seen.select(*island, "frame", "era"), [*island, "frame"])
+
+
 def track_batch(voxels: DataFrame, cfg: dict | None = None) -> DataFrame:
     """Tracks of whole sessions. ``voxels``: run, generation, frame, t_s, component, x, y, z (world).
 
@@ -197,7 +208,8 @@ def track_batch(voxels: DataFrame, cfg: dict | None = None) -> DataFrame:
     g = {**TRACK, **(cfg or {})}
     rows = cut(voxels.select(*VOXELS), "voxels")
     placed = rows.join(islands_of(rows, (g["radius"] + math.sqrt(3) * g["voxel"]) * PAD), [*SESSION, "frame", "component"])
-    dealt = placed.repartition(*SESSION, "island").sortWithinPartitions(*SESSION, "island", "frame", "component")
+    placed = with_eras(placed, g["gap_s"])
+    dealt = placed.repartition(*SESSION, "island", "era").sortWithinPartitions(*SESSION, "island", "era", "frame", "component")
     out = "run int, generation int, frame int, component string, born_frame int, born_component string, confirmed boolean"
     told = cut(dealt.mapInPandas(_followed(cfg), out), "tracks")
     new = told.where((c("frame") == c("born_frame")) & (c("component") == c("born_component"))).select(*SESSION, "born_frame", "born_component")

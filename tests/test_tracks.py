@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from swathe.streaming.tracks import TrackBook, smaller_median, track_batch
+from swathe.streaming.tracks import TrackBook, smaller_median, track_batch, with_eras
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -30,3 +30,20 @@ def test_islands_give_the_ids_of_one_session(spark):
     assert sorted(tuple(r) for r in track_batch(v).collect()) == sorted(want)
     assert len({r[4] for r in want if r[0] == 0}) > 2
     assert track_batch(v.where("run > 5")).collect() == []
+
+
+def test_eras_end_where_every_track_has_ended(spark):
+    rng = np.random.default_rng(5)
+    stamps = [0.0, 0.4, 3.4, 6.5, 6.9, 20.0, 19.0, 22.5, 26.0]  # 3.0 s still holds a track, 3.1 s ends it; one stamp falls
+    rows = [(0, 0, f, t, n, *(float(v) for v in np.array([x, 0, 0]) + rng.normal(0, 0.05, 3))) for f, t in enumerate(stamps) for n, x in (("a", 0.0), ("b", 9.0)) if (f + len(n) * (x > 0)) % 4 for _ in range(4)]
+    v = spark.createDataFrame(rows, "run int, generation int, frame int, t_s double, component string, x double, y double, z double")
+    book, want = TrackBook(), []
+    for f, t in enumerate(stamps):
+        now = {n: np.array([r[5:] for r in rows if r[2] == f and r[4] == n]) for n in sorted({r[4] for r in rows if r[2] == f})}
+        if now:
+            want += [(0, 0, *r) for r in book.observe(f, t, now)]
+            book.forget(t)
+    assert sorted(tuple(r) for r in track_batch(v).collect()) == sorted(want)
+    whole = v.selectExpr("run", "generation", "0 AS island", "frame", "t_s").distinct()
+    eras = {r["frame"]: r["era"] for r in with_eras(whole, 3.0).collect()}
+    assert [eras.get(f) for f in range(9)] == [0, 0, 0, 1, 1, 2, 2, 2, 3]
