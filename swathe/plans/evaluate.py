@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import average_rank
 from ..operators.ordered import blocked_scan
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import exact_quantiles, sorted_quantile
 from ..session import cut
 
 c = F.col
@@ -115,12 +115,17 @@ def residual_gate(df: DataFrame, keys: list[str], d: str, id_: str, limit: float
     from pyspark.sql import Window
 
     g = df.groupBy(*keys).agg(
-        F.percentile(d, F.lit(0.9)).alias("p90"), F.percentile(d, F.lit(0.8)).alias("p80"),
+        F.array_sort(F.collect_list(d)).alias("__l"),
         F.avg((c(d) <= 0.03).cast("double")).alias("f3"), F.avg((c(d) <= 0.04).cast("double")).alias("f4"),
-        F.sqrt(F.avg(F.least(c(d), F.lit(cap)) * F.least(c(d), F.lit(cap)))).alias("robust"), F.count(F.lit(1)).alias("__n"))
+        F.count(F.lit(1)).alias("__n"))
+    # Squares are added one by one, as in the SQL: partial sums of capped residuals may end beside the cap's own square, a limit.
+    squares = F.aggregate("__l", F.lit(0.0), lambda s, x: s + F.least(x, F.lit(cap)) * F.least(x, F.lit(cap)))
+    robust = F.when(F.size("__l") > 0, F.sqrt(squares / F.size("__l")))
+    g = g.select(*keys, sorted_quantile(c("__l"), 0.9).alias("p90"), sorted_quantile(c("__l"), 0.8).alias("p80"), "f3", "f4", robust.alias("robust"), "__n")
     w = Window.partitionBy(*keys).orderBy(d, id_)
     t = df.withColumn("__r", F.row_number().over(w)).join(g.select(*keys, "__n"), keys)
-    t = t.where(c("__r") <= F.greatest(F.lit(1), F.floor(0.9 * c("__n")))).groupBy(*keys).agg(F.percentile(d, F.lit(0.9)).alias("trimmed"))
+    t = t.where(c("__r") <= F.greatest(F.lit(1), F.floor(0.9 * c("__n")))).groupBy(*keys).agg(F.array_sort(F.collect_list(d)).alias("__l"))
+    t = t.select(*keys, sorted_quantile(c("__l"), 0.9).alias("trimmed"))
     strong = c("p90") <= limit
     return g.join(t, keys).drop("__n").withColumns({"strong": strong, "weak": ~strong & (c("p90") <= max(weak_limit, limit)) & (c("robust") <= weak_robust)})
 

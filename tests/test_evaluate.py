@@ -178,3 +178,44 @@ def test_audits_can_fail(spark):
         assert not ev.causality_audit(spark.createDataFrame([*used, bad], schema), frames, ["run"]).first().causal
     r = ev.saved_rows_check(frames.where("frame <> 1"), frames.where("frame <> 2"), ["run", "frame"], ["run"]).first()
     assert (r.saved, r.recomputed, r.missing, r.unexpected) == (3, 3, 1, 1)
+
+
+def test_quantiles_at_a_limit_are_the_sqls(spark):
+    import random
+
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from swathe.operators.quantiles import sorted_quantile
+    from swathe.plans.evaluate import residual_gate
+
+    at_limit = [i / 1000 for i in range(520, 546)] + [0.546, 0.586, 0.59, 0.595]  # its 0.9 quantile is 0.55 with one rounding
+    rng = random.Random(5)
+    groups = [at_limit] + [[rng.randint(0, 600) / 1000 for _ in range(rng.randint(1, 30))] for _ in range(400)]
+    table = pd.DataFrame([(g, i, x) for g, xs in enumerate(groups) for i, x in enumerate(xs)], columns=["run", "row_id", "error_m"])
+    con = duckdb.connect()
+    con.register("t", table)
+    want = dict(con.execute("SELECT run, [quantile_cont(error_m, 0.9), quantile_cont(error_m, 0.8)] FROM t GROUP BY run").fetchall())
+    rows = spark.createDataFrame(table)
+    lists = rows.groupBy("run").agg(F.array_sort(F.collect_list("error_m")).alias("l"))
+    got = {r.run: [r.p, r.q] for r in lists.select("run", sorted_quantile(F.col("l"), 0.9).alias("p"), sorted_quantile(F.col("l"), 0.8).alias("q")).collect()}
+    assert got == want
+    gate = {r.run: r for r in residual_gate(rows, ["run"], "error_m", "row_id", limit=0.55).collect()}
+    assert {g: r.strong for g, r in gate.items()} == {g: w[0] <= 0.55 for g, w in want.items()} and gate[0].strong
+    assert rows.where("run = 0").agg(F.percentile("error_m", F.lit(0.9))).first()[0] > 0.55  # one unit in the last place above
+
+
+def test_capped_residuals_stay_at_the_cap_however_rows_are_dealt(spark):
+    from swathe.plans.evaluate import residual_gate
+
+    rows = spark.createDataFrame([(n, i, 0.5) for n in range(1, 31) for i in range(n)], "run int, row_id int, error_m double")
+    split = residual_gate(rows.repartition(7), ["run"], "error_m", "row_id", limit=0.4, weak_limit=0.6, weak_robust=0.06)
+
+
+    def one_by_one(n):
+        s = 0.0
+        for _ in range(n):
+            s += 0.06 * 0.06
+        return math.sqrt(s / n)
+
+    assert {r.run: (r.robust, r.weak) for r in split.collect()} == {n: (one_by_one(n), one_by_one(n) <= 0.06) for n in range(1, 31)}
