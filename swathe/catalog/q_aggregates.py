@@ -291,7 +291,7 @@ def _(t):
  FROM pt p JOIN template t ON abs(p.v-t.v) <= 0.051 AND abs(p.w-t.w) <= 0.051 GROUP BY ALL)
 SELECT run, CAST(floor(r/20) AS BIGINT) AS bin, count(*) AS returns, count(DISTINCT cell) AS cells FROM m WHERE d <= 0.05 GROUP BY ALL""")
 def _(t):
-    p = t.points.select("run", "frame", "point_idx", c("x").alias("v"), c("z").alias("w"), F.floor(distance() / 20).alias("bin"))
+    p = t.points.select("run", "frame", "point_idx", c("x").alias("v"), c("z").alias("w"), F.floor(distance() / 20).alias("bin")).distinct()
     m = jn.template_distance(p, t.template, ["run", "frame", "point_idx", "bin"], cap=0.05, digits=9).where(c("cell").isNotNull())
     return m.groupBy("run", "bin").agg(F.count(F.lit(1)).alias("returns"), F.countDistinct("cell").alias("cells"))
 
@@ -325,7 +325,7 @@ def _(t):
 @query("agg_36_age_registration", "points template", f"""WITH {TRES}, b AS (SELECT p.frame % 25 AS age, ov, ow, d FROM rs JOIN points p USING (run, point_idx)), s AS (SELECT age, ov, ow, median(d) AS med, quantile_cont(d, 0.9) AS p90, avg(d) AS mean_d FROM b GROUP BY ALL)
 SELECT CAST(age AS INTEGER) AS age, max(med) FILTER (abs(ov) < 1e-9 AND abs(ow) < 1e-9) AS median_residual, max(p90) FILTER (abs(ov) < 1e-9 AND abs(ow) < 1e-9) AS p90_residual, min(round(mean_d, 9)) AS best_mean, arg_min(ov, (round(mean_d, 9), ov, ow)) AS best_v, arg_min(ow, (round(mean_d, 9), ov, ow)) AS best_w FROM s GROUP BY age""", rnd="median_residual p90_residual best_mean best_v best_w")
 def _(t):
-    p = t.points.select("run", "point_idx", (c("frame") % 25).alias("age"), c("x").alias("v"), c("z").alias("w"))
+    p = t.points.select("run", "point_idx", (c("frame") % 25).alias("age"), c("x").alias("v"), c("z").alias("w")).distinct()
     d = jn.template_distance(jn.shifted(p, jn.offset_grid(t.spark, 0.04, 0.02)), t.template, ["run", "age", "point_idx", "ov", "ow"])
     k = ["age", "ov", "ow"]
     here = (F.abs("ov") < 1e-9) & (F.abs("ow") < 1e-9)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import offset_grid, shifted, template_distance
+from ..operators.joins import offset_grid, shifted, template_distance, template_lists
 from ..session import cut, discard
 
 c = F.col
@@ -82,11 +82,11 @@ def _strips(points: DataFrame, live: DataFrame, keys: list[str], own: list[str],
     return first.where(c("gap") == c("first")).select(*own, "block", "gap", "id", "age", "u", "v", "w")
 
 
-def _scored(strips: DataFrame, old: DataFrame, live: DataFrame, template: DataFrame, own: list[str], g: dict, box) -> DataFrame:
+def _scored(strips: DataFrame, old: DataFrame, live: DataFrame, template: DataFrame, lists: DataFrame, own: list[str], g: dict, box) -> DataFrame:
     """Per branch its up to three best offsets that lie apart, and how the branch's confirmed support fits under each."""
     at = [*own, "block", "gap"]
-    rows = strips.withColumn("old", F.lit(False)).unionByName(old.withColumn("old", F.lit(True)))
-    d = template_distance(shifted(rows, offset_grid(rows.sparkSession, g["gate"], g["grid"])), template, [*at, "ov", "ow", "id", "age", "u", "old"], cap=g["cap"])
+    rows = strips.withColumn("old", F.lit(False)).unionByName(old.withColumn("old", F.lit(True))).distinct()
+    d = template_distance(shifted(rows, offset_grid(rows.sparkSession, g["gate"], g["grid"])), template, [*at, "ov", "ow", "id", "age", "u", "old"], cap=g["cap"], lists=lists)
     d = d.join(live.select(*own, "block", *GATES), [*own, "block"])
     new = ~c("old")
     inside = new & c("v").between(box["v0"], box["v1"]) & c("w").between(box["w0"], box["w1"])
@@ -183,6 +183,7 @@ def march_corridor(points: DataFrame, starts: DataFrame, template: DataFrame, ke
     g = {**MARCH, **(cfg or {})}
     gates = {n: g.get(n, v) for n, v in GATES.items()}
     own = [*keys, *(by or [])]
+    lists = template_lists(template, g["cap"])
     box = template.agg(*[f(a).alias(f"{a}{i}") for a in "vw" for i, f in enumerate((F.min, F.max))]).first()
     if "age" not in points.columns:
         points = points.withColumn("age", F.lit(0))
@@ -205,7 +206,7 @@ def march_corridor(points: DataFrame, starts: DataFrame, template: DataFrame, ke
             gaps = strips.select(*own, "block", "gap").distinct()
             near = support.join(live.where("pending = 0"), [*own, "block"]).join(gaps, [*own, "block"])
             old = _relative(near.where(c("u") >= c("su") + g["step"] * (c("gap") + 1)), [*own, "block", "gap"])
-        scored = cut(_scored(strips, old, live, template, own, g, box), "scored")
+        scored = cut(_scored(strips, old, live, template, lists, own, g, box), "scored")
         children = cut(_children(live, scored, own, g, k), "children")
         told = live.join(scored, [*own, "block"], "left").join(children.select(*own, c("parent").alias("block")).distinct(), [*own, "block"], "left_anti")
         why = F.when(c("best").isNull(), "NO_POINTS").when(F.size("best") == 0, "TOO_FEW_SUPPORT").when(~c("overlaps"), "OVERLAP_FIRST").otherwise("CANDIDATES_REJECTED")
@@ -215,8 +216,8 @@ def march_corridor(points: DataFrame, starts: DataFrame, template: DataFrame, ke
         under = strips.withColumnRenamed("block", "parent").join(children.select(*own, "block", "parent", "gap", "ov", "ow", "support"), [*own, "parent", "gap"])
         under = under.join(live.select(*own, c("block").alias("parent"), "au", "av", "aw", "sv", "sw"), [*own, "parent"])
         real = [(c(a) + c(f"a{a}") + c(f"s{a}") * (c("u") - c("au"))).alias(f"p{a}") for a in "vw"]
-        under = under.select(*own, "block", "id", "age", "u", "support", *real, (c("v") - c("ov")).alias("v"), (c("w") - c("ow")).alias("w"))
-        fit = template_distance(under, template, [*own, "block", "id", "age", "u", "support", "pv", "pw"], cap=g["cap"]).where((c("d") <= c("support")) & c("v").between(box["v0"], box["v1"]) & c("w").between(box["w0"], box["w1"]))
+        under = under.select(*own, "block", "id", "age", "u", "support", *real, (c("v") - c("ov")).alias("v"), (c("w") - c("ow")).alias("w")).distinct()
+        fit = template_distance(under, template, [*own, "block", "id", "age", "u", "support", "pv", "pw"], cap=g["cap"], lists=lists).where((c("d") <= c("support")) & c("v").between(box["v0"], box["v1"]) & c("w").between(box["w0"], box["w1"]))
         stale = [strips] if support is None else [strips, support]
         support = cut(fit.select(*own, "block", "id", "age", "u", c("pv").alias("v"), c("pw").alias("w")), "support")
         nxt = cut(_beam(children, own, g).select(names), "march")
@@ -262,7 +263,7 @@ def visibility_likelihood(points: DataFrame, template: DataFrame, keys: list[str
     far = half + cap
     box = template.agg(*[f(n).alias(f"__{f.__name__}_{n}") for n in ("v", "w") for f in (F.min, F.max)])  # one row
     near = [c(n).between(c(f"__min_{n}") - far, c(f"__max_{n}") + far) for n in ("v", "w")]
-    points = points.select(*keys, source, "id", "v", "w").join(F.broadcast(box), near[0] & near[1]).select(*keys, source, "id", "v", "w")
+    points = points.select(*keys, source, "id", "v", "w").join(F.broadcast(box), near[0] & near[1]).select(*keys, source, "id", "v", "w").distinct()
     d = template_distance(shifted(points, offset_grid(points.sparkSession, half, step)), template, [*keys, source, "id", "ov", "ow"], cap=cap)
     cost = F.log1p((c("d") / 0.015) * (c("d") / 0.015))
     per = d.groupBy(*keys, source, "ov", "ow").agg(F.avg(cost).alias("cost"))
