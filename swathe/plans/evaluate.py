@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import average_rank
 from ..operators.ordered import blocked_scan
 from ..operators.quantiles import exact_quantiles, sorted_quantile
-from ..session import cut
+from ..session import cut, dealt
 
 c = F.col
 
@@ -472,7 +472,11 @@ POSITION_SIGMA, TANGENT_SIGMA = 0.01, math.radians(0.2)  # fixed values
 def _normals(ids: list[str], seed: int) -> list[Column]:
     """Ten standard normal numbers from the MD5 of the row's ids, so that a repeated task draws the same."""
     text = [F.md5(F.concat_ws(":", *[c(i) for i in ids], F.lit(seed + k))) for k in range(2)]
-    u = [(F.conv(F.substring(t, 6 * i + 1, 6), 16, 10).cast("double") + 0.5) / float(1 << 24) for t in text for i in range(5)]
+    low = (1 << 24) - 1
+    u = []
+    for t in text:  # two numbers of 24 bits a conversion, and a last one
+        a, b, e = (F.conv(F.substring(t, 12 * i + 1, n), 16, 10).cast("long") for i, n in enumerate((12, 12, 6)))
+        u += [(x.cast("double") + 0.5) / float(1 << 24) for x in (F.shiftright(a, 24), a.bitwiseAND(F.lit(low)), F.shiftright(b, 24), b.bitwiseAND(F.lit(low)), e)]
     out = []
     for a, b in zip(u[:5], u[5:]):
         size, turn = F.sqrt(-2 * F.ln(a)), 2 * math.pi * b
@@ -492,18 +496,26 @@ def monte_carlo(sections: DataFrame, keys: list[str], ids: list[str], e1, e2, st
 
     pairs = [a + b for i, a in enumerate("xyz") for b in "xyz"[i:]]
     base = sections.select(*dict.fromkeys(keys + ids), "cx", "cy", "cz", *[v.alias(k) for k, v in state.items()])
+    base = dealt(base, [*dict.fromkeys(keys + ids)], draws)
     d = base.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     d = d.withColumns({f"z{i}": z for i, z in enumerate(_normals([*ids, "i"], seed))})
-    moved = {k: c(k) + c(f"z{i}") * SIGMAS[k] for i, k in enumerate(state)}
-    at = tuple(c("c" + a) + c(f"z{5 + i}") * POSITION_SIGMA for i, a in enumerate("xyz"))
-    tilt = add(scale(e1, c("z8") * TANGENT_SIGMA), scale(e2, c("z9") * TANGENT_SIGMA))
-    angle = F.greatest(norm(tilt), F.lit(1e-12))
-    axis = scale(tilt, 1 / angle)
+
+    def step(df: DataFrame, name: str, v) -> DataFrame:
+        """``v`` as columns: written out within each other, these expressions pass what can be compiled."""
+        return df.withColumns({name + a: x for a, x in zip("xyz", v)})
+
+    d = d.withColumns({"m_" + k: c(k) + c(f"z{i}") * SIGMAS[k] for i, k in enumerate(state)})
+    d = step(d, "at", tuple(c("c" + a) + c(f"z{5 + i}") * POSITION_SIGMA for i, a in enumerate("xyz")))
+    d = step(d, "tilt", add(scale(e1, c("z8") * TANGENT_SIGMA), scale(e2, c("z9") * TANGENT_SIGMA)))
+    d = d.withColumn("angle", F.greatest(norm(vec("tilt")), F.lit(1e-12)))
+    d = step(d, "axis", scale(vec("tilt"), 1 / c("angle"))).withColumns({"co": F.cos("angle"), "si": F.sin("angle")})
+    at, axis, moved = vec("at"), vec("axis"), {k: c("m_" + k) for k in state}
     analytic, sampled = [], []
     for rail, name in enumerate(("near", "far")):
-        r = sub(rails_from_contact(at, e1, e2, moved, q)[rail], at)
-        turned = add(add(scale(r, F.cos(angle)), scale(cross(axis, r), F.sin(angle))), scale(axis, dot(axis, r) * (1 - F.cos(angle))))
-        d = d.withColumns({f"{name}_{a}": v for a, v in zip("xyz", add(turned, at))})
+        d = step(d, "r" + name, sub(rails_from_contact(at, e1, e2, moved, q)[rail], at))
+        r = vec("r" + name)
+        turned = add(add(scale(r, c("co")), scale(cross(axis, r), c("si"))), scale(axis, dot(axis, r) * (1 - c("co"))))
+        d = step(d, name + "_", add(turned, at))
         cov = rail_covariance(e1, e2, {k: c(k) for k in state}, F.lit(q), [F.lit(SIGMAS[k] ** 2) for k in state], F.lit(POSITION_SIGMA), F.lit(TANGENT_SIGMA), far=bool(rail))
         analytic += [F.struct(F.lit(name).alias("rail"), *[cov[p].alias("a" + p) for p in pairs])]
         sampled += [F.covar_samp(f"{name}_{p[0]}", f"{name}_{p[1]}").alias(f"{name}_{p}") for p in pairs]
