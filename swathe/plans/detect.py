@@ -318,12 +318,17 @@ def linked_component(points: DataFrame, seeds: DataFrame, keys: list[str], voxel
     from ..functions.vector import vec
 
     p = points.select(*keys, "id", "x", "y", "z", *cell_of(vec("x", "y", "z"), voxel))
-    v = cut(p.groupBy(*keys, *CELL).agg(F.min("id").alias("id")).select(*keys, *CELL, "id", *[((c(k) + 0.5) * voxel).alias(a) for k, a in zip(CELL, "xyz")]), "linked")
+    v = p.groupBy(*keys, *CELL).agg(F.min("id").alias("first")).select(*keys, *CELL, "first", *[((c(k) + 0.5) * voxel).alias(a) for k, a in zip(CELL, "xyz")])
+    # Cells are numbered once and for all by being written: a number costs the rounds of the search a fraction of a text.
+    v = cut(v.withColumn("id", F.monotonically_increasing_id()), "linked")
     comp = connected_components(v, radius_pairs(v, keys, ["id"], radius))
-    near = bounded_nearest(seeds.withColumn("id", F.lit(0).cast(v.schema["id"].dataType)), v, keys, "id", max_gap).where(c("near_id").isNotNull())
-    want = near.select(*keys, c("near_id").alias("id")).join(comp, "id").select(*keys, "component")
-    cells = v.select(*keys, *CELL, "id").join(comp, "id").join(want, [*keys, "component"], "left_semi")
-    return p.join(cells.select(*keys, *CELL, "component"), [*keys, *CELL])
+    named = v.select(*keys, "first", *"xyz").withColumnRenamed("first", "id")
+    near = bounded_nearest(seeds.withColumn("id", F.lit(0).cast(named.schema["id"].dataType)), named, keys, "id", max_gap).where(c("near_id").isNotNull())
+    labelled = v.select(*keys, *CELL, "first", "id").join(comp, "id")
+    want = near.select(*keys, c("near_id").alias("first")).join(labelled, [*keys, "first"]).select(*keys, c("component").alias("__c")).distinct()
+    cells = cut(labelled.withColumnRenamed("component", "__c").join(want, [*keys, "__c"], "left_semi").drop("id"), "linked")
+    least = cells.groupBy("__c").agg(F.min("first").alias("component"))
+    return p.join(cells.join(least, "__c").select(*keys, *CELL, "component"), [*keys, *CELL])
 
 
 def split_heads(df: DataFrame, keys: list[str], value: str = "v", rounds: int = 12, min_side: int = 5, width: tuple[float, float] = (0.8, 2.5)) -> DataFrame:
