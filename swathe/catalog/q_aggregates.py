@@ -189,14 +189,9 @@ SELECT target, CAST(n AS INTEGER) AS history, CAST(m AS INTEGER) AS center_m, co
 WHERE sqrt(x*x+y*y+z*z) >= m-2 AND sqrt(x*x+y*y+z*z) < m+2 GROUP BY ALL""")
 def _(t):
     """Budgets around four distances for five history lengths of every start."""
-    f = t.frames.select("run", c("frame").alias("target"))
-    want = f.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("run", "target", "age", (c("target") - c("age")).alias("frame"))
     p = t.points.withColumn("r", distance())
     p = p.withColumn("center_m", F.explode(F.filter(F.array(*[F.lit(m) for m in (20, 40, 60, 80)]), lambda m: (c("r") >= m - 2) & (c("r") < m + 2))))
-    j = p.join(want, ["run", "frame"])
-    j = j.withColumn("history", F.explode(F.filter(F.array(*[F.lit(n) for n in (1, 2, 4, 8, 16)]), lambda n: c("age") < n)))
-    return j.groupBy("target", "history", "center_m").agg(F.count(F.lit(1)).alias("returns"), F.countDistinct("x", "y", "z").alias("unique_xyz"),
-                                                          F.countDistinct("frame").alias("sources"), F.countDistinct("ring").alias("rings"))
+    return agg.point_budget(p, t.frames.select("run", c("frame").alias("target")), ["run"], "center_m", [1, 2, 4, 8, 16])
 
 
 @query("agg_23_rank_auc", "", """WITH d AS (SELECT n_chars, quality FROM labels JOIN documents USING (doc_id)), r AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1)/2.0::DOUBLE AS r FROM d)
