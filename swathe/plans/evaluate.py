@@ -49,7 +49,7 @@ def block_draws(df: DataFrame, keys: list[str], replicates: int = 1000, block: i
     have = df.select(*keys, "run", F.floor(c("frame") / block).alias("blk")).distinct()
     w = Window.partitionBy(*keys, "run")
     have = cut(have.select("*", (F.row_number().over(w.orderBy("blk")) - 1).alias("slot"), F.count(F.lit(1)).over(w).alias("blocks")), "blocks")
-    one = have.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    one = dealt(have, [*keys, "run"], replicates).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     text = F.concat_ws(":", *[c(k) for k in keys], "run", "slot", "rep", F.lit(seed))
     pick = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), c("blocks"))
     drawn = one.groupBy(*keys, "run", pick.alias("slot"), "rep").agg(F.count(F.lit(1)).alias("m"))
