@@ -331,18 +331,36 @@ def linked_component(points: DataFrame, seeds: DataFrame, keys: list[str], voxel
     return p.join(cells.join(least, "__c").select(*keys, *CELL, "component"), [*keys, *CELL])
 
 
+def _percentile(values: Column, q: float) -> Column:
+    """``percentile`` of a sorted array, weighed as that function does."""
+    pos = (F.size(values) - 1) * F.lit(float(q))
+    lo, hi = F.floor(pos), F.ceil(pos)
+    a, b = F.get(values, lo.cast("int")), F.get(values, hi.cast("int"))
+    return F.when(a == b, a).otherwise((hi - pos) * a + (pos - lo) * b)
+
+
 def split_heads(df: DataFrame, keys: list[str], value: str = "v", rounds: int = 12, min_side: int = 5, width: tuple[float, float] = (0.8, 2.5)) -> DataFrame:
-    """Two clusters of one coordinate per key by iterated medians; only keys with a plausible split remain."""
-    rows = cut(df.select(*keys, c(value).alias("q")), "split")
-    cen = rows.groupBy(*keys).agg(F.percentile("q", F.lit(0.2)).alias("a"), F.percentile("q", F.lit(0.8)).alias("b"))
-    for i in range(rounds):
-        left = F.abs(c("q") - c("a")) <= F.abs(c("q") - c("b"))
-        new = rows.join(cen, keys).groupBy(*keys).agg(F.median(F.when(left, c("q"))).alias("na"), F.median(F.when(~left, c("q"))).alias("nb"), F.first("a").alias("a"), F.first("b").alias("b"),
-                                                      F.count_if(left).alias("n_left"), F.count_if(~left).alias("n_right"))
-        new = cut(new, "split")
-        moving = new.where(F.greatest(F.abs(c("na") - c("a")), F.abs(c("nb") - c("b"))) >= 1e-5)
-        cen = new.select(*keys, F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"))
-        if i == rounds - 1 or moving.isEmpty():
-            break
+    """Two clusters of one coordinate per key by iterated medians; only keys with a plausible split remain.
+
+    A key's values (a section's, bounded by geometry) are sorted once, and its rounds run in its row until its medians rest.
+    """
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(c(value).cast("double"))).alias("q"))
+    rows = rows.select(*keys, "q", _percentile(c("q"), 0.2).alias("a"), _percentile(c("q"), 0.8).alias("b"))
+    none, no = F.lit(None).cast("double"), F.lit(0).cast("long")
+    start = F.struct(c("a").alias("a"), c("b").alias("b"), none.alias("na"), none.alias("nb"), no.alias("n_left"), no.alias("n_right"), F.lit(True).alias("moving"))
+
+    def step(s: Column, i: Column) -> Column:
+        left = lambda x: F.abs(x - s["a"]) <= F.abs(x - s["b"])
+        parts = F.struct(F.filter("q", left).alias("l"), F.filter("q", lambda x: ~left(x)).alias("r"))
+
+        def moved(_: Column, p: Column) -> Column:
+            na, nb = _percentile(p["l"], 0.5), _percentile(p["r"], 0.5)
+            far = F.coalesce(F.greatest(F.abs(na - s["a"]), F.abs(nb - s["b"])) >= 1e-5, F.lit(False))
+            return F.struct(F.coalesce(na, s["a"]).alias("a"), F.coalesce(nb, s["b"]).alias("b"), na.alias("na"), nb.alias("nb"),
+                            F.size(p["l"]).cast("long").alias("n_left"), F.size(p["r"]).cast("long").alias("n_right"), far.alias("moving"))
+
+        return F.when(s["moving"], F.aggregate(F.array(parts), s, moved)).otherwise(s)
+
+    new = rows.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("s")).select(*keys, "s.*")
     out = new.where((c("n_left") >= min_side) & (c("n_right") >= min_side)).withColumn("width", c("nb") - c("na"))
     return out.where((c("width") > width[0]) & (c("width") < width[1])).select(*keys, c("na").alias("left"), c("nb").alias("right"), "n_left", "n_right")
