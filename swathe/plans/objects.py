@@ -70,6 +70,7 @@ def _hull(xy: np.ndarray) -> np.ndarray:
             out.append(q)
         return out[:-1]
 
+    p = p.tolist()  # plain numbers: a step of the loop on array rows costs several times as much
     return np.array(half(p) + half(p[::-1]))
 
 
@@ -82,23 +83,26 @@ def hull_area(df: DataFrame, keys: list[str], u: str, v: str, chunk: int = 50_00
     d = df.select(*keys, c(u).cast("double").alias("u"), c(v).cast("double").alias("v")).distinct()
     n = d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("__m"))
     d = d.join(n, keys).withColumn("__part", F.pmod(F.xxhash64("u", "v"), c("__m"))).drop("__m")
-    kt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields if f.name in keys)
-
-    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = _hull(pdf[["u", "v"]].to_numpy())
-        out = pd.DataFrame(h, columns=["u", "v"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "u", "v"]]
-
-    def area(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = _hull(pdf[["u", "v"]].to_numpy())
-        x, y = (h[:, 0], h[:, 1]) if len(h) > 2 else (np.zeros(1), np.zeros(1))
-        a = 0.5 * abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))))
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), a]], columns=[*keys, "hull_m2"])
-
-    parts = d.groupBy(*keys, "__part").applyInPandas(corners, f"{kt}, u double, v double")
-    return parts.groupBy(*keys).applyInPandas(area, f"{kt}, hull_m2 double")
+
+    @F.pandas_udf("array<double>")
+    def corners(u: pd.Series, v: pd.Series) -> pd.Series:
+        """Corners of one list of points a row, x and y in turn."""
+        return pd.Series([_hull(np.stack([p, q], axis=1)).ravel() for p, q in zip(u, v)])
+
+    @F.pandas_udf("double")
+    def area(uv: pd.Series) -> pd.Series:
+        def one(xy: np.ndarray) -> float:
+            h = _hull(xy.reshape(-1, 2))
+            x, y = (h[:, 0], h[:, 1]) if len(h) > 2 else (np.zeros(1), np.zeros(1))
+            return 0.5 * abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))))
+
+        return pd.Series([one(xy) for xy in uv])
+
+    # Lists in rows: a call of Python for each group would cost more than its hull.
+    parts = d.groupBy(*keys, "__part").agg(F.collect_list(F.struct("u", "v")).alias("p"))
+    parts = parts.select(*keys, corners(c("p.u"), c("p.v")).alias("h"))
+    whole = parts.groupBy(*keys).agg(F.flatten(F.collect_list("h")).alias("h"))
+    return whole.select(*keys, area("h").alias("hull_m2"))
 
 
 def group_objects(obs: DataFrame, radius: float = 10.0, order: list[str] = ("source_frame", "track_id", "obs_id"), key: str = "generation") -> tuple[DataFrame, DataFrame]:
