@@ -120,9 +120,9 @@ def _(t):
     d = h.join(g, ["run", "source"]).join(f.select("run", "frame", "tx", "ty"), ["run", "frame"])
     d = d.withColumn("age_m", F.sqrt((c("sx") - c("tx")) ** 2 + (c("sy") - c("ty")) ** 2)).select("run", "frame", "source", "age", "age_m")
     chosen = de.history_select(d, ["run", "frame"], [0, 1, 2, 4], 3)
-    cells = t.points.select("run", c("frame").alias("source"), F.floor(-c("y")).alias("cell"))
+    cells = t.points.groupBy("run", c("frame").alias("source")).agg(F.collect_set(F.floor(-c("y"))).alias("cells"))
     start = h.select("run", "frame", "source").join(cells, ["run", "source"])
-    cover = de.greedy_coverage(start, ["run", "frame"]).select("run", "frame", "source", F.lit("COVERAGE").alias("rule"))
+    cover = de.cover_lists(start, ["run", "frame"]).select("run", "frame", "source", F.lit("COVERAGE").alias("rule"))
     return chosen.unionByName(cover)
 
 

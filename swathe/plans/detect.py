@@ -282,17 +282,32 @@ def history_select(distances: DataFrame, keys: list[str], targets: list[float],
 
 
 def greedy_coverage(cells: DataFrame, keys: list[str], rounds: int = 12) -> DataFrame:
-    """Sources by greedy set cover: each round takes the source with most new cells. ``cells``: keys, source, cell."""
-    todo, out = cut(cells.select(*keys, "source", "cell").distinct(), "cover"), None
-    for i in range(rounds):
-        gain = todo.groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("gain"))
-        best = cut(gain.groupBy(*keys).agg(F.max_by(F.struct("source", "gain"), F.struct("gain", -c("source"))).alias("b")).select(*keys, F.lit(i + 1).alias("round"), "b.*"), "cover")
-        if best.isEmpty():
-            break
-        out = best if out is None else out.unionByName(best)
-        got = todo.join(best.select(*keys, "source"), [*keys, "source"], "left_semi").select(*keys, "cell").distinct()
-        todo = cut(todo.join(got, [*keys, "cell"], "left_anti"), "cover")
-    return out
+    """Sources by greedy set cover: each round takes the source with most new cells. ``cells``: keys, source, cell.
+
+    A key has the sources of one history, each with one list of its cells; its rounds run in its row.
+    """
+    lists = cells.where(c("cell").isNotNull()).groupBy(*keys, "source").agg(F.collect_set("cell").alias("cells"))
+    return cover_lists(lists, keys, rounds)
+
+
+def cover_lists(lists: DataFrame, keys: list[str], rounds: int = 12) -> DataFrame:
+    """``greedy_coverage`` of keys, source and ``cells``, a list of distinct ones."""
+    item = F.struct(F.size("cells").alias("gain"), (-c("source")).alias("__o"), "source", "cells")
+    todo = lists.groupBy(*keys).agg(F.collect_list(item).alias("todo"))
+    picked = f"array<struct<round:int,source:{lists.schema['source'].dataType.simpleString()},gain:bigint>>"
+    sized = lambda x, cells: F.struct(F.size(cells).alias("gain"), x["__o"].alias("__o"), x["source"].alias("source"), cells.alias("cells"))
+
+    def take(s: Column, i: Column) -> Column:
+        def without(_: Column, b: Column) -> Column:
+            rest = F.transform(F.filter(s["todo"], lambda x: x["__o"] != b["__o"]), lambda x: sized(x, F.array_except(x["cells"], b["cells"])))
+            one = F.struct(i.cast("int").alias("round"), b["source"].alias("source"), b["gain"].cast("long").alias("gain"))
+            return F.struct(F.filter(rest, lambda x: x["gain"] > 0).alias("todo"), F.concat(s["picked"], F.array(one)).cast(picked).alias("picked"))
+
+        return F.when(F.size(s["todo"]) > 0, F.aggregate(F.array(F.array_max(s["todo"])), s, without)).otherwise(s)
+
+    start = F.struct("todo", F.array().cast(picked).alias("picked"))
+    out = todo.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, take).alias("s"))
+    return out.select(*keys, F.explode("s.picked").alias("p")).select(*keys, "p.round", "p.source", "p.gain")
 
 
 def future_reference(heads: DataFrame, frames: DataFrame, keys: list[str] = ("run",), bin_m: float = 0.5, at_least: int = 2, lead: int = 2) -> DataFrame:

@@ -183,3 +183,23 @@ def test_hulls_are_found_in_rows(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "ArrowEvalPython" in plan
     assert {x.k: x.hull_m2 for x in out.collect()} == {0: 0.0, 1: 2.0, 2: 4.0, 3: 6.0, 4: 8.0, 9: 0.0}
+
+
+def test_coverage_runs_in_rows(spark):
+    """F32: twelve rounds over every cell of every history, each sorted and written."""
+    from swathe.plans.detect import greedy_coverage
+
+    r = random.Random(17)
+    rows = [(k, s, r.randrange(25)) for k in (0, 1, 2) for s in range(9) for _ in range(12)]
+    out = greedy_coverage(spark.createDataFrame(rows, "k int, source int, cell long"), ["k"], rounds=4)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    want = set()
+    for k in (0, 1, 2):
+        todo = {s: {x[2] for x in rows if x[:2] == (k, s)} for s in range(9)}
+        for i in range(4):
+            gain, s = max(((len(v), -s) for s, v in todo.items() if v), default=(0, 0))
+            if gain:
+                want.add((k, i + 1, -s, gain))
+                got = todo.pop(-s)
+                todo = {n: v - got for n, v in todo.items()}
+    assert {tuple(x) for x in out.collect()} == want
