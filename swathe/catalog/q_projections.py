@@ -24,14 +24,16 @@ VALID = "NOT isnan(x) AND NOT isnan(z) AND abs(x) < CAST('Infinity' AS DOUBLE) A
 
 
 def raw(t):
+    """Coordinates come out of a generator, so that a filter on them reads columns.
+
+    Pushed through a projection, it would hold the whole formula of ``point_idx`` some thirty times over.
+    """
     p = t.points
     zero = c("point_idx") % 41 == 0
-    return p.select(
-        "run", "frame", "point_idx", "slot", "ring",
-        F.when(zero, 0.0).when(c("point_idx") % 43 == 0, float("nan")).otherwise(c("x")).alias("x"),
-        F.when(zero, 0.0).otherwise(c("y")).alias("y"),
-        F.when(zero, 0.0).when(c("point_idx") % 47 == 0, float("inf")).otherwise(c("z")).alias("z"),
-    )
+    x = F.when(zero, 0.0).when(c("point_idx") % 43 == 0, float("nan")).otherwise(c("x"))
+    y = F.when(zero, 0.0).otherwise(c("y"))
+    z = F.when(zero, 0.0).when(c("point_idx") % 47 == 0, float("inf")).otherwise(c("z"))
+    return p.select("run", "frame", "point_idx", "slot", "ring", F.inline(F.array(F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))
 
 
 def posed(t):
