@@ -58,32 +58,66 @@ def _keyed(pdfs) -> pd.DataFrame:
 SESSION_OUT = "source long, message_id long, generation long, rejected string"
 
 
-def stream_sessions(stream: DataFrame, max_gap_ns: int = 150_000_000) -> DataFrame:
+def _sessions(source, ids, stamps, last, max_gap_ns: int):
+    """Generation (-1: refused) and reason per message of several sources, and the state after them.
+
+    Messages lie by (source, id). ``last``: arrays of source (ascending), last accepted id, its stamp, generation.
+    """
+    known, last_id, last_ts, gen = last
+    here, at = np.unique(source, return_inverse=True)
+    every = np.union1d(known, here)
+    held = [np.full(len(every), v, np.int64) for v in (-1, -1, 0)]
+    for column, values in zip(held, (last_id, last_ts, gen)):
+        column[np.searchsorted(every, known)] = values
+    at = np.searchsorted(every, here)[at]
+    fits = np.flatnonzero((ids > held[0][at]) & (stamps > 0))
+    again = np.zeros(len(fits), bool)
+    again[1:] = (at[fits[1:]] == at[fits[:-1]]) & (ids[fits[1:]] == ids[fits[:-1]])
+    taken = fits[~again]
+    # The last id accepted before each message: that of its source in this trigger, or the held one.
+    before = np.searchsorted(taken, np.arange(len(ids))) - 1
+    previous = held[0][at]
+    if len(taken):
+        row = taken[before]
+        previous = np.where((before >= 0) & (at[row] == at), ids[row], previous)
+    reason = np.where(ids <= previous, "SEQUENCE_NOT_INCREASING", np.where(stamps <= 0, "MISSING_STAMP", None))
+    out = np.full(len(ids), -1, np.int64)
+    if len(taken):
+        who, ts = at[taken], stamps[taken]
+        first = np.r_[True, who[1:] != who[:-1]]
+        since = np.where(first, held[1][who], np.r_[0, ts[:-1]])
+        breaks = (since >= 0) & ~((ts - since > 0) & (ts - since < max_gap_ns))
+        total = np.cumsum(breaks)
+        start = np.flatnonzero(first)[np.cumsum(first) - 1]
+        out[taken] = held[2][who] + total - (total - breaks)[start]
+        end = np.r_[first[1:], True]
+        for column, values in zip(held, (ids[taken], ts, out[taken])):
+            column[who[end]] = values[end]
+    return out, reason, (every, *held)
+
+
+def stream_sessions(stream: DataFrame, max_gap_ns: int = 150_000_000, buckets: int = 1024) -> DataFrame:
     """Sessions per source as messages arrive; a message out of sequence or without a stamp is refused.
 
     State per source: last sequence, last stamp, generation. ``stream``: source, message_id, ts_ns.
+    Sources share ``buckets`` groups, since a group of its own costs each source some milliseconds a trigger.
     """
 
     def step(key, pdfs, state):
-        last_id, last_ts, gen = state.get if state.exists else (-1, -1, 0)
-        rows = []
-        for mid, ts in _keyed(pdfs).sort_values("message_id")[["message_id", "ts_ns"]].itertuples(index=False):
-            if mid <= last_id:
-                rows.append((key[0], mid, None, "SEQUENCE_NOT_INCREASING"))
-            elif ts <= 0:
-                rows.append((key[0], mid, None, "MISSING_STAMP"))
-            else:
-                if last_ts >= 0 and not 0 < ts - last_ts < max_gap_ns:
-                    gen += 1
-                last_id, last_ts = mid, ts
-                rows.append((key[0], mid, gen, None))
-        state.update((int(last_id), int(last_ts), int(gen)))
-        out = pd.DataFrame(rows, columns=["source", "message_id", "generation", "rejected"])
-        out["generation"] = out["generation"].astype("Int64")
-        yield out
-
-    return stream.select("source", "message_id", "ts_ns").groupBy("source").applyInPandasWithState(
-        step, SESSION_OUT, "last_id long, last_ts long, gen long", "append", GroupStateTimeout.NoTimeout)
+        rows = _keyed(pdfs)
+        rows["source"] = rows["source"].fillna(0).astype("int64")  # nulls have a bucket of their own
+        rows = rows.sort_values(["source", "message_id"], kind="stable")
+        source, ids, stamps = (rows[n].astype("int64").to_numpy() for n in ("source", "message_id", "ts_ns"))
+        last = [np.array(v, np.int64) for v in state.get] if state.exists else [np.zeros(0, np.int64)] * 4
+        generation, reason, last = _sessions(source, ids, stamps, last, max_gap_ns)
+        state.update(tuple(v.tolist() for v in last))
+        yield pd.DataFrame({
+            "source": pd.arrays.IntegerArray(source, np.full(len(ids), key[0] < 0)), "message_id": ids,
+            "generation": pd.arrays.IntegerArray(generation, generation < 0), "rejected": reason})
+
+    bucket = F.when(c("source").isNull(), -1).otherwise(F.pmod(F.xxhash64("source"), F.lit(buckets)))
+    return stream.select("source", "message_id", "ts_ns", bucket.alias("bucket")).groupBy("bucket").applyInPandasWithState(
+        step, SESSION_OUT, "sources array<long>, last_id array<long>, last_ts array<long>, gen array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_slots(stream: DataFrame, hz: int, epoch_ns: int, late: str = "10 minutes") -> DataFrame:

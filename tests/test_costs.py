@@ -1,6 +1,12 @@
 """What a row, a group or a trigger costs: formulas are taken once, groups are not one call of Python each."""
 
+import os
+import random
+import uuid
+
 from swathe.catalog import all_queries
+from swathe.session import scratch_folder
+from swathe.streaming import stateful as sf
 
 from .conftest import SMALL
 
@@ -10,3 +16,40 @@ QUERIES = all_queries()[0]
 def test_a_filter_on_coordinates_does_not_repeat_the_formula_of_an_id(spark):
     plan = QUERIES["prj_01_valid_points"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_extendedprice") <= 3  # was some forty times: in the filter for each use of each coordinate
+
+
+def plain_sessions(messages, gap):
+    last, out = {}, []
+    for s, m, ts in messages:
+        i, t, g = last.get(s, (-1, -1, 0))
+        if m <= i:
+            out.append((s, m, None, "SEQUENCE_NOT_INCREASING"))
+        elif ts <= 0:
+            out.append((s, m, None, "MISSING_STAMP"))
+        else:
+            g += t >= 0 and not 0 < ts - t < gap
+            last[s] = m, ts, g
+            out.append((s, m, g, None))
+    return sorted(out, key=str)
+
+
+def test_sessions_of_many_sources_share_a_bounded_number_of_groups(spark):
+    rng, folder = random.Random(1), os.path.join(scratch_folder(spark), f"test-{uuid.uuid4().hex}")
+    arrived = []
+    for trigger in range(3):
+        rows = []
+        for s in [None, -5, *range(200), 1 << 60]:
+            for _ in range(rng.randrange(6)):
+                # ids go back, too; repeated ones have one stamp, so their order does not matter
+                m = trigger * 8 + rng.randrange(-3, 12)
+                rows.append((s, m, 0 if m % 7 == 0 else m * 40 + (m % 5 == 0) * 200))
+        spark.createDataFrame(rows, "source long, message_id long, ts_ns long").coalesce(1).write.mode("append").parquet(folder)
+        arrived += sorted(rows, key=lambda r: r[1])
+    stream = spark.readStream.schema("source long, message_id long, ts_ns long").option("maxFilesPerTrigger", 1).parquet(folder)
+    base = os.path.join(scratch_folder(spark), f"test-{uuid.uuid4().hex}")
+    q = sf.stream_sessions(stream, 100, buckets=4).writeStream.format("parquet").option("checkpointLocation", base + "/state").trigger(availableNow=True).start(base + "/rows")
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(sf.SESSION_OUT).parquet(base + "/rows").collect()), key=str)
+    assert got == plain_sessions(arrived, 100)
+    groups = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1]
+    assert groups <= 5  # one for nulls; was one a source, 203
