@@ -3,6 +3,7 @@
 import os
 import random
 import uuid
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -70,3 +71,16 @@ def test_batches_are_written_in_few_files_that_still_prune_runs_and_targets(spar
     spans = sorted((tuple(r.lo), tuple(r.hi)) for r in files.collect())
     assert 1 < len(spans) <= 8  # was one a (run, task): some hundreds
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_clouds_are_encoded_from_sorted_rows_not_a_call_each(spark):
+    want = QUERIES["src_04_decode_points"](spark, SMALL)
+    assert "FlatMapGroups" not in want._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(want.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # every cloud lies in many batches
+    try:
+        assert sorted(QUERIES["src_04_decode_points"](spark, SMALL).collect()) == want
+        per = Counter(r["message_id"] for r in want)
+        assert len(per) > 20 and all(sorted(r["point_row"] for r in want if r["message_id"] == m) == list(range(n)) for m, n in list(per.items())[:20])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
