@@ -15,6 +15,8 @@ WIDTH, HEIGHT = 2.1, 3.0
 MARGIN, BOTTOM = 0.030001, 0.100001
 MIN_STEP, MAX_STEP = 1e-8, 5.0
 CELL_M = 2.0
+# Far above the rounding of coordinates, so the box around the segments loses no point on their edges.
+SLACK = 0.001
 
 
 def path_segments(path: DataFrame, keys: list[str] = ("run",), observed: int = 81) -> DataFrame:
@@ -75,7 +77,8 @@ def envelope_hits(
 
     The segments are spread over grid cells, a point has one cell, the join is
     an equi-join on (path, cell) and the exact test follows; the cell table is
-    written first, so Spark picks the join by its real size. Points behind the
+    written first, so Spark picks the join by its real size. Points outside the
+    box around all segments are left out before they are moved. Points behind the
     sensor (y > 0) never count. ``world`` names the coordinates to test, when
     they differ from the sensor coordinates x, y, z.
     """
@@ -88,7 +91,12 @@ def envelope_hits(
     lo, hi = sub(mid, half), add(mid, half)
     grid = cut(explode_box(segments.where(~F.col("invalid")), lo, hi, cell), "grid")
     x, y, z = F.col("x"), F.col("y"), F.col("z")
-    probe = points.where(is_valid(x, y, z) & (y <= 0)).select(
+    box = grid.agg(*[F.min(v).alias(f"lo{a}") for v, a in zip(lo, "xyz")], *[F.max(v).alias(f"hi{a}") for v, a in zip(hi, "xyz")]).first()
+    near_path = F.lit(box["lox"] is not None)
+    if box["lox"] is not None:
+        for v, a in zip(vec(*world), "xyz"):
+            near_path &= (v >= box["lo" + a] - SLACK) & (v <= box["hi" + a] + SLACK)
+    probe = points.where(is_valid(x, y, z) & (y <= 0) & near_path).select(
         *dict.fromkeys([*keys, *point_keys, "x", "y", "z", *world]), *cell_of(vec(*world), cell)
     )
     found = probe.join(grid, [*keys, *CELL]).where(inside(vec(*world), width, height))

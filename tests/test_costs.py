@@ -2,13 +2,15 @@
 
 import os
 import random
+import re
 import uuid
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from swathe.catalog import all_queries
-from swathe.session import scratch_folder
+from swathe.operators import envelope as env
+from swathe.session import cut, scratch_folder
 from swathe.sources import sinks
 from swathe.streaming import stateful as sf
 
@@ -84,3 +86,11 @@ def test_clouds_are_encoded_from_sorted_rows_not_a_call_each(spark):
         assert len(per) > 20 and all(sorted(r["point_row"] for r in want if r["message_id"] == m) == list(range(n)) for m, n in list(per.items())[:20])
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
+def test_points_outside_the_box_of_all_segments_are_not_moved(small):
+    p, seg = cut(small.points), env.path_segments(small.path)
+    hits = env.envelope_hits(p, seg)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert all(re.search(rf"\({a}#\d+ (>=|<=) -?[\d.]+\)", plan) for a in "xz")  # y has a bound of its own
+    assert hits.count() > 0 and env.envelope_hits(p, seg.where("false")).count() == 0
