@@ -26,7 +26,7 @@ VALID = "NOT isnan(x) AND NOT isnan(z) AND abs(x) < CAST('Infinity' AS DOUBLE) A
 def raw(t):
     """Coordinates come out of a generator, so that a filter on them reads columns.
 
-    Pushed through a projection, it would hold the whole formula of ``point_idx`` some thirty times over.
+    Pushed through a projection, it would hold the whole formula of ``point_idx`` for each use of each coordinate.
     """
     p = t.points
     zero = c("point_idx") % 41 == 0

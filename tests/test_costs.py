@@ -21,7 +21,7 @@ QUERIES = all_queries()[0]
 
 def test_a_filter_on_coordinates_does_not_repeat_the_formula_of_an_id(spark):
     plan = QUERIES["prj_01_valid_points"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("l_extendedprice") <= 3  # was some forty times: in the filter for each use of each coordinate
+    assert plan.count("l_extendedprice") <= 3  # was 17: in the filter for each use of each coordinate
 
 
 def plain_sessions(messages, gap):
@@ -68,7 +68,7 @@ def test_batches_are_written_in_few_files_that_still_prune_runs_and_targets(spar
         back = sinks.write_batches(rows)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
-    assert sorted(back.collect()) == sorted(rows.collect())
+    assert sorted(back.select(rows.columns).collect()) == sorted(rows.collect())
     files = back.groupBy(F.input_file_name().alias("file")).agg(F.min(F.struct("run", "target")).alias("lo"), F.max(F.struct("run", "target")).alias("hi"))
     spans = sorted((tuple(r.lo), tuple(r.hi)) for r in files.collect())
     assert 1 < len(spans) <= 8  # was one a (run, task): some hundreds
