@@ -1,14 +1,20 @@
-"""Step-by-step continuation of a profile along the track, all starts and configurations in step."""
+"""Step-by-step continuation of a profile along the track: a start's points come in order and its whole search runs in one task."""
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..operators.joins import offset_grid, shifted, template_distance, template_lists
-from ..session import cut, discard
+from ..functions.numeric import is_finite
+from ..operators.joins import offset_grid, shifted, template_distance
+from ..session import cut
 
 c = F.col
 
@@ -17,142 +23,292 @@ MARCH = dict(step=4.0, window=8.0, gate=0.08, grid=0.02, beam=3, rounds=40, retr
 #: Gates that a start may carry as columns of its own, one configuration each.
 GATES = dict(support=0.02, min_points=3, shape=0.04, lead=0.01, overlap=0.03, overlap_weak=0.05, overlap_rms=0.04, overlap_most=0.08, fit=0.05)
 ANCHOR = "struct<u:double,v:double,w:double,state:int>"
-FINISHED = ["block", "reason", "score", "far"]
+TOLD = "step int, block long, parent long, state int, gap int, n long, residual double, overlap_p90 double, su double, u double, v double, w double, score double, reason string"
+STARTS_A_TASK = 8
 
 
-def _slope(anchors: Column, axis: str) -> Column:
+def _slope(anchors: list[tuple], axis: int) -> float:
     """Least-squares slope of one axis over the last three anchors."""
-    last = F.slice(anchors, F.greatest(F.size(anchors) - 2, F.lit(1)), 3)
-    mean = lambda a: F.aggregate(last, F.lit(0.0), lambda s, x: s + x[a]) / F.size(last)
-    mu, mx = mean("u"), mean(axis)
-    up = F.aggregate(last, F.lit(0.0), lambda s, x: s + (x["u"] - mu) * (x[axis] - mx))
-    down = F.aggregate(last, F.lit(0.0), lambda s, x: s + (x["u"] - mu) * (x["u"] - mu))
-    return F.when(down > 0, up / down).otherwise(0.0)
+    last = anchors[-3:]
+    mu, mx = (sum(a[i] for a in last) / len(last) for i in (0, axis))
+    up = sum((a[0] - mu) * (a[axis] - mx) for a in last)
+    down = sum((a[0] - mu) * (a[0] - mu) for a in last)
+    return up / down if down > 0 else 0.0
+
+
+def misfit(anchors: list[tuple]) -> float:
+    """The largest distance of the few anchors from the quadratics v(u) and w(u) that fit them best."""
+    first = anchors[0][0]
+    width = max(1.0, *(abs(a[0] - first) for a in anchors))
+    at = [((a[0] - first) / width, a[1], a[2]) for a in anchors]
+    power = [sum(x[0] ** k for x in at) for k in range(5)]
+    left = [[power[i + j] for j in range(3)] for i in range(3)]
+    det = lambda m: m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
+    whole = det(left)
+    if abs(whole) <= 1e-13:
+        return math.inf
+    fits = []
+    for axis in (1, 2):
+        right = [sum(x[0] ** k * x[axis] for x in at) for k in range(3)]
+        fits.append([det([[right[i] if q == j else left[i][q] for q in range(3)] for i in range(3)]) for j in range(3)])
+    missed = lambda x, axis: x[axis] - (fits[axis - 1][0] + fits[axis - 1][1] * x[0] + fits[axis - 1][2] * x[0] * x[0]) / whole
+    return max(math.hypot(missed(x, 1), missed(x, 2)) for x in at)
 
 
 def _with_misfit(df: DataFrame, anchors: str) -> DataFrame:
-    """``misfit``: the largest distance of the few anchors from the quadratics v(u) and w(u) that fit them best.
+    """``misfit`` of a column of anchors."""
+    return df.withColumn("misfit", F.udf(lambda rows: float(misfit([tuple(x) for x in rows])), "double")(anchors))
 
-    Step by step, so that no sum is worked out twice.
-    """
-    x = c(anchors)
-    scaled = df.withColumn("__first", x[0]["u"]).withColumn("__width", F.greatest(F.lit(1.0), F.array_max(F.transform(x, lambda y: F.abs(y["u"] - c("__first"))))))
-    scaled = scaled.withColumn("__x", F.transform(x, lambda y: F.struct(((y["u"] - c("__first")) / c("__width")).alias("u"), y["v"].alias("v"), y["w"].alias("w"))))
-    total = lambda f: F.aggregate("__x", F.lit(0.0), lambda s, y: s + f(y))
-    power = lambda y, k: reduce(lambda p, _: p * y["u"], range(k), F.lit(1.0))
-    sums = {f"__s{k}": total(lambda y, k=k: power(y, k)) for k in range(5)}
-    sums |= {f"__{a}{k}": total(lambda y, k=k, a=a: power(y, k) * y[a]) for a in "vw" for k in range(3)}
-    summed = scaled.withColumns(sums)
-    det = lambda m: m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
-    left = [[c(f"__s{i + j}") for j in range(3)] for i in range(3)]
-    solved = {"__d": det(sum(left, []))}
-    for a in "vw":
-        for j in range(3):
-            solved[f"__{a}_{j}"] = det([c(f"__{a}{i}") if q == j else left[i][q] for i in range(3) for q in range(3)])
-    solved = summed.withColumns(solved)
-    missed = lambda y, a: y[a] - (c(f"__{a}_0") + c(f"__{a}_1") * y["u"] + c(f"__{a}_2") * y["u"] * y["u"]) / c("__d")
-    far = F.array_max(F.transform("__x", lambda y: F.hypot(missed(y, "v"), missed(y, "w"))))
-    out = solved.withColumn("misfit", F.when(F.abs(c("__d")) > 1e-13, far).otherwise(F.lit(float("inf"))))
-    return out.select(*df.columns, "misfit")
-
-
-def _turn(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+
+def _turn(a: tuple[float, float], b: tuple[float, float]) -> float:
     """Angle in degrees between the directions (1, a) and (1, b)."""
-    dot = 1 + a[0] * b[0] + a[1] * b[1]
-    size = F.sqrt((1 + a[0] * a[0] + a[1] * a[1]) * (1 + b[0] * b[0] + b[1] * b[1]))
-    return F.degrees(F.acos(F.least(F.lit(1.0), dot / size)))
-
-
-def _relative(points: DataFrame, names: list[str]) -> DataFrame:
-    """v and w of points less the branch's course at their u."""
-    course = lambda a, s: c(a) - (c("a" + a) + c(s) * (c("u") - c("au")))
-    return points.select(*names, "id", "age", "u", course("v", "sv").alias("v"), course("w", "sw").alias("w"))
-
-
-def _strips(points: DataFrame, live: DataFrame, keys: list[str], own: list[str], g: dict, box) -> DataFrame:
-    """New points of each branch's next strip; if too few are there, of the first of the strips behind it that has enough."""
-    tries = live.withColumn("gap", F.explode(F.sequence(F.lit(0), F.lit(g["retries"])))).withColumn("u0", c("su") + g["step"] * (c("gap") + 1))
-    look = tries.withColumn("gu", F.explode(F.sequence(F.floor(F.greatest("u0", c("su") + g["window"]) / g["window"]), F.floor((c("u0") + g["window"]) / g["window"]))))
-    near = look.join(points, [*keys, "gu"]).where((c("u") >= c("u0")) & (c("u") > c("su") + g["window"] + 1e-8) & (c("u") <= c("u0") + g["window"]))
-    near = _relative(near, [*own, "block", "gap", "min_points"])
-    m = g["margin"]
-    near = near.where(c("v").between(box["v0"] - m, box["v1"] + m) & c("w").between(box["w0"] - m, box["w1"] + m))
-    counted = near.withColumn("seen", F.count(F.lit(1)).over(Window.partitionBy(*own, "block", "gap")))
-    first = counted.withColumn("first", F.min(F.when(c("seen") >= c("min_points"), c("gap"))).over(Window.partitionBy(*own, "block")))
-    return first.where(c("gap") == c("first")).select(*own, "block", "gap", "id", "age", "u", "v", "w")
-
-
-def _scored(strips: DataFrame, old: DataFrame, live: DataFrame, template: DataFrame, lists: DataFrame, own: list[str], g: dict, box) -> DataFrame:
-    """Per branch its up to three best offsets that lie apart, and how the branch's confirmed support fits under each."""
-    at = [*own, "block", "gap"]
-    rows = strips.withColumn("old", F.lit(False)).unionByName(old.withColumn("old", F.lit(True))).distinct()
-    d = template_distance(shifted(rows, offset_grid(rows.sparkSession, g["gate"], g["grid"])), template, [*at, "ov", "ow", "id", "age", "u", "old"], cap=g["cap"], lists=lists)
-    d = d.join(live.select(*own, "block", *GATES), [*own, "block"])
-    new = ~c("old")
-    inside = new & c("v").between(box["v0"], box["v1"]) & c("w").between(box["w0"], box["w1"])
-    held = inside & (c("d") <= c("support"))
-    sums = d.groupBy(*at, "ov", "ow", *GATES).agg(
-        F.count_if(held).alias("n"),
-        F.sort_array(F.collect_list(F.when(inside, c("d")))).alias("ds"),
-        F.count_if("old").alias("n_old"),
-        F.percentile(F.when(c("old"), c("d")), F.lit(0.9)).alias("p90"),
-        F.sqrt(F.avg(F.when(c("old"), F.pow(F.least("d", F.lit(0.06)), F.lit(2))))).alias("rms"),
-        F.size(F.collect_set(F.when(held, c("age")))).alias("ages"),
-        F.size(F.collect_set(F.when(held, F.floor(c("cell") / 4)))).alias("bins"),
-        F.percentile(F.when(held, c("u")), F.lit(0.5)).alias("u"),
-        F.max(F.when(held, c("u"))).alias("far"),
-    )
-    part = F.greatest(F.lit(1), (F.size("ds") * 0.7).cast("int"))
-    sums = sums.withColumn("shape", F.when(F.size("ds") > 0, F.aggregate(F.slice("ds", F.lit(1), part), F.lit(0.0), lambda s, x: s + x) / part).otherwise(0.5))
-    fits = (c("n_old") == 0) | (c("p90") <= c("overlap")) | ((c("p90") <= c("overlap_weak")) & (c("rms") <= c("overlap_rms")))
-    sums = sums.withColumns({"fits": fits, "templ": F.round(F.exp(-c("shape") / 0.02) + 0.1 * (1 - F.exp(-c("n") / 8.0)), 9), "off": F.round(F.hypot("ov", "ow"), 9)})
-    cell = F.struct((-c("templ")).alias("o"), c("off"), c("ov"), c("ow"), c("n"), c("shape"), c("p90"), c("fits"), c("ages"), c("bins"), c("u"), c("far"), c("templ"))
-    found = sums.groupBy(*at).agg(F.sort_array(F.collect_list(F.when(c("n") >= c("min_points"), cell))).alias("cells"), F.max("fits").alias("overlaps"))
-    none = F.slice("cells", 1, 0)
-    apart = lambda x, y: F.hypot(x["ov"] - y["ov"], x["ow"] - y["ow"]) <= g["apart"]
-    best = F.aggregate("cells", none, lambda kept, x: F.when((F.size(kept) < g["beam"]) & ~F.exists(kept, lambda y: apart(x, y)), F.array_append(kept, x)).otherwise(kept))
-    return found.select(*at, "overlaps", best.alias("best"))
-
-
-def _children(live: DataFrame, scored: DataFrame, own: list[str], g: dict, k: int) -> DataFrame:
-    """Blocks that pass the gates, with the course, state and score of the branch that they end."""
-    one = live.join(scored, [*own, "block"]).select("*", F.posexplode("best").alias("rank", "x"))
-    others = F.filter("best", lambda y: y["o"] != c("x.o"))
-    lead = F.coalesce(c("x.templ") - F.array_max(F.transform(others, lambda y: y["templ"])), F.lit(1.0))
-    one = one.withColumn("lead_by", lead)
-    good = (c("x.shape") <= c("shape")) & (c("x.off") <= g["gate"] * 1.42) & (c("lead_by") >= c("lead")) & c("x.fits") & (F.coalesce(c("x.p90"), F.lit(0.0)) <= c("overlap_most"))
-    one = one.where(c("overlaps") & good)
-    v, w = (c(f"a{a}") + c(f"s{a}") * (c("x.u") - c("au")) + c(f"x.o{a}") for a in "vw")
-    one = one.withColumn("a", F.struct(c("x.u").alias("u"), v.alias("v"), w.alias("w"), F.lit(1).alias("state")))
-    confirmed = F.filter("anchors", lambda x: x["state"] == 2)
-    trail = F.concat(F.slice(confirmed, F.greatest(F.size(confirmed) - 2, F.lit(1)), 3), F.filter("anchors", lambda x: x["state"] == 1), F.array("a"))
-    one = one.withColumn("trail", trail.cast(f"array<{ANCHOR}>")).withColumn("waiting", c("pending") + 1)
-    span = F.array_max(F.transform("trail", lambda x: x["u"])) - F.array_min(F.transform("trail", lambda x: x["u"]))
-    one = _with_misfit(one, "trail")
-    one = one.withColumn("sure", (c("waiting") >= 2) & (F.size("trail") >= 3) & (span >= 2) & (c("misfit") <= c("fit")))
-    anchors = F.when(c("sure"), F.transform("trail", lambda x: x.withField("state", F.lit(2)))).otherwise(c("trail"))
-    prior, quality = F.exp(-c("x.off") / g["gate"]), F.exp(-c("x.shape") / 0.02)
-    score = (quality + prior + F.exp(-c("turn") / 3) + 1 + F.least(F.lit(1.0), c("x.ages") / 3.0) + F.least(F.lit(1.0), c("x.bins") / 4.0)) / 6 - 0.3 * F.greatest(F.lit(0.0), 0.05 - c("lead_by")) / 0.05
-    out = one.select(
-        *own, *GATES, c("block").alias("parent"), "rank", "gap", c("x.n").alias("n"), c("x.shape").alias("residual"), c("x.p90").alias("overlap_p90"), c("x.ov").alias("ov"), c("x.ow").alias("ow"),
-        (c("su") + g["step"] * (c("gap") + 1)).alias("su"), c("a.u").alias("au"), c("a.v").alias("av"), c("a.w").alias("aw"), c("sv").alias("sv0"), c("sw").alias("sw0"),
-        anchors.alias("anchors"), F.when(c("sure"), 0).otherwise(c("waiting")).alias("pending"), F.greatest("far", "x.far").alias("far"),
-        F.round(c("score") + score - F.when(c("sure"), 0.0).otherwise(0.4), 9).alias("score"),
-    )
-    out = out.withColumns({"sv": _slope(c("anchors"), "v"), "sw": _slope(c("anchors"), "w")})
-    out = out.withColumn("turn", _turn((c("sv0"), c("sw0")), (c("sv"), c("sw")))).drop("sv0", "sw0")
-    ends = F.when(c("pending") > g["pending"], "TENTATIVE_UNCONFIRMED").when(c("turn") > g["turn"], "ORIENTATION_JUMP").when(c("far") >= g["reach"], "RANGE_LIMIT")
-    number = F.row_number().over(Window.partitionBy(*own).orderBy(c("score").desc(), "parent", "rank")) - 1
-    return out.withColumn("reason", ends).withColumn("block", (number + 16 * k).cast("long")).withColumn("step", F.lit(k))
-
-
-def _beam(children: DataFrame, own: list[str], g: dict) -> DataFrame:
-    """The best open branches of each start, one for each place; at most nine branches a start are compared."""
-    item = F.struct((-c("score")).alias("o"), "block", "au", "av", "aw")
-    near = lambda x, y: F.sqrt(sum(((x[a] - y[a]) * (x[a] - y[a]) for a in ("au", "av", "aw")), F.lit(0.0))) < g["same"]
-    list_ = children.where("reason is null").groupBy(*own).agg(F.sort_array(F.collect_list(item)).alias("x"))
-    kept = F.aggregate("x", F.slice("x", 1, 0), lambda acc, x: F.when((F.size(acc) < g["beam"]) & ~F.exists(acc, lambda y: near(x, y)), F.array_append(acc, x)).otherwise(acc))
-    return children.join(list_.select(*own, F.explode(kept).alias("y")).select(*own, "y.block"), [*own, "block"])
+    size = math.sqrt((1 + a[0] * a[0] + a[1] * a[1]) * (1 + b[0] * b[0] + b[1] * b[1]))
+    return math.degrees(math.acos(min(1.0, (1 + a[0] * b[0] + a[1] * b[1]) / size)))
+
+
+def _percentile(columns: np.ndarray, q: float) -> np.ndarray:
+    """Of each sorted column, weighed as Spark's ``percentile`` does."""
+    at = (len(columns) - 1) * q
+    lo, hi = columns[math.floor(at)], columns[math.ceil(at)]
+    return np.where(lo == hi, lo, (math.ceil(at) - at) * lo + (at - math.floor(at)) * hi)
+
+
+class Profile:
+    """The template's places, and per square of a fine grid those that can be the nearest to a point in it."""
+
+    SQUARES = 64
+
+    def __init__(self, cell: list[int], v: list[float], w: list[float], cap: float):
+        order = np.argsort(np.asarray(cell), kind="stable")  # of equal distances the lower cell's wins
+        self.cell, self.cap = np.append(np.asarray(cell)[order], -1), cap
+        at = [np.asarray(x, float)[order] for x in (v, w)]
+        self.box = [(x.min(), x.max()) for x in at]
+        self.low = [x.min() - cap for x in at]
+        self.size = [(x.max() - x.min() + 2 * cap) / self.SQUARES for x in at]
+        side = [low + (np.arange(self.SQUARES) + 0.5) * size for low, size in zip(self.low, self.size)]
+        near = []
+        for x in side[0]:
+            d = np.hypot(x - at[0], side[1][:, None] - at[1])
+            near += [np.flatnonzero(row) for row in d <= d.min(axis=1, keepdims=True) + math.hypot(*self.size) + 1e-9]
+        self.near = np.full((len(near), max(map(len, near))), len(order))
+        for i, row in enumerate(near):
+            self.near[i, : len(row)] = row
+        self.at = [np.append(x, np.inf) for x in at]
+
+    def distance(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each point to the nearest place, ``cap`` at most, and that place's cell (-1 beyond the cap)."""
+        d, cell = np.full(len(v), self.cap), np.full(len(v), -1)
+        i, j = (np.floor((x - low) / size) for x, low, size in zip((v, w), self.low, self.size))
+        here = np.flatnonzero((i >= 0) & (i < self.SQUARES) & (j >= 0) & (j < self.SQUARES))
+        near = self.near[(i[here] * self.SQUARES + j[here]).astype(np.int64)]
+        dv, dw = v[here, None] - self.at[0][near], w[here, None] - self.at[1][near]
+        far = np.sqrt(dv * dv + dw * dw)
+        best = far.argmin(axis=1)
+        far = far[np.arange(len(here)), best]
+        ok = far <= self.cap
+        d[here[ok]], cell[here[ok]] = far[ok], self.cell[near[np.arange(len(here)), best][ok]]
+        return d, cell
+
+
+class March:
+    """The search of one start. Points come ordered by u, as columns u, v, w, age and whether they repeat the row before."""
+
+    def __init__(self, own: tuple, at: tuple[float, float, float], gates: dict, profile: Profile, g: dict):
+        self.own, self.g, self.profile, self.k, self.ended = own, {**g, **gates}, profile, 0, []
+        steps = round(g["gate"] / g["grid"])
+        self.offsets = np.array([(i * g["grid"], j * g["grid"]) for i in range(-steps, steps + 1) for j in range(-steps, steps + 1)])
+        self.live = [dict(block=0, up=None, step=0, gap=0, n=0, residual=None, p90=None, su=at[0], score=0.0, pending=0, turn=0.0, s=(0.0, 0.0), anchors=[(*at, 2)], support=None, far=at[0])]
+
+    def needs(self) -> float:
+        """Points up to here decide the next round."""
+        return max(b["su"] for b in self.live) + self.g["step"] * (self.g["retries"] + 1) + self.g["window"]
+
+    def behind(self) -> float:
+        """Points up to here are not read again."""
+        return min(b["su"] for b in self.live) + self.g["window"]
+
+    def _strip(self, b: dict, points: list[np.ndarray]):
+        """New points of a branch's next strip; if too few are there, of the first of the strips behind it that has enough."""
+        g, (u, v, w, _, again) = self.g, points
+        _, av, aw, _ = b["anchors"][-1]
+        for gap in range(g["retries"] + 1):
+            u0 = b["su"] + g["step"] * (gap + 1)
+            own = np.arange(max(np.searchsorted(u, u0, "left"), np.searchsorted(u, b["su"] + g["window"] + 1e-8, "right")), np.searchsorted(u, u0 + g["window"], "right"))
+            rv, rw = self._relative(b, u[own], v[own], w[own])
+            m, ((v0, v1), (w0, w1)) = g["margin"], self.profile.box
+            near = (rv >= v0 - m) & (rv <= v1 + m) & (rw >= w0 - m) & (rw <= w1 + m)
+            if near.sum() >= g["min_points"] and near.any():
+                near &= ~again[own]
+                return gap, u0, own[near], rv[near], rw[near]
+        return None
+
+    @staticmethod
+    def _relative(b: dict, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """v and w less the branch's course at their u."""
+        au, av, aw, _ = b["anchors"][-1]
+        return v - (av + b["s"][0] * (u - au)), w - (aw + b["s"][1] * (u - au))
+
+    def _scored(self, b: dict, points: list[np.ndarray], strip) -> tuple[list[dict], bool]:
+        """The up to three best offsets that lie apart, and whether the branch's confirmed support fits under any."""
+        g, ((v0, v1), (w0, w1)) = self.g, self.profile.box
+        _, u0, own, rv, rw = strip
+        ov, ow = self.offsets.T
+        sv, sw = rv[:, None] - ov, rw[:, None] - ow
+        # Only points that an offset brings into the template's box count for it.
+        row, at = np.nonzero((sv >= v0) & (sv <= v1) & (sw >= w0) & (sw <= w1))
+        d, cell = self.profile.distance(sv[row, at], sw[row, at])
+        inside = np.bincount(at, minlength=len(ov))
+        held = d <= g["support"]
+        n = np.bincount(at[held], minlength=len(ov))
+        sums = np.full(sv.shape, np.inf)
+        sums[row, at] = d
+        sums = np.cumsum(np.sort(sums, axis=0), axis=0)
+        part = np.maximum(1, (inside * 0.7).astype(int))
+        shape = np.where(inside > 0, sums[part - 1, np.arange(len(ov))] / part, 0.5)
+        p90, fits = None, np.ones(len(ov), bool)
+        if b["support"] is not None and not b["pending"]:
+            old = [x[b["support"][0] >= u0] for x in b["support"]]
+            if len(old[0]):
+                qv, qw = self._relative(b, *old)
+                od = np.sort(self.profile.distance((qv[:, None] - ov).ravel(), (qw[:, None] - ow).ravel())[0].reshape(-1, len(ov)), axis=0)
+                p90 = _percentile(od, 0.9)
+                fits = (p90 <= g["overlap"]) | ((p90 <= g["overlap_weak"]) & (np.sqrt((np.minimum(od, 0.06) ** 2).mean(axis=0)) <= g["overlap_rms"]))
+        cells = []
+        for i in np.flatnonzero(n >= g["min_points"]):
+            templ = round(math.exp(-shape[i] / 0.02) + 0.1 * (1 - math.exp(-n[i] / 8.0)), 9)
+            cells.append((-templ, round(math.hypot(ov[i], ow[i]), 9), float(ov[i]), float(ow[i]), int(i)))
+        best = []
+        for x in sorted(cells):
+            if len(best) < g["beam"] and not any(math.hypot(x[2] - y[2], x[3] - y[3]) <= g["apart"] for y in best):
+                best.append(x)
+        out = []
+        for o, off, dv, dw, i in best:
+            mine = (at == i) & held
+            who = own[row[mine]]
+            u, age = points[0][who], points[3][who]
+            out.append(dict(templ=-o, off=off, ov=dv, ow=dw, n=int(n[i]), shape=float(shape[i]), p90=None if p90 is None else float(p90[i]), fits=bool(fits[i]), ages=len(np.unique(age[age != 0])),
+                            bins=len(np.unique(cell[mine] // 4)), u=float(_percentile(np.sort(u), 0.5)), far=float(u.max()), support=[points[a][who] for a in range(3)]))
+        return out, bool(fits.any())
+
+    def _children(self, b: dict, best: list[dict], strip) -> list[dict]:
+        """Blocks that pass the gates, with the course, state and score of the branch that they end."""
+        g, out = self.g, []
+        au, av, aw, _ = b["anchors"][-1]
+        for rank, x in enumerate(best):
+            rest = [y["templ"] for y in best if y["templ"] != x["templ"]]
+            lead = x["templ"] - max(rest) if rest else 1.0
+            if not (x["shape"] <= g["shape"] and x["off"] <= g["gate"] * 1.42 and lead >= g["lead"] and x["fits"] and (x["p90"] or 0.0) <= g["overlap_most"]):
+                continue
+            a = (x["u"], av + b["s"][0] * (x["u"] - au) + x["ov"], aw + b["s"][1] * (x["u"] - au) + x["ow"], 1)
+            trail = [p for p in b["anchors"] if p[3] == 2][-3:] + [p for p in b["anchors"] if p[3] == 1] + [a]
+            waiting, us = b["pending"] + 1, [p[0] for p in trail]
+            sure = waiting >= 2 and len(trail) >= 3 and max(us) - min(us) >= 2 and misfit(trail) <= g["fit"]
+            anchors = [(*p[:3], 2) for p in trail] if sure else trail
+            s = _slope(anchors, 1), _slope(anchors, 2)
+            gain = (math.exp(-x["shape"] / 0.02) + math.exp(-x["off"] / g["gate"]) + math.exp(-b["turn"] / 3) + 1 + min(1.0, x["ages"] / 3.0) + min(1.0, x["bins"] / 4.0)) / 6 - 0.3 * max(0.0, 0.05 - lead) / 0.05
+            child = dict(up=b, step=self.k, rank=rank, gap=strip[0], n=x["n"], residual=x["shape"], p90=x["p90"], su=strip[1], anchors=anchors, pending=0 if sure else waiting, s=s, turn=_turn(b["s"], s),
+                         far=max(b["far"], x["far"]), support=x["support"], score=round(b["score"] + gain - (0.0 if sure else 0.4), 9))
+            child["reason"] = "TENTATIVE_UNCONFIRMED" if child["pending"] > g["pending"] else "ORIENTATION_JUMP" if child["turn"] > g["turn"] else "RANGE_LIMIT" if child["far"] >= g["reach"] else None
+            out.append(child)
+        return out
+
+    def advance(self, points: list[np.ndarray]) -> None:
+        """One round: every live branch moves on by a strip, or ends."""
+        g, children = self.g, []
+        self.k += 1
+        for b in self.live:
+            found, why = [], "NO_POINTS"
+            if strip := self._strip(b, points):
+                best, overlaps = self._scored(b, points, strip)
+                found = self._children(b, best, strip) if overlaps else []
+                why = "TOO_FEW_SUPPORT" if not best else "CANDIDATES_REJECTED" if overlaps else "OVERLAP_FIRST"
+            if not found:
+                self.ended.append({**b, "reason": why})
+            b["support"] = None
+            children += found
+        children.sort(key=lambda x: (-x["score"], x["up"]["block"], x["rank"]))
+        for i, x in enumerate(children):
+            x["block"] = 16 * self.k + i
+        self.ended += [x for x in children if x["reason"]]
+        self.live = []
+        for x in children:  # the best open branches, one for each place
+            if not x["reason"] and len(self.live) < g["beam"] and not any(math.dist(x["anchors"][-1][:3], y["anchors"][-1][:3]) < g["same"] for y in self.live):
+                self.live.append(x)
+        if self.k == g["rounds"]:
+            self.ended += [{**x, "reason": "RANGE_LIMIT"} for x in self.live]
+            self.live = []
+
+    def told(self) -> list[tuple]:
+        """The chain of the best end, from its start on; blocks behind the last confirmed one are tentative."""
+        best = max(self.ended, key=lambda x: (x["score"], x["far"], -x["block"]))
+        out, x = [], best
+        while x:
+            up = x["up"]
+            out.append((x["step"], x["block"], up and up["block"], 1 if x["step"] > best["step"] - best["pending"] else 2, x["gap"], x["n"], x["residual"], x["p90"], x["su"], *x["anchors"][-1][:3], best["score"], best["reason"]))
+            x = up
+        return [(*self.own, *row) for row in reversed(out)]
+
+
+def _marched(keys: list[str], template: tuple, g: dict, gates: list[str], by: list[str], out: pa.Schema):
+    """Rows sorted by key, a key's starts before its points, these by u: only what live branches may still read is held."""
+    def run(batches):
+        profile = Profile(*template, g["cap"])
+        last, marches, held, rows = None, [], None, []
+        empty = lambda: [np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)]
+
+        def follow(upto: float) -> None:
+            nonlocal marches, held, rows
+            going = []
+            for m in marches:
+                while m.live and m.needs() < upto:
+                    m.advance(held)
+                if m.live:
+                    going.append(m)
+                else:
+                    rows += m.told()
+            marches = going
+            if going:
+                keep = np.searchsorted(held[0], min(m.behind() for m in going), "right")
+                held = [x[keep:] for x in held]
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            names = batch.schema.names
+            new, same = np.zeros(len(batch), bool), np.ones(len(batch), bool)
+            for k in keys:
+                x = batch.column(names.index(k))
+                new[1:] |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+            first = tuple(batch.column(names.index(k))[0].as_py() for k in keys)
+            new[0] = last is None or first != last[0]
+            u, v, w, age, id_, kind = (batch.column(names.index(n)).to_numpy(zero_copy_only=False) for n in ("u", "v", "w", "__age", "__id", "__kind"))
+            for x, old in zip((u, v, w, age, id_, kind), last[1] if last else [None] * 6):
+                same[1:] &= x[1:] == x[:-1]
+                same[0] &= old is not None and bool(x[0] == old)
+            again = same & ~new
+            last = tuple(batch.column(names.index(k))[len(batch) - 1].as_py() for k in keys), [x[-1] for x in (u, v, w, age, id_, kind)]
+            bounds = [*np.flatnonzero(new), len(batch)]
+            bounds = bounds if bounds[0] == 0 else [0, *bounds]
+            for lo, hi in zip(bounds, bounds[1:]):
+                if new[lo]:
+                    follow(math.inf)
+                    marches, held = [], empty()
+                points = lo + int((kind[lo:hi] == 0).sum())
+                if points > lo:
+                    starts = batch.column(names.index("__start")).slice(lo, points - lo).to_pylist()
+                    here = tuple(batch.column(names.index(k))[lo].as_py() for k in keys)
+                    marches += [March((*here, *(s[b] for b in by)), (float(u[lo + i]), float(v[lo + i]), float(w[lo + i])), {n: s[n] for n in gates}, profile, g) for i, s in enumerate(starts)]
+                if marches and points < hi:
+                    held = [np.concatenate([a, x[points:hi]]) for a, x in zip(held, (u, v, w, age, again))]
+                    follow(float(u[hi - 1]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), out)], schema=out)
+                rows = []
+        follow(math.inf)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), out)], schema=out)
+
+    return run
 
 
 def march_corridor(points: DataFrame, starts: DataFrame, template: DataFrame, keys: list[str], cfg: dict | None = None, by: list[str] | None = None) -> DataFrame:
@@ -162,7 +318,9 @@ def march_corridor(points: DataFrame, starts: DataFrame, template: DataFrame, ke
     several scans. ``starts``: keys and ``by``, which names several starts or
     configurations of one key; u, v, w of the last known anchor; any of
     ``GATES`` as a column holds for that start alone. ``points`` are voxelised,
-    so a strip holds a bounded number of them.
+    so a strip holds a bounded number of them. Points are moved once, to the one
+    task that follows their key in the order of u; it holds the strips that a live branch
+    may still read. Points with a null key or without finite u, v and w take no part.
 
     A round moves every live branch on by one strip of points beyond its
     window; of a strip with too few points the next two are tried, and nothing is invented
@@ -173,7 +331,7 @@ def march_corridor(points: DataFrame, starts: DataFrame, template: DataFrame, ke
     in a row are confirmed if a quadratic through their and the last confirmed
     anchors misses none by more than ``fit``. The course is the least-squares line through the last three
     anchors. The three best branches that end at different places go on.
-    The result is read back from the best end by pointer jumping.
+    The result is read back from the best end by its parents.
 
     Returns keys, by, step, block, parent, state (2 confirmed, 1 tentative),
     gap, n, residual, overlap_p90, su (start of the window), u, v, w, score
@@ -182,72 +340,25 @@ def march_corridor(points: DataFrame, starts: DataFrame, template: DataFrame, ke
     """
     g = {**MARCH, **(cfg or {})}
     gates = {n: g.get(n, v) for n, v in GATES.items()}
-    own = [*keys, *(by or [])]
-    lists = template_lists(template, g["cap"])
-    box = template.agg(*[f(a).alias(f"{a}{i}") for a in "vw" for i, f in enumerate((F.min, F.max))]).first()
-    if "age" not in points.columns:
-        points = points.withColumn("age", F.lit(0))
-    points = cut(points.select(*keys, "id", "age", "u", "v", "w", F.floor(c("u") / g["window"]).alias("gu")), "march")
+    own, by = [*keys, *(by or [])], by or []
+    # A profile's places, as many as it has cells: each task gets them all.
+    places = template.where(is_finite(c("v").cast("double")) & is_finite(c("w").cast("double"))).groupBy("v", "w").agg(F.min("cell").alias("cell")).select(c("cell").cast("long"), c("v").cast("double"), c("w").cast("double")).toPandas()
     had = [c(n).cast("double").alias(n) if n in starts.columns else F.lit(float(v)).alias(n) for n, v in gates.items()]
-    seed = F.array(F.struct(c("u").cast("double").alias("u"), c("v").cast("double").alias("v"), c("w").cast("double").alias("w"), F.lit(2).alias("state"))).cast(f"array<{ANCHOR}>")
-    live = starts.select(
-        *own, *had, F.lit(0).cast("long").alias("block"), c("u").cast("double").alias("su"), *[c(a).cast("double").alias("a" + a) for a in "uvw"], F.lit(0.0).alias("sv"), F.lit(0.0).alias("sw"), F.lit(0.0).alias("turn"),
-        F.lit(0.0).alias("score"), F.lit(0).alias("pending"), seed.alias("anchors"), c("u").cast("double").alias("far"),
-    )
-    live = cut(live, "march")
-    names = live.columns
-    tree = ["block", "parent", "step", "gap", "n", "residual", "overlap_p90", "su", "au", "av", "aw", "pending"]
-    blocks = [live.select(*own, "block", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("step"), F.lit(0).alias("gap"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("residual"), F.lit(None).cast("double").alias("overlap_p90"), "su", "au", "av", "aw", "pending")]
-    ends, support = [], None
-    for k in range(1, g["rounds"] + 1):
-        strips = cut(_strips(points, live, keys, own, g, box), "strips")
-        old = strips.limit(0)
-        if support is not None:  # what a confirmed last block rests on, where the new window still covers it
-            gaps = strips.select(*own, "block", "gap").distinct()
-            near = support.join(live.where("pending = 0"), [*own, "block"]).join(gaps, [*own, "block"])
-            old = _relative(near.where(c("u") >= c("su") + g["step"] * (c("gap") + 1)), [*own, "block", "gap"])
-        scored = cut(_scored(strips, old, live, template, lists, own, g, box), "scored")
-        children = cut(_children(live, scored, own, g, k), "children")
-        told = live.join(scored, [*own, "block"], "left").join(children.select(*own, c("parent").alias("block")).distinct(), [*own, "block"], "left_anti")
-        why = F.when(c("best").isNull(), "NO_POINTS").when(F.size("best") == 0, "TOO_FEW_SUPPORT").when(~c("overlaps"), "OVERLAP_FIRST").otherwise("CANDIDATES_REJECTED")
-        ends += [told.select(*own, "block", why.alias("reason"), "score", "far"), children.where("reason is not null").select(*own, *FINISHED)]
-        blocks.append(children.select(*own, *tree))
-        # The new blocks' own support: points of the parent's strip under the block's offset.
-        under = strips.withColumnRenamed("block", "parent").join(children.select(*own, "block", "parent", "gap", "ov", "ow", "support"), [*own, "parent", "gap"])
-        under = under.join(live.select(*own, c("block").alias("parent"), "au", "av", "aw", "sv", "sw"), [*own, "parent"])
-        real = [(c(a) + c(f"a{a}") + c(f"s{a}") * (c("u") - c("au"))).alias(f"p{a}") for a in "vw"]
-        under = under.select(*own, "block", "id", "age", "u", "support", *real, (c("v") - c("ov")).alias("v"), (c("w") - c("ow")).alias("w")).distinct()
-        fit = template_distance(under, template, [*own, "block", "id", "age", "u", "support", "pv", "pw"], cap=g["cap"], lists=lists).where((c("d") <= c("support")) & c("v").between(box["v0"], box["v1"]) & c("w").between(box["w0"], box["w1"]))
-        stale = [strips] if support is None else [strips, support]
-        support = cut(fit.select(*own, "block", "id", "age", "u", c("pv").alias("v"), c("pw").alias("w")), "support")
-        nxt = cut(_beam(children, own, g).select(names), "march")
-        discard(*stale)
-        live = nxt
-        if live.isEmpty():
-            break
-    ends.append(live.select(*own, "block", F.lit("RANGE_LIMIT").alias("reason"), "score", "far"))
-    finished = reduce(DataFrame.unionByName, ends)
-    best = finished.groupBy(*own).agg(F.max(F.struct("score", "far", (-c("block")).alias("first"), "reason")).alias("m")).select(*own, (-c("m.first")).alias("end"), c("m.score").alias("score"), c("m.reason").alias("reason"))
-    return _read_back(reduce(DataFrame.unionByName, blocks), cut(best, "ends"), own)
-
-
-def _read_back(blocks: DataFrame, best: DataFrame, own: list[str]) -> DataFrame:
-    """The chain from each best end to its start: a block on it points to 1, 2, 4, ... blocks before it in turn."""
-    blocks = cut(blocks, "blocks")
-    jump = blocks.where("parent is not null").select(*own, "block", "parent")
-    path = best.select(*own, c("end").alias("block"))
-    deepest = blocks.agg(F.max("step")).first()[0] or 0
-    while deepest:
-        before = path.join(jump, [*own, "block"]).select(*own, c("parent").alias("block"))
-        path = cut(path.unionByName(before).distinct(), "path")
-        jump = cut(jump.alias("x").join(jump.select(*own, c("block").alias("parent"), c("parent").alias("next")), [*own, "parent"]).select(*own, "block", c("next").alias("parent")), "jump")
-        deepest //= 2
-    out = blocks.join(path, [*own, "block"]).join(best, own)
-    # Blocks behind the last confirmed one are tentative: as many as the best end still waits for.
-    waits = F.max(F.when(c("block") == c("end"), c("pending"))).over(Window.partitionBy(*own))
-    length = F.max("step").over(Window.partitionBy(*own))
-    state = F.when(c("step") > length - waits, 1).otherwise(2)
-    return out.select(*own, "step", "block", "parent", state.alias("state"), "gap", "n", "residual", "overlap_p90", "su", c("au").alias("u"), c("av").alias("v"), c("aw").alias("w"), "score", "reason")
+    begin = starts.where(" and ".join(f"`{n}` is not null" for n in own))
+    begin = cut(begin.select(*own, *[c(a).cast("double").alias(a) for a in "uvw"], *had), "march")
+    whole = points.where(" and ".join(f"`{n}` is not null" for n in keys))
+    age = F.when(c("age").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("age")) if "age" in points.columns else F.lit(1).cast("long")
+    # No filter on places: it would take their formulas once more for each use. What is not finite sorts last, or lies in no box.
+    place = [F.coalesce(c(a).cast("double"), F.lit(math.nan)).alias(a) for a in "uvw"]
+    start = F.struct(*by, *gates)
+    first = begin.select(*keys, F.lit(0).alias("__kind"), *place, F.lit(0).cast("long").alias("__age"), F.lit(0).cast("long").alias("__id"), start.alias("__start"))
+    rest = whole.select(*keys, F.lit(1).alias("__kind"), *place, age.alias("__age"), F.xxhash64("id").alias("__id"), F.lit(None).cast(first.schema["__start"].dataType).alias("__start"))
+    order = [*keys, "__kind", "u", "v", "w", "__age", "__id"]
+    rows = first.unionByName(rest).repartition(max(1, -(-begin.count() // STARTS_A_TASK)), *keys).sortWithinPartitions(*order)
+    shape = T.StructType(begin.select(*own).schema.fields + T.StructType.fromDDL(TOLD).fields)
+    nowhere = [-1], [math.nan], [math.nan]  # an empty template has no box, so no point lies in it
+    run = _marched(keys, tuple(places[n].tolist() for n in ("cell", "v", "w")) if len(places) else nowhere, g, list(gates), by, to_arrow_schema(shape))
+    return cut(rows.mapInArrow(run, shape), "march")
 
 
 def visibility_likelihood(points: DataFrame, template: DataFrame, keys: list[str], source: str, half: float = 0.08, step: float = 0.02, apart: float = 0.03, temperature: float = 0.05) -> DataFrame:
