@@ -102,24 +102,23 @@ def _(t):
     return agg.robust_location(s, k, "error_m").join(cov, k)
 
 
-def _neighbours(t):
-    v = vox(t)
-    nn = jn.knn(v, ["frame"], "point_idx", 8, 4.0)
-    q = v.select("frame", c("point_idx").alias("near_point_idx"), *[c(a).alias("n" + a) for a in "xyz"])
-    return nn.join(q, ["frame", "near_point_idx"])
+def _covariance(t):
+    """Sums over each voxel's eight nearest others, made in its row."""
+    out = jn.knn_lists(vox(t), ["frame"], "point_idx", 8, 4.0, lambda near: {"s": agg.list_covariance(near)})
+    return out.select("frame", "point_idx", "s.*").where("n > 0")
 
 
 @query("agg_15_local_pca", "points", f"""WITH {VOX}, d AS (SELECT a.frame, a.point_idx, b.x, b.y, b.z, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d, row_number() OVER (PARTITION BY a.frame, a.point_idx ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z), b.point_idx) AS nn
  FROM vox a JOIN vox b ON a.frame = b.frame AND a.point_idx <> b.point_idx)
 SELECT frame, point_idx, max(d) AS far, 8*covar_pop(x, x)*count(*) AS sxx8, 8*covar_pop(x, y)*count(*) AS sxy8, 8*covar_pop(z, z)*count(*) AS szz8 FROM d WHERE nn <= 8 GROUP BY ALL""", rnd="far sxx8 sxy8 szz8")
 def _(t):
-    return agg.neighbour_covariance(_neighbours(t), ["frame", "point_idx"]).select("frame", "point_idx", "far", *[(8 * c(n)).alias(n + "8") for n in ("sxx", "sxy", "szz")])
+    return _covariance(t).select("frame", "point_idx", "far", *[(8 * c(n)).alias(n + "8") for n in ("sxx", "sxy", "szz")])
 
 
 @query("agg_15b_normals", "points")
 def _(t):
     """Normals per frame: how many pass the planarity and distance tests."""
-    e = agg.symmetric_eigen(agg.neighbour_covariance(_neighbours(t), ["frame", "point_idx"]))
+    e = agg.symmetric_eigen(_covariance(t))
     good = (c("l0") / F.greatest(c("l0") + c("l1") + c("l2"), F.lit(1e-12)) < 0.12) & (c("far") < 3)
     return e.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good"), F.round(F.avg(F.abs("nz")), 4).alias("mean_nz"))
 

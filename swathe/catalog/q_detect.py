@@ -161,10 +161,8 @@ def _(t):
 def _pairs_of_clouds(t):
     """Each frame's voxelised cloud against a copy moved by 5 cm and 0.3 degrees, with normals."""
     v = cut(vox(t), "clouds")
-    nn = jn.knn(v, ["frame"], "point_idx", 6, 4.0)
-    q = v.select("frame", c("point_idx").alias("near_point_idx"), *[c(a).alias("n" + a) for a in "xyz"])
-    e = agg.symmetric_eigen(agg.neighbour_covariance(nn.join(q, ["frame", "near_point_idx"]), ["frame", "point_idx"])).select("frame", "point_idx", "nx", "ny", "nz")
-    target = cut(v.join(e, ["frame", "point_idx"]), "clouds")
+    sums = jn.knn_lists(v, ["frame"], "point_idx", 6, 4.0, lambda near: {"s": agg.list_covariance(near)}).where("s.n > 0")
+    target = cut(agg.symmetric_eigen(sums.select("frame", "point_idx", "x", "y", "z", "s.*")).select("frame", "point_idx", "x", "y", "z", "nx", "ny", "nz"), "clouds")
     a = 0.005
     import math
 
