@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.vector import cross, dot, named, norm, sub, vec
-from ..operators.joins import bounded_nearest
+from ..functions.vector import named, norm, sub, vec
 from ..session import cut, discard
 
 c = F.col
@@ -25,6 +28,15 @@ def normal_equations(df: DataFrame, keys: list[str], columns: list[Column], targ
     return rows.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n"), F.sum(c("__w") * c("__y") * c("__y")).alias("yy"))
 
 
+def solutions(m: np.ndarray, b: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions and condition numbers of symmetric systems; columns are scaled to unit diagonal, so that units do not decide the conditioning."""
+    d = np.sqrt(np.maximum(np.einsum("kii->ki", m), 1e-12))
+    ms = m / d[:, :, None] / d[:, None, :] + ridge * np.eye(m.shape[1])
+    e = np.linalg.eigvalsh(ms)
+    x = np.einsum("kij,kj->ki", np.linalg.pinv(ms, rcond=1e-8, hermitian=True), b / d) / d
+    return x, e[:, -1] / np.maximum(e[:, 0], 1e-12)
+
+
 def solve(df: DataFrame, n: int, ridge: float = 0.0) -> DataFrame:
     """Solutions x_0.. and the condition number of systems held as a_i_j, b_i; one row per system, in Arrow batches."""
     names = [f"a_{i}_{j}" for i in range(n) for j in range(i, n)] + [f"b_{i}" for i in range(n)]
@@ -38,13 +50,7 @@ def solve(df: DataFrame, n: int, ridge: float = 0.0) -> DataFrame:
             for j in range(i, n):
                 m[:, i, j] = m[:, j, i] = s.iloc[:, at].fillna(0.0)
                 at += 1
-        b = s.iloc[:, at:at + n].fillna(0.0).to_numpy(dtype=float)
-        # Columns are scaled to unit diagonal, so that units do not decide the conditioning.
-        d = np.sqrt(np.maximum(np.einsum("kii->ki", m), 1e-12))
-        ms = m / d[:, :, None] / d[:, None, :] + ridge * np.eye(n)
-        e = np.linalg.eigvalsh(ms)
-        cond = e[:, -1] / np.maximum(e[:, 0], 1e-12)
-        x = np.einsum("kij,kj->ki", np.linalg.pinv(ms, rcond=1e-8, hermitian=True), b / d) / d
+        x, cond = solutions(m, s.iloc[:, at:at + n].fillna(0.0).to_numpy(dtype=float), ridge)
         return pd.DataFrame(np.concatenate([x, cond[:, None]], axis=1), columns=out)
 
     return df.withColumn("__s", run(F.struct(*names))).select(*df.columns, "__s.*")
@@ -55,25 +61,215 @@ def solve(df: DataFrame, n: int, ridge: float = 0.0) -> DataFrame:
 IDENTITY = {f"r{i}{j}": float(i == j) for i in range(3) for j in range(3)} | {"tx": 0.0, "ty": 0.0, "tz": 0.0}
 
 
-def _targets(target: DataFrame, keys: list[str], cell: float) -> DataFrame:
-    from ..functions.cells import cell_of, explode_neighbours
-
-    t = target.select(*keys, *[c(a).alias("q" + a) for a in "xyz"], *[c(a) for a in ("nx", "ny", "nz")])
-    return cut(explode_neighbours(t.select("*", *cell_of(vec("q"), cell)), 1), "targets")
-
+# Rows that a task aligns at once, and pairs that are dealt to a task.
+ROWS, PAIRS_A_TASK = 20_000, 200
+# Metres that a point may move before its list of targets is made anew.
+SLACK = 0.3
+
+
+def _changes(table, keys: list[str]) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before; never of the first."""
+    new = np.zeros(table.num_rows, bool)
+    for k in keys:
+        x = table.column(k)
+        new[1:] |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy()
+    return new
+
+
+def _whole(batches, keys: list[str], least: int):
+    """Sorted rows as tables of whole groups, of ``least`` rows or more; a group is never cut."""
+    held, rows, tail = [], 0, None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        if not part.num_rows:
+            continue
+        new = _changes(part, keys)
+        new[0] = tail is not None and tail != [part.column(k)[0].as_py() for k in keys]
+        tail = [part.column(k)[-1].as_py() for k in keys]
+        ends = np.flatnonzero(new)
+        if len(ends) and rows + ends[-1] >= least:
+            yield pa.concat_tables([*held, part.slice(0, ends[-1])]).combine_chunks()
+            part, held, rows = part.slice(ends[-1]), [], 0
+        held.append(part)
+        rows += part.num_rows
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first .. first + n - 1 of all spans, one after the other."""
+    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+
+
+def _rodrigues(v: np.ndarray) -> np.ndarray:
+    a = np.linalg.norm(v, axis=1)
+    small = a < 1e-8
+    safe = np.where(small, 1.0, a)
+    k = np.zeros((len(v), 3, 3))
+    k[:, 0, 1], k[:, 0, 2], k[:, 1, 2] = -v[:, 2], v[:, 1], -v[:, 0]
+    k -= k.transpose(0, 2, 1)
+    one, two = np.where(small, 1.0, np.sin(safe) / safe), np.where(small, 0.5, (1 - np.cos(safe)) / safe ** 2)
+    return np.eye(3) + one[:, None, None] * k + two[:, None, None] * (k @ k)
+
+
+def _rotation_vector(m: np.ndarray) -> np.ndarray:
+    v = np.stack([m[:, 2, 1] - m[:, 1, 2], m[:, 0, 2] - m[:, 2, 0], m[:, 1, 0] - m[:, 0, 1]], axis=1) / 2
+    sine = np.linalg.norm(v, axis=1)
+    scale = np.where(sine < 1e-12, 1.0, np.arctan2(sine, (np.trace(m, axis1=1, axis2=2) - 1) / 2) / np.where(sine < 1e-12, 1.0, sine))
+    return v * scale[:, None]
+
+
+class Clouds:
+    """Source and target clouds of some groups, and pairs of them that are aligned at once: group, rotation, place.
+
+    A point keeps a list of the targets that it can meet while it moves no farther than ``SLACK``, so a round looks at a few
+    targets a point and nothing is searched anew.
+    """
 
-def _matched(source: DataFrame, grid: DataFrame, poses: DataFrame, keys: list[str], pair: list[str], cell: float, limit: float, on: list[str] | None = None) -> DataFrame:
-    """Source points moved by their pair's pose, each with its nearest target within ``limit``; the grid is keyed by ``on`` (default: ``keys``)."""
+    def __init__(self, table, keys: list[str]):
+        group = np.cumsum(_changes(table, keys))
+        kind = table.column("__kind").to_numpy()
+        self.groups = group[-1] + 1
+        xyz = np.stack([table.column(n).to_numpy() for n in "xyz"], axis=1)
+        self.source, self.target = xyz[kind == 1], xyz[kind == 2]
+        self.normal = np.stack([table.column(n).to_numpy()[kind == 2] for n in ("nx", "ny", "nz")], axis=1)
+        self.mine = np.searchsorted(group[kind == 1], np.arange(self.groups + 1))
+        self.of = group[kind == 2]
+        first = np.flatnonzero(kind == 0)
+        self.names = list(zip(*(table.column(k).take(first).to_pylist() for k in keys)))
+        self.starts = table.column("__start").take(first).to_pylist()
+        self.pair = group[first]
+        low = np.full((self.groups, 3), np.inf)
+        np.minimum.at(low, self.of, self.target)
+        self.low = np.where(np.isfinite(low), low, 0.0)
+
+    def size(self, pairs: np.ndarray) -> np.ndarray:
+        return self.mine[self.pair[pairs] + 1] - self.mine[self.pair[pairs]]
+
+    def place(self, pairs: np.ndarray, limit: float) -> None:
+        """The points of ``pairs`` from here on, which may be matched up to ``limit``."""
+        n = self.size(pairs)
+        self.row, self.who = _spans(self.mine[self.pair[pairs]], n), np.repeat(np.arange(len(pairs)), n)
+        self.group, self.listed, self.limit = np.repeat(self.pair[pairs], n), None, limit
+
+    def _list(self, p: np.ndarray, limit: float) -> None:
+        """All (point, target) within ``limit`` and the slack, ordered by point and target."""
+        self.listed, self.limit, far = p, limit, limit + SLACK
+        at = self.target - self.low[self.of]
+        width = max(far * (1 + 1e-6), float(at.max(initial=0.0)) / 2 ** 16)
+        cell, own = (np.floor(x / width).astype(np.int64) for x in (at, np.clip((p - self.low[self.group]), -4 * width, at.max(initial=0.0) + 4 * width)))
+        span = cell.max(axis=0, initial=0) + 12
+        strides = np.array([span[1] * span[2], span[2], 1])
+        number = self.of * (span[0] * span[1] * span[2]) + (cell + 5) @ strides
+        order = np.argsort(number, kind="stable")
+        number = number[order]
+        found = []
+        for x in (-1, 0, 1):
+            for y in (-1, 0, 1):
+                centre = self.group * (span[0] * span[1] * span[2]) + (own + 5 + (x, y, 0)) @ strides
+                first = np.searchsorted(number, centre - 1, "left")
+                n = np.searchsorted(number, centre + 1, "right") - first
+                i, j = np.repeat(np.arange(len(p)), n), order[_spans(first, n)]
+                near = (self.of[j] == self.group[i]) & (((p[i] - self.target[j]) ** 2).sum(axis=1) <= far * far)
+                found.append((i[near], j[near]))
+        self.i, self.j = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((self.j, self.i))
+        self.i, self.j = self.i[order], self.j[order]
+        self.first = np.flatnonzero(np.diff(self.i, prepend=-1))
+
+    def matched(self, r: np.ndarray, t: np.ndarray, limit: float):
+        """(pair, place, target place, normal) of the points that have a target nearer than ``limit``, the nearest; of equal ones the first in order."""
+        p = np.einsum("kij,kj->ki", r[self.who], self.source[self.row]) + t[self.who]
+        if self.listed is None or limit > self.limit or (len(p) and ((p - self.listed) ** 2).sum(axis=1).max() > SLACK * SLACK):
+            self._list(p, limit)
+        if not len(self.i):
+            return self.who[:0], p[:0], p[:0], p[:0]
+        d = p[self.i] - self.target[self.j]
+        d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+        least = np.minimum.reduceat(d2, self.first)
+        hit = np.flatnonzero(d2 == np.repeat(least, np.diff(self.first, append=len(d2))))
+        best = hit[np.searchsorted(hit, self.first)]
+        best = best[least < limit * limit]
+        i, j = self.i[best], self.j[best]
+        return self.who[i], p[i], self.target[j], self.normal[j]
+
+    @staticmethod
+    def systems(who: np.ndarray, a: np.ndarray, res: np.ndarray, pairs: int):
+        """Weighted normal equations, rows and sum of weights per pair."""
+        w = np.minimum(1.0, 0.1 / np.maximum(np.abs(res), 1e-10))
+        sums = np.concatenate([(w[:, None, None] * a[:, :, None] * a[:, None, :]).reshape(-1, 36), -(w * res)[:, None] * a, w[:, None]], axis=1)
+        total = np.zeros((pairs, 43))
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        if len(who):
+            total[who[first]] = np.add.reduceat(sums, first, axis=0)
+        return total[:, :36].reshape(-1, 6, 6), total[:, 36:42], np.bincount(who, minlength=pairs), total[:, 42]
+
+    def align(self, r: np.ndarray, t: np.ndarray, rounds: int, gate: tuple[float, float], step):
+        """All pairs until they rest: ``step`` gives their new poses, which have enough points and which rest. Returns poses, which pairs have one, and their last condition."""
+        r, t, live, condition = r.copy(), t.copy(), np.arange(len(r)), np.full(len(r), np.nan)
+        kept = np.ones(len(r), bool)
+        self.place(live, gate[0])
+        for i in range(rounds):
+            if not len(live):
+                break
+            limit = max(gate[1], gate[0] * (1 - i / rounds))
+            who, p, q, n = self.matched(r[live], t[live], limit)
+            new, enough, still = step(live, r[live], t[live], who, p, q, n)
+            r[live], t[live], condition[live] = new
+            kept[live[~enough]] = False
+            going = enough & ~still
+            if not going.all():
+                live = live[going]
+                self.place(live, limit)
+        return r, t, kept, condition
+
+    def quality(self, r: np.ndarray, t: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Share of matched points within 0.5 m, and the root of their mean squared distance from the planes (NaN without any)."""
+        self.place(pairs, 0.5)
+        who, p, q, n = self.matched(r[pairs], t[pairs], 0.5)
+        res = np.einsum("ki,ki->k", p - q, n)
+        count = np.bincount(who, minlength=len(pairs))
+        square = np.bincount(who, res * res, len(pairs))
+        some = np.maximum(count, 1)
+        return count / np.maximum(self.size(pairs), 1), np.where(count > 0, np.sqrt(square / some), np.nan)
+
+
+def _poses(starts: list[dict], prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
+    r = np.array([[[s[f"{prefix}r{a}{b}"] for b in range(3)] for a in range(3)] for s in starts], float).reshape(-1, 3, 3)
+    return r, np.array([[s[f"{prefix}t{a}"] for a in "xyz"] for s in starts], float).reshape(-1, 3)
+
+
+def _aligned(source: DataFrame, target: DataFrame, starts: DataFrame, keys: list[str], told: list[str], more: list[str], fit) -> DataFrame:
+    """``fit`` of whole groups of clouds: all rows of ``keys`` in one task, starts first, clouds moved once.
+
+    Returns keys, ``told`` of the starts, the pose columns and ``more`` numbers.
+    """
     from ..functions import rotation as rot
-    from ..functions.cells import CELL, cell_of
 
-    on = on or keys
-    m = source.join(poses, keys)
-    m = m.select(*pair, "sid", *named(rot.to_world(vec("x", "y", "z"), rot.matrix(), vec("t")), "p"))
-    m = m.select("*", *cell_of(vec("p"), cell)).join(grid, [*on, *CELL])
-    m = m.withColumn("d2", (c("px") - c("qx")) ** 2 + (c("py") - c("qy")) ** 2 + (c("pz") - c("qz")) ** 2).where(c("d2") < limit * limit)
-    best = F.min(F.struct("d2", "px", "py", "pz", "qx", "qy", "qz", "nx", "ny", "nz")).alias("m")
-    return m.groupBy(*pair, "sid").agg(best).select(*pair, "sid", "m.*")
+    start = F.struct(*[c(n) for n in starts.columns if n not in keys])
+    blank = lambda names: [F.lit(None).cast("double").alias(n) for n in names]
+    normal, place = ["nx", "ny", "nz"], [c(n).cast("double").alias(n) for n in "xyz"]
+    first = starts.select(*keys, F.lit(0).alias("__kind"), *blank("xyz"), *blank(normal), start.alias("__start"))
+    none = F.lit(None).cast(first.schema["__start"].dataType).alias("__start")
+    rows = first.unionByName(source.select(*keys, F.lit(1).alias("__kind"), *place, *blank(normal), none))
+    rows = rows.unionByName(target.select(*keys, F.lit(2).alias("__kind"), *place, *[c(n).cast("double").alias(n) for n in normal], none))
+    rows = rows.where(" and ".join(f"`{k}` is not null" for k in keys)).where("__kind = 0 or x + y + z is not null")
+    tasks = max(1, -(-starts.select(*keys).distinct().count() // PAIRS_A_TASK))
+    rows = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "__kind", *"xyz", *normal)
+    shape = T.StructType(starts.select(*keys, *told).schema.fields + [T.StructField(n, T.DoubleType()) for n in (*rot.POSE, *more)])
+    schema = to_arrow_schema(shape)
+
+    def run(batches):
+        for table in _whole(batches, keys, ROWS):
+            clouds = Clouds(table, keys)
+            if not clouds.starts:
+                continue
+            pairs, r, t, numbers = fit(clouds)
+            columns = [*zip(*[(*clouds.names[i], *[clouds.starts[i][n] for n in told]) for i in pairs])] or [()] * (len(keys) + len(told))
+            columns += [*r[pairs].reshape(-1, 9).T, *t[pairs].T, *numbers]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type, from_pandas=True) for x, f in zip(columns, schema)], schema=schema)
+
+    return cut(rows.mapInArrow(run, shape), "aligned")
 
 
 def align_clouds(source: DataFrame, target: DataFrame, initial: DataFrame, keys: list[str], seeds: list[str] = (), rounds: int = 24,
@@ -82,47 +278,27 @@ def align_clouds(source: DataFrame, target: DataFrame, initial: DataFrame, keys:
 
     ``source``: keys, sid, x, y, z (voxelised); ``target``: keys, x, y, z and
     the normal nx, ny, nz; ``initial``: keys, ``seeds`` and the pose columns.
-    A round joins each moved point to its nearest target, sums 27 numbers per
-    pair, solves one 6x6 system per pair and updates the pose table. Pairs that
-    no longer move drop out of the later rounds.
+    Clouds are moved once, and a pair's rounds run in the task that holds its two clouds:
+    a round matches each moved point to its nearest target, sums 27 numbers per
+    pair and solves one 6x6 system per pair. Pairs that no longer move drop out of the later rounds.
     """
     from ..functions import rotation as rot
 
-    pair = [*keys, *seeds]
-    cell = gate[0] * (1 + 1e-6)
-    grid = _targets(target, keys, cell)
-    source = cut(source.select(*keys, "sid", "x", "y", "z"), "source")
-    poses, done = cut(initial.select(*pair, *rot.POSE), "pose"), None
-    for i in range(rounds):
-        limit = max(gate[1], gate[0] * (1 - i / rounds))
-        m = _matched(source, grid, poses, keys, pair, cell, limit)
-        p, n = vec("p"), vec("n")
-        m = m.withColumn("res", dot(sub(p, vec("q")), n))
-        w = F.least(F.lit(1.0), 0.10 / F.greatest(F.abs("res"), F.lit(1e-10)))
-        sums = normal_equations(m, pair, [*cross(p, n), *n], -c("res"), w)
-        step = solve(sums, 6, ridge=1e-6).select(*pair, *[f"x_{k}" for k in range(6)], "condition")
-        new = poses.drop("condition").join(step, pair)
-        d = rot.rodrigues(tuple(c(f"x_{k}") for k in range(3)))
-        new = new.select("*", *[d[a][b].alias(f"d{a}{b}") for a in range(3) for b in range(3)])
-        dm = rot.matrix("d")
-        r = rot.compose(dm, rot.matrix("r"))
-        t = rot.apply(dm, vec("t"))
-        turn = norm(tuple(c(f"x_{k}") for k in range(3)))
-        shift = norm(tuple(c(f"x_{k}") for k in range(3, 6)))
-        new = new.select(*pair, *[r[a][b].alias(f"r{a}{b}") for a in range(3) for b in range(3)],
-                         *[(t[k] + c(f"x_{k + 3}")).alias("t" + "xyz"[k]) for k in range(3)], "condition", ((turn < 2e-5) & (shift < 8e-4)).alias("still"))
-        new = cut(new, "pose")
-        ready = new.where("still").drop("still")
-        poses = new.where(~c("still")).drop("still")
-        done = ready if done is None else done.unionByName(ready)
-        if poses.isEmpty():
-            break
-    final = done.unionByName(poses) if "condition" in poses.columns else done
-    total = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    m = _matched(source, grid, final.drop("condition"), keys, pair, cell, 0.5)
-    res = dot(sub(vec("p"), vec("q")), vec("n"))
-    q = m.groupBy(*pair).agg(F.count(F.lit(1)).alias("__m"), F.sqrt(F.avg(res * res)).alias("rmse_plane_m"))
-    return final.join(q, pair, "left").join(total, keys).withColumn("overlap", F.coalesce(c("__m") / c("__n"), F.lit(0.0))).drop("__m", "__n")
+    def step(live, r, t, who, p, q, n):
+        m, b, count, _ = Clouds.systems(who, np.concatenate([np.cross(p, n), n], axis=1), np.einsum("ki,ki->k", p - q, n), len(live))
+        x, condition = solutions(m, b, 1e-6)
+        turn = _rodrigues(x[:, :3])
+        still = (np.linalg.norm(x[:, :3], axis=1) < 2e-5) & (np.linalg.norm(x[:, 3:], axis=1) < 8e-4)
+        return (turn @ r, np.einsum("kij,kj->ki", turn, t) + x[:, 3:], condition), count > 0, still
+
+    def fit(clouds: Clouds):
+        r, t, kept, condition = clouds.align(*_poses(clouds.starts), rounds, gate, step)
+        pairs = np.flatnonzero(kept)
+        overlap, rmse = clouds.quality(r, t, pairs)
+        return pairs, r, t, [condition[pairs], rmse, overlap]
+
+    starts = initial.select(*keys, *seeds, *rot.POSE)
+    return _aligned(source, target, starts, keys, list(seeds), ["condition", "rmse_plane_m", "overlap"], fit)
 
 
 def accept_alignment(df: DataFrame) -> DataFrame:
@@ -144,46 +320,32 @@ RECOVERY_SEEDS = [(0.0, 0.0, 0.0), (0.25, 0.0, 0.0), (-0.25, 0.0, 0.0), (0.0, 0.
 PRIOR_SCALE = (0.1, 0.1, 0.1, 10.0, 10.0, 10.0)
 
 
-def _held_to_prior(source: DataFrame, grid: DataFrame, starts: DataFrame, keys: list[str], pair: list[str], rounds: int, gate: tuple[float, float], least: int) -> DataFrame:
+def _held_to_prior(source: DataFrame, target: DataFrame, starts: DataFrame, keys: list[str], rounds: int, gate: tuple[float, float], least: int) -> DataFrame:
     """Point-to-plane alignment in which a motion prior (columns o + pose) adds to every pair's system, for what the points leave open.
 
     The points' part is a mean, so that the prior weighs the same in thin and dense clouds. Pairs with fewer than ``least``
     matched points in a round are given up.
     """
-    from ..functions import rotation as rot
+    stiff = np.array([1 / x ** 2 for x in PRIOR_SCALE])
 
-    cell = gate[0] * (1 + 1e-6)
-    stiff = [1 / x ** 2 for x in PRIOR_SCALE]
-    poses, done = cut(starts, "pose"), None
-    fixed = [n for n in poses.columns if n not in rot.POSE]
-    for i in range(rounds):
-        m = _matched(source, grid, poses.select(*pair, *rot.POSE), keys, pair, cell, max(gate[1], gate[0] * (1 - i / rounds)), ["ref"])
-        m = m.join(poses.select(*pair, "tx", "ty", "tz"), pair)
-        p, n, t = vec("p"), vec("n"), vec("t")
-        m = m.withColumn("res", dot(sub(p, vec("q")), n))
-        w = F.least(F.lit(1.0), 0.1 / F.greatest(F.abs("res"), F.lit(1e-10)))
-        away = [*rot.rotation_vector(rot.compose(rot.matrix(), rot.transpose(rot.matrix("or")))), *sub(t, vec("ot"))]
-        off = [c(f"__o{x}") for x in range(6)]
-        sums = poses.select("*", *[e.alias(f"__o{x}") for x, e in enumerate(away)])
-        sums = sums.join(normal_equations(m, pair, [*cross(sub(p, t), n), *n], -c("res"), w, "ws").where(c("n") >= least), pair)
-        held = {f"a_{x}_{y}": c(f"a_{x}_{y}") / c("ws") + (stiff[x] if x == y else 0.0) for x in range(6) for y in range(x, 6)}
-        held |= {f"b_{x}": c(f"b_{x}") / c("ws") - stiff[x] * off[x] for x in range(6)}
-        new = solve(sums.withColumns(held), 6)
-        r = rot.compose(rot.rodrigues(vec("x_0", "x_1", "x_2")), rot.matrix())
-        size = F.sqrt(sum((c(f"x_{x}") ** 2 for x in range(1, 6)), c("x_0") ** 2))
-        new = cut(new.select(*fixed, *[r[a][b].alias(f"r{a}{b}") for a in range(3) for b in range(3)],
-                             *[(c("t" + x) + c(f"x_{k + 3}")).alias("t" + x) for k, x in enumerate("xyz")], (size < 1e-5).alias("still")), "pose")
-        ready = new.where("still").drop("still")
-        poses = new.where(~c("still")).drop("still")
-        done = ready if done is None else done.unionByName(ready)
-        if poses.isEmpty():
-            break
-    final = done.unionByName(poses) if done is not None else poses
-    total = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    m = _matched(source, grid, final.select(*pair, *rot.POSE), keys, pair, cell, 0.5, ["ref"])
-    res = dot(sub(vec("p"), vec("q")), vec("n"))
-    q = m.groupBy(*pair).agg(F.count(F.lit(1)).alias("__m"), F.sqrt(F.avg(res * res)).alias("rmse_plane_m"))
-    return final.join(q, pair).join(total, keys).withColumn("overlap", c("__m") / c("__n")).select(*pair, *rot.POSE, "overlap", "rmse_plane_m")
+    def fit(clouds: Clouds):
+        prior = _poses(clouds.starts, "o")
+
+        def step(live, r, t, who, p, q, n):
+            a = np.concatenate([np.cross(p - t[who], n), n], axis=1)
+            m, b, count, total = Clouds.systems(who, a, np.einsum("ki,ki->k", p - q, n), len(live))
+            off = np.concatenate([_rotation_vector(r @ prior[0][live].transpose(0, 2, 1)), t - prior[1][live]], axis=1)
+            total = np.maximum(total, 1e-300)
+            x, condition = solutions(m / total[:, None, None] + np.diag(stiff), b / total[:, None] - stiff * off, 0.0)
+            return (_rodrigues(x[:, :3]) @ r, t + x[:, 3:], condition), count >= max(least, 1), np.linalg.norm(x, axis=1) < 1e-5
+
+        r, t, kept, _ = clouds.align(*_poses(clouds.starts), rounds, gate, step)
+        pairs = np.flatnonzero(kept)
+        overlap, rmse = clouds.quality(r, t, pairs)
+        some = overlap > 0
+        return pairs[some], r, t, [overlap[some], rmse[some]]
+
+    return _aligned(source, target, starts, keys, ["seed"], ["overlap", "rmse_plane_m"], fit)
 
 
 def recover_alignment(source: DataFrame, target: DataFrame, predicted: DataFrame, references: DataFrame, keys: list[str], rounds: int = 60,
@@ -201,8 +363,7 @@ def recover_alignment(source: DataFrame, target: DataFrame, predicted: DataFrame
 
     from ..functions import rotation as rot
 
-    grid = _targets(target, ["ref"], gate[0] * (1 + 1e-6))
-    source = cut(source.select(*keys, "sid", "x", "y", "z"), "source")
+    source, target = (cut(d, "clouds") for d in (source.select(*keys, "x", "y", "z"), target.select("ref", "x", "y", "z", "nx", "ny", "nz")))
     newest = Window.partitionBy(*keys).orderBy(c("ref").desc())  # a frame's references: a few rows
     world = references.select(*keys, "ref", *[c(n).alias("w" + n) for n in rot.POSE])
     first = predicted.select(*keys, *rot.POSE).join(world, keys).withColumn("__rank", F.row_number().over(newest))
@@ -212,8 +373,6 @@ def recover_alignment(source: DataFrame, target: DataFrame, predicted: DataFrame
     seeds = F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), *[F.lit(v).alias(n) for n, v in zip(("dx", "dy", "yaw"), s)]) for i, s in enumerate(RECOVERY_SEEDS)]))
     yaw = rot.rodrigues((F.lit(0.0), F.lit(0.0), c("s.yaw")))
     turned = rot.compose(yaw, rot.matrix("or"))
-    pair = [*keys, "ref", "seed"]
-
     found, rank = None, 0
     while True:
         rank += 1
@@ -224,7 +383,8 @@ def recover_alignment(source: DataFrame, target: DataFrame, predicted: DataFrame
             break
         starts = now.withColumn("s", seeds).select(*keys, "ref", "s.seed", *[f"o{n}" for n in rot.POSE], *[turned[a][b].alias(f"r{a}{b}") for a in range(3) for b in range(3)],
                                                    (c("otx") + c("s.dx")).alias("tx"), (c("oty") + c("s.dy")).alias("ty"), c("otz").alias("tz"))
-        fits = cut(_held_to_prior(source, grid, starts, keys, pair, rounds, gate, least), "recover")
+        pair = now.select(*keys, "ref")
+        fits = _held_to_prior(source.join(pair, keys), target.join(pair, "ref"), starts, [*keys, "ref"], rounds, gate, least)
         centre = fits.where("seed = 0").select(*keys, *[c(n).alias("z" + n) for n in rot.POSE])
         j = fits.join(centre, keys)
         turn = rot.angle(rot.compose(rot.transpose(rot.matrix("zr")), rot.matrix("r")))
