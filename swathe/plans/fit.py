@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vector import named, norm, sub, vec
+from ..operators.groups import changes, spans, whole
 from ..session import cut, discard
 
 c = F.col
@@ -67,40 +67,6 @@ ROWS, PAIRS_A_TASK = 20_000, 200
 SLACK = 0.3
 
 
-def _changes(table, keys: list[str]) -> np.ndarray:
-    """Whether a row's keys differ from those of the row before; never of the first."""
-    new = np.zeros(table.num_rows, bool)
-    for k in keys:
-        x = table.column(k)
-        new[1:] |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy()
-    return new
-
-
-def _whole(batches, keys: list[str], least: int):
-    """Sorted rows as tables of whole groups, of ``least`` rows or more; a group is never cut."""
-    held, rows, tail = [], 0, None
-    for batch in batches:
-        part = pa.Table.from_batches([batch])
-        if not part.num_rows:
-            continue
-        new = _changes(part, keys)
-        new[0] = tail is not None and tail != [part.column(k)[0].as_py() for k in keys]
-        tail = [part.column(k)[-1].as_py() for k in keys]
-        ends = np.flatnonzero(new)
-        if len(ends) and rows + ends[-1] >= least:
-            yield pa.concat_tables([*held, part.slice(0, ends[-1])]).combine_chunks()
-            part, held, rows = part.slice(ends[-1]), [], 0
-        held.append(part)
-        rows += part.num_rows
-    if held:
-        yield pa.concat_tables(held).combine_chunks()
-
-
-def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The numbers first .. first + n - 1 of all spans, one after the other."""
-    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
-
-
 def _rodrigues(v: np.ndarray) -> np.ndarray:
     a = np.linalg.norm(v, axis=1)
     small = a < 1e-8
@@ -127,7 +93,7 @@ class Clouds:
     """
 
     def __init__(self, table, keys: list[str]):
-        group = np.cumsum(_changes(table, keys))
+        group = np.cumsum(changes(table, keys))
         kind = table.column("__kind").to_numpy()
         self.groups = group[-1] + 1
         xyz = np.stack([table.column(n).to_numpy() for n in "xyz"], axis=1)
@@ -149,7 +115,7 @@ class Clouds:
     def place(self, pairs: np.ndarray, limit: float) -> None:
         """The points of ``pairs`` from here on, which may be matched up to ``limit``."""
         n = self.size(pairs)
-        self.row, self.who = _spans(self.mine[self.pair[pairs]], n), np.repeat(np.arange(len(pairs)), n)
+        self.row, self.who = spans(self.mine[self.pair[pairs]], n), np.repeat(np.arange(len(pairs)), n)
         self.group, self.listed, self.limit = np.repeat(self.pair[pairs], n), None, limit
 
     def _list(self, p: np.ndarray, limit: float) -> None:
@@ -169,7 +135,7 @@ class Clouds:
                 centre = self.group * (span[0] * span[1] * span[2]) + (own + 5 + (x, y, 0)) @ strides
                 first = np.searchsorted(number, centre - 1, "left")
                 n = np.searchsorted(number, centre + 1, "right") - first
-                i, j = np.repeat(np.arange(len(p)), n), order[_spans(first, n)]
+                i, j = np.repeat(np.arange(len(p)), n), order[spans(first, n)]
                 near = (self.of[j] == self.group[i]) & (((p[i] - self.target[j]) ** 2).sum(axis=1) <= far * far)
                 found.append((i[near], j[near]))
         self.i, self.j = (np.concatenate(x) for x in zip(*found))
@@ -260,7 +226,7 @@ def _aligned(source: DataFrame, target: DataFrame, starts: DataFrame, keys: list
     schema = to_arrow_schema(shape)
 
     def run(batches):
-        for table in _whole(batches, keys, ROWS):
+        for table in whole(batches, keys, ROWS):
             clouds = Clouds(table, keys)
             if not clouds.starts:
                 continue
