@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import contact_confidence, pair_confidence
 from ..operators import aggregates as agg
 from ..operators.graph import connected_components, greedy_select
-from ..operators.joins import bounded_nearest, interp_at, offset_grid, radius_pairs, shifted, template_distance
+from ..operators.joins import bounded_nearest, interp_at, offset_grid, shifted, template_distance
 from ..operators.ordered import blocked_scan
 from ..operators.paths import longest_run
 from ..session import cut
@@ -324,6 +326,33 @@ def future_reference(heads: DataFrame, frames: DataFrame, keys: list[str] = ("ru
     return m.join(d, [*keys, "bin"]).withColumn("ref_s", (c("bin") + 0.5) * bin_m)
 
 
+def _linked_locally(v: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """Voxels (keys, id, x, y, z) linked within cells of eight times ``radius``: id, the least id of the component there, whether the cell is the voxel's own, and whether it lies in several."""
+    from ..functions.cells import CELL, explode_box
+    from ..functions.vector import vec
+    from ..operators.groups import changes, close, components, whole
+    from ..operators.joins import PAD
+
+    width, place = 8 * radius * PAD, [*keys, *CELL]
+    at = tuple(p + width / 2 for p in vec("x", "y", "z"))
+    # Two voxels meet in the cell of their larger coordinates, so a voxel is copied upwards only.
+    spread = explode_box(v.select(*keys, "id", "x", "y", "z"), at, tuple(p + radius * PAD for p in at), width)
+    same = lambda up: [F.floor((p + up) / width) == c(k) for p, k in zip(at, CELL)]
+    own, last = same(0.0), [F.floor((p + radius * PAD) / width) == F.floor(p / width) for p in at]
+    rows = spread.select("*", (own[0] & own[1] & own[2]).alias("home"), (~(last[0] & last[1] & last[2])).alias("shared"))
+    rows = rows.repartition(int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place).sortWithinPartitions(*place, "id")
+
+    def run(batches):
+        for table in whole(batches, place, 20_000):
+            group = np.cumsum(changes(table, place))
+            xyz = np.stack([table.column(n).to_numpy() for n in "xyz"], axis=1)
+            ids = table.column("id").to_numpy()
+            label = ids[components(len(ids), *close(xyz, group, xyz, group, radius))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label), *[table.column(n).combine_chunks() for n in ("home", "shared")]], ["id", "label", "home", "shared"])
+
+    return cut(rows.mapInArrow(run, "id long, label long, home boolean, shared boolean"), "linked")
+
+
 def linked_component(points: DataFrame, seeds: DataFrame, keys: list[str], voxel: float = 0.15, radius: float = 0.37, max_gap: float = 0.5) -> DataFrame:
     """Points of the component whose nearest cell centre lies within ``max_gap`` of the key's seed.
 
@@ -336,7 +365,13 @@ def linked_component(points: DataFrame, seeds: DataFrame, keys: list[str], voxel
     v = p.groupBy(*keys, *CELL).agg(F.min("id").alias("first")).select(*keys, *CELL, "first", *[((c(k) + 0.5) * voxel).alias(a) for k, a in zip(CELL, "xyz")])
     # Cells are numbered once and for all by being written: a number costs the rounds of the search a fraction of a text.
     v = cut(v.withColumn("id", F.monotonically_increasing_id()), "linked")
-    comp = connected_components(v, radius_pairs(v, keys, ["id"], radius))
+    local = _linked_locally(v, keys, radius)
+    # Voxels that lie in several cells link the components found in each; only these take part in the search over all.
+    shared = local.where("shared").withColumn("__m", F.min("label").over(Window.partitionBy("id")))
+    links = shared.where("label <> __m").select(c("label").alias("a_id"), c("__m").alias("b_id"))
+    home = local.where("home").select("id", "label")
+    comp = connected_components(home.select(c("label").alias("id")).distinct(), links).select(c("id").alias("label"), "component")
+    comp = home.join(comp, "label").select("id", "component")
     named = v.select(*keys, "first", *"xyz").withColumnRenamed("first", "id")
     near = bounded_nearest(seeds.withColumn("id", F.lit(0).cast(named.schema["id"].dataType)), named, keys, "id", max_gap).where(c("near_id").isNotNull())
     labelled = v.select(*keys, *CELL, "first", "id").join(comp, "id")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vector import named, norm, sub, vec
-from ..operators.groups import changes, spans, whole
+from ..operators.groups import changes, close, spans, whole
 from ..session import cut, discard
 
 c = F.col
@@ -105,9 +105,6 @@ class Clouds:
         self.names = list(zip(*(table.column(k).take(first).to_pylist() for k in keys)))
         self.starts = table.column("__start").take(first).to_pylist()
         self.pair = group[first]
-        low = np.full((self.groups, 3), np.inf)
-        np.minimum.at(low, self.of, self.target)
-        self.low = np.where(np.isfinite(low), low, 0.0)
 
     def size(self, pairs: np.ndarray) -> np.ndarray:
         return self.mine[self.pair[pairs] + 1] - self.mine[self.pair[pairs]]
@@ -121,24 +118,7 @@ class Clouds:
     def _list(self, p: np.ndarray, limit: float) -> None:
         """All (point, target) within ``limit`` and the slack, ordered by point and target."""
         self.listed, self.limit, far = p, limit, limit + SLACK
-        at = self.target - self.low[self.of]
-        width = max(far * (1 + 1e-6), float(at.max(initial=0.0)) / 2 ** 16)
-        cell, own = (np.floor(x / width).astype(np.int64) for x in (at, np.clip((p - self.low[self.group]), -4 * width, at.max(initial=0.0) + 4 * width)))
-        span = cell.max(axis=0, initial=0) + 12
-        strides = np.array([span[1] * span[2], span[2], 1])
-        number = self.of * (span[0] * span[1] * span[2]) + (cell + 5) @ strides
-        order = np.argsort(number, kind="stable")
-        number = number[order]
-        found = []
-        for x in (-1, 0, 1):
-            for y in (-1, 0, 1):
-                centre = self.group * (span[0] * span[1] * span[2]) + (own + 5 + (x, y, 0)) @ strides
-                first = np.searchsorted(number, centre - 1, "left")
-                n = np.searchsorted(number, centre + 1, "right") - first
-                i, j = np.repeat(np.arange(len(p)), n), order[spans(first, n)]
-                near = (self.of[j] == self.group[i]) & (((p[i] - self.target[j]) ** 2).sum(axis=1) <= far * far)
-                found.append((i[near], j[near]))
-        self.i, self.j = (np.concatenate(x) for x in zip(*found))
+        self.i, self.j = close(p, self.group, self.target, self.of, far)
         order = np.lexsort((self.j, self.i))
         self.i, self.j = self.i[order], self.j[order]
         self.first = np.flatnonzero(np.diff(self.i, prepend=-1))
