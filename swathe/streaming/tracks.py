@@ -34,7 +34,7 @@ TRACK = {"voxel": 0.05, "radius": 0.35, "fraction": 0.20, "gap_s": 3.0, "confirm
 SESSION = ["run", "generation"]
 VOXELS = [*SESSION, "frame", "t_s", "component", "x", "y", "z"]
 TRACK_OUT = "run int, generation int, frame int, component string, track long, confirmed boolean"
-CHUNK, ROWS_OUT = 1024, 8192
+CHUNK, ROWS_OUT, ROWS_A_TASK = 1024, 8192, 20_000
 
 
 def meetings(a: np.ndarray, b: np.ndarray, r: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,29 +91,35 @@ class TrackBook:
     def __init__(self, cfg: dict | None = None):
         self.cfg, self.tracks, self.given = {**TRACK, **(cfg or {})}, {}, 0
 
-    def _partners(self, points: np.ndarray, owner: np.ndarray, t_s: float) -> pd.Series:
+    def _partners(self, points: np.ndarray, owner: np.ndarray, t_s: float) -> dict[int, int]:
         """Best track per component number: all voxels of the frame meet all live support at once."""
         g = self.cfg
         live = {i: t for i, t in self.tracks.items() if 0 <= t_s - t.t_s <= g["gap_s"]}
         if not live or not len(points):
-            return pd.Series(dtype="int64")
+            return {}
+        names, sizes = list(live), np.array([len(t.support) for t in live.values()])
         support = np.concatenate([t.support for t in live.values()])
-        track = np.repeat(list(live), [len(t.support) for t in live.values()])
-        met = [pd.DataFrame({"i": i, "j": j}) for i, j, _ in meetings(points, support, g["radius"])]
-        met = pd.concat(met, ignore_index=True).assign(component=lambda m: owner[m["i"]], track=lambda m: track[m["j"]])
-        both = met.groupby(["component", "track"])[["i", "j"]].nunique().reset_index()
-        size = np.bincount(owner), both["track"].map({i: len(t.support) for i, t in live.items()})
-        both["share"] = np.maximum(both["i"] / size[0][both["component"]], both["j"] / size[1])
-        both = both[both["share"] >= g["fraction"]]
-        middle = [smaller_median(points[owner == k], live[i].support, g["radius"]) for k, i in zip(both["component"], both["track"], strict=True)]
-        both = both.assign(score=np.array(middle) + (1 - both["share"].to_numpy()) * 0.1)
-        return both.sort_values(["score", "track"]).drop_duplicates("component").set_index("component")["track"]
+        track = np.repeat(np.arange(len(names)), sizes)
+        i, j = (np.concatenate(x) for x in zip(*[(i, j) for i, j, _ in meetings(points, support, g["radius"])]))
+        pair = owner[i] * len(names) + track[j]
+        # Voxels of a side that a pair of component and track has met, each counted once.
+        (pairs, n), (_, m) = (np.unique(np.unique(pair * len(of) + x) // len(of), return_counts=True) for of, x in ((points, i), (support, j)))
+        share = np.maximum(n / np.bincount(owner)[pairs // len(names)], m / sizes[pairs % len(names)])
+        best: dict[int, tuple[float, int]] = {}
+        for k, tid, part in zip(pairs // len(names), pairs % len(names), share):
+            if part >= g["fraction"]:
+                score = smaller_median(points[owner == k], live[names[tid]].support, g["radius"]) + (1 - part) * 0.1
+                best[int(k)] = min(best.get(int(k), (np.inf, names[tid])), (score, names[tid]))
+        return {k: tid for k, (_, tid) in best.items()}
 
     def _grown(self, support: np.ndarray, voxels: np.ndarray) -> np.ndarray:
         """Means per cell of the support and the new voxels; beyond the cap an even sample in the order of the cells."""
-        rows = pd.DataFrame(np.concatenate([support, voxels]), columns=list("xyz"))
-        cells = np.floor(rows / self.cfg["voxel"]).astype("int64")
-        means = rows.groupby([cells[a] for a in "xyz"]).mean().to_numpy()
+        rows = np.concatenate([support, voxels])
+        cells = np.floor(rows / self.cfg["voxel"]).astype(np.int64)
+        order = np.lexsort(cells.T[::-1])
+        cells = cells[order]
+        first = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(axis=1))) if len(cells) else np.zeros(0, int)
+        means = np.add.reduceat(rows[order], first, axis=0) / np.diff(first, append=len(rows))[:, None] if len(rows) else rows
         n, cap = len(means), self.cfg["cap"]
         return means if n <= cap else means[np.arange(cap) * (n - 1) // (cap - 1)]
 
@@ -139,7 +145,11 @@ class TrackBook:
 
 
 def _components(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {k: r[["x", "y", "z"]].to_numpy() for k, r in rows.groupby("component", sort=True)}
+    names, xyz = rows["component"].to_numpy(), rows[["x", "y", "z"]].to_numpy()
+    named = np.flatnonzero(pd.notna(names))
+    order = named[np.argsort(names[named], kind="stable")]
+    first = [n for n in range(len(order)) if not n or names[order[n]] != names[order[n - 1]]]
+    return {names[order[lo]]: xyz[order[lo:hi]] for lo, hi in zip(first, [*first[1:], len(order)])}
 
 
 def _frames_in_order(pdfs, keys: list[str]):
@@ -209,7 +219,9 @@ def track_batch(voxels: DataFrame, cfg: dict | None = None) -> DataFrame:
     rows = cut(voxels.select(*VOXELS), "voxels")
     placed = rows.join(islands_of(rows, (g["radius"] + math.sqrt(3) * g["voxel"]) * PAD), [*SESSION, "frame", "component"])
     placed = with_eras(placed, g["gap_s"])
-    dealt = placed.repartition(*SESSION, "island", "era").sortWithinPartitions(*SESSION, "island", "era", "frame", "component")
+    # A number given here isn't coalesced: a few bytes of an era are much work.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_TASK))
+    dealt = placed.repartition(tasks, *SESSION, "island", "era").sortWithinPartitions(*SESSION, "island", "era", "frame", "component")
     out = "run int, generation int, frame int, component string, born_frame int, born_component string, confirmed boolean"
     told = cut(dealt.mapInPandas(_followed(cfg), out), "tracks")
     new = told.where((c("frame") == c("born_frame")) & (c("component") == c("born_component"))).select(*SESSION, "born_frame", "born_component")
